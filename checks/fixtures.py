@@ -70,7 +70,7 @@ def signals(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("value") * 7.0 % 1.0).alias("boundary_raw"),
         (F.col("event_id") % 97 / 96.0).alias("quality_raw"),
     )
-    idx = dense_index(src, ["video_id"], F.floor(F.unix_seconds("ts") / 3600), ["ts", "event_id"], "sample_index")
+    idx = dense_index(src, ["video_id"], F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600), ["ts", "event_id"], "sample_index")
     return idx.select(
         "video_id",
         F.col("sample_index").cast("int").alias("sample_index"),

@@ -14,13 +14,10 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def l2_normalize(vec: Column, floor: float = 1e-8) -> Column:
-    """Scale to unit length; the norm is bound once in the finish step."""
-    return F.aggregate(
-        vec,
-        F.lit(0.0),
-        lambda s, x: s + x * x,
-        lambda s: F.transform(vec, lambda x: x / F.greatest(F.sqrt(s), F.lit(floor))),
-    )
+    """Scale to unit length. The norm is repeated as an array, so it is computed once per row."""
+    total = F.aggregate(vec, F.lit(0.0), lambda s, x: s + x * x)
+    norms = F.array_repeat(F.greatest(F.sqrt(total), F.lit(floor)), F.size(vec))
+    return F.zip_with(vec, norms, lambda x, n: x / n)
 
 
 def fuse(clip: Column, dino: Column, clip_weight: float = 0.55, dino_weight: float = 0.45) -> Column:

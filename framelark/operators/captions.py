@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from framelark.functions.partitioned import dense_index
 from framelark.functions.text import tokenize_vocab, video_number
@@ -13,16 +13,12 @@ KEY = "video_id"
 SPECIALS = {"<pad>": 0, "<sos>": 1, "<eos>": 2, "<unk>": 3}
 
 
-def group_captions(sentences: DataFrame) -> DataFrame:
-    """Captions of each video in order."""
-    items = F.array_sort(F.collect_list(F.struct("cap_id", "caption")))
-    return sentences.groupBy(KEY).agg(items.alias("items")).select(
-        KEY, F.transform("items", lambda s: s["caption"]).alias("captions")
-    )
-
-
 def number_captions(sentences: DataFrame, order: str) -> DataFrame:
-    """Add ``cap_id``, the ordinal within the video along ``order``."""
+    """Caption lists as rows: ``cap_id`` is the ordinal within the video along ``order``.
+
+    A list column would hold all captions of a video in one row; rows stay
+    spread however many captions one video has.
+    """
     return dense_index(sentences, [KEY], F.floor(F.col(order) / ID_BLOCK), [order], "cap_id")
 
 
@@ -154,7 +150,10 @@ def sample_caption(sentences: DataFrame, seed: int) -> DataFrame:
 def preview_samples(pred: DataFrame, refs: DataFrame, n: int, seed: int, shown: int = 3) -> DataFrame:
     """``n`` random predictions with their first references, for display."""
     chosen = pred.select(KEY, F.col("caption").alias("prediction")).orderBy(_hash(seed, KEY), KEY).limit(n)
-    first = refs.join(chosen.select(KEY), KEY, "left_semi")
-    order = F.array_sort(F.collect_list(F.struct("cap_id", "caption")))
-    listed = first.groupBy(KEY).agg(order.alias("r")).select(KEY, F.posexplode(F.slice("r", 1, shown)).alias("ref_no", "r"))
-    return chosen.join(listed, KEY).select(KEY, "prediction", "ref_no", F.col("r.caption").alias("reference"))
+    order = W.partitionBy(KEY).orderBy("cap_id")
+    first = (
+        refs.select(KEY, "cap_id", F.col("caption").alias("reference"))
+        .withColumn("ref_no", F.row_number().over(order))
+        .filter(F.col("ref_no") <= shown)
+    )
+    return chosen.join(first, KEY).select(KEY, "prediction", "ref_no", "reference")
