@@ -26,22 +26,15 @@ def ngram_counts(df: DataFrame, ids: list[str], n: int = MAX_N) -> DataFrame:
     All n-grams of a caption leave one input row, so the partial count before
     the shuffle is already complete.
     """
-    grams = F.flatten(
-        F.array(
-            *[
-                F.when(
-                    F.size("tokens") >= k,
-                    F.transform(
-                        F.expr(f"sequence(1, size(tokens) - {k - 1})"),
-                        lambda i, k=k: F.struct(
-                            F.lit(k).alias("n"), F.array_join(F.slice("tokens", i, k), " ").alias("gram")
-                        ),
-                    ),
-                ).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
-                for k in range(1, n + 1)
-            ]
+    def of_size(k: int) -> Column:
+        starts = F.expr(f"sequence(1, size(tokens) - {k - 1})")
+        spans = F.transform(
+            starts,
+            lambda i: F.struct(F.lit(k).alias("n"), F.array_join(F.slice("tokens", i, k), " ").alias("gram")),
         )
-    )
+        return F.when(F.size("tokens") >= k, spans).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
+
+    grams = F.flatten(F.array(*[of_size(k) for k in range(1, n + 1)]))
     return (
         _tokens(df, ids).select(*ids, F.explode(grams).alias("g"))
         .groupBy(*ids, "g.n", "g.gram").agg(F.count(F.lit(1)).alias("cnt"))

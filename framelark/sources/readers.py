@@ -67,7 +67,7 @@ def clean_prompts(lines: DataFrame) -> DataFrame:
 
     ``lines``: ``ord, line``.
     """
-    prompt = F.trim("line")
+    prompt = F.regexp_replace("line", r"(?U)^\s+|\s+$", "")
     return (
         lines.select("ord", prompt.alias("prompt"))
         .filter((F.col("prompt") != "") & ~F.col("prompt").startswith("#"))
@@ -105,13 +105,8 @@ def list_files(spark: SparkSession, roots: list[str], pattern: str) -> DataFrame
     return index_files(whole.withColumn("video_id", stem))
 
 
-def read_feature_files(spark: SparkSession, path: str, pattern: str = "*.npy") -> DataFrame:
-    """Rows of per-video NumPy matrices: ``video_id, pos, vec``; files are spread over tasks."""
-    blobs = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-        .load(path)
-        .select(F.regexp_extract("path", r"([^/]+)\.npy$", 1).alias("video_id"), "content")
-    )
+def parse_feature_blobs(blobs: DataFrame) -> DataFrame:
+    """Rows of NumPy files given as ``video_id, content``; one file at a time per task."""
 
     def parse(batches):
         import io
@@ -125,3 +120,11 @@ def read_feature_files(spark: SparkSession, path: str, pattern: str = "*.npy") -
                 yield pd.DataFrame({"video_id": video, "pos": np.arange(len(m), dtype="int32"), "vec": list(m)})
 
     return blobs.mapInPandas(parse, "video_id string, pos int, vec array<float>")
+
+
+def read_feature_files(spark: SparkSession, path: str, pattern: str = "*.npy") -> DataFrame:
+    """Rows of per-video NumPy matrices below a folder: ``video_id, pos, vec``."""
+    found = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    )
+    return parse_feature_blobs(found.select(F.regexp_extract("path", r"([^/]+)\.npy$", 1).alias("video_id"), "content"))

@@ -12,13 +12,17 @@ from framelark.functions.storage import scratch_path
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all files present now and return what it wrote."""
+    """Run a stream over all files present now and return what it wrote.
+
+    ``complete`` output replaces the table on every batch.
+    """
     spark = stream.sparkSession
     out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
-    query = (
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
-        .outputMode(mode).trigger(availableNow=True).start()
-    )
+    writer = stream.writeStream.option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True)
+    if mode == "complete":
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
+    else:
+        query = writer.format("parquet").option("path", out).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -113,7 +117,14 @@ def frame_change_processor(value: str = "vec"):
 
 
 def stream_frame_change(stream: DataFrame) -> DataFrame:
-    """Change of each frame of a live feed against the frame before it."""
+    """Change of each frame of a live feed against the frame before it.
+
+    One key and batch go to one call; ``maxFilesPerTrigger`` bounds the batch.
+    """
+    stream.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
     return (
         stream.select("video_id", "sample_index", "vec")
         .groupBy("video_id")
