@@ -12,8 +12,24 @@ from framelark.functions.vectors import as_double, l2_normalize
 from framelark.operators.signals import frame_quality
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+SCAN_BYTES = 128 << 20
+
+
+def table(spark: SparkSession, sf: str, name: str, spread: bool = False) -> DataFrame:
+    """One test table. ``spread`` deals the rows to all cores when the scan has fewer parts than cores.
+
+    The test files hold one row group each, so their scans are one task. Large
+    tables have enough parts and are left as they are.
+    """
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and len(df.inputFiles()) < cores and _bytes(df) < cores * SCAN_BYTES:
+        return df.repartition(cores)
+    return df
+
+
+def _bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def _video(col) -> F.Column:
@@ -96,7 +112,7 @@ def videos(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents", spread=True)
     return d.select(
         _video(F.floor(F.col("doc_id") / 5)).alias("video_id"),
         (F.col("doc_id") % 5).cast("int").alias("cap_id"),
@@ -105,7 +121,7 @@ def sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations")
+    c = table(spark, sf, "conversations", spread=True)
     return c.select(
         _video(F.col("conv_id")).alias("video_id"),
         (F.col("conv_id") % 20).cast("int").alias("category"),

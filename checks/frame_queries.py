@@ -570,7 +570,8 @@ def _(s, sf):
 )
 def _(s, sf):
     head = splits.video_header(fx.videos(s, sf), 3.0)
-    decoded = fx.videos(s, sf).filter("total_frames > 0").select(
+    # Spread the videos before each becomes hundreds of frames; the join then needs no second shuffle.
+    decoded = fx.videos(s, sf).filter("total_frames > 0").repartition(KEY).select(
         KEY, F.explode(F.expr("sequence(0, total_frames - 1)")).alias("frame_index")
     )
     return splits.sample_frames(decoded, head, 64).groupBy(KEY).agg(

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 BLOCK_ROWS = 4096
+GROUP_ROWS = 200_000
 
 _COMBINE = {
     "sum": lambda before, inside: F.coalesce(before, F.lit(0)) + F.coalesce(inside, F.lit(0)),
@@ -41,9 +42,7 @@ def prefix_aggregate(
     With ``inclusive=False`` the current row is left out (NULL on the first row
     for min/max, 0 for sum).
     """
-    work = df.withColumn("_bucket", bucket)
-    for name, (_, value) in outputs.items():
-        work = work.withColumn(f"_in_{name}", value)
+    work = df.select("*", bucket.alias("_bucket"), *[v.alias(f"_in_{name}") for name, (_, v) in outputs.items()])
     totals = work.groupBy(*keys, "_bucket").agg(
         *[_AGG[fn](f"_in_{name}").alias(f"_t_{name}") for name, (fn, _) in outputs.items()]
     )
@@ -71,7 +70,7 @@ def dense_index(
 ) -> DataFrame:
     """``row_number`` per key (from ``start``) without one task per key."""
     ranked = prefix_aggregate(df, keys, bucket, order, {"_rank": ("sum", F.lit(1))})
-    return ranked.withColumn(out, F.col("_rank") - F.lit(1 - start)).drop("_rank")
+    return ranked.select(*df.columns, (F.col("_rank") - F.lit(1 - start)).alias(out))
 
 
 def with_neighbors(
@@ -97,7 +96,7 @@ def with_neighbors(
         copies = F.when((pos == 0) & (home > 0), F.array(home, home - 1)).otherwise(copies)
     if before and after and rows == 1:
         raise ValueError("blocks need at least two rows")
-    spread = df.withColumn("_home", home).withColumn("_block", F.explode(copies))
+    spread = df.select("*", home.alias("_home"), F.explode(copies).alias("_block"))
     w = W.partitionBy(*keys, "_block").orderBy(index)
     extra = []
     for c in cols:
@@ -115,68 +114,99 @@ def _value_bucket(col: Column) -> Column:
 
 
 def exact_percentiles(
-    df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]
+    df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], group_rows: int = GROUP_ROWS
 ) -> DataFrame:
     """Linear-interpolated percentiles per key: ``{out: (column, p in 0..1)}``.
 
-    The built-in exact percentile keeps all values of a key in one buffer. Here
-    a histogram (map-side combined) finds the bucket of each wanted order
-    statistic, and only the rows of those buckets are ranked, after equal
-    values have been merged.
+    Keys of up to ``group_rows`` rows (counted first) use the built-in exact
+    percentile, which keeps the values of a key in one buffer. Longer keys, at
+    most ``rows / group_rows`` of them, go through buckets instead.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > group_rows)
+    long_keys = sizes.select(*keys).collect()
+    if not long_keys:
+        return _grouped_percentiles(df, keys, wanted)
+    marks = df.sparkSession.createDataFrame(long_keys, df.select(*keys).schema)
+    short = _grouped_percentiles(df.join(F.broadcast(marks), keys, "left_anti"), keys, wanted)
+    return short.unionByName(_bucket_percentiles(df.join(F.broadcast(marks), keys, "left_semi"), keys, wanted))
+
+
+def _grouped_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    points: dict[str, list[float]] = {}
+    for column, p in wanted.values():
+        if p not in points.setdefault(column, []):
+            points[column].append(p)
+    found = df.groupBy(*keys).agg(
+        *[F.percentile(F.col(c).cast("double"), ps).alias(f"_p_{c}") for c, ps in points.items()]
+    )
+    return found.select(
+        *keys, *[F.col(f"_p_{c}")[points[c].index(p)].alias(out) for out, (c, p) in sorted(wanted.items())]
+    )
+
+
+def _bucket_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """The same for long keys, with no buffer that grows with the key.
+
+    A histogram (combined on the map side) finds the bucket of each wanted order
+    statistic. Only the rows of those buckets are ranked, after equal values
+    have been merged.
     """
     columns = sorted({c for c, _ in wanted.values()})
     slim = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
-    long = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in columns])
-    ).alias("m")
-    values = slim.select(*keys, long).select(*keys, "m.metric", "m.value").filter(F.col("value").isNotNull())
-
-    hist = values.groupBy(*keys, "metric", _value_bucket(F.col("value")).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("cnt")
+    long = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in columns]))
+    values = (
+        slim.select(*keys, long.alias("m"))
+        .select(*keys, "m.metric", "m.value", _value_bucket(F.col("m.value")).alias("bucket"))
+        .filter(F.col("value").isNotNull())
     )
+    hist = values.groupBy(*keys, "metric", "bucket").agg(F.count(F.lit(1)).alias("cnt"))
     per_metric = W.partitionBy(*keys, "metric")
     upto = per_metric.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    ranked = hist.select(
-        *keys,
-        "metric",
-        "bucket",
-        (F.sum("cnt").over(upto) - F.col("cnt")).alias("base"),
-        F.sum("cnt").over(upto).alias("top"),
-        F.sum("cnt").over(per_metric).alias("n"),
-    )
     specs = F.array(
         *[
             F.struct(F.lit(out).alias("out"), F.lit(c).alias("metric"), F.lit(float(p)).alias("p"))
             for out, (c, p) in sorted(wanted.items())
         ]
     )
-    position = F.col("t.p") * (F.col("n") - 1)
+    # One row per bucket that holds a wanted order statistic, with the ranks it holds.
+    wanted_here = F.flatten(
+        F.transform(
+            F.filter(specs, lambda t: t["metric"] == F.col("metric")),
+            lambda t: F.array(
+                F.struct(t["out"].alias("out"), F.lit(False).alias("upper"), F.floor(t["p"] * (F.col("n") - 1)).alias("r")),
+                F.struct(t["out"].alias("out"), F.lit(True).alias("upper"), F.ceil(t["p"] * (F.col("n") - 1)).alias("r")),
+            ),
+        )
+    )
     targets = (
-        ranked.withColumn("t", F.explode(specs))
-        .filter("t.metric = metric")
-        .withColumn("pos", position)
-        .withColumn("r", F.explode(F.array(F.floor("pos"), F.ceil("pos"))))
-        .filter("r >= base AND r < top")
-        .select(*keys, "metric", "bucket", "base", F.col("t.out").alias("out"), "pos", F.col("r").cast("bigint").alias("r"))
-        .distinct()
+        hist.withColumns({"top": F.sum("cnt").over(upto), "n": F.sum("cnt").over(per_metric)})
+        .withColumn("base", F.col("top") - F.col("cnt"))
+        .withColumn("need", F.filter(wanted_here, lambda x: (x["r"] >= F.col("base")) & (x["r"] < F.col("top"))))
+        .filter(F.size("need") > 0)
+        .select(*keys, "metric", "bucket", "base", "n", "need")
     )
-    near = targets.select(*keys, "metric", "bucket", "base").distinct()
     inside = W.partitionBy(*keys, "metric", "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
     merged = (
-        values.withColumn("bucket", _value_bucket(F.col("value")))
-        .join(near, [*keys, "metric", "bucket"])
-        .groupBy(*keys, "metric", "bucket", "base", "value")
+        values.join(targets.select(*keys, "metric", "bucket"), [*keys, "metric", "bucket"], "left_semi")
+        .groupBy(*keys, "metric", "bucket", "value")
         .agg(F.count(F.lit(1)).alias("cnt"))
-        .withColumn("top", F.col("base") + F.sum("cnt").over(inside))
-        .withColumn("low", F.col("top") - F.col("cnt"))
-        .drop("base")
-    )
-    hit = targets.join(merged, [*keys, "metric", "bucket"]).filter("r >= low AND r < top")
-    points = hit.groupBy(*keys, "out").agg(
-        F.min_by("value", "r").alias("lo"), F.max_by("value", "r").alias("hi"), F.max("pos").alias("pos")
+        .withColumn("upto", F.sum("cnt").over(inside))
     )
-    frac = F.col("pos") - F.floor("pos")
-    points = points.withColumn("v", F.col("lo") + (F.col("hi") - F.col("lo")) * frac)
-    return points.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("out") == out, F.col("v"))).alias(out) for out in sorted(wanted)]
+    hit = (
+        merged.join(targets, [*keys, "metric", "bucket"])
+        .withColumn("x", F.explode("need"))
+        .filter((F.col("x.r") < F.col("base") + F.col("upto")) & (F.col("x.r") >= F.col("base") + F.col("upto") - F.col("cnt")))
     )
+    picks = []
+    for out in wanted:
+        for upper in (False, True):
+            mine = (F.col("x.out") == out) & (F.col("x.upper") == upper)
+            picks.append(F.max(F.when(mine, F.col("value"))).alias(f"_{'hi' if upper else 'lo'}_{out}"))
+        picks.append(F.max(F.when(F.col("x.out") == out, F.col("n"))).alias(f"_n_{out}"))
+
+    def blend(out: str, p: float):
+        pos = F.lit(float(p)) * (F.col(f"_n_{out}") - 1)
+        lo, hi = F.col(f"_lo_{out}"), F.col(f"_hi_{out}")
+        return (lo + (hi - lo) * (pos - F.floor(pos))).alias(out)
+
+    return hit.groupBy(*keys).agg(*picks).select(*keys, *[blend(out, p) for out, (_, p) in sorted(wanted.items())])

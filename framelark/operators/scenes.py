@@ -109,7 +109,10 @@ def spaced_starts(cands: DataFrame, origin: DataFrame, gap: float) -> DataFrame:
 
 
 def scene_starts(df: DataFrame, min_duration: float = 2.0, pct: float = 0.92, value: str = "boundary_score") -> DataFrame:
-    """First sample of every coarse scene: sample 0 and spaced peaks over the threshold."""
+    """First sample of every coarse scene: sample 0 and spaced peaks over the threshold.
+
+    The short table of starts is stored, since every use of it reads it several times.
+    """
     slim = df.select(KEY, "sample_index", "timestamp_sec", value)
     strong = (
         local_peaks(slim, value)
@@ -118,7 +121,7 @@ def scene_starts(df: DataFrame, min_duration: float = 2.0, pct: float = 0.92, va
     )
     origin = slim.groupBy(KEY).agg(F.min("timestamp_sec").alias("t0"))
     kept = spaced_starts(strong, origin, min_duration)
-    return origin.select(KEY, F.lit(0).alias("sample_index")).unionByName(kept)
+    return write_through(origin.select(KEY, F.lit(0).alias("sample_index")).unionByName(kept), "starts")
 
 
 def assign_scenes(df: DataFrame, starts: DataFrame) -> DataFrame:
@@ -166,11 +169,8 @@ def split_long_scenes(scenes: DataFrame, max_duration: float = 20.0) -> DataFram
 def detect_scenes(
     df: DataFrame, min_duration: float = 2.0, max_duration: float = 20.0, pct: float = 0.92, value: str = "boundary_score"
 ) -> DataFrame:
-    """Frames with the ``scene_id`` of their final scene.
-
-    The coarse starts are used three times, so they are stored once.
-    """
-    starts = write_through(scene_starts(df, min_duration, pct, value), "starts")
+    """Frames with the ``scene_id`` of their final scene."""
+    starts = scene_starts(df, min_duration, pct, value)
     coarse = scene_table(assign_scenes(df.select(KEY, "sample_index", "timestamp_sec"), starts))
     return assign_scenes(df, starts.unionByName(split_long_scenes(coarse, max_duration)))
 

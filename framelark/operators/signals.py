@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-from framelark.functions.partitioned import exact_percentiles, with_neighbors
+from framelark.functions.partitioned import GROUP_ROWS, exact_percentiles, with_neighbors
 from framelark.functions.storage import write_through
 from framelark.functions.vectors import correlation_distance, dot, fuse
 from framelark.operators.similarity import knn_rarity
@@ -83,10 +83,10 @@ def _neighbor_distances(df: DataFrame) -> DataFrame:
     def distance(col: str):
         return F.lit(1.0) - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col(col), F.col("fused"))))
 
-    return (
-        near.withColumn("prev_dist", F.when(F.col("prev_fused").isNotNull(), distance("prev_fused")))
-        .withColumn("next_dist", F.when(F.col("next_fused").isNotNull(), distance("next_fused")))
-        .drop("prev_fused", "next_fused")
+    return near.select(
+        *df.columns,
+        F.when(F.col("prev_fused").isNotNull(), distance("prev_fused")).alias("prev_dist"),
+        F.when(F.col("next_fused").isNotNull(), distance("next_fused")).alias("next_dist"),
     )
 
 
@@ -98,10 +98,10 @@ def semantic_change(df: DataFrame) -> DataFrame:
     near = _neighbor_distances(df)
     both = F.coalesce("prev_dist", F.lit(0.0)) + F.coalesce("next_dist", F.lit(0.0))
     count = F.col("prev_dist").isNotNull().cast("int") + F.col("next_dist").isNotNull().cast("int")
-    return (
-        near.withColumn("semantic_raw", both / F.greatest(count, F.lit(1)))
-        .withColumn("boundary_raw", F.coalesce("prev_dist", F.lit(0.0)))
-        .drop("prev_dist", "next_dist")
+    return near.select(
+        *df.columns,
+        (both / F.greatest(count, F.lit(1))).alias("semantic_raw"),
+        F.coalesce("prev_dist", F.lit(0.0)).alias("boundary_raw"),
     )
 
 
@@ -157,7 +157,12 @@ def _prompt_alignment_blocks(frames: DataFrame, prompts: DataFrame, vec: str) ->
 
 
 def robust_minmax(
-    df: DataFrame, columns: dict[str, str], keys: list[str] | None = None, lower: float = 0.05, upper: float = 0.95
+    df: DataFrame,
+    columns: dict[str, str],
+    keys: list[str] | None = None,
+    lower: float = 0.05,
+    upper: float = 0.95,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Scale ``{source: output}`` columns on their 5th..95th percentile per key, clipped to [0, 1]."""
     keys = keys or [KEY]
@@ -165,15 +170,15 @@ def robust_minmax(
     for src in columns:
         wanted[f"_lo_{src}"] = (src, lower)
         wanted[f"_hi_{src}"] = (src, upper)
-    scaled = df.join(exact_percentiles(df, keys, wanted), keys)
-    for src, out in columns.items():
+    scaled = df.join(exact_percentiles(df, keys, wanted, group_rows), keys)
+
+    def scale(src: str):
         lo, span = F.col(f"_lo_{src}"), F.col(f"_hi_{src}") - F.col(f"_lo_{src}")
-        value = F.when(span < 1e-8, 0.0).otherwise(
-            F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col(src) - lo, span)))
-        )
-        scaled = scaled.withColumn(f"_new_{out}", value)
+        inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col(src) - lo, span)))
+        return F.when(span < 1e-8, 0.0).otherwise(inside)
+
     keep = [c for c in df.columns if c not in columns.values()]
-    return scaled.select(*keep, *[F.col(f"_new_{o}").alias(o) for o in columns.values()])
+    return scaled.select(*keep, *[scale(src).alias(out) for src, out in columns.items()])
 
 
 def raw_signals(frames: DataFrame, prompts: DataFrame, k: int = 5) -> DataFrame:
