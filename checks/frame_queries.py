@@ -18,6 +18,11 @@ KEY = "video_id"
 IDX = "CAST(sample_index AS INT) AS sample_index"
 
 
+def stored_signals(s, sf) -> DataFrame:
+    """The signal view as a stored table, as a frame table would be."""
+    return write_through(fx.signals(s, sf), "signals")
+
+
 def fused(s, sf) -> DataFrame:
     return signals.fuse_embeddings(fx.unit_frames(s, sf))
 
@@ -203,7 +208,7 @@ def _(s, sf):
         + minmax_sql("motion_raw", "motion_score", "") + ", " + minmax_sql("quality_raw", "quality_score", "") + " FROM fx_signals)"),
 )
 def _(s, sf):
-    out = signals.robust_minmax(fx.signals(s, sf), {"motion_raw": "motion_score", "quality_raw": "quality_score"})
+    out = signals.robust_minmax(stored_signals(s, sf), {"motion_raw": "motion_score", "quality_raw": "quality_score"})
     return out.select(KEY, "sample_index", *r6("motion_score", "quality_score"))
 
 
@@ -306,7 +311,7 @@ VALUE = "boundary_raw"
 
 @query("W1_local_peaks", with_views(["fx_signals"], PEAKS, "SELECT video_id, sample_index FROM peaks"))
 def _(s, sf):
-    return scenes.local_peaks(fx.signals(s, sf), VALUE).select(KEY, "sample_index")
+    return scenes.local_peaks(stored_signals(s, sf), VALUE).select(KEY, "sample_index")
 
 
 @query(
@@ -314,16 +319,16 @@ def _(s, sf):
     with_views(["fx_signals"], PEAKS, "SELECT video_id, samples, round(threshold,6) AS threshold FROM thr"),
 )
 def _(s, sf):
-    return scenes.boundary_threshold(fx.signals(s, sf), value=VALUE).select(KEY, "samples", *r6("threshold"))
+    return scenes.boundary_threshold(stored_signals(s, sf), value=VALUE).select(KEY, "samples", *r6("threshold"))
 
 
 @query("W3_scene_starts", with_views(["fx_signals"], STARTS, "SELECT video_id, CAST(sample_index AS INT) AS sample_index FROM starts", recursive=True))
 def _(s, sf):
-    return scenes.scene_starts(fx.signals(s, sf), value=VALUE).select(KEY, "sample_index")
+    return scenes.scene_starts(stored_signals(s, sf), value=VALUE).select(KEY, "sample_index")
 
 
 def coarse(s, sf) -> DataFrame:
-    sig = fx.signals(s, sf)
+    sig = stored_signals(s, sf)
     return scenes.scene_table(scenes.assign_scenes(sig, scenes.scene_starts(sig, value=VALUE)))
 
 
@@ -350,7 +355,7 @@ DURATION = "SELECT video_id, max(timestamp_sec)+0.5e0 AS duration_sec FROM fx_si
            CAST(least(least(greatest(round_even(40e0*df*(1e0+0.75e0*bd),0),40e0),96e0),samples) AS INT) AS raw_budget FROM st"""),
 )
 def _(s, sf):
-    sig = fx.signals(s, sf)
+    sig = stored_signals(s, sf)
     dur = sig.groupBy(KEY).agg((F.max("timestamp_sec") + 0.5).alias("duration_sec"))
     return scenes.raw_budget(sig, dur, value=VALUE).select(
         KEY, *r6("duration_factor", "complexity_factor", "boundary_density"), "raw_budget"

@@ -16,8 +16,14 @@ KEY = "video_id"
 MAX_N = 4
 
 
+def with_tokens(df: DataFrame) -> DataFrame:
+    """Replace ``caption`` by its scoring tokens; every metric below takes either form."""
+    return df.withColumn("tokens", eval_tokens(F.col("caption"))).drop("caption")
+
+
 def _tokens(df: DataFrame, keep: list[str]) -> DataFrame:
-    return df.select(*keep, eval_tokens(F.col("caption")).alias("tokens"))
+    tokens = F.col("tokens") if "tokens" in df.columns else eval_tokens(F.col("caption"))
+    return df.select(*keep, tokens.alias("tokens"))
 
 
 def ngram_counts(df: DataFrame, ids: list[str], n: int = MAX_N) -> DataFrame:

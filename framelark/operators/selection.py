@@ -100,7 +100,7 @@ def greedy_select(
     picked = _greedy_grouped(normal, budgets, weights)
     for video in long_ids:
         one = work.filter(F.col(KEY) == video)
-        picked = picked.unionByName(_greedy_distributed(one, budgets, weights, max_budget))
+        picked = picked.unionByName(_greedy_distributed(one, budgets, weights, max_budget, EVAL_ROWS))
     return picked
 
 
@@ -190,7 +190,7 @@ def _greedy_grouped(frames: DataFrame, budgets: DataFrame, weights: GreedyWeight
 
 
 def _greedy_distributed(
-    video: DataFrame, budgets: DataFrame, weights: GreedyWeights, max_budget: int, eval_rows: int = EVAL_ROWS
+    video: DataFrame, budgets: DataFrame, weights: GreedyWeights, max_budget: int, eval_rows: int
 ) -> DataFrame:
     """The same choice for one long video, its frames spread over all tasks.
 

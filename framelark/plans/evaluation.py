@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from framelark.functions.storage import write_through
 from framelark.operators import caption_metrics as m
 from framelark.operators.splits import train_length_by_category
 
@@ -11,9 +12,15 @@ KEY = "video_id"
 _MEANS = ["meteor", "rouge_l", "cider"]
 
 
+def _stored_pairs(pred: DataFrame, refs: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Scored captions as tokens, stored once: about ten branches read each table."""
+    p, r = m.scored_pairs(pred.select(*by, KEY, "caption"), refs.select(*by, KEY, "cap_id", "caption"))
+    return write_through(m.with_tokens(p), "pred"), write_through(m.with_tokens(r), "refs")
+
+
 def score_per_video(pred: DataFrame, refs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The seven metrics of every scored video, keyed by ``video_id``."""
-    p, r = m.scored_pairs(pred, refs)
+    p, r = _stored_pairs(pred, refs, by or [])
     return (
         m.cider_per_video(p, r, by).join(m.bleu_per_video(p, r), KEY).join(m.meteor(p, r), KEY).join(m.rouge_l(p, r), KEY)
     )
@@ -22,7 +29,7 @@ def score_per_video(pred: DataFrame, refs: DataFrame, by: list[str] | None = Non
 def score_captions(pred: DataFrame, refs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Corpus metrics per group, with the number of videos."""
     by = by or []
-    p, r = m.scored_pairs(pred, refs)
+    p, r = _stored_pairs(pred, refs, by)
     single = m.cider_per_video(p, r, by).join(m.meteor(p, r), KEY).join(m.rouge_l(p, r), KEY)
     means = single.groupBy(*by).agg(
         F.count(F.lit(1)).alias("num_videos"), *[F.avg(c).alias(c) for c in _MEANS]

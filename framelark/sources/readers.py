@@ -42,7 +42,7 @@ def read_metadata(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 def read_captions(spark: SparkSession, path: str) -> DataFrame:
     """Sentences of a caption map, or of metadata when the file has ``sentences``."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     raw = text.select(F.get_json_object("value", "$.sentences").isNotNull().alias("full"), "value")
     full = raw.filter("full").select(F.from_json("value", METADATA).alias("d"))
     from_full = full.select(F.posexplode("d.sentences").alias("line", "s")).select(
@@ -57,7 +57,7 @@ def read_captions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     entries = text.select(F.explode(F.from_json("value", PREDICTION_MAP)).alias("video_id", "p"))
     return entries.select("video_id", F.col("p")[0]["caption"].alias("caption"))
 
@@ -84,7 +84,7 @@ def load_prompts(spark: SparkSession, path: str | None = None, defaults: bool =
     head = spark.createDataFrame([(i - len(bank), p) for i, p in enumerate(bank)], schema)
     if path is None:
         return clean_prompts(head)
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("ord", "line"))
     return clean_prompts(head.unionByName(lines.select(F.col("ord").cast("bigint").alias("ord"), "line")))
 
