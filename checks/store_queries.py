@@ -161,14 +161,14 @@ def _(s, sf):
 @query("E9_chunk_windows", with_views(["fx_history"], {
     "h": "SELECT concat('video',run_id) AS video_id, epoch-1 AS pos, val_loss FROM fx_history",
     "b": "SELECT video_id, CAST(pos//96 AS INT) AS win, list(val_loss ORDER BY pos) AS v FROM h GROUP BY 1,2"},
-    "SELECT video_id, win, 96 AS n, round(list_sum(v),6) AS total, round(v[1],6) AS first FROM b WHERE len(v)=96 OR win=0"))
+    "SELECT video_id, win, 96 AS n, round(list_sum(v),8) AS total, round(v[1],8) AS first FROM b WHERE len(v)=96 OR win=0"))
 def _(s, sf):
     hist = fx.history(s, sf).select(
         F.concat(F.lit("video"), F.col("run_id").cast("string")).alias(KEY), (F.col("epoch") - 1).alias("pos"), "val_loss"
     )
     out = features.chunk_windows(hist, "val_loss")
     total = F.aggregate("items", F.lit(0.0), lambda a, x: a + x)
-    return out.select(KEY, "win", F.size("items").alias("n"), F.round(total, 6).alias("total"), F.round(F.col("items")[0], 6).alias("first"))
+    return out.select(KEY, "win", F.size("items").alias("n"), F.round(total, 8).alias("total"), F.round(F.col("items")[0], 8).alias("first"))
 
 
 @query("E10_downmix", """SELECT concat('video',l_orderkey) AS video_id, l_linenumber AS t, round(avg(l_discount),6) AS sample FROM lineitem GROUP BY 1,2""")
@@ -251,13 +251,13 @@ def _(s, sf):
     return runs.checkpoint_flags(fx.history(s, sf)).select("run_id", "epoch", "best_loss", "best_cider")
 
 
-BEST = "SELECT run_id, first(epoch ORDER BY val_loss, epoch) AS loss_epoch, round(min(val_loss),6) AS best_val_loss, first(epoch ORDER BY val_cider DESC, epoch) AS cider_epoch, round(max(val_cider),6) AS best_val_cider FROM fx_history GROUP BY 1"
+BEST = "SELECT run_id, first(epoch ORDER BY val_loss, epoch) AS loss_epoch, min(val_loss) AS best_val_loss, first(epoch ORDER BY val_cider DESC, epoch) AS cider_epoch, max(val_cider) AS best_val_cider FROM fx_history GROUP BY 1"
 
 
 @query("G3_best_epoch", with_views(["fx_history"], {}, BEST))
 def _(s, sf):
     out = runs.best_epoch(fx.history(s, sf))
-    return out.select("run_id", "loss_epoch", *r6("best_val_loss"), "cider_epoch", *r6("best_val_cider"))
+    return out.select("run_id", "loss_epoch", "best_val_loss", "cider_epoch", "best_val_cider")
 
 
 @query("G3_periodic", with_views(["fx_history"], {}, "SELECT run_id, epoch FROM fx_history WHERE epoch % 10 = 0"))
@@ -273,7 +273,7 @@ def summary(s, sf) -> DataFrame:
         F.when(F.col("run_id") % 7 == 0, None).otherwise(F.round("best_val_cider", 2)).alias("cider"),
         F.when(F.col("run_id") % 2 == 0, "frozen").otherwise("trained").alias("decoder"),
         F.element_at(F.array(F.lit("clip"), F.lit("clip_dino"), F.lit("clip_dino_audio")), F.col("run_id") % 3 + 1).alias("modalities"),
-        F.round("best_val_loss", 6).alias("best_val_loss"), "cider_epoch",
+        "best_val_loss", "cider_epoch",
     )
 
 

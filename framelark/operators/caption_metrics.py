@@ -33,11 +33,13 @@ def ngram_counts(df: DataFrame, ids: list[str], n: int = MAX_N) -> DataFrame:
     the shuffle is already complete.
     """
     def of_size(k: int) -> Column:
-        starts = F.expr(f"sequence(1, size(tokens) - {k - 1})")
-        spans = F.transform(
-            starts,
-            lambda i: F.struct(F.lit(k).alias("n"), F.array_join(F.slice("tokens", i, k), " ").alias("gram")),
-        )
+        starts = F.expr(f"sequence(0, size(tokens) - {k})")
+
+        # Direct item access; slicing would copy the whole caption for each n-gram.
+        def gram(i: Column) -> Column:
+            return F.concat_ws(" ", *[F.get(F.col("tokens"), i + j) for j in range(k)])
+
+        spans = F.transform(starts, lambda i: F.struct(F.lit(k).alias("n"), gram(i).alias("gram")))
         return F.when(F.size("tokens") >= k, spans).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
 
     grams = F.flatten(F.array(*[of_size(k) for k in range(1, n + 1)]))
