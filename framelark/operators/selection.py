@@ -106,6 +106,9 @@ def greedy_select(
 
 def _greedy_grouped(frames: DataFrame, budgets: DataFrame, weights: GreedyWeights) -> DataFrame:
     names = _PICK_SCHEMA.fieldNames()
+    # Plain numbers travel to the workers, so these need not import this package.
+    coverage, scene_bonus = weights.coverage, weights.scene_bonus
+    redundancy, min_gap = weights.redundancy, weights.min_gap
 
     def choose(pdf):
         import heapq
@@ -136,7 +139,7 @@ def _greedy_grouped(frames: DataFrame, budgets: DataFrame, weights: GreedyWeight
         def take(i, gain):
             np.maximum(cover, sim[:, i], out=cover)
             np.maximum(nearest, sim[:, i], out=nearest)
-            open_rows[np.abs(ts - ts[i]) < weights.min_gap] = False
+            open_rows[np.abs(ts - ts[i]) < min_gap] = False
             open_rows[i] = False
             seen.add(scene[i])
             chosen.append(i)
@@ -144,8 +147,8 @@ def _greedy_grouped(frames: DataFrame, budgets: DataFrame, weights: GreedyWeight
 
         def exact(i):
             extra = (np.maximum(cover, sim[:, i]).sum() - cover.sum()) / n
-            bonus = 0.0 if scene[i] in seen else weights.scene_bonus
-            return gain0[i] + weights.coverage * extra + bonus - weights.redundancy * nearest[i]
+            bonus = 0.0 if scene[i] in seen else scene_bonus
+            return gain0[i] + coverage * extra + bonus - redundancy * nearest[i]
 
         for _, _, i in seeds[:budget]:
             if open_rows[i]:
