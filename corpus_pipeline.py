@@ -1,11 +1,77 @@
-"""Corpus pipeline: stages that each take and return the documents table."""
+"""Corpus pipeline: quality, exact copies, near copies, repeated passages, packing.
 
+Every stage takes ``(spark, docs, sf_dir)`` and works on all rows that its predecessor
+kept; all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from framelark.functions.storage import write_through
+from framelark.llm.exact_dedup import drop_copies
+from framelark.llm.ngram_join import ngram_jaccard
+from framelark.llm.packing import pack_documents
+from framelark.llm.quality import classify_quality
+from framelark.llm.queries import vocabulary_path
+from framelark.llm.suffix_dedup import suffix_dedup
+
+#: The greedy and iterative stages have no SQL; tests hold them against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = classify_quality(docs, labels, threshold=0.3)
+    rejected = write_through(scored.filter("predicted = 0").select(F.col("doc_id").alias("_gone")).distinct(), "rejected")
+    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest ``doc_id`` stays."""
+    return drop_copies(docs, keep="max")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked documents (five-word shingles, similarity of 0.8 or more), the smallest ``doc_id`` stays."""
+    found = ngram_jaccard(docs, words=5, threshold=(80, 100))
+    gone = write_through(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near")
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated 50-byte passages are cut from all but the first document; emptied documents go.
+
+    A character that a cut splits goes with it. ``n_chars`` is counted anew.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = suffix_dedup(docs, carry=rest, window=50, as_text=True)
+    out = cut.filter("n_removed < n_bytes OR n_bytes = 0").select("doc_id", F.col("kept").alias("text"), *(["carried.*"] if rest else []))
+    if "n_chars" in rest:
+        out = out.withColumn("n_chars", F.length("text").cast("bigint"))
+    return out.select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces in sequences of at most 1024 tokens."""
+    return pack_documents(docs, vocabulary_path())
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact),
+    ("n-gram Jaccard join", near),
+    ("suffix-array dedup", passages),
+    ("best-fit packing", packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if n + 1 < len(STAGES):
+            docs = write_through(docs, f"stage{n}")
     return docs

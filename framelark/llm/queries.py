@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framelark.llm.bpe import bpe_round_trip
 from framelark.llm.exact_dedup import exact_dedup
+from framelark.llm.lattice_dedup import lattice_near_dedup
+from framelark.llm.line_dedup import line_dedup
 from framelark.llm.ngram_join import ngram_jaccard
 from framelark.llm.packing import pack_documents
+from framelark.llm.quality import classify_quality
 from framelark.llm.suffix_dedup import suffix_dedup
 from framelark.llm.url_filter import url_filter
+from framelark.llm.warc import read_warc, write_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +41,28 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+@query(
+    "op1_warc_salvage",
+    """
+    WITH p AS (
+      SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+      FROM pages
+    ), g AS (
+      SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN first <> page_id THEN first END AS refers_to
+    FROM p LEFT JOIN g USING (payload_digest)
+    """,
+)
+def op1(spark, sf):
+    archives = write_warc(read(spark, sf, "pages"))
+    return read_warc(archives, with_payload=False).filter("gap_reason IS NULL").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 @query("op2_ngram_jaccard")
 def op2(spark, sf):
     return ngram_jaccard(read(spark, sf, "documents"), words=3, threshold=(90, 100))
@@ -47,6 +73,11 @@ def op3(spark, sf):
     return suffix_dedup(read(spark, sf, "documents"), window=50).drop("kept")
 
 
+@query("op4_line_dedup")
+def op4(spark, sf):
+    return line_dedup(read(spark, sf, "documents"), min_lines=2).drop("kept")
+
+
 @query("op5_bpe")
 def op5(spark, sf):
     return bpe_round_trip(read(spark, sf, "documents"), vocabulary_path())
@@ -105,6 +136,16 @@ def op7(spark, sf):
     return url_filter(read(spark, sf, "pages"), rules)
 
 
+@query("op8_lattice_near_dedup")
+def op8(spark, sf):
+    return lattice_near_dedup(read(spark, sf, "embeddings"), threshold=0.93)
+
+
 @query("op9_best_fit_packing")
 def op9(spark, sf):
     return pack_documents(read(spark, sf, "documents"), vocabulary_path())
+
+
+@query("op10_quality_classifier")
+def op10(spark, sf):
+    return classify_quality(read(spark, sf, "documents"), read(spark, sf, "labels"), threshold=0.3)

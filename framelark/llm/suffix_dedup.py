@@ -288,12 +288,14 @@ def suffix_dedup(
     window: int = 50,
     gram: int = 24,
     block_bytes: int = 16 << 20,
+    as_text: bool = False,
 ) -> DataFrame:
     """Remove each byte covered by a ``window``-byte string that also starts in a document with a smaller id.
 
     Returns per row: id, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed
     runs), ``kept_sha256``, ``kept`` (the remaining bytes) and, with ``carry``,
-    ``carried`` (a struct of those columns).
+    ``carried`` (a struct of those columns). With ``as_text`` the remaining bytes are a
+    string, without the characters that a cut has split.
 
     * null text counts as empty; texts shorter than ``window`` keep everything.
     * matches never cross documents; overlaps count; strings are judged on the input.
@@ -437,7 +439,9 @@ def suffix_dedup(
         ends = np.r_[0, np.cumsum(np.diff(off) - removed)]
         view = memoryview(np.ascontiguousarray(kept))
         digest = [hashlib.sha256(view[ends[i] : ends[i + 1]]).hexdigest() for i in range(len(ids))]
-        body = pa.Array.from_buffers(
+        if as_text:
+            parts = [bytes(view[ends[i] : ends[i + 1]]).decode("utf-8", "ignore") for i in range(len(ids))]
+        body = pa.array(parts, pa.string()) if as_text else pa.Array.from_buffers(
             pa.large_binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(kept))]
         ).cast(pa.binary())
         return pa.table(
@@ -460,8 +464,8 @@ def suffix_dedup(
     notes = sorted_runs.groupBy("to").applyInArrow(merge, RUNS)
     done = at_home.cogroup(notes.groupBy("block")).applyInArrow(
         cut,
-        "_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, "
-        f"carried {carry_type}",
+        "_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
+        f"kept {'string' if as_text else 'binary'}, carried {carry_type}",
     )
     columns = [F.col("_id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     return done.select(*columns, *(["carried"] if carry else []))
