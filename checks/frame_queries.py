@@ -221,37 +221,6 @@ def _(s, sf):
     return scored(s, sf).select(KEY, "sample_index", *r6(*SCORE_COLS))
 
 
-TOP5 = {
-    "pick": """SELECT video_id, sample_index, timestamp_sec, CAST(row_number() OVER (PARTITION BY video_id ORDER BY timestamp_sec) AS INT) AS selected_rank
-               FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY quality_raw DESC, sample_index) AS rk FROM fx_frames) WHERE rk<=7"""
-}
-
-
-def top_quality(s, sf) -> DataFrame:
-    """The seven sharpest frames of each video, ranked by time: a small selection."""
-    from pyspark.sql import Window as W
-
-    best = W.partitionBy(KEY).orderBy(F.desc("quality_raw"), "sample_index")
-    top = (
-        fx.frames(s, sf).select(KEY, "sample_index", "timestamp_sec", "quality_raw")
-        .withColumn("rk", F.row_number().over(best)).filter("rk <= 7")
-    )
-    return top.select(
-        KEY, "sample_index", "timestamp_sec",
-        F.row_number().over(W.partitionBy(KEY).orderBy("timestamp_sec")).alias("selected_rank"),
-    )
-
-
-@query(
-    "D13_gather_selected",
-    with_views(["fx_unit"], {**FUSED, **TOP5, "g": "SELECT fz.video_id, selected_rank, fused FROM fz JOIN pick USING (video_id, sample_index)"},
-               sql_items("video_id, selected_rank", "fused", "g")),
-)
-def _(s, sf):
-    out = selection.gather_selected(fused(s, sf), top_quality(s, sf))
-    return items(out, [KEY, "selected_rank"], "fused")
-
-
 POOL = """SELECT video_id, i-1 AS pos, avg({v}[i]) AS x FROM (SELECT *, unnest(range(1,33)) AS i FROM fx_unit) GROUP BY ALL"""
 
 
@@ -403,7 +372,50 @@ def _(s, sf):
     return selection.scene_seeds(df, budgets, 4).select(KEY, "scene_id", "sample_index", *r6("strength"), "seed_rank")
 
 
-@query("L2_greedy_select")
+# Greedy choice: one recursion step takes, or skips, one frame of every video.
+GREEDY = {
+    "insc": PLAIN["insc"],
+    "rows": """SELECT a.video_id, a.sample_index AS i, list(greatest(0e0,least(1e0,list_dot_product(a.fused,b.fused))) ORDER BY b.sample_index) AS row
+               FROM pf a JOIN pf b USING (video_id) GROUP BY 1,2""",
+    "gf": """SELECT pf.video_id, pf.sample_index AS i, timestamp_sec AS t, scene_id, local_importance AS li, row, len(row) AS n
+             FROM pf JOIN rows ON pf.video_id=rows.video_id AND pf.sample_index=rows.i""",
+    "sbest": """SELECT video_id, scene_id, sample_index AS i FROM (SELECT pf.*, row_number() OVER (PARTITION BY pf.video_id, pf.scene_id
+                ORDER BY 0.65e0*local_importance+0.35e0*centrality DESC, pf.sample_index) AS rk
+                FROM pf JOIN insc ON pf.video_id=insc.video_id AND pf.sample_index=insc.sample_index) WHERE rk=1""",
+    "sstr": """SELECT video_id, scene_id, avg(local_importance)+0.35e0*max(local_importance)+0.05e0*ln(1e0+count(*)) AS strength FROM pf GROUP BY 1,2""",
+    "seeds": """SELECT video_id, list(i ORDER BY strength DESC, scene_id) AS seeds FROM sbest JOIN sstr USING (video_id, scene_id) GROUP BY 1""",
+    "gr": """SELECT seeds.video_id, least(bud.raw_budget, n) AS budget, seeds[1:bud.raw_budget] AS todo, CAST([] AS INT[]) AS picked, CAST([] AS DOUBLE[]) AS gains,
+             CAST([] AS DOUBLE[]) AS times, CAST([] AS INT[]) AS seen, list_transform(range(0, n), lambda x: 0e0) AS cover
+             FROM seeds JOIN bud USING (video_id) JOIN (SELECT video_id, count(*) AS n FROM pf GROUP BY 1) USING (video_id)
+             UNION ALL
+             SELECT video_id, budget, todo[2:], CASE WHEN take THEN list_append(picked, i) ELSE picked END, CASE WHEN take THEN list_append(gains, gain) ELSE gains END,
+                    CASE WHEN take THEN list_append(times, t) ELSE times END, CASE WHEN take THEN list_append(seen, scene_id) ELSE seen END,
+                    CASE WHEN take THEN list_transform(cover, lambda x, k: greatest(x, row[k])) ELSE cover END
+             FROM (SELECT *, CASE WHEN len(todo)>0 THEN li ELSE value END AS gain, far OR len(todo)=0 AS take FROM (
+                   SELECT gr.*, gf.i, gf.t, gf.scene_id, gf.li, gf.row, len(list_filter(times, lambda x: abs(x-gf.t)<{gap}))=0 AS far,
+                          gf.li+{cov}*(list_sum(list_transform(cover, lambda x, k: greatest(x, gf.row[k])))-list_sum(cover))/gf.n
+                          +CASE WHEN list_contains(seen, gf.scene_id) THEN 0e0 ELSE {bonus} END-{red}*cover[gf.i+1] AS value
+                   FROM gr JOIN gf USING (video_id)
+                   WHERE len(picked)<budget AND NOT list_contains(picked, gf.i) AND (len(todo)=0 OR gf.i=todo[1]))
+                   QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY far DESC, value DESC, i)=1)""",
+    "gend": "SELECT video_id, arg_max(picked, len(picked)) AS picked, arg_max(gains, len(picked)) AS gains FROM gr GROUP BY 1",
+    "gout": """SELECT video_id, sample_index, timestamp_sec, selection_gain, CAST(row_number() OVER (PARTITION BY video_id ORDER BY timestamp_sec, sample_index) AS INT) AS raw_selected_rank
+               FROM (SELECT video_id, unnest(picked) AS sample_index, unnest(gains) AS selection_gain FROM gend) JOIN (SELECT video_id, sample_index, timestamp_sec FROM pf) USING (video_id, sample_index)""",
+}
+
+
+def greedy_sql(cov: str = "0.55e0", bonus: str = "0.15e0", red: str = "0.30e0", gap: str = "1e0") -> dict[str, str]:
+    out = dict(GREEDY)
+    for name, value in (("{cov}", cov), ("{bonus}", bonus), ("{red}", red), ("{gap}", gap)):
+        out["gr"] = out["gr"].replace(name, value)
+    return out
+
+
+@query(
+    "L2_greedy_select",
+    with_views(["fx_unit"], {**PLAIN, "bud": "SELECT video_id, least(12, count(*)) AS raw_budget FROM pf GROUP BY 1", **greedy_sql()},
+        f"SELECT video_id, {IDX}, round(selection_gain,6) AS selection_gain, raw_selected_rank, CAST(NULL AS VARCHAR) AS error FROM gout", recursive=True),
+)
 def _(s, sf):
     df = plain(s, sf)
     budgets = scenes.raw_budget(df, final_budget=12, adaptive=False)
@@ -445,37 +457,6 @@ def _(s, sf):
     return selection.scene_scores(plain(s, sf)).select(KEY, "scene_id", *r6("scene_score"))
 
 
-RAW_PICK = """SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY local_importance DESC, sample_index) AS k FROM pf) WHERE k<=20"""
-
-
-@query(
-    "L5_compress_to_budget",
-    with_views(["fx_unit"], {**SCENES, "raw": RAW_PICK,
-        "av": "SELECT video_id, scene_id, count(*) AS available FROM raw GROUP BY 1,2",
-        "avs": "SELECT av.*, scene_score FROM av JOIN ss USING (video_id, scene_id)",
-        **quota_sql("avs", 12),
-        "cen": """SELECT a.video_id, a.sample_index, avg(greatest(0e0,least(1e0,list_dot_product(a.fused,b.fused)))) AS c
-                  FROM raw a JOIN raw b ON a.video_id=b.video_id AND a.scene_id=b.scene_id GROUP BY 1,2""",
-        "pl": """SELECT *, row_number() OVER (PARTITION BY video_id, scene_id ORDER BY score DESC, sample_index) AS place FROM (
-                 SELECT raw.*, quota, 0.6e0*local_importance+0.25e0*c+0.15e0*boundary_score AS score FROM raw
-                 JOIN cen ON raw.video_id=cen.video_id AND raw.sample_index=cen.sample_index
-                 JOIN quo ON raw.video_id=quo.video_id AND raw.scene_id=quo.scene_id)""",
-        "tn": """SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY (place>quota)::INT,
-                 CASE WHEN place>quota THEN -score END, scene_id, place) AS turn FROM pl"""},
-        f"""SELECT video_id, {IDX}, round(score,6) AS compression_score,
-            CAST(row_number() OVER (PARTITION BY video_id ORDER BY timestamp_sec) AS INT) AS selected_rank FROM tn WHERE turn<=12"""),
-)
-def _(s, sf):
-    from pyspark.sql import Window as W
-
-    df = plain(s, sf)
-    best = W.partitionBy(KEY).orderBy(F.desc("local_importance"), "sample_index")
-    raw = df.withColumn("k", F.row_number().over(best)).filter("k <= 20").drop("k")
-    raw = write_through(raw, "raw")
-    out = selection.compress_to_budget(raw, selection.scene_scores(df), 12)
-    return out.select(KEY, "sample_index", *r6("compression_score"), "selected_rank")
-
-
 @query(
     "L6_histogram_topk",
     with_views(["fx_frames"], {
@@ -496,44 +477,166 @@ def _(s, sf):
     return selection.histogram_topk(fx.frames(s, sf), 16, 2.0)
 
 
-@query(
-    "L7_resample_embeddings",
-    with_views(["fx_unit"], {**FUSED, **TOP5,
-        "sel": """SELECT pick.video_id, selected_rank-1 AS r, count(*) OVER (PARTITION BY pick.video_id) AS n, fused,
-                  (pick.timestamp_sec-min(pick.timestamp_sec) OVER (PARTITION BY pick.video_id))
-                  /(max(pick.timestamp_sec) OVER (PARTITION BY pick.video_id)-min(pick.timestamp_sec) OVER (PARTITION BY pick.video_id)) AS src
-                  FROM fz JOIN pick ON fz.video_id=pick.video_id AND fz.sample_index=pick.sample_index""",
-        "dst": "SELECT DISTINCT video_id, n, unnest(range(0,20)) AS slot FROM sel",
-        "up": """SELECT d.video_id, d.slot, greatest(1, least(n-1, (SELECT count(*) FROM sel s WHERE s.video_id=d.video_id AND s.src<=d.slot/19e0))) AS u FROM dst d""",
-        "bl": """SELECT up.video_id, slot, CASE WHEN slot=0 THEN a.fused WHEN slot=19 THEN b.fused ELSE
-                 list_transform(a.fused, lambda x, i: x*(1e0-(slot/19e0-a.src)/greatest(b.src-a.src,1e-6))
-                 + b.fused[i]*((slot/19e0-a.src)/greatest(b.src-a.src,1e-6))) END AS vec
-                 FROM up JOIN sel a ON a.video_id=up.video_id AND a.r=u-1 JOIN sel b ON b.video_id=up.video_id AND b.r=u"""},
-        sql_items("video_id, CAST(slot AS INT) AS slot", "vec", "bl")),
-)
-def _(s, sf):
-    chosen = selection.gather_selected(fused(s, sf), top_quality(s, sf))
-    return items(selection.resample_embeddings(chosen, 20), [KEY, "slot"], "vec")
-
-
 def keyframes(s, sf, cfg: KeyframeConfig):
     u = fx.unit_frames(s, sf)
     dur = u.groupBy(KEY).agg((F.max("timestamp_sec") + 0.5).alias("duration_sec"))
     return extract_keyframes(u, fx.prompts(s, sf), cfg, dur)
 
 
-@query("L8_extract_keyframes")
+def on_scores(ctes: dict[str, str]) -> dict[str, str]:
+    """Scene steps over the scored frames instead of the signal view."""
+    return {k: v.replace("fx_signals", "sc").replace("boundary_raw", "boundary_score").replace("5e0", "20e0") if k != "thr"
+            else v.replace("fx_signals", "sc").replace("boundary_raw", "boundary_score") for k, v in ctes.items()}
+
+
+def compress_sql(b: int) -> dict[str, str]:
+    """From the greedy choice ``raw`` to the kept frames ``fin``."""
+    return {
+        "rawn": "SELECT *, count(*) OVER (PARTITION BY video_id) AS rc FROM raw",
+        "big": f"SELECT * FROM rawn WHERE rc>{b}",
+        "av": "SELECT video_id, scene_id, count(*) AS available FROM big GROUP BY 1,2",
+        "avs": "SELECT av.*, scene_score FROM av JOIN ss USING (video_id, scene_id)",
+        **quota_sql("avs", b),
+        "cen": """SELECT a.video_id, a.sample_index, avg(greatest(0e0,least(1e0,list_dot_product(a.fused,b.fused)))) AS c
+                  FROM big a JOIN big b ON a.video_id=b.video_id AND a.scene_id=b.scene_id GROUP BY 1,2""",
+        "pl": """SELECT *, row_number() OVER (PARTITION BY video_id, scene_id ORDER BY score DESC, sample_index) AS place FROM (
+                 SELECT big.*, quota, 0.6e0*local_importance+0.25e0*c+0.15e0*boundary_score AS score FROM big
+                 JOIN cen ON big.video_id=cen.video_id AND big.sample_index=cen.sample_index
+                 JOIN quo ON big.video_id=quo.video_id AND big.scene_id=quo.scene_id)""",
+        "tn": """SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY (place>quota)::INT,
+                 CASE WHEN place>quota THEN -score END, scene_id, place) AS turn FROM pl""",
+        "kept": f"""SELECT video_id, sample_index, score AS compression_score FROM tn WHERE turn<={b}
+                    UNION ALL SELECT video_id, sample_index, local_importance FROM rawn WHERE rc<={b}""",
+        "fin": """SELECT pf.*, selection_gain, raw_selected_rank, compression_score,
+                  CAST(row_number() OVER (PARTITION BY pf.video_id ORDER BY pf.timestamp_sec, pf.sample_index) AS INT) AS selected_rank
+                  FROM kept JOIN pf ON kept.video_id=pf.video_id AND kept.sample_index=pf.sample_index
+                  JOIN gout ON kept.video_id=gout.video_id AND kept.sample_index=gout.sample_index""",
+    }
+
+
+RAW = {"raw": "SELECT pf.*, selection_gain, raw_selected_rank FROM pf JOIN gout ON pf.video_id=gout.video_id AND pf.sample_index=gout.sample_index"}
+SCENE_STEPS = {
+    **SCORED,
+    **on_scores({**COARSE}),
+    "st2": "SELECT video_id, sample_index FROM starts UNION ALL SELECT video_id, sample_index FROM cuts",
+    "lab2": """SELECT f.video_id, f.sample_index, CAST(sum(CASE WHEN st.sample_index IS NULL THEN 0 ELSE 1 END)
+               OVER (PARTITION BY f.video_id ORDER BY f.sample_index)-1 AS INT) AS scene_id FROM sc f LEFT JOIN st2 st USING (video_id, sample_index)""",
+    "pf": "SELECT sc.*, scene_id FROM sc JOIN lab2 ON sc.video_id=lab2.video_id AND sc.sample_index=lab2.sample_index",
+}
+FIXED_BUDGET = "SELECT video_id, least({b}, count(*)) AS raw_budget FROM pf GROUP BY 1"
+ADAPTIVE = """SELECT video_id, CAST(least(least(greatest(round_even(12e0*df*(1e0+0.75e0*bd),0),12e0),24e0),samples) AS INT) AS raw_budget FROM (
+    SELECT sc.video_id, samples, sqrt(greatest(max(sc.timestamp_sec)+0.5e0,1e-6)/14.78e0) AS df,
+           CASE WHEN samples>2 THEN avg(CASE WHEN boundary_score>=threshold THEN 1e0 ELSE 0e0 END) FILTER (sample_index>0) ELSE 0e0 END AS bd
+    FROM sc JOIN thr USING (video_id) GROUP BY sc.video_id, samples)"""
+
+
+def scene_score_sql(scene: str, duration: str, prompt: str) -> dict[str, str]:
+    return {
+        "sd": SCENES["sd"],
+        "ss": f"""SELECT *, {scene}*mi+{duration}*d/greatest(sum(greatest(1e-6,d)) OVER (PARTITION BY video_id),1e-6)+{prompt}*mp AS scene_score FROM sd""",
+    }
+
+
+ADAPTIVE_KEYFRAMES = {
+    **SCENE_STEPS, "bud": ADAPTIVE, **greedy_sql(), **RAW, **scene_score_sql("0.5e0", "0.2e0", "0.3e0"), **compress_sql(12),
+}
+ABLATION_KEYFRAMES = {
+    **SCENE_STEPS, "bud": FIXED_BUDGET.format(b=40), **greedy_sql("0.25e0", "0.08e0", "0.18e0"), **RAW,
+    **scene_score_sql("0.55e0", "0.25e0", "0.20e0"), **compress_sql(40),
+}
+
+
+def resample_sql(src: str, slots: int) -> dict[str, str]:
+    """``bl``: the vectors of ``src`` (``fused``, ranked by ``selected_rank``) at ``slots`` places."""
+    last = slots - 1
+    return {
+        "sel0": f"""SELECT video_id, selected_rank-1 AS r, count(*) OVER (PARTITION BY video_id) AS n, fused, timestamp_sec AS t,
+                    min(timestamp_sec) OVER (PARTITION BY video_id) AS a, max(timestamp_sec) OVER (PARTITION BY video_id) AS z FROM {src}""",
+        "sel": "SELECT *, CASE WHEN z-a<=1e-6 THEN r*1e0/greatest(n-1,1) ELSE (t-a)/(z-a) END AS src FROM sel0",
+        "dst": f"SELECT DISTINCT video_id, n, unnest(range(0,{slots})) AS slot FROM sel",
+        "up": f"""SELECT d.video_id, d.slot, n, greatest(1, least(n-1, (SELECT count(*) FROM sel s WHERE s.video_id=d.video_id AND s.src<=d.slot/{last}e0))) AS u FROM dst d""",
+        "bl": f"""SELECT up.video_id, slot, CASE WHEN up.n={slots} THEN (SELECT fused FROM sel q WHERE q.video_id=up.video_id AND q.r=slot) WHEN up.n=1 OR slot=0 THEN a.fused WHEN slot={last} THEN b.fused ELSE
+                 list_transform(a.fused, lambda x, i: x*(1e0-(slot/{last}e0-a.src)/greatest(b.src-a.src,1e-6))
+                 + b.fused[i]*((slot/{last}e0-a.src)/greatest(b.src-a.src,1e-6))) END AS vec
+                 FROM up JOIN sel a ON a.video_id=up.video_id AND a.r=u-1 LEFT JOIN sel b ON b.video_id=up.video_id AND b.r=u""",
+    }
+
+
+@query(
+    "L5_compress_to_budget",
+    with_views(["fx_unit"], {**SCENES, "bud": "SELECT video_id, least(20, count(*)) AS raw_budget FROM pf GROUP BY 1", **greedy_sql(), **RAW, **compress_sql(12)},
+        f"SELECT video_id, {IDX}, round(compression_score,6) AS compression_score, selected_rank FROM fin", recursive=True),
+)
+def _(s, sf):
+    df = write_through(plain(s, sf), "plain")
+    out = selection.greedy_select(df, scenes.raw_budget(df, final_budget=20, adaptive=False), max_budget=20)
+    raw = write_through(df.join(out.drop("error"), [KEY, "sample_index"]), "raw")
+    kept = selection.compress_to_budget(raw, selection.scene_scores(df), 12)
+    return kept.select(KEY, "sample_index", *r6("compression_score"), "selected_rank")
+
+
+@query(
+    "L8_extract_keyframes",
+    with_views(["fx_unit", "fx_prompts"], ADAPTIVE_KEYFRAMES, f"""SELECT video_id, {IDX}, scene_id, round(selection_gain,6) AS selection_gain,
+        round(compression_score,6) AS compression_score, selected_rank FROM fin""", recursive=True),
+)
 def _(s, sf):
     cfg = KeyframeConfig(num_keyframes=12, adaptive_budget=True, min_raw=12, max_raw=24)
     out = keyframes(s, sf, cfg).selected
     return out.select(KEY, "sample_index", "scene_id", *r6("selection_gain", "compression_score"), "selected_rank")
 
 
-@query("L8_keyframe_features")
+@query(
+    "L8_keyframe_features",
+    with_views(["fx_unit", "fx_prompts"], {**ABLATION_KEYFRAMES, **resample_sql("fin", 40)}, sql_items("video_id, CAST(slot AS INT) AS slot", "vec", "bl"), recursive=True),
+)
 def _(s, sf):
     return items(keyframes(s, sf, ABLATION).features, [KEY, "slot"], "vec")
 
 
+def greedy(s, sf) -> tuple[DataFrame, DataFrame]:
+    """Plain frames and their greedy choice of twelve, ranked by time."""
+    df = write_through(plain(s, sf), "plain")
+    out = selection.greedy_select(df, scenes.raw_budget(df, final_budget=12, adaptive=False), max_budget=12)
+    ranked = df.select(KEY, "sample_index", "timestamp_sec").join(
+        out.select(KEY, "sample_index", F.col("raw_selected_rank").alias("selected_rank")), [KEY, "sample_index"]
+    )
+    return df, write_through(ranked, "choice")
+
+
+CHOICE = {
+    **PLAIN, "bud": FIXED_BUDGET.format(b=12), **greedy_sql(),
+    "pick": "SELECT gout.video_id, gout.sample_index, gout.timestamp_sec, raw_selected_rank AS selected_rank, fused FROM gout JOIN pf ON gout.video_id=pf.video_id AND gout.sample_index=pf.sample_index",
+}
+
+
+@query(
+    "D13_gather_selected",
+    with_views(["fx_unit"], CHOICE, sql_items("video_id, selected_rank", "fused", "pick"), recursive=True),
+)
+def _(s, sf):
+    return items(selection.gather_selected(*greedy(s, sf)), [KEY, "selected_rank"], "fused")
+
+
+@query(
+    "L7_resample_embeddings",
+    with_views(["fx_unit"], {**CHOICE, **resample_sql("pick", 20)}, sql_items("video_id, CAST(slot AS INT) AS slot", "vec", "bl"), recursive=True),
+)
+def _(s, sf):
+    chosen = selection.gather_selected(*greedy(s, sf))
+    return items(selection.resample_embeddings(chosen, 20), [KEY, "slot"], "vec")
+
+
+@query(
+    "L7_single_slot",
+    with_views(["fx_unit"], {**CHOICE, "last": "SELECT * FROM pick QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY timestamp_sec DESC)=1"},
+        sql_items("video_id, 0 AS slot", "fused", "last"), recursive=True),
+)
+def _(s, sf):
+    chosen = selection.gather_selected(*greedy(s, sf))
+    return items(selection.resample_embeddings(chosen, 1), [KEY, "slot"], "vec")
+
+
 # --- tables written for frames --------------------------------------------
 
 
@@ -549,10 +652,25 @@ def _(s, sf):
 
 @query(
     "K4_selected_timestamps",
-    with_views(["fx_frames"], TOP5, "SELECT video_id, selected_rank, printf('%.6f', timestamp_sec) AS timestamp_sec FROM pick"),
+    with_views(["fx_unit"], CHOICE, "SELECT video_id, selected_rank, printf('%.6f', timestamp_sec) AS timestamp_sec FROM pick", recursive=True),
 )
 def _(s, sf):
-    return sinks.selected_timestamps(top_quality(s, sf))
+    return sinks.selected_timestamps(greedy(s, sf)[1])
+
+
+@query(
+    "K3_candidates_after_selection",
+    with_views(["fx_unit", "fx_prompts"], ADAPTIVE_KEYFRAMES, "SELECT pf.video_id, CAST(pf.sample_index AS INT) AS sample_index, CAST(pf.frame_index AS INT) AS frame_index, "
+        "round_even(pf.timestamp_sec,4) AS timestamp_sec, pf.scene_id, " + ", ".join(f"round(pf.{c},6) AS {c}" for c in [
+            "motion_raw", "histogram_diff_raw", "sharpness_raw", "exposure_raw", "quality_raw", "semantic_change", "boundary_score", "motion_score",
+            "histogram_score", "quality_score", "rarity_score", "prompt_alignment", "local_importance"])
+        + """, round(gout.selection_gain,6) AS selection_gain, gout.raw_selected_rank, round(fin.compression_score,6) AS compression_score, fin.selected_rank
+        FROM pf LEFT JOIN gout ON pf.video_id=gout.video_id AND pf.sample_index=gout.sample_index
+        LEFT JOIN fin ON pf.video_id=fin.video_id AND pf.sample_index=fin.sample_index""", recursive=True),
+)
+def _(s, sf):
+    cfg = KeyframeConfig(num_keyframes=12, adaptive_budget=True, min_raw=12, max_raw=24)
+    return sinks.candidate_scores(keyframes(s, sf, cfg).table)
 
 
 @query(
@@ -571,7 +689,7 @@ def _(s, sf):
         "g": "SELECT video_id, fps, greatest(1, CAST(round_even(fps/3e0,0) AS INT)) AS stride, unnest(range(0, total_frames)) AS frame_index FROM h",
         "k": "SELECT video_id, frame_index, frame_index//stride AS sample_index, frame_index/fps AS t FROM g WHERE frame_index % stride = 0"},
         """SELECT video_id, count(*) AS samples, CAST(max(sample_index) AS INT) AS last_sample, CAST(sum(frame_index) AS BIGINT) AS frame_sum,
-           round(max(t),6) AS last_sec FROM k WHERE sample_index<64 GROUP BY 1"""),
+           round(max(t),6) AS last_sec FROM k GROUP BY 1"""),
 )
 def _(s, sf):
     head = splits.video_header(fx.videos(s, sf), 3.0)
@@ -579,7 +697,7 @@ def _(s, sf):
     decoded = fx.videos(s, sf).filter("total_frames > 0").repartition(KEY).select(
         KEY, F.explode(F.expr("sequence(0, total_frames - 1)")).alias("frame_index")
     )
-    return splits.sample_frames(decoded, head, 64).groupBy(KEY).agg(
+    return splits.sample_frames(decoded, head).groupBy(KEY).agg(
         F.count(F.lit(1)).alias("samples"),
         F.max("sample_index").alias("last_sample"),
         F.sum("frame_index").alias("frame_sum"),

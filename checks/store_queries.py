@@ -52,6 +52,41 @@ def _(s, sf):
     return features.index_files(fx.files(s, sf), [KEY, "family"])
 
 
+LISTED = "SELECT DISTINCT concat('video', user_id) AS video_id, user_id AS id FROM events"
+
+
+@query("S5_list_files", f"""SELECT video_id, CAST(min(r) AS INT) AS root_priority, min(tail) AS tail FROM (
+    SELECT video_id, id % 2 AS r, concat('/root', id % 2, '/', video_id, '.json') AS tail FROM ({LISTED}) WHERE id % 3 <> 0
+    UNION ALL SELECT video_id, 2, concat('/root2/', video_id, '.json') FROM ({LISTED}) WHERE id % 3 = 0 OR id % 4 = 1) GROUP BY 1""")
+def _(s, sf):
+    """Files written under three roots, found by listing; the first root that has an id wins."""
+    users = fx.table(s, sf, "events").select(F.concat(F.lit("video"), F.col("user_id").cast("string")).alias(KEY), F.col("user_id").alias("id")).distinct()
+    number = F.col("id")
+    root = scratch_path(s, "listing")
+    parts = [(number % 3 != 0) & (number % 2 == 0), (number % 3 != 0) & (number % 2 == 1), (number % 3 == 0) | (number % 4 == 1)]
+    for k, keep in enumerate(parts):
+        write_named(users.filter(keep).select(KEY), f"{root}/root{k}")
+    found = readers.list_files(s, [f"{root}/root{k}" for k in range(len(parts))], "*.json")
+    return found.select(KEY, "root_priority", F.regexp_extract("path", r"(/root\d/[^/]+)$", 1).alias("tail"))
+
+
+def write_named(ids: DataFrame, folder: str) -> None:
+    """One small file per id, named after it, written by the tasks."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        where, inner = fs.FileSystem.from_uri(folder)
+        where.create_dir(inner, recursive=True)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with where.open_output_stream(f"{inner}/{name}.json") as out:
+                    out.write(b"{}")
+            yield batch
+
+    ids.mapInArrow(run, f"{KEY} string").count()
+
+
 @query("E1_split_fused", with_views(["fx_files", "fx_videos"], {**CANON, **FUSED_FILES}, """SELECT video_id, split, CAST(512 AS INT) AS clip_dim, CAST(768 AS INT) AS dino_dim,
     round(vec[1],6) AS clip_first, round(vec[512],6) AS clip_last, round(vec[513],6) AS dino_first, round(vec[1280],6) AS dino_last
     FROM vecs JOIN canon USING (video_id) WHERE dim=1280"""))
@@ -420,6 +455,28 @@ def _(s, sf):
     return out.select(KEY, "pos", F.size("vec").alias("dim"), F.round(total, 6).alias("vec_sum"))
 
 
+@query("S6_parse_matrices", """SELECT concat('label',label) AS video_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id)-1 AS INT) AS pos, CAST(len(embedding) AS INT) AS dim,
+    round(list_sum(CAST(embedding AS DOUBLE[])),6) AS vec_sum FROM embeddings""")
+def _(s, sf):
+    """One NumPy matrix per label, all its vectors as rows."""
+
+    def to_matrix(pdf):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        buf = io.BytesIO()
+        pdf = pdf.sort_values("vec_id")
+        np.save(buf, np.stack(pdf["embedding"].to_list()).astype("float32"))
+        return pd.DataFrame({KEY: [f"label{pdf['label'].iloc[0]}"], "content": [buf.getvalue()]})
+
+    blobs = fx.table(s, sf, "embeddings").groupBy("label").applyInPandas(to_matrix, f"{KEY} string, content binary")
+    out = readers.parse_feature_blobs(blobs)
+    total = F.aggregate(F.col("vec").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    return out.select(KEY, "pos", F.size("vec").alias("dim"), F.round(total, 6).alias("vec_sum"))
+
+
 @query("K1_write_split_captions", with_views(["fx_videos", "fx_sentences"], CANON, "SELECT split, video_id, cap_id, caption FROM fx_sentences JOIN canon USING (video_id)"))
 def _(s, sf):
     path = scratch_path(s, "split-captions")
@@ -507,12 +564,13 @@ def _(s, sf):
 
     done, failed, state = (scratch_path(s, n) for n in ("done", "failed", "pending-state"))
     streams.stream_pending(event_stream(s, sf), process, done, failed, state)
-    return s.read.schema("video_id string, error string, batch int").parquet(done).select(KEY, "error")
+    good = s.read.schema("video_id string, error string").parquet(done).select(KEY, "error")
+    return good.union(s.read.schema("video_id string, error string").json(failed).select(KEY, "error"))
 
 
 @query("T2_stream_manifest", "SELECT strftime(date_trunc('hour', ts),'%Y-%m-%d %H') AS hour, event_type AS status, count(*) AS n FROM events GROUP BY 1,2")
 def _(s, sf):
-    out = streams.run_to_table(streams.stream_manifest(event_stream(s, sf)), "manifest", "complete")
+    out = streams.run_to_table(streams.stream_manifest(event_stream(s, sf)), "manifest", "update", ["hour", "status"])
     return out.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "status", "n")
 
 

@@ -482,26 +482,74 @@ def batch_ctes(hyp: str) -> dict[str, str]:
     return ctes
 
 
-def reward_sql() -> str:
-    """The CIDEr steps twice, with prefixed names."""
+def prefixed(prefix: str, ctes: dict[str, str]) -> dict[str, str]:
+    """The same steps under other names."""
     import re
 
-    whole: dict[str, str] = {}
-    for prefix, hyp in (("a_", "last_pred"), ("b_", "fx_pred")):
-        ctes = batch_ctes(hyp)
-        names = re.compile(r"\b(" + "|".join(ctes) + r")\b")
-        for n, q in ctes.items():
-            whole[prefix + n] = names.sub(lambda x: prefix + x.group(1), q)
+    names = re.compile(r"\b(" + "|".join(ctes) + r")\b(?!\()")
+    return {prefix + n: names.sub(lambda x: prefix + x.group(1), q) for n, q in ctes.items()}
+
+
+def reward_sql(body: str) -> str:
+    """The CIDEr steps twice; ``adv`` has both scores of every video."""
+    whole = {**prefixed("a_", batch_ctes("last_pred")), **prefixed("b_", batch_ctes("fx_pred"))}
     first = {"last_pred": "SELECT video_id, arg_max(caption, turn) AS caption FROM fx_turns WHERE role='assistant' GROUP BY 1"}
-    return with_views(V, {**first, **whole}, """SELECT a.video_id, a_hp.batch, round(a.cider,6) AS sampled_cider, round(b.cider,6) AS greedy_cider,
-        round(a.cider-b.cider,6) AS advantage FROM a_cd a JOIN b_cd b USING (video_id) JOIN a_hp USING (video_id)""")
+    last = {"adv": "SELECT a.video_id, a_hp.batch, a.cider AS s, b.cider AS g FROM a_cd a JOIN b_cd b USING (video_id) JOIN a_hp USING (video_id)"}
+    return with_views(V, {**first, **whole, **last}, body)
+
+
+@query("F19_reward_advantage", reward_sql(
+    "SELECT video_id, batch, round(s,6) AS sampled_cider, round(g,6) AS greedy_cider, round(s-g,6) AS advantage FROM adv"))
+def _(s, sf):
+    return advantages(s, sf).select(KEY, "batch", *r6("sampled_cider", "greedy_cider", "advantage"))
 
 
-@query("F19_reward_advantage", reward_sql())
+@query("F19_reward_means", reward_sql("""SELECT batch, count(*) AS videos, round(avg(s),6) AS mean_sampled_cider, round(avg(g),6) AS mean_greedy_cider,
+    round(avg(s-g),6) AS mean_advantage FROM adv GROUP BY 1"""))
 def _(s, sf):
+    return m.reward_means(advantages(s, sf)).select("batch", "videos", *r6("mean_sampled_cider", "mean_greedy_cider", "mean_advantage"))
+
+
+def advantages(s, sf) -> DataFrame:
     said = fx.turns(s, sf).filter("role = 'assistant'")
     batch = F.floor(F.replace(F.col(KEY), F.lit("video"), F.lit("")).cast("bigint") / 8)
     greedy, refs = pairs(s, sf)
     last = said.groupBy(KEY).agg(F.max_by("caption", "turn").alias("caption")).join(refs.select(KEY), KEY, "left_semi")
-    out = m.reward_advantage(last.withColumn("batch", batch), greedy.withColumn("batch", batch), refs.withColumn("batch", batch))
-    return out.select(KEY, "batch", *r6("sampled_cider", "greedy_cider", "advantage"))
+    return m.reward_advantage(last.withColumn("batch", batch), greedy.withColumn("batch", batch), refs.withColumn("batch", batch))
+
+
+# --- the whole category evaluation -----------------------------------------
+
+VALID = {
+    "val": """SELECT video_id, CAST(arg_max(category, id) AS INT) AS category FROM fx_videos WHERE split='test' AND video_id IN (SELECT video_id FROM fx_pred)
+              AND video_id IN (SELECT video_id FROM fx_refs) GROUP BY 1""",
+    "hp": f"SELECT p.video_id, val.category, {TOKE} AS t FROM fx_pred p JOIN val ON p.video_id=val.video_id",
+    "rf": f"SELECT p.video_id, val.category, cap_id, {TOKE} AS t FROM fx_refs p JOIN val ON p.video_id=val.video_id",
+}
+
+
+def category_report_sql() -> str:
+    by = {**CAT_ROWS, **VALID}
+    whole = {**cider_ctes(), **COMP, **ALIGN, **LCS, **VALID,
+        "bl": bleu_sql("", f"(SELECT {SUMS} FROM bc)"),
+        "mm": """SELECT count(*) AS num_videos, round(avg(meteor),6) AS meteor, round(avg(rouge_l),6) AS rouge_l, round(avg(cider),6) AS cider
+                 FROM cd JOIN mv USING (video_id) JOIN rv USING (video_id)"""}
+    order = lambda c: {"val": c["val"], "hp": c["hp"], "rf": c["rf"], **c}
+    columns = "num_videos, num_train_videos, avg_train_duration_sec, bleu_1, bleu_2, bleu_3, bleu_4, meteor, rouge_l, cider"
+    return with_views([*V, "fx_videos"], {**prefixed("c_", order(by)), **prefixed("o_", order(whole))}, f"""
+        SELECT category, {columns} FROM c_mm JOIN c_bl USING (category) LEFT JOIN c_tl USING (category)
+        UNION ALL SELECT NULL, {columns.replace("num_train_videos", "NULL").replace("avg_train_duration_sec", "NULL")} FROM o_mm, o_bl""", recursive=True)
+
+
+@query("K7_category_report", category_report_sql())
+def _(s, sf):
+    """Category evaluation with its overall row, through the written table: all columns."""
+    from framelark.functions.storage import scratch_path
+    from framelark.sources import sinks
+
+    path = scratch_path(s, "report")
+    rows = evaluation.category_report(fx.predictions(s, sf), fx.references(s, sf), fx.videos(s, sf))
+    counts = ["category", "num_videos", "num_train_videos"]
+    sinks.write_metrics(rows.select(*counts, *r6(*[c for c in sinks.CATEGORY_COLUMNS if c not in counts])), path)
+    types = ", ".join(f"{c} {'int' if c == 'category' else 'bigint' if c.startswith('num') else 'double'}" for c in sinks.CATEGORY_COLUMNS)
+    return s.read.schema(types).option("header", True).csv(path)

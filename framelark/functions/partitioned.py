@@ -8,6 +8,9 @@ plain window.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 BLOCK_ROWS = 4096
@@ -39,6 +42,7 @@ def prefix_aggregate(
 
     ``bucket`` must never decrease along ``order``. Bucket totals are combined
     on the map side, so the only per-key window runs over one row per bucket.
+    Rows with a null key or a null bucket stay: nulls are one key, and come first.
     With ``inclusive=False`` the current row is left out (NULL on the first row
     for min/max, 0 for sum).
     """
@@ -48,14 +52,14 @@ def prefix_aggregate(
     )
     earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     carried = totals.select(
-        *keys,
-        "_bucket",
+        *[F.col(c).alias(f"_of_{c}") for c in [*keys, "_bucket"]],
         *[_AGG[fn](f"_t_{name}").over(earlier).alias(f"_before_{name}") for name, (fn, _) in outputs.items()],
     )
     inside = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(
         W.unboundedPreceding, 0 if inclusive else -1
     )
-    joined = work.join(carried, [*keys, "_bucket"])
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*keys, "_bucket"]]
+    joined = work.join(carried, reduce(and_, same))
     return joined.select(
         *df.columns,
         *[
@@ -107,10 +111,28 @@ def with_neighbors(
     return spread.select("*", *extra).filter("_home = _block").drop("_home", "_block")
 
 
+_FINE = 1 << 14
+
+
 def _value_bucket(col: Column) -> Column:
-    """Monotone integer bucket of a double: about 700 buckets per doubling."""
-    size = F.floor(F.log(F.abs(col)) * 1024).cast("bigint") + F.lit(1 << 20)
-    return F.when(col == 0, F.lit(0).cast("bigint")).when(col > 0, size).otherwise(-size)
+    """Monotone integer bucket of a double: about 700 per doubling; NaN above infinity."""
+    size = F.floor(F.log(F.abs(F.when(F.abs(col) < float("inf"), col))) * 1024).cast("bigint") + F.lit(1 << 20)
+    far = F.lit(1 << 40)
+    return (
+        F.when(F.isnan(col), far + 1)
+        .when(col == float("inf"), far)
+        .when(col == float("-inf"), -far)
+        .when(col == 0, F.lit(0).cast("bigint"))
+        .when(col > 0, size)
+        .otherwise(-size)
+    )
+
+
+def _fine_bucket(col: Column) -> Column:
+    """Monotone split of one :func:`_value_bucket` into ``_FINE`` parts."""
+    size = F.log(F.abs(F.when((col != 0) & (F.abs(col) < float("inf")), col))) * 1024
+    part = F.floor((size - F.floor(size)) * _FINE).cast("bigint")
+    return F.coalesce(F.when(col < 0, -part).otherwise(part), F.lit(0).cast("bigint"))
 
 
 def exact_percentiles(
@@ -118,17 +140,15 @@ def exact_percentiles(
 ) -> DataFrame:
     """Linear-interpolated percentiles per key: ``{out: (column, p in 0..1)}``.
 
-    Keys of up to ``group_rows`` rows (counted first) use the built-in exact
-    percentile, which keeps the values of a key in one buffer. Longer keys, at
-    most ``rows / group_rows`` of them, go through buckets instead.
+    Keys of up to ``group_rows`` rows use the built-in exact percentile, which keeps
+    the values of a key in one buffer. Longer keys go through buckets instead,
+    with equal results: nulls are left out (a key of nulls only gives null), NaN counts
+    as the largest value. Which keys are long is decided in the plan.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > group_rows)
-    long_keys = sizes.select(*keys).collect()
-    if not long_keys:
-        return _grouped_percentiles(df, keys, wanted)
-    marks = df.sparkSession.createDataFrame(long_keys, df.select(*keys).schema)
-    short = _grouped_percentiles(df.join(F.broadcast(marks), keys, "left_anti"), keys, wanted)
-    return short.unionByName(_bucket_percentiles(df.join(F.broadcast(marks), keys, "left_semi"), keys, wanted))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    long_keys = sizes.filter(F.col("_n") > group_rows).select(*keys)
+    short = _grouped_percentiles(df.join(long_keys, keys, "left_anti"), keys, wanted)
+    return short.unionByName(_bucket_percentiles(df.join(long_keys, keys, "left_semi"), keys, wanted))
 
 
 def _grouped_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
@@ -137,7 +157,7 @@ def _grouped_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple
         if p not in points.setdefault(column, []):
             points[column].append(p)
     found = df.groupBy(*keys).agg(
-        *[F.percentile(F.col(c).cast("double"), ps).alias(f"_p_{c}") for c, ps in points.items()]
+        *[F.percentile(F.col(c).cast("double") + 0.0, ps).alias(f"_p_{c}") for c, ps in points.items()]
     )
     return found.select(
         *keys, *[F.col(f"_p_{c}")[points[c].index(p)].alias(out) for out, (c, p) in sorted(wanted.items())]
@@ -148,28 +168,26 @@ def _bucket_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[
     """The same for long keys, with no buffer that grows with the key.
 
     A histogram (combined on the map side) finds the bucket of each wanted order
-    statistic. Only the rows of those buckets are ranked, after equal values
-    have been merged.
+    statistic, a second one the part of that bucket. Only the values of those parts
+    are ranked, after equal values have been merged.
     """
     columns = sorted({c for c, _ in wanted.values()})
-    slim = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
+    slim = df.select(*keys, *[(F.col(c).cast("double") + 0.0).alias(c) for c in columns])  # no negative zero
     long = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in columns]))
     values = (
         slim.select(*keys, long.alias("m"))
         .select(*keys, "m.metric", "m.value", _value_bucket(F.col("m.value")).alias("bucket"))
+        .withColumn("part", _fine_bucket(F.col("value")))
         .filter(F.col("value").isNotNull())
     )
-    hist = values.groupBy(*keys, "metric", "bucket").agg(F.count(F.lit(1)).alias("cnt"))
-    per_metric = W.partitionBy(*keys, "metric")
-    upto = per_metric.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
     specs = F.array(
         *[
             F.struct(F.lit(out).alias("out"), F.lit(c).alias("metric"), F.lit(float(p)).alias("p"))
             for out, (c, p) in sorted(wanted.items())
         ]
     )
-    # One row per bucket that holds a wanted order statistic, with the ranks it holds.
-    wanted_here = F.flatten(
+    # The ranks wanted of a metric, before and after each percentile's position.
+    ranks = F.flatten(
         F.transform(
             F.filter(specs, lambda t: t["metric"] == F.col("metric")),
             lambda t: F.array(
@@ -178,25 +196,23 @@ def _bucket_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[
             ),
         )
     )
-    targets = (
-        hist.withColumns({"top": F.sum("cnt").over(upto), "n": F.sum("cnt").over(per_metric)})
-        .withColumn("base", F.col("top") - F.col("cnt"))
-        .withColumn("need", F.filter(wanted_here, lambda x: (x["r"] >= F.col("base")) & (x["r"] < F.col("top"))))
-        .filter(F.size("need") > 0)
-        .select(*keys, "metric", "bucket", "base", "n", "need")
+    group = [*keys, "metric"]
+    hist = values.groupBy(*group, "bucket").agg(F.count(F.lit(1)).alias("cnt"))
+    per_metric = W.partitionBy(*group)
+    first = hist.withColumn("n", F.sum("cnt").over(per_metric)).withColumn("need", ranks)
+    first = _holding(first, per_metric.orderBy("bucket"), F.lit(0)).select(*group, "bucket", "base", "n", "need")
+    inner = [*group, "bucket"]
+    crowd = values.join(first, inner).groupBy(*inner, "part").agg(
+        F.count(F.lit(1)).alias("cnt"), *[F.first(c).alias(c) for c in ("n", "need")], F.first("base").alias("under")
     )
-    inside = W.partitionBy(*keys, "metric", "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    merged = (
-        values.join(targets.select(*keys, "metric", "bucket"), [*keys, "metric", "bucket"], "left_semi")
-        .groupBy(*keys, "metric", "bucket", "value")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-        .withColumn("upto", F.sum("cnt").over(inside))
+    second = _holding(crowd, W.partitionBy(*inner).orderBy("part"), F.col("under")).select(
+        *inner, "part", "base", "n", "need"
     )
-    hit = (
-        merged.join(targets, [*keys, "metric", "bucket"])
-        .withColumn("x", F.explode("need"))
-        .filter((F.col("x.r") < F.col("base") + F.col("upto")) & (F.col("x.r") >= F.col("base") + F.col("upto") - F.col("cnt")))
+    inner = [*inner, "part"]
+    merged = values.join(second, inner).groupBy(*inner, "value").agg(
+        F.count(F.lit(1)).alias("cnt"), *[F.first(c).alias(c) for c in ("n", "need")], F.first("base").alias("under")
     )
+    hit = _holding(merged, W.partitionBy(*inner).orderBy("value"), F.col("under")).withColumn("x", F.explode("need"))
     picks = []
     for out in wanted:
         for upper in (False, True):
@@ -207,6 +223,19 @@ def _bucket_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[
     def blend(out: str, p: float):
         pos = F.lit(float(p)) * (F.col(f"_n_{out}") - 1)
         lo, hi = F.col(f"_lo_{out}"), F.col(f"_hi_{out}")
-        return (lo + (hi - lo) * (pos - F.floor(pos))).alias(out)
+        between = (F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi
+        return F.when((F.ceil(pos) == F.floor(pos)) | lo.eqNullSafe(hi), lo).otherwise(between).alias(out)
+
+    found = hit.groupBy(*keys).agg(*picks).select(*keys, *[blend(out, p) for out, (_, p) in sorted(wanted.items())])
+    return slim.select(*keys).distinct().join(found, keys, "left")
+
 
-    return hit.groupBy(*keys).agg(*picks).select(*keys, *[blend(out, p) for out, (_, p) in sorted(wanted.items())])
+def _holding(counted: DataFrame, order, under: Column) -> DataFrame:
+    """Rows of a histogram that hold a wanted rank; ``base`` rows lie before each, ``need`` are its ranks."""
+    upto = F.sum("cnt").over(order.rowsBetween(W.unboundedPreceding, 0))
+    return (
+        counted.withColumn("top", upto + under)
+        .withColumn("base", F.col("top") - F.col("cnt"))
+        .withColumn("need", F.filter("need", lambda x: (x["r"] >= F.col("base")) & (x["r"] < F.col("top"))))
+        .filter(F.size("need") > 0)
+    )

@@ -21,6 +21,19 @@ def with_tokens(df: DataFrame) -> DataFrame:
     return df.withColumn("tokens", eval_tokens(F.col("caption"))).drop("caption")
 
 
+def with_group_size(pred: DataFrame, refs: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Add ``videos``, the scored videos of the group, to the captions of both tables.
+
+    It travels with the n-grams from here, so no n-gram table is joined on ``by`` alone.
+    """
+    if "videos" in pred.columns:
+        return pred, refs
+    sizes = group_sizes(pred, by)
+    if not by:
+        return pred.withColumn("videos", sizes.scalar()), refs.withColumn("videos", sizes.scalar())
+    return pred.join(sizes, by), refs.join(sizes, by)
+
+
 def _tokens(df: DataFrame, keep: list[str]) -> DataFrame:
     tokens = F.col("tokens") if "tokens" in df.columns else eval_tokens(F.col("caption"))
     return df.select(*keep, tokens.alias("tokens"))
@@ -66,10 +79,15 @@ def ref_length(pred: DataFrame, refs: DataFrame, option: str = "closest") -> Dat
     return p.join(r, KEY).groupBy(KEY, "test_len").agg(length.cast("double").alias("ref_len"))
 
 
-def bleu_components(pred: DataFrame, refs: DataFrame, option: str = "closest") -> DataFrame:
-    """Per video: lengths, guesses and clipped matches for n = 1..4."""
-    hyp = ngram_counts(pred, [KEY])
-    best = ngram_counts(refs, [KEY, "cap_id"]).groupBy(KEY, "n", "gram").agg(F.max("cnt").alias("most"))
+def bleu_components(
+    pred: DataFrame, refs: DataFrame, option: str = "closest", grams: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
+    """Per video: lengths, guesses and clipped matches for n = 1..4.
+
+    ``grams``: stored :func:`ngram_counts` of both tables, where there are any.
+    """
+    hyp, ref = grams or (ngram_counts(pred, [KEY]), ngram_counts(refs, [KEY, "cap_id"]))
+    best = ref.groupBy(KEY, "n", "gram").agg(F.max("cnt").alias("most"))
     hits = (
         hyp.join(best, [KEY, "n", "gram"])
         .groupBy(KEY)
@@ -95,14 +113,14 @@ def _bleu(prefix: str = "") -> list[Column]:
     return out
 
 
-def bleu_per_video(pred: DataFrame, refs: DataFrame, option: str = "closest") -> DataFrame:
-    return bleu_components(pred, refs, option).select(KEY, *_bleu())
+def bleu_per_video(pred: DataFrame, refs: DataFrame, option: str = "closest", grams=None) -> DataFrame:
+    return bleu_components(pred, refs, option, grams).select(KEY, *_bleu())
 
 
-def bleu_corpus(pred: DataFrame, refs: DataFrame, by: list[str] | None = None) -> DataFrame:
+def bleu_corpus(pred: DataFrame, refs: DataFrame, by: list[str] | None = None, grams=None) -> DataFrame:
     """Totals of the components per group, then the same formula."""
     by = by or []
-    parts = bleu_components(pred, refs)
+    parts = bleu_components(pred, refs, grams=grams)
     if by:
         parts = parts.join(pred.select(KEY, *by), KEY)
     names = ["test_len", "ref_len"] + [f"{w}_{k}" for w in ("guess", "correct") for k in range(1, MAX_N + 1)]
@@ -119,10 +137,9 @@ def _doc_freq(grams: DataFrame, by: list[str]) -> DataFrame:
     return per_video.groupBy(*by, "n", "gram").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _weights(grams: DataFrame, df: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
-    """tf-idf weight of each n-gram: ``tf * (ln N - ln max(1, df))``."""
+def _weights(grams: DataFrame, df: DataFrame, by: list[str]) -> DataFrame:
+    """tf-idf weight of each n-gram: ``tf * (ln N - ln max(1, df))``; ``grams`` carry N as ``videos``."""
     joined = grams.join(df, [*by, "n", "gram"], "left")
-    joined = joined.join(sizes, by) if by else joined.withColumn("videos", sizes.scalar())
     idf = F.log(F.col("videos").cast("double")) - F.log(F.greatest(F.lit(1.0), F.coalesce("df", F.lit(1)).cast("double")))
     return joined.withColumn("w", F.col("cnt") * idf).drop("df", "videos")
 
@@ -135,26 +152,34 @@ def group_sizes(pred: DataFrame, by: list[str]) -> DataFrame:
 def cider_vectors(pred: DataFrame, refs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Norm per caption and n, and length in bigrams, of the reference vectors."""
     by = by or []
-    grams = ngram_counts(refs, [*by, KEY, "cap_id"])
-    w = _weights(grams, _doc_freq(grams, by), group_sizes(pred, by), by)
+    pred, refs = with_group_size(pred, refs, by)
+    grams = ngram_counts(refs, [*by, KEY, "cap_id", "videos"])
+    w = _weights(grams, _doc_freq(grams, by), by)
     return w.groupBy(*by, KEY, "cap_id", "n").agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
         F.sum(F.when(F.col("n") == 2, F.col("cnt")).otherwise(0)).alias("bigrams"),
     )
 
 
-def cider_per_video(pred: DataFrame, refs: DataFrame, by: list[str] | None = None, sigma: float = 6.0) -> DataFrame:
+def stored_grams(pred: DataFrame, refs: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The n-grams that BLEU and CIDEr both read; the tables need ``videos``."""
+    return ngram_counts(pred, [*by, KEY, "videos"]), ngram_counts(refs, [*by, KEY, "cap_id", "videos"])
+
+
+def cider_per_video(
+    pred: DataFrame, refs: DataFrame, by: list[str] | None = None, sigma: float = 6.0, grams=None
+) -> DataFrame:
     """CIDEr of each video: clipped cosine with a length penalty, mean over references, times 10.
 
     Every n-gram of a reference meets its weight in the prediction by one join;
     the norm, the clipped product and the length come out of the same sums.
     """
     by = by or []
-    sizes = group_sizes(pred, by)
-    ref_grams = ngram_counts(refs, [*by, KEY, "cap_id"])
+    pred, refs = with_group_size(pred, refs, by)
+    hyp_grams, ref_grams = grams or stored_grams(pred, refs, by)
     df = _doc_freq(ref_grams, by)
-    hyp = _weights(ngram_counts(pred, [*by, KEY]), df, sizes, by)
-    ref = _weights(ref_grams, df, sizes, by)
+    hyp = _weights(hyp_grams, df, by)
+    ref = _weights(ref_grams, df, by)
 
     hyp_norms = hyp.groupBy(KEY).agg(
         *[F.sqrt(F.sum(F.when(F.col("n") == k, F.col("w") * F.col("w")).otherwise(0.0))).alias(f"h{k}") for k in range(1, MAX_N + 1)],
@@ -305,6 +330,14 @@ def reward_advantage(sampled: DataFrame, greedy: DataFrame, refs: DataFrame, bat
     return a.join(b, KEY).withColumn("advantage", F.col("sampled_cider") - F.col("greedy_cider"))
 
 
+def reward_means(advantages: DataFrame, batch: str = "batch") -> DataFrame:
+    """Mean sampled score, greedy score and advantage of each batch."""
+    names = ["sampled_cider", "greedy_cider", "advantage"]
+    return advantages.groupBy(batch).agg(
+        F.count(F.lit(1)).alias("videos"), *[F.avg(c).alias(f"mean_{c}") for c in names]
+    )
+
+
 def rank_categories(rows: DataFrame, k: int = 5) -> DataFrame:
     """Top and bottom ``k`` categories by CIDEr; ties by category."""
     top = rows.orderBy(F.desc("cider"), "category").limit(k).withColumn("side", F.lit("top"))

@@ -31,7 +31,7 @@ def epoch_loss(batch_log: DataFrame) -> DataFrame:
 
 
 def checkpoint_flags(history: DataFrame) -> DataFrame:
-    """Epochs that beat every earlier one: lower loss, higher CIDEr."""
+    """Epochs that beat every earlier one: lower loss, higher CIDEr. A missing value beats nothing."""
     before = prefix_aggregate(
         history,
         ["run_id"],
@@ -40,19 +40,24 @@ def checkpoint_flags(history: DataFrame) -> DataFrame:
         {"_low": ("min", F.col("val_loss")), "_high": ("max", F.col("val_cider"))},
         inclusive=False,
     )
+
+    def beats(value, earlier, better):
+        return value.isNotNull() & (earlier.isNull() | better)
+
     return before.select(
         *history.columns,
-        (F.col("_low").isNull() | (F.col("val_loss") < F.col("_low"))).alias("best_loss"),
-        (F.col("_high").isNull() | (F.col("val_cider") > F.col("_high"))).alias("best_cider"),
+        beats(F.col("val_loss"), F.col("_low"), F.col("val_loss") < F.col("_low")).alias("best_loss"),
+        beats(F.col("val_cider"), F.col("_high"), F.col("val_cider") > F.col("_high")).alias("best_cider"),
     )
 
 
 def best_epoch(history: DataFrame) -> DataFrame:
-    """First epoch with the lowest loss, and with the highest CIDEr."""
+    """First epoch with the lowest loss, and with the highest CIDEr; missing values lose."""
+    loss, cider = F.col("val_loss"), F.col("val_cider")
     return history.groupBy("run_id").agg(
-        F.min_by("epoch", F.struct("val_loss", "epoch")).alias("loss_epoch"),
+        F.min_by("epoch", F.when(loss.isNotNull(), F.struct("val_loss", "epoch"))).alias("loss_epoch"),
         F.min("val_loss").alias("best_val_loss"),
-        F.min_by("epoch", F.struct(-F.col("val_cider"), "epoch")).alias("cider_epoch"),
+        F.min_by("epoch", F.when(cider.isNotNull(), F.struct(-cider, "epoch"))).alias("cider_epoch"),
         F.max("val_cider").alias("best_val_cider"),
     )
 

@@ -187,7 +187,12 @@ def raw_budget(
     pct: float = 0.92,
     value: str = "boundary_score",
 ) -> DataFrame:
-    """Number of raw key frames per video, with the factors behind it."""
+    """Number of raw key frames per video, with the factors behind it.
+
+    A video without a duration keeps its row, with a null budget.
+    """
+    if adaptive and durations is None:
+        raise ValueError("an adaptive budget needs durations")
     if not adaptive:
         sizes = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("samples"))
         return sizes.select(
@@ -204,13 +209,14 @@ def raw_budget(
     stats = (
         slim.join(thr, KEY).groupBy(KEY, "samples").agg(F.avg(over).alias("hit"))
         .withColumn("boundary_density", density)
-        .join(durations.select(KEY, "duration_sec"), KEY)
+        .join(durations.select(KEY, "duration_sec"), KEY, "left")
         .withColumn("duration_factor", F.sqrt(F.greatest("duration_sec", F.lit(1e-6)) / max(duration_ref, 1e-6)))
         .withColumn("complexity_factor", 1.0 + complexity_weight * F.col("boundary_density"))
     )
     wanted = F.bround(final_budget * F.col("duration_factor") * F.col("complexity_factor"))
     floored = F.greatest(wanted, F.lit(float(max(final_budget, min_raw))))
     capped = F.least(floored, F.lit(float(max_raw)), F.col("samples").cast("double"))
+    capped = F.when(F.col("duration_sec").isNotNull(), capped)
     return stats.select(
         KEY, "duration_factor", "complexity_factor", "boundary_density", capped.cast("int").alias("raw_budget")
     )

@@ -13,6 +13,8 @@ from framelark.operators.similarity import centrality
 KEY = "video_id"
 GROUP_ROWS = 2048
 EVAL_ROWS = 512
+NO_BUDGET = "no budget for this video"
+BAD_VECTOR = "vectors missing or of different lengths"
 
 
 @dataclass(frozen=True)
@@ -90,7 +92,8 @@ def greedy_select(
     """Coverage-aware greedy choice of ``raw_budget`` frames per video.
 
     Videos of up to ``group_rows`` frames are handled one per group. Longer ones
-    are never put in one task: see ``_greedy_distributed``.
+    are never put in one task: see ``_greedy_distributed``. Either way a video without a
+    budget, or with a vector of another length or none, gives one row with ``error``.
     """
     cols = [KEY, "sample_index", "timestamp_sec", "scene_id", "local_importance", "fused"]
     sized = frames.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_rows)
@@ -107,6 +110,7 @@ def greedy_select(
 def _greedy_grouped(frames: DataFrame, budgets: DataFrame, weights: GreedyWeights) -> DataFrame:
     names = _PICK_SCHEMA.fieldNames()
     # Plain numbers travel to the workers, so these need not import this package.
+    no_budget, bad_vector = NO_BUDGET, BAD_VECTOR
     coverage, scene_bonus = weights.coverage, weights.scene_bonus
     redundancy, min_gap = weights.redundancy, weights.min_gap
 
@@ -120,6 +124,10 @@ def _greedy_grouped(frames: DataFrame, budgets: DataFrame, weights: GreedyWeight
         ts = pdf["timestamp_sec"].to_numpy()
         scene = pdf["scene_id"].to_numpy()
         gain0 = pdf["local_importance"].to_numpy()
+        if np.isnan(float(np.float64(pdf["raw_budget"].iloc[0]))):
+            raise ValueError(no_budget)
+        if len({-1 if v is None else len(v) for v in pdf["fused"]}) > 1 or pdf["fused"].isna().any():
+            raise ValueError(bad_vector)
         n, budget = len(pdf), int(min(pdf["raw_budget"].iloc[0], len(pdf)))
         x = np.stack(pdf["fused"].to_list())
         sim = np.clip(x @ x.T, 0.0, 1.0)
@@ -188,7 +196,7 @@ def _greedy_grouped(frames: DataFrame, budgets: DataFrame, weights: GreedyWeight
         out["video_id"], out["error"] = video, None
         return out[names]
 
-    with_budget = frames.join(budgets.select(KEY, "raw_budget"), KEY)
+    with_budget = frames.join(budgets.select(KEY, "raw_budget"), KEY, "left")
     return with_budget.groupBy(KEY).applyInPandas(run, _PICK_SCHEMA)
 
 
@@ -203,13 +211,20 @@ def _greedy_distributed(
     one pass over the video, until no bound beats the best exact gain.
     """
     spark = video.sparkSession
+    name = video.select(KEY).first()[0]
+    found = budgets.filter(F.col(KEY) == name).select("raw_budget").first()
+    sizes = video.agg(F.min(F.size("fused")), F.max(F.size("fused")), F.count_if(F.col("fused").isNull())).first()
+    problem = NO_BUDGET if found is None or found[0] is None else None
+    if problem is None and (sizes[2] or sizes[0] != sizes[1]):
+        problem = BAD_VECTOR
+    if problem:
+        return spark.createDataFrame([(name, None, None, None, problem)], _PICK_SCHEMA)
+    wanted = found[0]
     bounded = video.join(
         centrality(video, [KEY]).withColumn("sample_index", F.col("sample_index").cast("int")), [KEY, "sample_index"]
     )
     bounded = write_through(bounded, "greedy")
     total = bounded.count()
-    name = bounded.select(KEY).first()[0]
-    wanted = budgets.filter(F.col(KEY) == name).select("raw_budget").first()[0]
     budget = min(wanted, total)
     seeds = scene_seeds(bounded, budgets, max_budget)
     seed_rows = (
@@ -415,14 +430,16 @@ def histogram_topk(frames: DataFrame, n: int, gap: float) -> DataFrame:
     decide the result, and the rank filter bounds each group without loss.
     """
     slim = frames.select(KEY, "sample_index", "timestamp_sec", "histogram_diff_raw", "quality_raw")
-    reach = 1
     if gap > 0:
         per_bucket = slim.groupBy(KEY, F.floor(F.col("timestamp_sec") / gap).alias("b")).agg(
             F.count(F.lit(1)).alias("c")
         )
-        reach = 3 * (per_bucket.agg(F.max("c")).first()[0] or 1)
+        # The densest bucket of each video bounds its own list.
+        slim = slim.join(per_bucket.groupBy(KEY).agg((3 * F.max("c")).alias("reach")), KEY)
+    else:
+        slim = slim.withColumn("reach", F.lit(1))
     best = W.partitionBy(KEY).orderBy(F.desc("histogram_diff_raw"), F.desc("quality_raw"), "sample_index")
-    ranked = slim.withColumn("rk", F.row_number().over(best)).filter(F.col("rk") <= n * reach)
+    ranked = slim.withColumn("rk", F.row_number().over(best)).filter(F.col("rk") <= n * F.col("reach"))
     items = F.array_sort(
         F.collect_list(F.struct("rk", F.col("timestamp_sec").alias("t"), F.col("sample_index").alias("i")))
     )
@@ -483,6 +500,7 @@ def resample_embeddings(selected: DataFrame, target_len: int, vec: str = "fused"
     last = F.when((F.col("r") == F.col("n") - 1), F.array(F.lit(target_len - 1))).otherwise(none)
     slots = (
         F.when(F.col("n") == target_len, F.array(F.col("r")))
+        .when(F.lit(target_len == 1), F.when(F.col("r") == F.col("n") - 1, F.array(F.lit(0))).otherwise(none))
         .when(F.col("n") == 1, F.sequence(F.lit(0), F.lit(target_len - 1)))
         .when(F.col("r") == F.col("n") - 1, last)
         .otherwise(F.array_union(first, inner))

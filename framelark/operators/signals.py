@@ -26,8 +26,8 @@ IMPORTANCE_WEIGHTS = {
 }
 
 
-def rgb_bins(pixels: DataFrame) -> DataFrame:
-    """Sparse 8x8x8 colour histogram: share of each occupied bin per frame."""
+def _frame_bins(pixels: DataFrame) -> DataFrame:
+    """Occupied colour bins of each frame, sorted, and the number of its pixels."""
     frame = [KEY, "frame_index"]
 
     def level(c: str):
@@ -35,21 +35,26 @@ def rgb_bins(pixels: DataFrame) -> DataFrame:
 
     bins = pixels.select(*frame, (level("r") * 64 + level("g") * 8 + level("b")).alias("bin"))
     counts = bins.groupBy(*frame, "bin").agg(F.count(F.lit(1)).alias("cnt"))
-    totals = counts.groupBy(*frame).agg(F.sum("cnt").alias("total"))
-    return counts.join(totals, frame).select(*frame, "bin", (F.col("cnt") / F.col("total")).alias("share"))
+    entries = F.array_sort(F.collect_list(F.struct("bin", "cnt")))
+    return counts.groupBy(*frame).agg(entries.alias("e"), F.sum("cnt").alias("total"))
+
+
+def rgb_bins(pixels: DataFrame) -> DataFrame:
+    """Sparse 8x8x8 colour histogram: share of each occupied bin per frame."""
+    rows = _frame_bins(pixels).select(KEY, "frame_index", "total", F.inline("e"))
+    return rows.select(KEY, "frame_index", "bin", (F.col("cnt") / F.col("total")).alias("share"))
 
 
 def rgb_histogram(pixels: DataFrame) -> DataFrame:
     """Dense L1-normalised histogram of 512 bins per frame."""
-    entries = F.array_sort(F.collect_list(F.struct("bin", "share")))
-    packed = rgb_bins(pixels).groupBy(KEY, "frame_index").agg(entries.alias("e"))
+    packed = _frame_bins(pixels)
     gaps = F.transform(
         "e",
         lambda x, i: F.concat(
             F.array_repeat(
                 F.lit(0.0), x["bin"] - F.when(i == 0, F.lit(-1)).otherwise(F.get(F.col("e"), i - 1)["bin"]) - 1
             ),
-            F.array(x["share"]),
+            F.array(x["cnt"] / F.col("total")),
         ),
     )
     tail = F.array_repeat(F.lit(0.0), F.lit(HIST_BINS - 1) - F.element_at("e", -1)["bin"])
@@ -182,11 +187,15 @@ def robust_minmax(
 
 
 def raw_signals(frames: DataFrame, prompts: DataFrame, k: int = 5) -> DataFrame:
-    """All raw signals of fused frames, before scaling."""
-    aligned = prompt_alignment(semantic_change(frames), prompts)
-    rare = knn_rarity(frames, [KEY], k).withColumnRenamed("rarity", "rarity_raw")
+    """All raw signals of fused frames, before scaling.
+
+    Only ids and fused vectors go through the windows; they come back as numbers.
+    """
+    slim = frames.select(KEY, "sample_index", "fused")
+    change = semantic_change(slim).drop("fused")
+    rare = knn_rarity(slim, [KEY], k).withColumnRenamed("rarity", "rarity_raw")
     rare = rare.withColumn("sample_index", F.col("sample_index").cast("int"))
-    return aligned.join(rare, [KEY, "sample_index"])
+    return prompt_alignment(frames, prompts).join(change, [KEY, "sample_index"]).join(rare, [KEY, "sample_index"])
 
 
 def importance(df: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

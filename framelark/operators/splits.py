@@ -58,7 +58,10 @@ def split_counts(videos: DataFrame) -> DataFrame:
 
 
 def category_map(videos: DataFrame, order: str = "id") -> DataFrame:
-    """Category of each test video; the last row of an id wins."""
+    """Category of each test video; the row that comes last by ``order`` wins.
+
+    With repeated ids ``order`` must be the place in the file.
+    """
     test = videos.filter("split = 'test'")
     return test.groupBy(KEY).agg(F.max_by("category", order).cast("int").alias("category"))
 
@@ -100,10 +103,11 @@ def video_header(df: DataFrame, sample_fps: float) -> DataFrame:
 def sample_frames(frames: DataFrame, header: DataFrame, max_samples: int | None = None) -> DataFrame:
     """Every ``stride``-th frame with its sample number and time.
 
-    Frame numbers count decoded frames from 0, so the sample number needs no ranking.
+    Sample numbers count the frames kept, so they have no holes where frames are absent.
     """
     kept = frames.join(header.select(KEY, "stride", "fps"), KEY).filter(F.col("frame_index") % F.col("stride") == 0)
-    out = kept.withColumn("sample_index", (F.col("frame_index") / F.col("stride")).cast("int")).withColumn(
+    out = dense_index(kept, [KEY], F.floor(F.col("frame_index") / ID_BLOCK), ["frame_index"], "sample_index")
+    out = out.withColumn("sample_index", F.col("sample_index").cast("int")).withColumn(
         "timestamp_sec", F.col("frame_index") / F.col("fps")
     )
     return out if max_samples is None else out.filter(F.col("sample_index") < max_samples)

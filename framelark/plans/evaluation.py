@@ -6,35 +6,39 @@ from pyspark.sql import DataFrame, functions as F
 
 from framelark.functions.storage import write_through
 from framelark.operators import caption_metrics as m
-from framelark.operators.splits import train_length_by_category
+from framelark.operators.splits import category_map, train_length_by_category
 
 KEY = "video_id"
 _MEANS = ["meteor", "rouge_l", "cider"]
 
 
-def _stored_pairs(pred: DataFrame, refs: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Scored captions as tokens, stored once: about ten branches read each table."""
+def _stored(pred: DataFrame, refs: DataFrame, by: list[str]):
+    """Tokens of the scored captions, and their n-grams, stored once: many branches read each table."""
     p, r = m.scored_pairs(pred.select(*by, KEY, "caption"), refs.select(*by, KEY, "cap_id", "caption"))
-    return write_through(m.with_tokens(p), "pred"), write_through(m.with_tokens(r), "refs")
+    p, r = m.with_group_size(m.with_tokens(p), m.with_tokens(r), by)
+    p, r = write_through(p, "pred"), write_through(r, "refs")
+    hyp, ref = m.stored_grams(p, r, by)
+    return p, r, (write_through(hyp, "pred-grams"), write_through(ref, "ref-grams"))
 
 
 def score_per_video(pred: DataFrame, refs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The seven metrics of every scored video, keyed by ``video_id``."""
-    p, r = _stored_pairs(pred, refs, by or [])
+    p, r, grams = _stored(pred, refs, by or [])
     return (
-        m.cider_per_video(p, r, by).join(m.bleu_per_video(p, r), KEY).join(m.meteor(p, r), KEY).join(m.rouge_l(p, r), KEY)
+        m.cider_per_video(p, r, by, grams=grams).join(m.bleu_per_video(p, r, grams=grams), KEY)
+        .join(m.meteor(p, r), KEY).join(m.rouge_l(p, r), KEY)
     )
 
 
 def score_captions(pred: DataFrame, refs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Corpus metrics per group, with the number of videos."""
     by = by or []
-    p, r = _stored_pairs(pred, refs, by)
-    single = m.cider_per_video(p, r, by).join(m.meteor(p, r), KEY).join(m.rouge_l(p, r), KEY)
+    p, r, grams = _stored(pred, refs, by)
+    single = m.cider_per_video(p, r, by, grams=grams).join(m.meteor(p, r), KEY).join(m.rouge_l(p, r), KEY)
     means = single.groupBy(*by).agg(
         F.count(F.lit(1)).alias("num_videos"), *[F.avg(c).alias(c) for c in _MEANS]
     )
-    bleu = m.bleu_corpus(p, r, by)
+    bleu = m.bleu_corpus(p, r, by, grams)
     if by:
         return means.join(bleu, by)
     # One row on either side.
@@ -50,3 +54,16 @@ def score_by_category(pred: DataFrame, refs: DataFrame, train_videos: DataFrame
     if train_videos is None:
         return rows
     return rows.join(train_length_by_category(train_videos), "category", "left")
+
+
+def category_report(pred: DataFrame, refs: DataFrame, videos: DataFrame, order: str = "id") -> DataFrame:
+    """The whole category evaluation: one row per category and one for all, ``category`` null.
+
+    The category of a video comes from the metadata; only ids that have a prediction,
+    references and a category count. Training clip lengths stand beside each category.
+    """
+    valid = write_through(m.valid_ids(pred, refs, category_map(videos, order)).distinct(), "valid")
+    p, r = pred.select(KEY, "caption").join(valid, KEY), refs.select(KEY, "cap_id", "caption").join(valid, KEY)
+    rows = score_by_category(p, r, videos)
+    overall = score_captions(p, r).withColumn("category", F.lit(None).cast("int"))
+    return rows.unionByName(overall, allowMissingColumns=True)

@@ -41,6 +41,7 @@ class KeyframeResult:
     selected: DataFrame
     failures: DataFrame
     features: DataFrame
+    table: DataFrame
 
 
 def extract_keyframes(
@@ -53,7 +54,8 @@ def extract_keyframes(
     stored in the shared scratch folder. The fused vectors are written once,
     with the raw signals; later tables hold scalars only.
     """
-    fused = signals.fuse_embeddings(frames)
+    # Stored once by video: both uses of the vectors read it.
+    fused = write_through(signals.fuse_embeddings(frames), "fused", [KEY])
     raw_scores = write_through(signals.raw_signals(fused, prompts, cfg.knn).drop("dino", "clip"), "signals")
     vectors = raw_scores.select(KEY, "sample_index", "fused")
     scored = write_through(signals.importance(raw_scores.drop("fused"), cfg.importance), "scored")
@@ -81,9 +83,14 @@ def extract_keyframes(
     )
     failures = picked.filter(F.col("error").isNotNull()).select(KEY, "error")
     raw = with_vectors.join(picked.filter(F.col("error").isNull()).drop("error"), [KEY, "sample_index"])
+    raw = write_through(raw, "raw")
     scores = selection.scene_scores(labelled, cfg.compression)
     final = write_through(
         selection.compress_to_budget(raw, scores, cfg.num_keyframes, cfg.compression), "selected"
     )
     features = selection.resample_embeddings(final, cfg.num_keyframes)
-    return KeyframeResult(labelled, final.drop("fused"), failures, features)
+    # Every scored frame, with what selection and compression said about it.
+    table = labelled.join(picked.filter(F.col("error").isNull()).drop("error"), [KEY, "sample_index"], "left").join(
+        final.select(KEY, "sample_index", "compression_score", "selected_rank"), [KEY, "sample_index"], "left"
+    )
+    return KeyframeResult(labelled, final.drop("fused"), failures, features, table)

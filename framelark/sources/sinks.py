@@ -65,9 +65,10 @@ def write_split_captions(captions: DataFrame, path: str, fmt: str = "parquet", m
     captions.select("split", "video_id", "cap_id", "caption").write.mode(mode).partitionBy("split").format(fmt).save(path)
 
 
-def write_features(features: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Store by family and split. A file holds one family and split and part of the ids."""
-    features.write.mode(mode).partitionBy("family", "split").parquet(path)
+def write_features(features: DataFrame, path: str, mode: str = "overwrite", files: int = 8) -> None:
+    """Store by family and split, in about ``files`` files each, by hash of the id."""
+    part = F.pmod(F.xxhash64("video_id"), F.lit(files))
+    features.repartition("family", "split", part).write.mode(mode).partitionBy("family", "split").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -6,65 +6,81 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from framelark.functions.storage import scratch_path
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Run a stream over all files present now and return what it wrote.
 
-    ``complete`` output replaces the table on every batch.
+    ``update`` output keeps, per ``keys``, the row of the latest batch that changed it:
+    every batch adds only its changed rows, under its own number.
     """
     spark = stream.sparkSession
     out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
     writer = stream.writeStream.option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True)
-    if mode == "complete":
-        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
+    if mode == "update":
+        query = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")).start()
     else:
         query = writer.format("parquet").option("path", out).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(out)
+    changed = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(out)
+    row = F.struct(*[c for c in stream.columns if c not in keys])
+    latest = changed.groupBy(*keys).agg(F.max_by(row, "batch").alias("r"))
+    return latest.select(*keys, "r.*").select(*stream.columns)
 
 
-def read_stream(spark: SparkSession, folder: str, pattern: str, schema: StructType) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+def read_stream(
+    spark: SparkSession, folder: str, pattern: str, schema: StructType, max_files: int | None = None
+) -> DataFrame:
+    """Files of a folder as a stream; ``max_files`` bounds the files of one batch."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(folder)
 
 
-def first_arrivals(stream: DataFrame, key: str = "video_id", time: str = "ts", late: str = "2 days") -> DataFrame:
-    """Each id once; later copies within the watermark are dropped."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+HISTORY_PARTS = 256
 
 
 def stream_pending(
     stream: DataFrame, process: Callable[[DataFrame], DataFrame], done_path: str, failed_path: str, checkpoint: str,
-    key: str = "video_id", time: str = "ts", late: str = "2 days",
+    key: str = "video_id",
 ) -> None:
-    """Process each new id once; rows with an ``error`` go to the failure log.
+    """Process every id until it has succeeded once; failures go to a log and may come again.
 
-    ``process`` maps a batch to the same ids with an ``error`` column. A batch
-    that runs again after a crash overwrites its own folder, so it is not
-    counted twice; ids of earlier batches are skipped by an anti-join.
+    ``process`` maps a batch to the same ids with an ``error`` column. Ids that
+    succeeded in earlier batches are skipped by an anti-join, whenever they arrive: there
+    is no watermark, so nothing is late. The history is stored by parts of the id's hash,
+    and a batch reads only the parts of its own ids. A batch that runs again
+    after a crash overwrites its own folders, so it is not counted twice.
     """
+    spark = stream.sparkSession
+    kind = stream.schema[key].dataType.simpleString()
+    known = f"{key} {kind}, batch bigint, part int"
+    # An empty history from the start, so the first batch can read it.
+    spark.createDataFrame([], f"{key} {kind}, batch bigint, part int").write.mode("append").partitionBy("batch", "part").parquet(done_path)
+    part = F.pmod(F.xxhash64(key), F.lit(HISTORY_PARTS)).cast("int")
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            done = spark.read.parquet(done_path).filter(F.col("batch") != number).select(key)
-            batch = batch.join(done, key, "left_anti")
-        except Exception as exc:
-            if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
-                raise
-        result = process(batch)
-        slot = f"{done_path}/batch={number}"
+        session = batch.sparkSession
+        fresh = batch.dropDuplicates([key])
+        parts = [r[0] for r in batch.select(part.alias("part")).distinct().collect()]  # at most HISTORY_PARTS
+        history = session.read.schema(known).parquet(done_path).filter(F.col("part").isin(parts) & (F.col("batch") != number))
+        result = process(fresh.join(history.select(key), key, "left_anti"))
+        slot = f"{failed_path}-work/batch={number}"
         result.write.mode("overwrite").parquet(slot)
-        stored = spark.read.schema(result.schema).parquet(slot)
+        stored = session.read.schema(result.schema).parquet(slot)
         bad = stored.filter(F.col("error").isNotNull()).select(key, "error")
         bad.write.mode("overwrite").json(f"{failed_path}/batch={number}")
+        good = stored.filter(F.col("error").isNull()).withColumn("part", part)
+        good.write.mode("overwrite").partitionBy("part").parquet(f"{done_path}/batch={number}")
 
     query = (
-        first_arrivals(stream, key, time, late).writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
@@ -79,36 +95,50 @@ def stream_manifest(stream: DataFrame, time: str = "ts", late: str = "1 hour", w
     )
 
 
-def frame_change_processor(value: str = "vec"):
-    """Processor with the last vector of each key as state; emits 1 - cosine to it."""
+def frame_change_processor(kept: int = 64):
+    """Processor with the newest ``kept`` vectors of each key as state; emits 1 - cosine to the frame before.
+
+    The rows of a key are taken one Arrow batch at a time. A frame that arrives after newer
+    ones is compared with the newest stored frame before it; a frame older
+    than all stored ones has nothing before it and gets 0.
+    """
 
     class FrameChange(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.last = handle.getValueState("last", "sample_index int, vec array<double>")
+            self.near = handle.getMapState("near", "sample_index int", "vec array<double>")
 
         def handleInputRows(self, key, rows, timerValues):
+            import bisect
+
             import numpy as np
             import pandas as pd
 
-            prev = None
-            if self.last.exists():
-                prev = np.asarray(self.last.get()[1])
-            # Rows of one key come sorted only inside a batch of files.
-            frame = pd.concat(list(rows)).sort_values("sample_index")
-            changes, index = [], None
-            for index, vec in zip(frame["sample_index"], frame["vec"]):
-                cur = np.asarray(vec, dtype="float64")
-                if prev is None:
-                    changes.append(0.0)
-                else:
-                    norm = max(np.linalg.norm(prev), 1e-8) * max(np.linalg.norm(cur), 1e-8)
-                    changes.append(1.0 - float(np.clip(prev @ cur / norm, -1.0, 1.0)))
-                prev = cur
-            if index is not None:
-                self.last.update((int(index), prev.tolist()))
-            yield pd.DataFrame(
-                {"video_id": key[0], "sample_index": frame["sample_index"].to_numpy(), "change": changes}
-            )
+            have = {int(k[0]): np.asarray(v[0]) for k, v in self.near.iterator()}
+            stored, order = set(have), sorted(have)
+            for frame in rows:
+                frame = frame.sort_values("sample_index")
+                changes = []
+                for index, vec in zip(frame["sample_index"].tolist(), frame["vec"]):
+                    cur = np.asarray(vec, dtype="float64")
+                    at = bisect.bisect_left(order, index)
+                    if at == 0:
+                        changes.append(0.0)
+                    else:
+                        prev = have[order[at - 1]]
+                        norm = max(np.linalg.norm(prev), 1e-8) * max(np.linalg.norm(cur), 1e-8)
+                        changes.append(1.0 - float(np.clip(prev @ cur / norm, -1.0, 1.0)))
+                    if index not in have:
+                        order.insert(at, index)
+                    have[index] = cur
+                    if len(order) > kept:
+                        del have[order.pop(0)]
+                yield pd.DataFrame(
+                    {"video_id": key[0], "sample_index": frame["sample_index"].to_numpy(), "change": changes}
+                )
+            for gone in stored - set(have):
+                self.near.removeKey((gone,))
+            for index in order:
+                self.near.updateValue((index,), (have[index].tolist(),))
 
         def close(self) -> None:
             pass
@@ -119,7 +149,8 @@ def frame_change_processor(value: str = "vec"):
 def stream_frame_change(stream: DataFrame) -> DataFrame:
     """Change of each frame of a live feed against the frame before it.
 
-    One key and batch go to one call; ``maxFilesPerTrigger`` bounds the batch.
+    A call holds one Arrow batch of a key and its state; ``read_stream(max_files=...)`` bounds a
+    trigger.
     """
     stream.sparkSession.conf.set(
         "spark.sql.streaming.stateStore.providerClass",

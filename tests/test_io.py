@@ -140,3 +140,26 @@ def test_short_videos_have_scenes(spark):
     df = spark.createDataFrame(rows, "video_id string, sample_index int, timestamp_sec double, boundary_score double")
     out = scenes.detect_scenes(df).collect()
     assert {(r["video_id"], r["sample_index"], r["scene_id"]) for r in out} == {("a", 0, 0), ("a", 1, 0), ("b", 0, 0)}
+
+
+def test_missing_metrics_never_win(spark):
+    from framelark.operators import runs
+
+    rows = [(1, 1, None, None), (1, 2, 0.5, 0.1), (1, 3, None, 0.3), (1, 4, 0.3, None), (2, 1, None, None)]
+    history = spark.createDataFrame(rows, "run_id int, epoch int, val_loss double, val_cider double")
+    got = {r["run_id"]: r for r in runs.best_epoch(history).collect()}
+    assert (got[1]["loss_epoch"], got[1]["best_val_loss"], got[1]["cider_epoch"]) == (4, 0.3, 3)
+    assert got[2]["loss_epoch"] is None
+    flags = {(r["run_id"], r["epoch"]): (r["best_loss"], r["best_cider"]) for r in runs.checkpoint_flags(history).collect()}
+    assert flags == {(1, 1): (False, False), (1, 2): (True, True), (1, 3): (False, True), (1, 4): (True, False), (2, 1): (False, False)}
+
+
+def test_samples_are_dense_and_the_last_row_of_an_id_wins(spark):
+    from framelark.operators import splits
+
+    frames = spark.createDataFrame([("v", i) for i in (0, 2, 6, 8, 9)], "video_id string, frame_index int")
+    header = spark.createDataFrame([("v", 2, 10.0)], "video_id string, stride int, fps double")
+    got = sorted(tuple(r) for r in splits.sample_frames(frames, header).select("frame_index", "sample_index").collect())
+    assert got == [(0, 0), (2, 1), (6, 2), (8, 3)]
+    videos = spark.createDataFrame([("v", 1, "test", 3, 0), ("v", 1, "test", 5, 2), ("v", 1, "test", 4, 1)], "video_id string, id int, split string, category int, line int")
+    assert splits.category_map(videos, "line").first()["category"] == 5

@@ -98,3 +98,32 @@ def test_tiles(spark, rows):
     assert got.keys() == want.keys()
     for k in want:
         assert got[k] == pytest.approx(want[k])
+
+
+ODD = [1.0, 2.0, 3.0, 4.0, float("nan"), float("nan"), float("inf"), float("-inf"), None, 0.0, -0.0, -2.5]
+
+
+def test_percentiles_agree_on_odd_values(spark):
+    rows = [("odd", v) for v in ODD] + [("none", None)] * 3 + [("nan", float("nan"))] * 4 + [("one", 7.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    wanted = {f"p{q}": ("v", q / 100) for q in (0, 5, 25, 50, 75, 92, 100)}
+
+    def run(limit):
+        return sorted(repr(tuple(r)) for r in p.exact_percentiles(df, ["k"], wanted, limit).select("k", *wanted).collect())
+
+    assert run(1) == run(10**6)
+    assert len(run(1)) == 4
+
+
+def test_percentiles_of_close_values(spark):
+    df = spark.range(100_000).select(F.lit("k").alias("k"), (1.0 + F.pmod(F.col("id") * 7919, F.lit(100_000)) * 1e-8).alias("v"))
+    wanted = {"a": ("v", 0.3), "b": ("v", 0.92)}
+    assert p.exact_percentiles(df, ["k"], wanted, 10).collect() == p.exact_percentiles(df, ["k"], wanted).collect()
+
+
+def test_null_keys_and_null_order_stay(spark):
+    rows = [("a", 1), ("a", None), (None, 5), (None, None), ("a", 2), (None, 1)]
+    df = spark.createDataFrame(rows, "k string, o int")
+    got = p.dense_index(df, ["k"], F.floor(F.col("o") / 2), ["o"], "n")
+    plain = df.withColumn("n", F.row_number().over(W.partitionBy("k").orderBy("o")) - 1)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, plain.collect())))

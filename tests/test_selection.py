@@ -120,3 +120,36 @@ def test_plan_properties(spark):
     slots = out.features.groupBy("video_id").agg(F.countDistinct("slot").alias("n"), F.count("*").alias("m")).collect()
     assert len(slots) == len(sizes) and all(r["n"] == r["m"] == 10 for r in slots)
     assert out.candidates.count() == sum(sizes.values())
+
+
+@pytest.mark.parametrize("group_rows", [2048, 1])
+def test_failures_are_the_same_for_short_and_long_videos(spark, videos, group_rows):
+    frames, budgets, truth = videos
+    schema = frames.schema
+    bad = [("bad", i, i * 1.0, 0, 0.5, v) for i, v in enumerate([[1.0, 0.0], [1.0], None])]
+    lone = [("lone", i, i * 1.0, 0, 0.5, [1.0, 0.0]) for i in range(3)]
+    blank = [("blank", i, i * 1.0, 0, 0.5, [1.0, 0.0]) for i in range(3)]
+    some = frames.filter("video_id = 'short'").unionByName(spark.createDataFrame(bad + lone + blank, schema))
+    more = budgets.unionByName(spark.createDataFrame([("bad", 2), ("blank", None)], budgets.schema))
+    got = selection.greedy_select(some, more, max_budget=10, group_rows=group_rows).collect()
+    errors = {r["video_id"]: r["error"] for r in got if r["error"]}
+    assert errors == {"bad": selection.BAD_VECTOR, "lone": selection.NO_BUDGET, "blank": selection.NO_BUDGET}
+    assert {r["sample_index"] for r in got if r["video_id"] == "short"} == set(truth["short"])
+
+
+def test_video_without_duration_fails_visibly(spark):
+    from framelark.operators import scenes
+
+    df = spark.createDataFrame([(v, i, i * 1.0, 0.1 * i) for v in ("a", "b") for i in range(5)], "video_id string, sample_index int, timestamp_sec double, boundary_score double")
+    durations = spark.createDataFrame([("a", 5.0)], "video_id string, duration_sec double")
+    got = {r["video_id"]: r["raw_budget"] for r in scenes.raw_budget(df, durations).collect()}
+    assert got == {"a": 5, "b": None}
+    with pytest.raises(ValueError):
+        scenes.raw_budget(df, None)
+
+
+def test_topk_reach_is_per_video(spark):
+    rows = [("dense", i, i * 0.01, float(i % 7), 0.0) for i in range(60)] + [("thin", i, i * 3.0, float(i % 5), 0.0) for i in range(10)]
+    df = spark.createDataFrame(rows, "video_id string, sample_index int, timestamp_sec double, histogram_diff_raw double, quality_raw double")
+    got = selection.histogram_topk(df, 3, 2.0).groupBy("video_id").count().collect()
+    assert {r[0]: r[1] for r in got} == {"dense": 3, "thin": 3}

@@ -29,6 +29,55 @@ def test_pending_across_restarts(spark, tmp_path):
     spark.createDataFrame(rows("v1", "v2", "v1"), SCHEMA).write.parquet(feed)
     assert run() == ["v1", "v2"]
     spark.createDataFrame(rows("v2", "v3", "v3"), SCHEMA).write.mode("append").parquet(feed)
-    assert run() == ["v1", "v2", "v3"]
-    assert run() == ["v1", "v2", "v3"]
+    # Only ids that succeeded are done; the failed one is logged.
+    assert run() == ["v1", "v2"]
+    assert run() == ["v1", "v2"]
     assert [r["video_id"] for r in spark.read.json(failed).select("video_id").collect()] == ["v3"]
+
+
+def test_late_ids_and_retries(spark, tmp_path):
+    feed, done, failed, state = (str(tmp_path / n) for n in ("feed", "done", "failed", "state"))
+    schema = spark.createDataFrame([], SCHEMA).schema
+    broken = {"v2"}
+    calls = []
+
+    def process(batch):
+        calls.append(sorted(r[0] for r in batch.select("video_id").collect()))
+        return batch.select("video_id", F.when(F.col("video_id").isin(*broken, "-"), "broken").alias("error"))
+
+    def run(*given):
+        spark.createDataFrame([(v, dt.datetime(*day), "ok") for v, day in given], SCHEMA).write.mode("append").parquet(feed)
+        streams.stream_pending(streams.read_stream(spark, feed, "*.parquet", schema), process, done, failed, state)
+        return sorted(r[0] for r in spark.read.parquet(done).select("video_id").collect())
+
+    assert run(("v1", (2024, 1, 20)), ("v2", (2024, 1, 20))) == ["v1"]
+    # Seen for the first time, with an old event time.
+    assert run(("v0", (2024, 1, 1))) == ["v0", "v1"]
+    # A failed id that comes again is tried again, however late.
+    broken.clear()
+    assert run(("v2", (2024, 3, 1)), ("v1", (2024, 3, 1))) == ["v0", "v1", "v2"]
+    assert calls == [["v1", "v2"], ["v0"], ["v2"]]
+
+
+def test_manifest_updates_across_batches(spark, tmp_path):
+    feed = str(tmp_path / "feed")
+    schema = spark.createDataFrame([], SCHEMA).schema
+    for part in (rows("a", "b"), rows("c"), rows("d", "e", "f")):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(feed)
+    stream = streams.stream_manifest(streams.read_stream(spark, feed, "*.parquet", schema, max_files=1))
+    got = streams.run_to_table(stream, "manifest", "update", ["hour", "status"]).collect()
+    assert [(r["status"], r["n"]) for r in got] == [("ok", 6)]
+
+
+def test_frame_change_out_of_order(spark, tmp_path):
+    feed = str(tmp_path / "feed")
+    schema = "video_id string, sample_index int, vec array<double>"
+    vecs = {0: [1.0, 0.0], 1: [0.0, 1.0], 2: [1.0, 1.0], 3: [1.0, 0.0]}
+    for part in ([0, 2], [1, 3]):
+        df = spark.createDataFrame([("v", i, vecs[i]) for i in part], schema)
+        df.coalesce(1).write.mode("append").parquet(feed)
+    source = streams.read_stream(spark, feed, "*.parquet", df.schema, max_files=1)
+    got = {r[1]: r[2] for r in streams.run_to_table(streams.stream_frame_change(source), "change").collect()}
+    assert got[0] == 0.0 and abs(got[2] - (1 - 2**-0.5)) < 1e-9
+    # Frame 1 came after frame 2: it is compared with frame 0, the newest before it.
+    assert abs(got[1] - 1.0) < 1e-9 and abs(got[3] - (1 - 2**-0.5)) < 1e-9
