@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from framelark.functions.storage import write_through
 from framelark.llm.graph import connected_components
 from framelark.llm.packed import mix, pieces, prefix_hash, ragged, range_hash, text_bytes
-from framelark.llm.sieve import RUNS, block_count, distinct_keys, judge, passed, run_rows, sorted_keys
+from framelark.llm.sieve import RUNS, block_count, codes_of, distinct_keys, judge, run_rows, sorted_keys
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -263,10 +263,11 @@ def ngram_jaccard(
     def sift(key: tuple[pa.Scalar, ...], table: pa.Table, bits: pa.Table) -> pa.Table:
         ids = table.column("_id").combine_chunks()
         if not table.num_rows:
-            grams, bounds, shared = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, bool)
+            grams, bounds, owner, code = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
         else:
             grams, bounds, owner, distinct, _, index = keyed(table)
-            shared = passed(distinct, buckets, bits)[index]
+            code = codes_of(distinct, buckets, bits)[index]
+        shared = code > 0
         size = np.diff(bounds)
         upto = np.r_[0, np.cumsum(shared)]
         marked = upto[bounds[1:]] - upto[bounds[:-1]]
@@ -280,10 +281,19 @@ def ngram_jaccard(
             grams[bounds[i] : bounds[i + 1]][shared[bounds[i] : bounds[i + 1]]].tobytes() if live[i] else None
             for i in range(len(size))
         ]
+        # The global order: by code, then by hash. Unmarked grams stand first, so a prefix has fewer marked ones.
+        length = np.where(live, np.minimum(marked, size - -(-upper * size // lower) + 1 - (size - marked)), 0)
+        marks = np.flatnonzero(shared)
+        marks = marks[np.lexsort((grams[marks], code[marks], owner[marks]))]
+        where = marks[ragged(upto[bounds[:-1]], length)]
+        prefix = pa.ListArray.from_arrays(
+            pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(grams[where].view(np.int64))
+        )
         return pa.table(
             {
                 "_id": ids,
                 "n_shingles": size.astype(np.int64),
+                "prefix": prefix,
                 "h1": pa.array(total(0x1234567), mask=~live),
                 "h2": pa.array(total(0x7654321), mask=~live),
                 "grams": pa.array(sets, pa.binary()),
@@ -292,14 +302,14 @@ def ngram_jaccard(
 
     bits = judge(at_home.applyInArrow(send, RUNS))
     rows = at_home.cogroup(bits.groupBy("block")).applyInArrow(
-        sift, "_id bigint, n_shingles bigint, h1 bigint, h2 bigint, grams binary"
+        sift, "_id bigint, n_shingles bigint, prefix array<bigint>, h1 bigint, h2 bigint, grams binary"
     )
     rows = write_through(rows, "shingles")
     live = rows.filter("h1 IS NOT NULL")
     classes = write_through(live.groupBy("h1", "h2", "n_shingles").agg(F.min("_id").alias("rep")), "classes")
-    reps = live.join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).filter("_id = rep")
-    reps = write_through(reps.select("rep", F.col("n_shingles").alias("n"), "grams").dropDuplicates(["rep"]), "sets")
-    links = _links(reps, upper, lower, group_bytes)
+    first = classes.select(F.col("rep").alias("_first")).distinct()
+    sets = live.select(F.col("_id").alias("rep"), F.col("n_shingles").alias("n"), "prefix", "grams")
+    links = _links(sets, first, upper, lower, group_bytes)
     labels = connected_components(links)
     named = write_through(
         classes.join(labels, F.col("rep") == F.col("node"), "left").select(
@@ -312,58 +322,43 @@ def ngram_jaccard(
     )
 
 
-def _links(reps: DataFrame, upper: int, lower: int, group_bytes: int) -> DataFrame:
-    """Links ``(a, b)`` that connect the sets ``(rep, n, grams)`` as the threshold does."""
-
-    def prefixes(batches):
-        for batch in batches:
-            out_gram, out_rep = [], []
-            names = batch.column(0).to_pylist()
-            for rep, n, raw in zip(names, batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                grams = np.frombuffer(raw, np.uint64)
-                # Unmarked grams stand first in the order, so the prefix is shorter by them.
-                length = n - -(-upper * n // lower) + 1 - (n - len(grams))
-                out_gram.append(grams[:length].view(np.int64))
-                out_rep.append(np.full(min(length, len(grams)), rep, np.int64))
-            if out_gram:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out_gram)), pa.array(np.concatenate(out_rep))], names=["gram", "rep"]
-                )
-
-    postings = write_through(reps.mapInArrow(prefixes, "gram bigint, rep bigint"), "postings")
+def _links(sets: DataFrame, first: DataFrame, upper: int, lower: int, group_bytes: int) -> DataFrame:
+    """Links ``(a, b)`` that connect the ``sets`` of the ids in ``first`` as the threshold does.
+
+    Groups are formed from ids and prefixes; the sets themselves move once, to their unit.
+    """
+    slim = sets.select("rep", "n", "prefix").join(first, F.col("rep") == F.col("_first"), "left_semi")
+    postings = write_through(slim.select("rep", "n", F.explode("prefix").alias("gram")).distinct(), "postings")
     groups = write_through(
         postings.groupBy("gram").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high"), "grams"
     )
     near = postings.join(groups.select("gram", "low"), "gram")
     candidate = connected_components(near.select(F.col("low").alias("a"), F.col("rep").alias("b")))
-    placed = write_through(reps.join(candidate, F.col("rep") == F.col("node")).select("rep", "n", "grams", "component"), "placed")
-    weight = F.sum(F.octet_length("grams") + 64)
+    weight = F.sum(F.col("n") * 8 + 64)
+    members = postings.select("rep", "n").distinct()
+    placed = write_through(members.join(candidate, F.col("rep") == F.col("node")).select("rep", "n", "component"), "placed")
     sizes = write_through(placed.groupBy("component").agg(weight.alias("bytes")), "weights")
     total = sizes.agg(F.sum("bytes"), F.max("bytes")).first()
     tasks = max(12, int((total[0] or 0) // (group_bytes // 4)) + 1)
-    small = placed.join(sizes, "component").filter(F.col("bytes") <= group_bytes).select(
-        F.xxhash64("component").alias("unit"), "rep", "n", "grams"
-    )
-    units = small
+    by_size = placed.join(sizes, "component")
+    units = by_size.filter(F.col("bytes") <= group_bytes).select(F.xxhash64("component").alias("unit"), "rep")
     if (total[1] or 0) > group_bytes:
         # Large candidate groups: one unit per shared prefix gram, cut into pairs of chunks if that is large too.
-        wide = write_through(placed.join(sizes, "component").filter(F.col("bytes") > group_bytes), "wide")
-        shared = near.join(wide.select("rep", "n", "grams"), "rep")
+        wide = write_through(by_size.filter(F.col("bytes") > group_bytes).select(F.col("rep").alias("_wide")), "wide")
+        shared = near.join(wide, F.col("rep") == F.col("_wide"), "left_semi")
         parts = write_through(
             shared.groupBy("gram").agg(weight.alias("w")).select("gram", F.ceil(F.col("w") * 2 / group_bytes).alias("parts")),
             "parts",
         )
-        mine = F.pmod(F.xxhash64("rep"), F.col("parts"))
         split = (
             shared.join(parts, "gram")
-            .withColumn("mine", mine)
+            .withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts")))
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
         )
-        units = small.union(
-            split.select(
-                F.xxhash64("gram", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), "rep", "n", "grams"
-            )
-        )
+        unit = F.xxhash64("gram", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit")
+        units = units.union(split.select(unit, "rep"))
+    units = write_through(units.select("unit", F.col("rep").alias("_member")), "units")
+    units = sets.select("rep", "n", "grams").join(units, F.col("rep") == F.col("_member")).select("unit", "rep", "n", "grams")
 
     def join(table: pa.Table) -> pa.Table:
         by: dict[int, list[int]] = {}

@@ -1,9 +1,11 @@
-"""A lossless sieve: which 64-bit fingerprints occur in two documents or more.
+"""A lossless sieve: which 64-bit fingerprints occur in two documents or more, and in how many.
 
 Blocks of documents send their distinct fingerprints as sorted, delta-coded
-runs, one row per block and bucket; each bucket answers with one bit per
-fingerprint. Fingerprints are cut to 32 bits inside a bucket, so a few pass by
-chance; callers verify what passes.
+runs with counts, one row per block and bucket; each bucket answers with one
+code per fingerprint: 0 for one document, else eight times the binary logarithm
+of their number (a block counts 255 documents at most, so codes of very
+frequent ones are low; the order they give stays the same for all). Fingerprints
+are cut to 32 bits inside a bucket, so a few pass by chance; callers verify.
 """
 
 from __future__ import annotations
@@ -51,14 +53,16 @@ def sorted_keys(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def distinct_keys(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(distinct sorted keys, has two owners, index of each input among the distinct)``."""
+    """``(distinct sorted keys, owners up to 255, index of each input)``; owners must not fall along the input."""
     if not len(keys):
-        return keys, np.zeros(0, bool), np.zeros(0, np.int64)
+        return keys, np.zeros(0, np.uint8), np.zeros(0, np.int64)
     order = np.argsort(keys, kind="stable")
     ks, os_ = keys[order], owners[order]
     new = np.r_[True, ks[1:] != ks[:-1]]
     first = np.flatnonzero(new)
-    several = np.minimum.reduceat(os_, first) != np.maximum.reduceat(os_, first)
+    owner = new.copy()
+    owner[1:] |= os_[1:] != os_[:-1]
+    several = np.minimum(np.add.reduceat(owner, first, dtype=np.int64), 255).astype(np.uint8)
     index = np.empty(len(keys), np.int64)
     index[order] = np.cumsum(new) - 1
     return ks[first], several, index
@@ -77,9 +81,8 @@ def run_rows(block: int, keys: np.ndarray, several: np.ndarray, buckets: int) ->
             continue
         fps = (keys[lo:hi] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         data = pack_ints(np.diff(fps, prepend=np.uint32(0)))
-        bits = np.packbits(several[lo:hi]).tobytes()
         out_bucket.append(b)
-        out_data.append(len(data).to_bytes(8, "little") + data + bits)
+        out_data.append(len(data).to_bytes(8, "little") + data + pack_ints(several[lo:hi]))
     return pa.table(
         {
             "bucket": pa.array(out_bucket, pa.int64()),
@@ -90,26 +93,25 @@ def run_rows(block: int, keys: np.ndarray, several: np.ndarray, buckets: int) ->
 
 
 def _judge(table: pa.Table) -> pa.Table:
-    """One bucket: mark the fingerprints that two blocks, or two documents of a block, hold."""
-    fps, several, sizes = [], [], []
+    """One bucket: add up the documents of each fingerprint."""
+    fps, owners, sizes = [], [], []
     for data in table.column("data").to_pylist():
         n = int.from_bytes(data[:8], "little")
-        part = np.cumsum(unpack_ints(data[8 : 8 + n], np.uint32), dtype=np.uint32)
-        fps.append(part)
-        several.append(np.unpackbits(np.frombuffer(data[8 + n :], np.uint8), count=len(part)).astype(bool))
-        sizes.append(len(part))
-    every, flags = np.concatenate(fps), np.concatenate(several)
+        fps.append(np.cumsum(unpack_ints(data[8 : 8 + n], np.uint32), dtype=np.uint32))
+        owners.append(unpack_ints(data[8 + n :], np.uint8))
+        sizes.append(len(fps[-1]))
+    every = np.concatenate(fps)
     order = np.argsort(every, kind="stable")
     s = every[order]
-    same = s[1:] == s[:-1]
-    twice = np.zeros(len(s), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    # A fingerprint that one block marks holds for every block that has it.
-    flags[order] |= twice
-    bits = [np.packbits(x).tobytes() for x in np.split(flags, np.cumsum(sizes)[:-1])]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    total = np.add.reduceat(np.concatenate(owners)[order], np.flatnonzero(new), dtype=np.int64)
+    code = np.minimum(np.log2(total) * 8, 255).astype(np.uint8)
+    codes = np.empty(len(s), np.uint8)
+    codes[order] = code[np.cumsum(new) - 1]
+    packed = [pack_ints(x) for x in np.split(codes, np.cumsum(sizes)[:-1])]
     return pa.table(
-        {"block": table.column("block"), "bucket": table.column("bucket"), "data": pa.array(bits, pa.binary())}
+        {"block": table.column("block"), "bucket": table.column("bucket"), "data": pa.array(packed, pa.binary())}
     )
 
 
@@ -117,11 +119,10 @@ def judge(runs: DataFrame) -> DataFrame:
     return runs.groupBy("bucket").applyInArrow(_judge, BITS)
 
 
-def passed(keys: np.ndarray, buckets: int, answers: pa.Table) -> np.ndarray:
-    """For each distinct key of a block, whether its bucket marked it."""
+def codes_of(keys: np.ndarray, buckets: int, answers: pa.Table) -> np.ndarray:
+    """For each distinct key of a block, the code that its bucket gave it."""
     bounds = bucket_bounds(keys, buckets)
-    out = np.zeros(len(keys), bool)
+    out = np.zeros(len(keys), np.uint8)
     for b, data in zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist()):
-        n = bounds[b + 1] - bounds[b]
-        out[bounds[b] : bounds[b + 1]] = np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+        out[bounds[b] : bounds[b + 1]] = unpack_ints(data, np.uint8)
     return out

@@ -25,12 +25,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from framelark.llm.packed import BASE_INV, mix, pieces, powers, prefix_hash, ragged, text_bytes
 from framelark.llm.sieve import (
-    bucket_bounds,
     block_count,
+    codes_of,
     distinct_keys,
     judge,
     pack_ints,
-    passed,
     run_rows,
     RUNS,
     sorted_keys,
@@ -331,7 +330,7 @@ def suffix_dedup(
         if table.num_rows and bits.num_rows:
             _, buf, off, ids, known = _block(table)
             pos, row, lo, hi, distinct, _, index = _keyed(buf, off, ids, known, window, gram, buckets)
-            live = np.flatnonzero(passed(distinct, buckets, bits)[index])
+            live = np.flatnonzero(codes_of(distinct, buckets, bits)[index])
             pos, row, lo, hi = pos[live], row[live], lo[live], hi[live]
             home = (distinct[index[live]] >> np.uint64(32)).astype(np.int64)
             del index, distinct
