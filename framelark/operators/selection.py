@@ -97,14 +97,12 @@ def greedy_select(
     """
     cols = [KEY, "sample_index", "timestamp_sec", "scene_id", "local_importance", "fused"]
     sized = frames.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_rows)
-    long_ids = [r[0] for r in sized.select(KEY).toLocalIterator()]
+    long_ids = write_through(sized, "long")
     work = frames.select(*cols)
-    normal = work.filter(~F.col(KEY).isin(long_ids)) if long_ids else work
-    picked = _greedy_grouped(normal, budgets, weights)
-    for video in long_ids:
-        one = work.filter(F.col(KEY) == video)
-        picked = picked.unionByName(_greedy_distributed(one, budgets, weights, max_budget, EVAL_ROWS))
-    return picked
+    if long_ids.isEmpty():
+        return _greedy_grouped(work, budgets, weights)
+    picked = _greedy_grouped(work.join(long_ids, KEY, "left_anti"), budgets, weights)
+    return picked.unionByName(_greedy_distributed(work.join(long_ids, KEY), budgets, weights, max_budget, EVAL_ROWS))
 
 
 def _greedy_grouped(frames: DataFrame, budgets: DataFrame, weights: GreedyWeights) -> DataFrame:
@@ -201,138 +199,159 @@ def _greedy_grouped(frames: DataFrame, budgets: DataFrame, weights: GreedyWeight
 
 
 def _greedy_distributed(
-    video: DataFrame, budgets: DataFrame, weights: GreedyWeights, max_budget: int, eval_rows: int
+    frames: DataFrame, budgets: DataFrame, weights: GreedyWeights, max_budget: int, eval_rows: int
 ) -> DataFrame:
-    """The same choice for one long video, its frames spread over all tasks.
-
-    The driver holds only the chosen frames (at most the budget). The similarity
-    sum of a frame bounds its coverage gain for good, so each round ranks frames
-    by that bound and computes exact gains in batches of ``eval_rows``, each in
-    one pass over the video, until no bound beats the best exact gain.
+    """The same choice for all long videos at once, their frames spread over all tasks.
+
+    A round adds one frame to every video that still wants one, in a fixed number of
+    jobs, so the number of jobs follows the budget and not the number of videos. The
+    similarity sum of a frame bounds its coverage gain for good: a round ranks frames
+    by that bound, computes exact gains of the ``eval_rows`` best per video
+    as sums over blocks of frames, and goes on to the next ones only for videos where
+    a bound still beats the best gain. State is a table of numbers per frame; vectors are
+    stored once.
     """
-    spark = video.sparkSession
-    name = video.select(KEY).first()[0]
-    found = budgets.filter(F.col(KEY) == name).select("raw_budget").first()
-    sizes = video.agg(F.min(F.size("fused")), F.max(F.size("fused")), F.count_if(F.col("fused").isNull())).first()
-    problem = NO_BUDGET if found is None or found[0] is None else None
-    if problem is None and (sizes[2] or sizes[0] != sizes[1]):
-        problem = BAD_VECTOR
-    if problem:
-        return spark.createDataFrame([(name, None, None, None, problem)], _PICK_SCHEMA)
-    wanted = found[0]
-    bounded = video.join(
-        centrality(video, [KEY]).withColumn("sample_index", F.col("sample_index").cast("int")), [KEY, "sample_index"]
+    spark = frames.sparkSession
+    sized = frames.join(budgets.select(KEY, "raw_budget"), KEY, "left")
+    dims = sized.groupBy(KEY).agg(
+        F.max("raw_budget").alias("budget"),
+        (F.count_if(F.col("fused").isNull()) + F.max(F.size("fused")) - F.min(F.size("fused"))).alias("odd"),
     )
-    bounded = write_through(bounded, "greedy")
-    total = bounded.count()
-    budget = min(wanted, total)
-    seeds = scene_seeds(bounded, budgets, max_budget)
-    seed_rows = (
-        bounded.join(seeds.select("sample_index", "seed_rank"), "sample_index").orderBy("seed_rank").collect()
+    problem = F.when(F.col("budget").isNull(), NO_BUDGET).when(F.col("odd") != 0, BAD_VECTOR)
+    dims = write_through(dims.select(KEY, "budget", problem.alias("error")), "long-videos")
+    failed = dims.filter("error IS NOT NULL").select(
+        KEY, *[F.lit(None).cast(t).alias(c) for c, t in (("sample_index", "int"), ("selection_gain", "double"), ("raw_selected_rank", "int"))], "error"
     )
+    good = write_through(frames.join(dims.filter("error IS NULL").select(KEY, "budget"), KEY), "long-good")
+    center = centrality(good, [KEY]).withColumn("sample_index", F.col("sample_index").cast("int"))
+    block = F.floor(F.col("sample_index") / BLOCK).cast("int")
+    table = write_through(good.join(center, [KEY, "sample_index"]).withColumn("blk", block), "long-frames", [KEY, "blk"])
+    plain = table.drop("fused")
+    seeds = scene_seeds(table, budgets, max_budget)
+    seeds = seeds.join(plain.select(KEY, "sample_index", "timestamp_sec", "local_importance"), [KEY, "sample_index"])
+    picks = write_through(seeds.groupBy(KEY).applyInPandas(_apart(weights.min_gap), PICKED), "seeds")
+    state = plain.select(KEY, "sample_index", F.lit(0.0).alias("cover"))
+    state = write_through(_covered(table, state, picks), "cover")
+    for turn in range(max_budget):
+        wanting = dims.filter("error IS NULL").join(picks.groupBy(KEY).agg(F.count(F.lit(1)).alias("have")), KEY, "left")
+        pool = _pool(plain, state, picks, wanting.filter("coalesce(have, 0) < budget").select(KEY), weights)
+        pool = write_through(pool, "pool")
+        if pool.isEmpty():
+            break
+        best, page, after = None, pool, None
+        while True:
+            top = _top(page, eval_rows)
+            exact = write_through(_exact_gains(table, state, top, weights), "gains")
+            best = exact if best is None else write_through(best.unionByName(exact), "gains")
+            row = F.struct("gain", (-F.col("sample_index")).alias("i"))
+            leader = best.groupBy(KEY).agg(F.max(row).alias("r")).select(KEY, F.col("r.gain").alias("gain"), (-F.col("r.i")).alias("sample_index"))
+            leader = write_through(leader, "leader")
+            last = exact.groupBy(KEY).agg(F.min(F.struct("bound", (-F.col("sample_index")).alias("i"))).alias("last"))
+            rest = page.join(last, KEY).filter(F.struct("bound", (-F.col("sample_index")).alias("i")) < F.col("last")).drop("last")
+            page = write_through(rest.join(leader.select(KEY, "gain"), KEY).filter("bound >= gain").drop("gain"), "page")
+            if page.isEmpty():
+                break
+        new = leader.select(KEY, "sample_index", "gain", F.lit(max_budget + turn).alias("ord"))
+        new = write_through(new, "new")
+        state = write_through(_covered(table, state, new), "cover")
+        picks = write_through(picks.unionByName(new), "picks")
+    by_time = W.partitionBy(KEY).orderBy("timestamp_sec", "ord")
+    return failed.unionByName(
+        picks.join(plain.select(KEY, "sample_index", "timestamp_sec"), [KEY, "sample_index"]).select(
+            KEY, "sample_index", F.col("gain").alias("selection_gain"), F.row_number().over(by_time).alias("raw_selected_rank"),
+            F.lit(None).cast("string").alias("error"),
+        )
+    )
 
-    chosen, gains = [], []
 
-    def far(row) -> bool:
-        return all(abs(row["timestamp_sec"] - c["timestamp_sec"]) >= weights.min_gap for c in chosen)
+BLOCK = 1024
+PICKED = f"{KEY} string, sample_index int, gain double, ord int"
 
-    for row in seed_rows:
-        if len(chosen) < budget and far(row):
-            chosen.append(row)
-            gains.append(row["local_importance"])
 
-    gap_rule = True
-    while len(chosen) < budget:
-        best = _best_candidate(bounded, chosen, weights, gap_rule, total, eval_rows)
-        if best is None and gap_rule:
-            gap_rule = False
-            continue
-        if best is None:
-            break
-        gain, row = best
-        chosen.append(row)
-        gains.append(gain)
-
-    order = sorted(range(len(chosen)), key=lambda i: (chosen[i]["timestamp_sec"], i))
-    rank = {i: r for r, i in enumerate(order, start=1)}
-    rows = [
-        (name, int(c["sample_index"]), float(g), rank[i], None) for i, (c, g) in enumerate(zip(chosen, gains))
-    ]
-    return spark.createDataFrame(rows, _PICK_SCHEMA)
-
-
-def _best_candidate(bounded, chosen, weights, gap_rule, total, eval_rows):
-    """Highest exact gain among the frames still open, lowest index on ties."""
-    picks = [list(c["fused"]) for c in chosen]
-    nearest = F.lit(0.0)
-    if picks:
-        nearest = _cover_column(picks)(F.col("fused"))
-    seen = [int(c["scene_id"]) for c in chosen]
-    bonus = F.when(F.col("scene_id").isin(seen), 0.0).otherwise(weights.scene_bonus) if seen else F.lit(weights.scene_bonus)
-    open_rows = ~F.col("sample_index").isin([int(c["sample_index"]) for c in chosen])
-    if gap_rule:
-        for c in chosen:
-            open_rows = open_rows & (F.abs(F.col("timestamp_sec") - float(c["timestamp_sec"])) >= weights.min_gap)
-    # A small margin keeps the bound above rounding differences of the two sums.
-    known = (
-        bounded.filter(open_rows)
-        .withColumn("fixed", F.col("local_importance") + bonus - weights.redundancy * nearest)
-        .withColumn("bound", F.col("fixed") + weights.coverage * F.col("centrality") + 1e-9)
-    )
-    best, last = None, None
-    while True:
-        page = known
-        if last is not None:
-            page = page.filter(
-                (F.col("bound") < last[0]) | ((F.col("bound") == last[0]) & (F.col("sample_index") > last[1]))
-            )
-        batch = page.orderBy(F.desc("bound"), "sample_index").limit(eval_rows).collect()
-        if not batch or (best is not None and batch[0]["bound"] < best[0]):
-            return best
-        extra = _coverage_gains(bounded, picks, batch)
-        for row in batch:
-            gain = row["fixed"] + weights.coverage * extra[row["sample_index"]] / total
-            if best is None or (gain, -row["sample_index"]) > (best[0], -best[1]["sample_index"]):
-                best = (gain, row)
-        last = (batch[-1]["bound"], batch[-1]["sample_index"])
-
-
-def _cover_column(picks):
+def _apart(gap: float):
+    """Seeds of one video (at most its budget) in order of rank, ``gap`` seconds apart."""
+
+    def choose(pdf):
+        kept, times = [], []
+        for row in pdf.sort_values("seed_rank").itertuples():
+            if all(abs(row.timestamp_sec - t) >= gap for t in times):
+                kept.append((row.video_id, row.sample_index, row.local_importance, row.seed_rank))
+                times.append(row.timestamp_sec)
+        return type(pdf)(kept, columns=["video_id", "sample_index", "gain", "ord"])
+
+    return choose
+
+
+def _covered(table: DataFrame, state: DataFrame, picks: DataFrame) -> DataFrame:
+    """``state`` after more picks: the highest similarity of each frame to any pick of its video."""
+    vectors = table.join(picks.select(KEY, "sample_index"), [KEY, "sample_index"]).groupBy(KEY).agg(F.collect_list("fused").alias("picked"))
+
     @F.pandas_udf(DoubleType())
-    def cover(vecs):
+    def nearest(vecs, picked):
         import numpy as np
         import pandas as pd
 
-        if len(vecs) == 0:
-            return pd.Series([], dtype="float64")
-        chosen = np.asarray(picks, dtype="float64").T
-        return pd.Series(np.clip(np.stack(vecs.to_list()) @ chosen, 0.0, 1.0).max(axis=1))
+        return pd.Series([float(np.clip(np.stack(p) @ v, 0.0, 1.0).max()) if p is not None else 0.0 for v, p in zip(vecs, picked)], dtype="float64")
+
+    seen = table.select(KEY, "sample_index", "fused").join(vectors, KEY, "left")
+    seen = seen.select(KEY, "sample_index", nearest("fused", "picked").alias("near"))
+    return state.join(seen, [KEY, "sample_index"]).select(KEY, "sample_index", F.greatest("cover", "near").alias("cover"))
+
+
+def _pool(plain: DataFrame, state: DataFrame, picks: DataFrame, wanting: DataFrame, weights: GreedyWeights) -> DataFrame:
+    """Frames that may come next, with the known part of their gain and a bound of the whole.
+
+    Frames near a pick come only where a video has no others.
+    """
+    known = plain.join(wanting, KEY).join(state, [KEY, "sample_index"])
+    times = picks.join(plain.select(KEY, "sample_index", "timestamp_sec", "scene_id"), [KEY, "sample_index"])
+    lists = times.groupBy(KEY).agg(
+        F.collect_list("timestamp_sec").alias("times"), F.collect_set("scene_id").alias("seen"), F.collect_list("sample_index").alias("taken")
+    )
+    known = known.join(lists, KEY, "left").filter(~F.coalesce(F.array_contains("taken", F.col("sample_index")), F.lit(False)))
+    far = F.coalesce(F.forall("times", lambda t: F.abs(F.col("timestamp_sec") - t) >= weights.min_gap), F.lit(True))
+    known = known.withColumn("far", far)
+    any_far = known.groupBy(KEY).agg(F.bool_or("far").alias("any_far"))
+    bonus = F.when(F.coalesce(F.array_contains("seen", F.col("scene_id")), F.lit(False)), 0.0).otherwise(weights.scene_bonus)
+    fixed = F.col("local_importance") + bonus - weights.redundancy * F.col("cover")
+    # A small margin keeps the bound above rounding differences of the two sums.
+    return (
+        known.join(any_far, KEY).filter("far OR NOT any_far")
+        .select(KEY, "sample_index", "blk", "n", fixed.alias("fixed"), "centrality")
+        .withColumn("bound", F.col("fixed") + weights.coverage * F.col("centrality") + 1e-9).drop("centrality")
+    )
+
 
-    return cover
+def _top(pool: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best bounds of each video, first per block, so that no window sees a whole video."""
+    order = [F.desc("bound"), F.col("sample_index")]
+    head = pool.withColumn("rk", F.row_number().over(W.partitionBy(KEY, "blk").orderBy(*order))).filter(F.col("rk") <= k)
+    return head.withColumn("rk", F.row_number().over(W.partitionBy(KEY).orderBy(*order))).filter(F.col("rk") <= k).drop("rk")
 
 
-def _coverage_gains(bounded, picks, batch) -> dict[int, float]:
-    """Added coverage of each batch row, summed over all frames of the video."""
-    ids = [int(r["sample_index"]) for r in batch]
-    cands = [list(r["fused"]) for r in batch]
+def _exact_gains(table: DataFrame, state: DataFrame, top: DataFrame, weights: GreedyWeights) -> DataFrame:
+    """The gain of each candidate, its coverage summed over the blocks of its video."""
+    blocks = table.select(KEY, "blk").distinct()
+    cands = top.join(table.select(KEY, "sample_index", "fused"), [KEY, "sample_index"]).select(KEY, "sample_index", "fused")
+    sent = cands.join(blocks, KEY)
+    sent = sent.select(*[F.col(c).alias(c) for c in sent.columns])  # columns of its own: both sides come from one table
 
-    def partial(pdfs):
+    def partial(key, frames, cand):
         import numpy as np
         import pandas as pd
 
-        new = np.asarray(cands, dtype="float64").T
-        old = np.asarray(picks, dtype="float64").T if picks else None
-        sums = np.zeros(len(ids))
-        for pdf in pdfs:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf["fused"].to_list())
-            cover = np.clip(x @ old, 0.0, 1.0).max(axis=1) if picks else np.zeros(len(x))
-            sums += (np.maximum(cover[:, None], np.clip(x @ new, 0.0, 1.0)) - cover[:, None]).sum(axis=0)
-        yield pd.DataFrame({"sample_index": ids, "part": sums})
-
-    parts = bounded.select("fused").mapInPandas(partial, "sample_index int, part double")
-    return {r[0]: r[1] for r in parts.groupBy("sample_index").agg(F.sum("part")).collect()}
+        if len(frames) == 0 or len(cand) == 0:
+            return pd.DataFrame({"video_id": [], "sample_index": [], "part": []})
+        x, new = np.stack(frames["fused"].to_list()), np.stack(cand["fused"].to_list()).T
+        cover = frames["cover"].to_numpy()[:, None]
+        sums = (np.maximum(cover, np.clip(x @ new, 0.0, 1.0)) - cover).sum(axis=0)
+        return pd.DataFrame({"video_id": key[0], "sample_index": cand["sample_index"], "part": sums})
+
+    whole = table.select(KEY, "sample_index", "blk", "fused").join(state, [KEY, "sample_index"])
+    parts = whole.groupBy(KEY, "blk").cogroup(sent.groupBy(KEY, "blk")).applyInPandas(partial, f"{KEY} string, sample_index int, part double")
+    sums = parts.groupBy(KEY, "sample_index").agg(F.sum("part").alias("extra"))
+    gain = F.col("fixed") + weights.coverage * F.col("extra") / F.col("n")
+    return top.join(sums, [KEY, "sample_index"]).select(KEY, "sample_index", "bound", gain.alias("gain"))
 
 
 def scene_scores(frames: DataFrame, weights: CompressionWeights = CompressionWeights()) -> DataFrame:
