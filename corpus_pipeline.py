@@ -12,7 +12,7 @@ from framelark.functions.storage import write_through
 from framelark.llm.exact_dedup import drop_copies
 from framelark.llm.ngram_join import ngram_jaccard
 from framelark.llm.packing import pack_documents
-from framelark.llm.quality import classify_quality
+from framelark.llm.quality import classify_quality, text_hash
 from framelark.llm.queries import vocabulary_path
 from framelark.llm.suffix_dedup import suffix_dedup
 
@@ -24,8 +24,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = classify_quality(docs, labels, threshold=0.3)
-    rejected = write_through(scored.filter("predicted = 0").select(F.col("doc_id").alias("_gone")).distinct(), "rejected")
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    rejected = scored.filter("predicted = 0").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_text"))
+    rejected = write_through(rejected.distinct(), "rejected")
+    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (text_hash(F.col("text")) == F.col("_gone_text"))
+    return docs.join(rejected, same, "left_anti")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

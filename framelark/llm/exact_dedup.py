@@ -44,6 +44,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns."""
-    lost = exact_dedup(docs, id_col, text_col, keep).filter(~F.col("kept")).select(F.col(id_col).alias("_lost"))
-    return docs.join(lost.distinct(), F.col(id_col).eqNullSafe(F.col("_lost")), "left_anti")
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns.
+
+    Rows are told apart by id and text, so an id that comes with several texts, or no
+    id at all, loses only the texts that are copies.
+    """
+    lost = exact_dedup(docs, id_col, text_col, keep).filter(~F.col("kept"))
+    lost = lost.select(F.col(id_col).alias("_lost"), F.col("text_sha256").alias("_lost_text")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_lost")) & (F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col("_lost_text"))
+    return docs.join(lost, same, "left_anti")

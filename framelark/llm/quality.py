@@ -131,18 +131,24 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return p[:, 0] / p[:, 2], p[:, 1] / p[:, 2]
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(_id, stats)`` per row, from whole texts."""
+    """``(_id, text_hash, stats)`` per row, from whole texts."""
 
     def run(batches):
         for batch in batches:
             stats = text_statistics(*text_bytes(batch.column(1)))
             flat = pa.array(stats.ravel())
             offsets = pa.array(np.arange(len(stats) + 1, dtype=np.int32) * STATISTICS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["_id", "stats"])
+            lists = pa.ListArray.from_arrays(offsets, flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], names=["_id", "text_hash", "stats"])
 
-    slim = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return slim.mapInArrow(run, "_id bigint, stats array<double>")
+    text = F.col(text_col).cast("string")
+    slim = docs.select(F.col(id_col).cast("bigint").alias("_id"), text.alias("_text"), text_hash(text).alias("text_hash"))
+    return slim.mapInArrow(run, "_id bigint, text_hash bigint, stats array<double>")
 
 
 def fold_is_held_out(id_column: Column) -> Column:
@@ -232,7 +238,7 @@ def classify_quality(
     label_col: str = "quality",
     threshold: float = 0.3,
 ) -> DataFrame:
-    """One row per input row: id, ``held_out``, ``score`` in 0..1, ``predicted``.
+    """One row per input row: id, ``held_out``, ``score`` in 0..1, ``predicted``, ``text_hash``.
 
     Only statistics of the whole text are inputs. The model learns from all labelled
     rows whose crc32(id as text) modulo 5 is not 0; the others are ``held_out``.
@@ -255,11 +261,11 @@ def classify_quality(
 
     def run(batches):
         for batch in batches:
-            score = model.score(_rows(batch, 1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["_id", "score", "predicted"]
-            )
+            score = model.score(_rows(batch, 2))
+            predicted = pa.array((score >= threshold).astype(np.int32))
+            names = ["_id", "score", "predicted", "text_hash"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), predicted, batch.column(1)], names=names)
 
-    return stats.mapInArrow(run, "_id bigint, score double, predicted int").select(
-        F.col("_id").alias(id_col), fold_is_held_out(F.col("_id")).alias("held_out"), "score", "predicted"
+    return stats.mapInArrow(run, "_id bigint, score double, predicted int, text_hash bigint").select(
+        F.col("_id").alias(id_col), fold_is_held_out(F.col("_id")).alias("held_out"), "score", "predicted", "text_hash"
     )

@@ -42,6 +42,17 @@ def test_exact_dedup(spark):
     assert len(copies.columns) == 10
     left = [(r.doc_id, r.text or "") for r in copies.collect()]
     assert {t for _, t in left} == set(groups)
+    want = set()
+    for text, ids in groups.items():
+        known = [i for i in ids if i is not None]
+        want.add((max(known) if known else None, text))
+    assert set(left) == want
+
+
+def test_drop_copies_tells_rows_by_text(spark):
+    rows = [(1, "a"), (2, "a"), (1, "b"), (None, "a"), (None, "c"), (None, None), (3, "")]
+    got = collected(drop_copies(document_frame(spark, rows)).select("doc_id", "text"))
+    assert got == sorted([(2, "a"), (1, "b"), (None, "c"), (3, "")], key=repr)
 
 
 @pytest.mark.parametrize("block", [4_000, 16 << 20])
