@@ -4,9 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Remove, at the end, every scratch table made inside; write the results elsewhere before."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES.remove(made)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for name in made:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only on a local master."""
@@ -21,7 +40,10 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/framelark-{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark).rstrip('/')}/framelark-{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
 
 
 def write_through(df: DataFrame, name: str, cluster_by: list[str] | None = None) -> DataFrame:

@@ -142,7 +142,7 @@ def prompt_alignment(frames: DataFrame, prompts: DataFrame, vec: str = "clip") -
 
 
 def _prompt_alignment_blocks(frames: DataFrame, prompts: DataFrame, vec: str) -> DataFrame:
-    hashed = prompts.select(F.xxhash64("ord", "prompt").alias("h"), "embedding")
+    hashed = prompts.select(F.xxhash64("embedding").alias("h"), "embedding")
     total = prompts.count()
     blocks = max(1, -(-total // PROMPT_BLOCK))
     bank = hashed.groupBy(F.pmod("h", F.lit(blocks)).cast("int").alias("pblock")).agg(

@@ -163,3 +163,15 @@ def test_samples_are_dense_and_the_last_row_of_an_id_wins(spark):
     assert got == [(0, 0), (2, 1), (6, 2), (8, 3)]
     videos = spark.createDataFrame([("v", 1, "test", 3, 0), ("v", 1, "test", 5, 2), ("v", 1, "test", 4, 1)], "video_id string, id int, split string, category int, line int")
     assert splits.category_map(videos, "line").first()["category"] == 5
+
+
+def test_scratch_scope_removes_its_tables(spark):
+    import os
+
+    from framelark.functions.storage import scratch_scope, write_through
+
+    with scratch_scope(spark) as made:
+        assert write_through(spark.range(5).toDF("id"), "scoped").count() == 5
+        folders = [p.removeprefix("file:") for p in made]
+        assert len(folders) == 1 and os.path.isdir(folders[0])
+    assert not os.path.exists(folders[0])
