@@ -14,12 +14,14 @@ from framelark.llm.ngram_join import ngram_jaccard
 from framelark.llm.packing import pack_documents
 from framelark.llm.quality import classify_quality, text_hash
 from framelark.llm.queries import vocabulary_path
+from framelark.llm.shipping import shipped
 from framelark.llm.suffix_dedup import suffix_dedup
 
 #: The greedy and iterative stages have no SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
+@shipped
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -30,11 +32,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(rejected, same, "left_anti")
 
 
+@shipped
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest ``doc_id`` stays."""
     return drop_copies(docs, keep="max")
 
 
+@shipped
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked documents (five-word shingles, similarity of 0.8 or more), the smallest ``doc_id`` stays."""
     found = ngram_jaccard(docs, words=5, threshold=(80, 100))
@@ -42,6 +46,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
+@shipped
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated 50-byte passages are cut from all but the first document; emptied documents go.
 
@@ -55,6 +60,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+@shipped
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of at most 1024 tokens."""
     return pack_documents(docs, vocabulary_path())

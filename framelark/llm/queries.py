@@ -13,6 +13,7 @@ from framelark.llm.line_dedup import line_dedup
 from framelark.llm.ngram_join import ngram_jaccard
 from framelark.llm.packing import pack_documents
 from framelark.llm.quality import classify_quality
+from framelark.llm.shipping import shipped
 from framelark.llm.suffix_dedup import suffix_dedup
 from framelark.llm.url_filter import url_filter
 from framelark.llm.warc import read_warc, write_warc
@@ -29,7 +30,7 @@ def vocabulary_path() -> str:
 
 def query(name: str, sql: str | None = None):
     def add(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = shipped(fn)
         if sql is not None:
             ORACLES[name] = sql
         return fn
