@@ -222,7 +222,7 @@ def ngram_jaccard(
     text_col: str = "text",
     words: int = 3,
     threshold: tuple[int, int] = (90, 100),
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 8 << 20,
     group_bytes: int = 32 << 20,
 ) -> DataFrame:
     """One row per input row: id, ``n_shingles`` (set size) and ``component_id``.

@@ -286,7 +286,7 @@ def suffix_dedup(
     carry: list[str] | None = None,
     window: int = 50,
     gram: int = 24,
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 10 << 20,
     as_text: bool = False,
 ) -> DataFrame:
     """Remove each byte covered by a ``window``-byte string that also starts in a document with a smaller id.
