@@ -279,6 +279,13 @@ def rows_table(columns: dict[str, list]) -> pa.Table:
     return pa.table({k: pa.array(v, pa.binary() if k == "data" else pa.int64()) for k, v in columns.items()})
 
 
+def _sums(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """How many flags are set in each row."""
+    upto = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, out=upto[1:])
+    return (upto[off[1:]] - upto[off[:-1]]).astype(np.int64)
+
+
 def suffix_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -286,7 +293,7 @@ def suffix_dedup(
     carry: list[str] | None = None,
     window: int = 50,
     gram: int = 24,
-    block_bytes: int = 10 << 20,
+    block_bytes: int = 8 << 20,
     as_text: bool = False,
 ) -> DataFrame:
     """Remove each byte covered by a ``window``-byte string that also starts in a document with a smaller id.
@@ -424,25 +431,33 @@ def suffix_dedup(
             gone = least[item] < ids[row]
             np.add.at(change, pos[gone] - hi[gone], 1)
             np.add.at(change, pos[gone] - lo[gone] + window, -1)
-        covered = np.cumsum(change[:-1], dtype=np.int32) > 0
+        np.cumsum(change, out=change)
+        covered = change[:-1] > 0
         del change
-        upto = np.r_[0, np.cumsum(covered)]
-        removed = upto[off[1:]] - upto[off[:-1]]
+        removed = _sums(covered, off)
         edge = covered.copy()
         edge[1:] &= ~covered[:-1]
         inner = off[:-1][off[:-1] < len(buf)]
         edge[inner] = covered[inner]
-        upto = np.r_[0, np.cumsum(edge)]
-        spans = upto[off[1:]] - upto[off[:-1]]
+        spans = _sums(edge, off)
+        del edge
         kept = buf[~covered]
+        del covered
         ends = np.r_[0, np.cumsum(np.diff(off) - removed)]
-        view = memoryview(np.ascontiguousarray(kept))
+        view = memoryview(kept)
         digest = [hashlib.sha256(view[ends[i] : ends[i + 1]]).hexdigest() for i in range(len(ids))]
         if as_text:
-            parts = [bytes(view[ends[i] : ends[i + 1]]).decode("utf-8", "ignore") for i in range(len(ids))]
-        body = pa.array(parts, pa.string()) if as_text else pa.Array.from_buffers(
-            pa.large_binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(kept))]
-        ).cast(pa.binary())
+            # Whole texts stay as they are; cut ones lose the characters that a cut has split.
+            parts = [view[ends[i] : ends[i + 1]] for i in range(len(ids))]
+            parts = [bytes(p).decode("utf-8", "ignore").encode() if r else p for p, r in zip(parts, removed.tolist())]
+            size = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int64)
+            body = pa.Array.from_buffers(pa.large_string(), len(ids), [None, pa.py_buffer(size), pa.py_buffer(b"".join(parts))])
+            body = body.cast(pa.string())
+            del parts
+        else:
+            body = pa.Array.from_buffers(
+                pa.large_binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(kept)]
+            ).cast(pa.binary())
         return pa.table(
             {
                 "_id": table.column("_id"),
