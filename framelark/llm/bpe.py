@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from framelark.llm.packed import ragged
+from framelark.llm.packed import pieces, ragged, slices
 from framelark.llm.word_split import WordCoder, ids_list, read_vocabulary
 
 _SHIFT = 32
@@ -105,7 +105,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         coder = load(path).coder
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             ids, offsets = coder.encode(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids_list(ids, offsets)], names=["_id", "ids"])
 
@@ -122,13 +122,16 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
             lists = batch.column(1)
             offsets = lists.offsets.to_numpy().astype(np.int64)
             ids = lists.values.to_numpy(zero_copy_only=False)
-            raw, ends = pairs.decode(ids[offsets[0] : offsets[-1]].astype(np.int64), offsets - offsets[0])
-            view = raw.tobytes()
-            texts = [
-                view[a:b].decode("utf-8", "replace") if ok else None
-                for a, b, ok in zip(ends[:-1], ends[1:], lists.is_valid().to_pylist())
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_id", "text"])
+            for first, last in pieces(offsets, 1 << 18):
+                own = offsets[first : last + 1]
+                raw, ends = pairs.decode(ids[own[0] : own[-1]].astype(np.int64), own - own[0])
+                view = raw.tobytes()
+                texts = [
+                    view[a:b].decode("utf-8", "replace") if ok else None
+                    for a, b, ok in zip(ends[:-1], ends[1:], lists[first:last].is_valid().to_pylist())
+                ]
+                some = batch.column(0)[first:last]
+                yield pa.RecordBatch.from_arrays([some, pa.array(texts, pa.string())], names=["_id", "text"])
 
     slim = encoded.select(F.col(id_col).cast("bigint").alias("_id"), F.col(ids_col).cast("array<int>").alias("_ids"))
     return slim.mapInArrow(run, "_id bigint, text string").withColumnRenamed("_id", id_col)
@@ -143,7 +146,7 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches):
         pairs = load(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             ids, offsets = pairs.coder.encode(batch.column(1))
             raw, ends = pairs.decode(ids, offsets)
             code, text = memoryview(ids.astype("<u4")), memoryview(raw)

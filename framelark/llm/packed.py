@@ -82,3 +82,10 @@ def pieces(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
         out.append((first, last))
         first = last
     return out
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20):
+    """Parts of a batch that hold about ``most`` bytes of a text column each, so that work on them stays small."""
+    _, off = text_bytes(batch.column(column))
+    for first, last in pieces(off, most):
+        yield batch.slice(first, last - first)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from framelark.functions.storage import write_through
-from framelark.llm.packed import ragged
+from framelark.llm.packed import ragged, slices
 from framelark.llm.word_split import WordCoder, ids_list, read_vocabulary
 
 _CODERS: dict[str, WordCoder] = {}
@@ -113,7 +113,7 @@ def tokenised_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, tok
 
     def run(batches):
         coder = library_coder(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             ids, off = coder.encode(batch.column(2))
             n = len(off) - 1
             if end_id is not None:
