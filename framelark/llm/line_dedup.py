@@ -16,8 +16,8 @@ def _ranked(groups: DataFrame, order: list[str]) -> DataFrame:
     return groups.orderBy(*order).withColumn("rank", F.monotonically_increasing_id())
 
 
-def _repeated(runs: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``(doc, row, at, rank, first_doc, first_at)`` of the runs that occur at two places or more.
+def _repeated(runs: DataFrame, order: list[str], name: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc, row, at, rank, first_doc, first_at)`` and ``carry`` of the runs that occur at two places or more.
 
     Equal runs share a rank, and ranks are in the order of the runs: a slice of the
     suffix array of line ids. ``first`` is the earliest place.
@@ -30,19 +30,14 @@ def _repeated(runs: DataFrame, order: list[str], name: str) -> DataFrame:
     groups = write_through(_ranked(groups.drop("n"), order), f"{name}-ranks")
     return write_through(
         runs.join(groups, order)
-        .select("doc", "row", "at", "rank", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"))
+        .select("doc", "row", "at", "rank", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"), *carry)
         .distinct(),
         name,
     )
 
 
-def line_ranks(docs: DataFrame, id_col: str, text_col: str, separator: str, length: int) -> DataFrame:
-    """Places where a run of ``length`` lines starts that occurs twice or more, by prefix doubling.
-
-    Round k ranks the runs of 2**k lines by the pair of ranks of their halves. Only runs
-    that repeat go on: a run can repeat only if both halves do. The last step
-    joins two overlapping runs of a power of two to the length asked for.
-    """
+def repeated_lines(docs: DataFrame, id_col: str, text_col: str, separator: str) -> DataFrame:
+    """Places of the lines that occur twice or more, with their ``size`` in bytes."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     single = (
         docs.select(
@@ -53,10 +48,21 @@ def line_ranks(docs: DataFrame, id_col: str, text_col: str, separator: str, leng
         .filter("doc IS NOT NULL")
         .select(
             "doc", "row", F.col("at").cast("bigint").alias("at"),
-            F.xxhash64("line").alias("r1"), F.crc32(F.encode("line", "utf-8")).alias("r2"),
+            F.xxhash64("line").alias("r1"), F.crc32(F.encode("line", "utf-8")).alias("r2"), F.octet_length("line").alias("size"),
         )
     )
-    level, size = _repeated(single, ["r1", "r2"], "lines"), 1
+    return _repeated(single, ["r1", "r2"], "lines", ("size",))
+
+
+def line_ranks(lines: DataFrame, length: int) -> DataFrame:
+    """Places where a run of ``length`` lines starts that occurs twice or more, by prefix doubling.
+
+    Round k ranks the runs of 2**k lines by the pair of ranks of their halves. Only runs
+    that repeat go on: a run can repeat only if both halves do. The last step
+    joins two overlapping runs of a power of two to the length asked for. ``lines`` are the
+    repeated single lines.
+    """
+    level, size = lines.drop("size"), 1
     while size < length:
         step = min(size, length - size)
         right = level.select("doc", "row", (F.col("at") - step).alias("at"), F.col("rank").alias("r2"))
@@ -65,31 +71,58 @@ def line_ranks(docs: DataFrame, id_col: str, text_col: str, separator: str, leng
     return level
 
 
+def short_copies(docs: DataFrame, id_col: str, text_col: str, separator: str, length: int) -> DataFrame:
+    """``(doc, row, at, lines)`` of whole texts of fewer than ``length`` lines, not empty, that a smaller id has too."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    short = (
+        docs.select(
+            F.col(id_col).cast("bigint").alias("doc"), F.xxhash64(text).alias("row"),
+            F.crc32(F.encode(text, "utf-8")).alias("r2"), F.size(F.split(text, separator, -1)).alias("lines"), (text == "").alias("empty"),
+        )
+        .filter((F.col("lines") < length) & ~F.col("empty") & F.col("doc").isNotNull())
+        .drop("empty")
+    )
+    short = write_through(short.distinct(), "short")
+    groups = short.groupBy("row", "r2").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")).filter("n > 1")
+    later = short.join(groups, ["row", "r2"]).filter(F.col("first") < F.col("doc"))
+    return later.select("doc", "row", F.lit(0).cast("bigint").alias("at"), "lines")
+
+
 RESULT = "_id bigint, n_lines bigint, n_removed bigint, n_spans bigint, longest bigint, kept_sha256 string, kept string"
 
 
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, separator: str = "\n"
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, separator: str = "\n",
+    long_bytes: int | None = None, whole_copies: bool = False,
 ) -> DataFrame:
     """Delete each line covered by a run of ``min_lines`` lines that also starts earlier.
 
-    Earlier: in a document with a smaller id, or further up in the same one. Runs of
+    With ``long_bytes`` a single line of that many bytes or more is such a run by itself, and
+    with ``whole_copies`` so is the whole text of a document of fewer than ``min_lines`` lines
+    that a document with a smaller id has as its whole text. Earlier: in a document with a smaller id, or further up in the same one. Runs of
     ``min_lines`` with equal rank are the intervals of the suffix array whose common
     prefix is that long; overlapping ones merge into maximal repeated runs. Returns per
     row: id, ``n_lines``, ``n_removed``, ``n_spans`` (maximal deleted runs), ``longest``
     (lines of the longest), ``kept_sha256`` and ``kept`` (the remaining lines, joined again).
 
     * lines are compared by 96 bits of hash; ``separator`` is one character.
-    * null text counts as the empty text, which is one empty line; texts of fewer than
-      ``min_lines`` lines keep everything.
+    * null text counts as the empty text, which is one empty line; without ``long_bytes`` and
+      ``whole_copies``, texts of fewer than ``min_lines`` lines keep everything.
     * rows with null id neither delete nor lose anything.
     * rows that repeat an id are one document whose rows number their lines alike:
       equal rows delete nothing from each other.
     * an empty table gives an empty result; other columns are not read.
     """
-    runs = line_ranks(docs, id_col, text_col, separator, min_lines)
+    single = repeated_lines(docs, id_col, text_col, separator)
+    runs = line_ranks(single, min_lines)
     earlier = (F.col("first_doc") < F.col("doc")) | ((F.col("first_doc") == F.col("doc")) & (F.col("first_at") < F.col("at")))
-    starts = runs.filter(earlier).groupBy("doc", "row").agg(F.collect_list("at").alias("starts"))
+    spans = runs.filter(earlier).select("doc", "row", "at", F.lit(min_lines).alias("lines"))
+    if long_bytes is not None:
+        long = single.filter(earlier & (F.col("size") >= long_bytes))
+        spans = spans.unionByName(long.select("doc", "row", "at", F.lit(1).alias("lines")))
+    if whole_copies:
+        spans = spans.unionByName(short_copies(docs, id_col, text_col, separator, min_lines))
+    starts = spans.groupBy("doc", "row").agg(F.collect_list(F.struct("at", "lines")).alias("starts"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_row"))
     rows = rows.join(starts, (F.col("_id") == F.col("doc")) & (F.col("_row") == F.col("row")), "left")
@@ -100,8 +133,8 @@ def line_dedup(
             for name, whole, at in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2))):
                 lines = whole.split(separator)
                 gone = np.zeros(len(lines), bool)
-                for a in at or ():
-                    gone[a : a + min_lines] = True
+                for x in at or ():
+                    gone[x["at"] : x["at"] + x["lines"]] = True
                 edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
                 spans = edges[1::2] - edges[::2]
                 kept = separator.join(x for x, g in zip(lines, gone.tolist()) if not g) if len(spans) else whole

@@ -76,7 +76,7 @@ def op3(spark, sf):
 
 @query("op4_line_dedup")
 def op4(spark, sf):
-    return line_dedup(read(spark, sf, "documents"), min_lines=2).drop("kept")
+    return line_dedup(read(spark, sf, "documents"), min_lines=2, long_bytes=50, whole_copies=True).drop("kept")
 
 
 @query("op5_bpe")

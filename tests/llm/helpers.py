@@ -110,8 +110,10 @@ def brute_jaccard(rows, words: int, upper: int, lower: int):
     return sorted(((i, len(s), None if i is None else find(i)) for i, s in zip(ids, sets)), key=repr)
 
 
-def brute_lines(rows, least: int):
+def brute_lines(rows, least: int, long_bytes: int | None = None, whole_copies: bool = False):
     first: dict[tuple, tuple] = {}
+    first_line: dict[str, tuple] = {}
+    first_text: dict[str, int] = {}
     split = [(t or "").split("\n") for _, t in rows]
     for (i, _), lines in zip(rows, split):
         if i is None:
@@ -119,12 +121,21 @@ def brute_lines(rows, least: int):
         for j in range(len(lines) - least + 1):
             w = tuple(lines[j : j + least])
             first[w] = min(first.get(w, (i, j)), (i, j))
+        for j, line in enumerate(lines):
+            first_line[line] = min(first_line.get(line, (i, j)), (i, j))
+        text = "\n".join(lines)
+        first_text[text] = min(first_text.get(text, i), i)
     out = []
     for (i, t), lines in zip(rows, split):
         gone = [False] * len(lines)
         for j in range(len(lines) - least + 1):
             if i is not None and first[tuple(lines[j : j + least])] < (i, j):
                 gone[j : j + least] = [True] * least
+        if i is not None and long_bytes is not None:
+            for j, line in enumerate(lines):
+                gone[j] |= len(line.encode()) >= long_bytes and first_line[line] < (i, j)
+        if i is not None and whole_copies and t and len(lines) < least and first_text[t] < i:
+            gone = [True] * len(lines)
         spans, run = [], 0
         for g in [*gone, False]:
             if g:

@@ -128,6 +128,29 @@ def test_line_dedup(spark, least):
     assert collected(line_dedup(document_frame(spark, rows), min_lines=least).drop("kept")) == brute_lines(rows, least)
 
 
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_line_dedup_of_long_lines_and_whole_copies(spark, least):
+    rows = [r for r in odd_documents() if r[0] != 1]
+    passage = prose(random.Random(7), 60)
+    rows += [(600, f"head\n{passage}\ntail"), (601, f"{passage}\nother"), (602, f"a1\n{passage}\n{passage}\na2")]
+    rows += [(603, "short"), (604, "short"), (605, "short\nx1"), (606, "x2\nshort"), (None, "short"), (607, "é" * 25), (608, "é" * 25 + "\nz")]
+    got = line_dedup(document_frame(spark, rows), min_lines=least, long_bytes=50, whole_copies=True)
+    assert collected(got.drop("kept")) == brute_lines(rows, least, 50, True)
+    if least == 2:
+        kept = {r.doc_id: r.kept for r in got.collect()}
+        assert [kept[i] for i in (601, 602, 603, 604, 606, 608)] == ["other", "a1\na2", "short", "", "x2\nshort", "z"]
+
+
+def test_query_of_lines_leaves_no_later_copy_of_a_passage(spark, tmp_path):
+    from framelark.llm.queries import QUERIES
+
+    passage = prose(random.Random(8), 60)
+    rows = [(1, f"a\n{passage}"), (2, f"b\n{passage}\nc"), (3, "one line"), (4, "one line")]
+    document_frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op4_line_dedup"](spark, str(tmp_path))
+    assert {r.doc_id: r.n_removed for r in got.collect()} == {1: 0, 2: 1, 3: 0, 4: 1}
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(50)] + [(7, 7), (None, 3)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(9)).collect()))
