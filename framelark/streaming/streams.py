@@ -3,20 +3,57 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from framelark.functions.partitioned import block_of, dense_index, with_neighbors
 from framelark.functions.storage import scratch_path
+from framelark.functions.vectors import as_double, dot
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class BatchStream:
+    """A stream whose result is computed trigger by trigger with plain batch operations.
+
+    ``step(batch, number, kept)`` returns the rows of a trigger; ``kept`` is a folder for what
+    later triggers need.
+    """
+
+    stream: DataFrame
+    step: Callable[[DataFrame, int, str], DataFrame]
+    schema: str
+
+    def run(self, out: str, checkpoint: str) -> DataFrame:
+        """Take all files present now; later calls with the same folders go on from there.
+
+        A batch that runs again after a crash overwrites its own folders.
+        """
+        spark, step = self.stream.sparkSession, self.step
+        empty = spark.createDataFrame([], f"{self.schema}, batch bigint")
+        empty.write.mode("append").partitionBy("batch").parquet(out)
+
+        def write(batch: DataFrame, number: int) -> None:
+            step(batch, number, f"{checkpoint}-kept").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+        query = (
+            self.stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        return spark.read.schema(empty.schema).parquet(out).drop("batch")
+
+
+def run_to_table(stream: DataFrame | BatchStream, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Run a stream over all files present now and return what it wrote.
 
     ``update`` output keeps, per ``keys``, the row of the latest batch that changed it:
     every batch adds only its changed rows, under its own number.
     """
+    if isinstance(stream, BatchStream):
+        spark = stream.stream.sparkSession
+        return stream.run(scratch_path(spark, name), scratch_path(spark, f"{name}-state"))
     spark = stream.sparkSession
     out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
     writer = stream.writeStream.option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True)
@@ -95,74 +132,63 @@ def stream_manifest(stream: DataFrame, time: str = "ts", late: str = "1 hour", w
     )
 
 
-def frame_change_processor(kept: int = 64):
-    """Processor with the newest ``kept`` vectors of each key as state; emits 1 - cosine to the frame before.
+BAD_FRAME = "sample_index or vector missing, or vectors of different lengths"
 
-    The rows of a key are taken one Arrow batch at a time. A frame that arrives after newer
-    ones is compared with the newest stored frame before it; a frame older
-    than all stored ones has nothing before it and gets 0.
+
+def frame_changes(batch: DataFrame, number: int, kept: str) -> DataFrame:
+    """``1 - cosine`` of each frame of a trigger to the newest frame before it, here or in earlier triggers.
+
+    Frames are stored per trigger and by parts of the id's hash. Positions of all frames known for
+    the parts of this trigger give the frame before, block by block; only the vectors of those frames
+    are joined. A row without index or vector, or with one of another length, is an error.
     """
+    spark = batch.sparkSession
+    fields = batch.select("video_id", "sample_index", "vec").schema
+    stored = StructType(
+        [
+            StructField("key", StringType()), fields["video_id"], fields["sample_index"],
+            StructField("vecs", ArrayType(fields["vec"].dataType)), StructField("n", LongType()),
+            StructField("batch", LongType()), StructField("part", IntegerType()),
+        ]
+    )
+    # Null ids are one video, apart from the empty id.
+    key = F.coalesce(F.concat(F.lit("="), "video_id"), F.lit("")).alias("key")
+    fresh = (
+        batch.select(key, "video_id", "sample_index", "vec").groupBy("key", "video_id", "sample_index")
+        .agg(F.collect_list("vec").alias("vecs"), F.count(F.lit(1)).alias("n"))
+        .withColumn("part", F.pmod(F.xxhash64("key"), F.lit(HISTORY_PARTS)).cast("int"))
+    )
+    fresh.write.mode("overwrite").partitionBy("part").parquet(f"{kept}/batch={number}")
+    known = spark.read.schema(stored).parquet(kept).filter(F.col("batch") <= number)
+    parts = [r[0] for r in known.filter(F.col("batch") == number).select("part").distinct().collect()]  # at most HISTORY_PARTS
+    known = known.filter(F.col("part").isin(parts))
+    places = known.groupBy("key", "sample_index").agg(F.max("batch").alias("batch"))
+    places = dense_index(places, ["key"], block_of("sample_index"), ["sample_index"], "pos")
+    before = with_neighbors(places, ["key"], "pos", ["sample_index", "batch"], after=False).filter(F.col("batch") == number)
+    before = before.select("key", "sample_index", F.col("prev_sample_index").alias("at"), F.col("prev_batch").alias("in_batch"))
+    # A frame that came twice in a trigger counts with its largest vector.
+    earlier = known.select("key", F.col("sample_index").alias("at"), F.col("batch").alias("in_batch"), F.array_max("vecs").alias("prev"))
+    now = known.filter(F.col("batch") == number).join(before, ["key", "sample_index"], "left")
+    rows = now.join(earlier, ["key", "at", "in_batch"], "left").withColumn("bad", F.col("sample_index").isNull() | (F.size("vecs") != F.col("n")))
+    vecs = F.when(F.col("bad"), F.raise_error(F.lit(BAD_FRAME)).cast(stored["vecs"].dataType)).otherwise(F.col("vecs"))
+    rows = rows.select("video_id", "sample_index", "at", as_double(F.col("prev")).alias("prev"), F.explode(vecs).alias("vec"))
+    cur, prev = as_double(F.col("vec")), F.col("prev")
+    norms = F.greatest(F.sqrt(dot(prev, prev)), F.lit(1e-8)) * F.greatest(F.sqrt(dot(cur, cur)), F.lit(1e-8))
+    cosine = dot(prev, cur) / norms
+    # greatest and least take NaN as the largest number.
+    cosine = F.when(F.isnan(cosine), cosine).otherwise(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0)))
+    change = (
+        F.when(F.col("at").isNull(), 0.0)
+        .when(F.size(prev) != F.size(cur), F.raise_error(F.lit(BAD_FRAME)).cast("double"))
+        .otherwise(1.0 - cosine)
+    )
+    return rows.select(F.col("video_id").cast("string"), F.col("sample_index").cast("int"), change.alias("change"))
 
-    class FrameChange(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.near = handle.getMapState("near", "sample_index int", "vec array<double>")
-
-        def handleInputRows(self, key, rows, timerValues):
-            import bisect
-
-            import numpy as np
-            import pandas as pd
-
-            have = {int(k[0]): np.asarray(v[0]) for k, v in self.near.iterator()}
-            stored, order = set(have), sorted(have)
-            for frame in rows:
-                frame = frame.sort_values("sample_index")
-                changes = []
-                for index, vec in zip(frame["sample_index"].tolist(), frame["vec"]):
-                    cur = np.asarray(vec, dtype="float64")
-                    at = bisect.bisect_left(order, index)
-                    if at == 0:
-                        changes.append(0.0)
-                    else:
-                        prev = have[order[at - 1]]
-                        norm = max(np.linalg.norm(prev), 1e-8) * max(np.linalg.norm(cur), 1e-8)
-                        changes.append(1.0 - float(np.clip(prev @ cur / norm, -1.0, 1.0)))
-                    if index not in have:
-                        order.insert(at, index)
-                    have[index] = cur
-                    if len(order) > kept:
-                        del have[order.pop(0)]
-                yield pd.DataFrame(
-                    {"video_id": key[0], "sample_index": frame["sample_index"].to_numpy(), "change": changes}
-                )
-            for gone in stored - set(have):
-                self.near.removeKey((gone,))
-            for index in order:
-                self.near.updateValue((index,), (have[index].tolist(),))
-
-        def close(self) -> None:
-            pass
-
-    return FrameChange()
-
-
-def stream_frame_change(stream: DataFrame) -> DataFrame:
+
+def stream_frame_change(stream: DataFrame) -> BatchStream:
     """Change of each frame of a live feed against the frame before it.
 
-    A call holds one Arrow batch of a key and its state; ``read_stream(max_files=...)`` bounds a
-    trigger.
+    The first frame of a video gets 0. A frame that arrives after newer ones is compared with the
+    newest frame before it that has come by then, however old; rows given out before are not changed.
     """
-    stream.sparkSession.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    return (
-        stream.select("video_id", "sample_index", "vec")
-        .groupBy("video_id")
-        .transformWithStateInPandas(
-            statefulProcessor=frame_change_processor(),
-            outputStructType="video_id string, sample_index int, change double",
-            outputMode="Append",
-            timeMode="None",
-        )
-    )
+    return BatchStream(stream.select("video_id", "sample_index", "vec"), frame_changes, "video_id string, sample_index int, change double")

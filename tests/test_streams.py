@@ -1,6 +1,8 @@
 """Streams against the batch result, and across restarts."""
 
 import datetime as dt
+import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -81,3 +83,37 @@ def test_frame_change_out_of_order(spark, tmp_path):
     assert got[0] == 0.0 and abs(got[2] - (1 - 2**-0.5)) < 1e-9
     # Frame 1 came after frame 2: it is compared with frame 0, the newest before it.
     assert abs(got[1] - 1.0) < 1e-9 and abs(got[3] - (1 - 2**-0.5)) < 1e-9
+
+
+def test_frame_change_of_a_shuffled_video_in_small_arrow_batches(spark, tmp_path):
+    feed, out, state = (str(tmp_path / n) for n in ("feed", "out", "state"))
+    schema = "video_id string, sample_index int, vec array<double>"
+    rnd = random.Random(6)
+    vecs = {i: [rnd.random() for _ in range(3)] for i in range(1000)}
+    late = {3, 500, 501, 996}
+
+    def run(frames):
+        df = spark.createDataFrame([("v", i, vecs[i]) for i in frames], schema)
+        df.repartition(5).write.mode("append").parquet(feed)
+        source = streams.stream_frame_change(streams.read_stream(spark, feed, "*.parquet", df.schema))
+        return {r[1]: r[2] for r in source.run(out, state).collect()}
+
+    def change(i, known):
+        before = max((j for j in known if j < i), default=None)
+        if before is None:
+            return 0.0
+        a, b = vecs[before], vecs[i]
+        return 1 - sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+
+    first = [i for i in range(1000) if i not in late]
+    rnd.shuffle(first)
+    rows_before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = run(first)
+        assert len(got) == 996 and all(abs(got[i] - change(i, first)) < 1e-9 for i in first)
+        # Late frames, most of them older than the newest 64: the frames before them are still known.
+        got = run(sorted(late, reverse=True))
+        assert len(got) == 1000 and all(abs(got[i] - change(i, vecs)) < 1e-9 for i in late)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_before)
