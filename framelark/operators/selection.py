@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
@@ -43,8 +44,8 @@ ABLATION_GREEDY = GreedyWeights(coverage=0.25, scene_bonus=0.08, redundancy=0.18
 ABLATION_COMPRESSION = CompressionWeights(scene=0.55, duration=0.25, prompt=0.20)
 
 
-def scene_seeds(frames: DataFrame, budgets: DataFrame, max_budget: int) -> DataFrame:
-    """Best frame of each of the strongest scenes, at most ``raw_budget`` per video."""
+def scene_seeds(frames: DataFrame, budgets: DataFrame, max_budget: int | None = None) -> DataFrame:
+    """Best frame of each of the strongest scenes, at most ``raw_budget`` per video (and ``max_budget``, if given)."""
     scored = (
         frames.select(KEY, "scene_id", "sample_index", "local_importance")
         .join(
@@ -64,7 +65,7 @@ def scene_seeds(frames: DataFrame, budgets: DataFrame, max_budget: int) -> DataF
     order = W.partitionBy(KEY).orderBy(F.desc("strength"), "scene_id")
     return (
         scenes.withColumn("seed_rank", F.row_number().over(order))
-        .filter(F.col("seed_rank") <= max_budget)
+        .filter(F.lit(True) if max_budget is None else F.col("seed_rank") <= max_budget)
         .join(budgets.select(KEY, "raw_budget"), KEY)
         .filter("seed_rank <= raw_budget")
         .select(KEY, "scene_id", "sample_index", "strength", "seed_rank")
@@ -94,6 +95,7 @@ def greedy_select(
     Videos of up to ``group_rows`` frames are handled one per group. Longer ones
     are never put in one task: see ``_greedy_distributed``. Either way a video without a
     budget, or with a vector of another length or none, gives one row with ``error``.
+    ``max_budget`` is the largest budget a caller expects; it limits neither path.
     """
     cols = [KEY, "sample_index", "timestamp_sec", "scene_id", "local_importance", "fused"]
     sized = frames.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_rows)
@@ -102,7 +104,7 @@ def greedy_select(
     if long_ids.isEmpty():
         return _greedy_grouped(work, budgets, weights)
     picked = _greedy_grouped(work.join(long_ids, KEY, "left_anti"), budgets, weights)
-    return picked.unionByName(_greedy_distributed(work.join(long_ids, KEY), budgets, weights, max_budget, EVAL_ROWS))
+    return picked.unionByName(_greedy_distributed(work.join(long_ids, KEY), budgets, weights, EVAL_ROWS))
 
 
 def _greedy_grouped(frames: DataFrame, budgets: DataFrame, weights: GreedyWeights) -> DataFrame:
@@ -199,11 +201,11 @@ def _greedy_grouped(frames: DataFrame, budgets: DataFrame, weights: GreedyWeight
 
 
 def _greedy_distributed(
-    frames: DataFrame, budgets: DataFrame, weights: GreedyWeights, max_budget: int, eval_rows: int
+    frames: DataFrame, budgets: DataFrame, weights: GreedyWeights, eval_rows: int
 ) -> DataFrame:
     """The same choice for all long videos at once, their frames spread over all tasks.
 
-    A round adds one frame to every video that still wants one, in a fixed number of
+    A round adds one frame to every video that still wants one, until none does, in a fixed number of
     jobs, so the number of jobs follows the budget and not the number of videos. The
     similarity sum of a frame bounds its coverage gain for good: a round ranks frames
     by that bound, computes exact gains of the ``eval_rows`` best per video
@@ -227,12 +229,12 @@ def _greedy_distributed(
     block = F.floor(F.col("sample_index") / BLOCK).cast("int")
     table = write_through(good.join(center, [KEY, "sample_index"]).withColumn("blk", block), "long-frames", [KEY, "blk"])
     plain = table.drop("fused")
-    seeds = scene_seeds(table, budgets, max_budget)
+    seeds = scene_seeds(table, budgets)
     seeds = seeds.join(plain.select(KEY, "sample_index", "timestamp_sec", "local_importance"), [KEY, "sample_index"])
     picks = write_through(seeds.groupBy(KEY).applyInPandas(_apart(weights.min_gap), PICKED), "seeds")
     state = plain.select(KEY, "sample_index", F.lit(0.0).alias("cover"))
     state = write_through(_covered(table, state, picks), "cover")
-    for turn in range(max_budget):
+    for turn in count():
         wanting = dims.filter("error IS NULL").join(picks.groupBy(KEY).agg(F.count(F.lit(1)).alias("have")), KEY, "left")
         pool = _pool(plain, state, picks, wanting.filter("coalesce(have, 0) < budget").select(KEY), weights)
         pool = write_through(pool, "pool")
@@ -251,7 +253,7 @@ def _greedy_distributed(
             page = write_through(rest.join(leader.select(KEY, "gain"), KEY).filter("bound >= gain").drop("gain"), "page")
             if page.isEmpty():
                 break
-        new = leader.select(KEY, "sample_index", "gain", F.lit(max_budget + turn).alias("ord"))
+        new = leader.select(KEY, "sample_index", "gain", F.lit(AFTER_SEEDS + turn).alias("ord"))
         new = write_through(new, "new")
         state = write_through(_covered(table, state, new), "cover")
         picks = write_through(picks.unionByName(new), "picks")
@@ -265,6 +267,7 @@ def _greedy_distributed(
 
 
 BLOCK = 1024
+AFTER_SEEDS = 1 << 30
 PICKED = f"{KEY} string, sample_index int, gain double, ord int"
 
 

@@ -77,6 +77,15 @@ def test_greedy(videos, monkeypatch, group_rows):
         assert [r["sample_index"] for r in in_time] == sorted(want)
 
 
+@pytest.mark.parametrize("group_rows", [2048, 20])
+def test_greedy_takes_budgets_above_max_budget(videos, group_rows):
+    frames, budgets, truth = videos
+    got = selection.greedy_select(frames, budgets, max_budget=3, group_rows=group_rows).collect()
+    for key, want in truth.items():
+        mine = {r["sample_index"]: r["selection_gain"] for r in got if r["video_id"] == key}
+        assert mine == pytest.approx(want)
+
+
 def test_greedy_keeps_going_after_a_bad_video(spark, videos):
     frames, budgets, truth = videos
     bad = spark.createDataFrame(
