@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and their SQL."""
+"""The registered queries of the numbered operators, and their SQL."""
 
 from __future__ import annotations
 
@@ -10,22 +10,25 @@ from framelark.llm.bpe import bpe_round_trip
 from framelark.llm.exact_dedup import exact_dedup
 from framelark.llm.lattice_dedup import lattice_near_dedup
 from framelark.llm.line_dedup import line_dedup
+from framelark.llm.mixing import mix_sources
 from framelark.llm.ngram_join import ngram_jaccard
 from framelark.llm.packing import pack_documents
 from framelark.llm.quality import classify_quality
 from framelark.llm.shipping import shipped
 from framelark.llm.suffix_dedup import suffix_dedup
+from framelark.llm.token_alignment import alignment_report
 from framelark.llm.url_filter import url_filter
+from framelark.llm.vector_codes import compress_vectors
 from framelark.llm.warc import read_warc, write_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def query(name: str, sql: str | None = None):
@@ -150,3 +153,79 @@ def op9(spark, sf):
 @query("op10_quality_classifier")
 def op10(spark, sf):
     return classify_quality(read(spark, sf, "documents"), read(spark, sf, "labels"), threshold=0.3)
+
+
+@query(
+    "op11_source_mixing",
+    r"""
+    WITH sized AS (
+      SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+    ), sources AS (
+      SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_rows, row_number() OVER (ORDER BY source NULLS LAST) AS place
+      FROM sized GROUP BY 1
+    ), weighted AS (
+      SELECT *, [3, 1, 2][CAST((place - 1) % 3 AS INT) + 1] AS weight FROM sources
+    ), filling AS (
+      SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
+             sum(source_size) OVER o AS sizes_upto, sum(weight) OVER o AS weights_upto
+      FROM weighted WINDOW o AS (ORDER BY source_size / weight, place ROWS UNBOUNDED PRECEDING)
+    ), capping AS (
+      SELECT *, (150 * total - 200 * (sizes_upto - source_size)) * weight >= 200 * source_size * (weights - weights_upto + weight) AS capped
+      FROM filling
+    ), targets AS (
+      SELECT source, source_size, place,
+             CASE WHEN capped THEN CAST(2 * source_size AS DOUBLE)
+                  ELSE CAST(150 * total - 200 * coalesce(sum(source_size) FILTER (capped) OVER (), 0) AS DOUBLE) * weight
+                       / CAST(100 * sum(weight) FILTER (NOT capped) OVER () AS DOUBLE) END AS target,
+             greatest(1, ceil(source_size / 1048576), ceil(n_rows / 65536)) AS shards
+      FROM capping
+    ), dealt AS (
+      SELECT doc_id, size, md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h, t.*,
+             CAST('0x' || substr(md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % CAST(shards AS BIGINT) AS shard
+      FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+    ), shards AS (
+      SELECT source, place, target, source_size, shard, CAST(sum(size) AS BIGINT) AS words, CAST(ceil(sum(size) / 32) AS BIGINT) AS blocks
+      FROM dealt GROUP BY 1, 2, 3, 4, 5
+    ), wanted AS (
+      SELECT place, sum(blocks) AS all_blocks, coalesce(target * sum(blocks) / nullif(CAST(source_size AS DOUBLE), 0), 0) AS want
+      FROM shards GROUP BY place, target, source_size
+    ), source_offers AS (
+      SELECT place, row_number() OVER (ORDER BY want / (2 * k - 1) DESC, place) AS seat
+      FROM (SELECT place, want, unnest(range(1, CAST(2 * all_blocks AS BIGINT) + 1)) AS k FROM wanted)
+    ), source_quotas AS (
+      SELECT place, count(*) AS quota FROM source_offers
+      WHERE seat <= (SELECT round(sum(CAST(want AS DECIMAL(38, 6)))) FROM wanted) GROUP BY 1
+    ), shard_offers AS (
+      SELECT place, shard, row_number() OVER (PARTITION BY place ORDER BY CAST(blocks AS DOUBLE) / (2 * k - 1) DESC, shard) AS seat
+      FROM (SELECT place, shard, blocks, unnest(range(1, 2 * blocks + 1)) AS k FROM shards)
+    ), shard_quotas AS (
+      SELECT place, shard, count(*) AS quota FROM shard_offers JOIN source_quotas USING (place) WHERE seat <= quota GROUP BY 1, 2
+    ), runs AS (
+      SELECT place, shard, words, blocks, coalesce(quota, 0) // greatest(blocks, 1) AS copies, coalesce(quota, 0) % greatest(blocks, 1) AS extra,
+             CAST('0x' || substr(md5('11:' || coalesce('=' || source, '') || ':' || shard), 1, 8) AS BIGINT) % greatest(blocks, 1) AS first
+      FROM shards LEFT JOIN shard_quotas USING (place, shard)
+    ), bounds AS (
+      SELECT place, shard, copies, first * words // greatest(blocks, 1) AS lo,
+             least(first + extra, blocks) * words // greatest(blocks, 1) AS hi,
+             greatest(first + extra - blocks, 0) * words // greatest(blocks, 1) AS wrap
+      FROM runs
+    ), rows_placed AS (
+      SELECT *, CAST(sum(size) OVER (PARTITION BY place, shard ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM dealt
+    )
+    SELECT doc_id, size, source_size, target,
+           CAST(copies * size + greatest(least(e, hi) - greatest(e - size, lo), 0) + greatest(least(e, wrap) - (e - size), 0) AS BIGINT) AS taken
+    FROM rows_placed JOIN bounds USING (place, shard)
+    """,
+)
+def op11(spark, sf):
+    return mix_sources(read(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op12_token_alignment")
+def op12(spark, sf):
+    return alignment_report(read(spark, sf, "documents"), vocabulary_path(), vocabulary_path("piece_bpe_32k.model"))
+
+
+@query("op13_vector_codes")
+def op13(spark, sf):
+    return compress_vectors(read(spark, sf, "embeddings"))

@@ -7,8 +7,8 @@ from framelark.llm.queries import ORACLES, QUERIES
 from tests.conftest import SF
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -18,7 +18,7 @@ def test_against_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_one_row_per_document(spark, con, name):
-    table, key = ("embeddings", "vec_id") if "lattice" in name else ("documents", "doc_id")
+    table, key = ("embeddings", "vec_id") if "lattice" in name or "vector" in name else ("documents", "doc_id")
     got = QUERIES[name](spark, SF)
     ids = {r[0] for r in got.select(key).collect()}
     assert ids == {r[0] for r in con.execute(f"SELECT {key} FROM {table}").fetchall()}
