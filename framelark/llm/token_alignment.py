@@ -85,11 +85,9 @@ class TokenizerPair:
         upto = np.r_[0, np.cumsum(length[ids])]
         return data[ragged(begin[ids], length[ids])], upto[off]
 
-    def placed(self, side: int, ids: np.ndarray, off: np.ndarray, keep: np.ndarray) -> Tokens:
-        """The tokens of the texts in ``keep``, at their bytes in the joined bytes of these texts."""
+    def placed(self, side: int, ids: np.ndarray, off: np.ndarray) -> Tokens:
+        """The tokens of the texts, at their bytes in the joined bytes of all of them."""
         doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-        mine = keep[doc]
-        ids, doc = ids[mine], doc[mine]
         end = np.cumsum(self.bytes[side][1][ids])
         return Tokens(ids, doc, end - self.bytes[side][1][ids], end)
 
@@ -118,43 +116,58 @@ def _equal_texts(one, other) -> np.ndarray:
     return np.array([x[a:b] == y[c:d] for a, b, c, d in lines], bool)
 
 
-def align_batch(pair: TokenizerPair, column) -> dict[str, np.ndarray]:
-    """Alignment of one column of texts that begin with a blank (null: no text).
+def encode_batch(pair: TokenizerPair, column) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``(ids, offsets)`` of A and of B for a column of texts that begin with a blank (null: no text).
 
-    ``a_ids``, ``b_ids``: tokens of the texts whose joined bytes are the text, both ways;
-    ``a_in``, ``b_in``: number of A and B tokens of each group; ``*_off``: their texts.
+    A text that a tokenizer spells otherwise, and one that is only the blank, has no tokens.
     """
-    n = len(column)
     raw = text_bytes(column)
-    a_ids, a_off = pair.encode_a(column)
     # The model adds the blank itself.
-    b_ids, b_off = pair.encode_b([(t or "")[1:] for t in column.to_pylist()])
-    keep = (np.diff(raw[1]) > 1) & _equal_texts(raw, pair.spelled(0, a_ids, a_off)) & _equal_texts(raw, pair.spelled(1, b_ids, b_off))
-    a, b = pair.placed(0, a_ids, a_off, keep), pair.placed(1, b_ids, b_off, keep)
+    found = [pair.encode_a(column), pair.encode_b([(t or "")[1:] for t in column.to_pylist()])]
+    keep = np.diff(raw[1]) > 1
+    for side in (0, 1):
+        keep &= _equal_texts(raw, pair.spelled(side, *found[side]))
+    out = []
+    for ids, off in found:
+        count = np.diff(off)
+        out.append((ids[np.repeat(keep, count)], np.r_[0, np.cumsum(np.where(keep, count, 0))].astype(np.int64)))
+    return out
+
+
+def group_sizes(a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(a_in, b_in, doc)`` of each group: how many A and B tokens it holds, and its text."""
     order, group = coalesce_intervals(np.r_[a.start, b.start], np.r_[a.end, b.end])
     of = np.empty(len(order), np.int64)
     of[order] = group
     groups = int(group[-1]) + 1 if len(group) else 0
     in_a, in_b = of[: len(a.ids)], of[len(a.ids) :]
-    doc_of = np.zeros(groups, np.int64)
-    doc_of[in_a] = a.doc
-    count = lambda doc: np.r_[0, np.cumsum(np.bincount(doc, minlength=n))].astype(np.int64)
-    return {
-        "a_ids": a.ids, "b_ids": b.ids, "a_off": count(a.doc), "b_off": count(b.doc),
-        "a_in": np.bincount(in_a, minlength=groups), "b_in": np.bincount(in_b, minlength=groups), "g_off": count(doc_of),
-    }
+    doc = np.zeros(groups, np.int64)
+    doc[in_a] = a.doc
+    return np.bincount(in_a, minlength=groups), np.bincount(in_b, minlength=groups), doc
 
 
 ALIGNED = "_id bigint, a_ids array<int>, b_ids array<int>, a_in array<int>, b_in array<int>"
+CODED = "_id bigint, a binary, b binary"
 
 
 def _lists(values: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
-def _flat(column) -> tuple[np.ndarray, np.ndarray]:
-    off = column.offsets.to_numpy().astype(np.int64)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), off - off[0]
+def _blobs(ids: np.ndarray, off: np.ndarray) -> pa.Array:
+    """One binary value of little-endian 32-bit ids per text."""
+    data = pa.py_buffer(np.ascontiguousarray(ids.astype("<u4")))
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((off * 4).astype(np.int32)), data])
+
+
+def _ids(column) -> tuple[np.ndarray, np.ndarray]:
+    raw, off = text_bytes(column)
+    return np.frombuffer(raw.tobytes(), "<u4").astype(np.int64), off // 4
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.concat(F.lit(" "), F.col(text_col).cast("string"))
+    return docs.select(F.col(id_col).cast("bigint").alias("_id"), text.alias("_text"))
 
 
 def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,30 +186,30 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
     def run(batches):
         pair = tokenizer_pair(path_a, path_b)
         for batch in (part for whole in batches for part in slices(whole, 1)):
-            got = align_batch(pair, batch.column(1))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    _lists(got["a_ids"], got["a_off"]),
-                    _lists(got["b_ids"], got["b_off"]),
-                    _lists(got["a_in"], got["g_off"]),
-                    _lists(got["b_in"], got["g_off"]),
-                ],
-                names=["_id", "a_ids", "b_ids", "a_in", "b_in"],
-            )
+            found = encode_batch(pair, batch.column(1))
+            a_in, b_in, doc = group_sizes(*[pair.placed(side, *found[side]) for side in (0, 1)])
+            off = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(batch)))].astype(np.int64)
+            columns = [batch.column(0), *[_lists(*f) for f in found], _lists(a_in, off), _lists(b_in, off)]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "a_ids", "b_ids", "a_in", "b_in"])
 
-    text = F.concat(F.lit(" "), F.col(text_col).cast("string"))
-    slim = docs.select(F.col(id_col).cast("bigint").alias("_id"), text.alias("_text"))
-    return slim.mapInArrow(run, ALIGNED).withColumnRenamed("_id", id_col)
+    return _texts(docs, id_col, text_col).mapInArrow(run, ALIGNED).withColumnRenamed("_id", id_col)
+
+
+def encode_both(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(_id, a, b)``: the ids of both tokenizers as binary, for the steps that read them again."""
+
+    def run(batches):
+        pair = tokenizer_pair(path_a, path_b)
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            found = encode_batch(pair, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[_blobs(*f) for f in found]], names=["_id", "a", "b"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, CODED)
 
 
 def _tokens_of(batch, pair: TokenizerPair, first: int) -> tuple[Tokens, Tokens]:
-    """Both token rows of a batch of alignments, at their places in the joined bytes."""
-    sides = []
-    for side in (0, 1):
-        ids, off = _flat(batch.column(first + side))
-        sides.append(pair.placed(side, ids, off, np.ones(len(off) - 1, bool)))
-    return sides[0], sides[1]
+    """Both token rows of a batch of :func:`encode_both`, at their places in the joined bytes."""
+    return tuple(pair.placed(side, *_ids(batch.column(first + side))) for side in (0, 1))
 
 
 def linked_pairs(a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -206,8 +219,8 @@ def linked_pairs(a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray]:
     return i[together], j[together]
 
 
-def link_counts(aligned: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """``(a, b, n)``: the links of each id pair in all rows of :func:`align_tokenizers`.
+def link_counts(coded: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """``(a, b, n)``: the links of each id pair in all rows of :func:`encode_both`.
 
     Every partition counts its own pairs first. Tokens that end together are one
     the ending of the other, so there are at most as many pairs as the token bytes of both vocabularies.
@@ -216,7 +229,7 @@ def link_counts(aligned: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches):
         pair = tokenizer_pair(path_a, path_b)
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in (part for whole in batches for part in _row_slices(whole)):
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             a, b = _tokens_of(batch, pair, 0)
             i, j = linked_pairs(a, b)
             fresh, n = np.unique(a.ids[i] << _SHIFT | b.ids[j], return_counts=True)
@@ -226,18 +239,10 @@ def link_counts(aligned: DataFrame, path_a: str, path_b: str) -> DataFrame:
             [pa.array(keys >> _SHIFT), pa.array(keys & np.int64(0xFFFFFFFF)), pa.array(counts)], names=["a", "b", "n"]
         )
 
-    pairs = aligned.select("a_ids", "b_ids").mapInArrow(run, "a bigint, b bigint, n bigint")
+    pairs = coded.select("a", "b").mapInArrow(run, "a bigint, b bigint, n bigint")
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def _row_slices(batch, most: int = 1 << 18):
-    """Parts of a batch of about ``most`` A tokens each; a longer row stands alone."""
-    from framelark.llm.packed import pieces
-
-    for first, last in pieces(batch.column(batch.schema.get_field_index("a_ids")).offsets.to_numpy().astype(np.int64), most):
-        yield batch.slice(first, last - first)
-
-
 def group_digests(a_ids, b_ids, a_in, b_in, row_of_group: np.ndarray, rows: int) -> list[str]:
     """SHA-256 of ``a1,a2|b1;a3|b2,b3`` per row; an empty string for rows without groups."""
     groups = len(a_in)
@@ -269,16 +274,16 @@ def group_digests(a_ids, b_ids, a_in, b_in, row_of_group: np.ndarray, rows: int)
 def alignment_report(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best``, ``count_sum``, ``groups_sha256``.
 
-    The alignment is stored once and read twice: for the counts of all linked id pairs, and
+    The ids of both tokenizers are stored once and read twice: for the counts of all linked id pairs, and
     for the rows. The counts are as many as the vocabularies allow, not as the input
     (checked), so they are sent to the tasks. Edge cases as in :func:`align_tokenizers`:
     zeros and an empty digest without tokens.
     """
     spark = docs.sparkSession
-    aligned = write_through(align_tokenizers(docs, path_a, path_b, id_col, text_col), "aligned")
+    coded = write_through(encode_both(docs, path_a, path_b, id_col, text_col), "coded")
     pair = tokenizer_pair(path_a, path_b)
     bound = 2 * sum(int(length.sum()) for _, length, _ in pair.bytes)
-    counted = link_counts(aligned, path_a, path_b).limit(bound + 1).toArrow()
+    counted = link_counts(coded, path_a, path_b).limit(bound + 1).toArrow()
     if counted.num_rows > bound:
         raise RuntimeError("more linked pairs than the vocabularies allow")
     keys = counted.column("a").to_numpy() << _SHIFT | counted.column("b").to_numpy()
@@ -291,10 +296,9 @@ def alignment_report(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
     def run(batches):
         pair = tokenizer_pair(path_a, path_b)
         keys, counts, most = shared.value
-        for batch in (part for whole in batches for part in _row_slices(whole)):
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             a, b = _tokens_of(batch, pair, 1)
-            a_in, g_off = _flat(batch.column(3))
-            b_in, _ = _flat(batch.column(4))
+            a_in, b_in, of_row = group_sizes(a, b)
             rows = len(batch)
             i, j = linked_pairs(a, b)
             row = a.doc[i]
@@ -302,14 +306,12 @@ def alignment_report(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
             per = lambda doc, weights=None: np.bincount(doc, weights, minlength=rows).astype(np.int64)
             total = np.r_[0, np.cumsum(n)]
             edges = np.searchsorted(row, np.arange(rows + 1))  # links come in row order
-            of_row = np.repeat(np.arange(rows), np.diff(g_off))
             columns = [
-                per(a.doc), per(b.doc), np.diff(g_off), per(row), per(row[n == most[b.ids[j]]]), np.diff(total[edges]),
+                per(a.doc), per(b.doc), per(of_row), per(row), per(row[n == most[b.ids[j]]]), np.diff(total[edges]),
             ]
             digest = group_digests(a.ids, b.ids, a_in, b_in, of_row, rows)
             names = ["_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns), pa.array(digest, pa.string())], names=names)
 
-    slim = aligned.select(F.col(id_col).alias("_id"), "a_ids", "b_ids", "a_in", "b_in")
     schema = "_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
-    return slim.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    return coded.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
