@@ -6,21 +6,23 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SCOPES: list[list[str]] = []
+#: Scopes of the running thread, so that concurrent callers do not share them.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
     """Remove, at the end, every scratch table made inside; write the results elsewhere before."""
     made: list[str] = []
-    _SCOPES.append(made)
+    token = _SCOPES.set((*_SCOPES.get(), made))
     try:
         yield made
     finally:
-        _SCOPES.remove(made)
+        _SCOPES.reset(token)
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         for name in made:
             path = jvm.org.apache.hadoop.fs.Path(name)
@@ -41,8 +43,8 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{scratch_root(spark).rstrip('/')}/framelark-{name}-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    if _SCOPES.get():
+        _SCOPES.get()[-1].append(path)
     return path
 
 
