@@ -8,6 +8,7 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from framelark.llm.lean import at_task_end, lean_map
 
 from framelark.llm.packed import pieces, ragged, slices
 from framelark.llm.word_split import WordCoder, ids_list, read_vocabulary
@@ -15,6 +16,7 @@ from framelark.llm.word_split import WordCoder, ids_list, read_vocabulary
 _SHIFT = 32
 _MASK = (1 << _SHIFT) - 1
 _LOADED: dict[str, "BytePairs"] = {}
+at_task_end(_LOADED.clear)
 
 
 class BytePairs:
@@ -110,7 +112,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), ids_list(ids, offsets)], names=["_id", "ids"])
 
     slim = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return slim.mapInArrow(run, "_id bigint, ids array<int>").withColumnRenamed("_id", id_col)
+    return slim.mapInArrow(lean_map(run), "_id bigint, ids array<int>").withColumnRenamed("_id", id_col)
 
 
 def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -134,7 +136,7 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
                 yield pa.RecordBatch.from_arrays([some, pa.array(texts, pa.string())], names=["_id", "text"])
 
     slim = encoded.select(F.col(id_col).cast("bigint").alias("_id"), F.col(ids_col).cast("array<int>").alias("_ids"))
-    return slim.mapInArrow(run, "_id bigint, text string").withColumnRenamed("_id", id_col)
+    return slim.mapInArrow(lean_map(run), "_id bigint, text string").withColumnRenamed("_id", id_col)
 
 
 def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,7 +164,7 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     slim = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     schema = "_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return slim.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    return slim.mapInArrow(lean_map(run), schema).withColumnRenamed("_id", id_col)
 
 
 def _text_digest(raw: memoryview) -> str:

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from framelark.functions.storage import write_through
+from framelark.llm.lean import lean_map
 
 PAIR = "a bigint, b bigint"
 
@@ -52,7 +53,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     table, so lost executors cost one round at most. Loops and nulls are ignored.
     """
     work = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b")
-    work = write_through(work.mapInArrow(_spanning, PAIR).distinct(), "edges")
+    work = write_through(work.mapInArrow(lean_map(_spanning), PAIR).distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
         # Every node's neighbours above it move to its smallest neighbour.

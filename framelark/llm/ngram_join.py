@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from framelark.functions.storage import write_through
 from framelark.llm.graph import connected_components
+from framelark.llm.lean import lean_cogroup, lean_group, lean_table
 from framelark.llm.packed import mix, pieces, prefix_hash, ragged, range_hash, text_bytes
 from framelark.llm.sieve import RUNS, block_count, codes_of, distinct_keys, judge, run_rows, sorted_keys
 
@@ -300,9 +301,9 @@ def ngram_jaccard(
             }
         )
 
-    bits = judge(at_home.applyInArrow(send, RUNS))
+    bits = judge(at_home.applyInArrow(lean_group(send), RUNS))
     rows = at_home.cogroup(bits.groupBy("block")).applyInArrow(
-        sift, "_id bigint, n_shingles bigint, prefix array<bigint>, h1 bigint, h2 bigint, grams binary"
+        lean_cogroup(sift), "_id bigint, n_shingles bigint, prefix array<bigint>, h1 bigint, h2 bigint, grams binary"
     )
     rows = write_through(rows, "shingles")
     live = rows.filter("h1 IS NOT NULL")
@@ -310,7 +311,8 @@ def ngram_jaccard(
     first = classes.select(F.col("rep").alias("_first")).distinct()
     sets = live.select(F.col("_id").alias("rep"), F.col("n_shingles").alias("n"), "prefix", "grams")
     links = _links(sets, first, upper, lower, group_bytes)
-    labels = connected_components(links)
+    # Stored first: a task then runs one Python worker, not the join and the forest at once.
+    labels = connected_components(write_through(links, "links"))
     named = write_through(
         classes.join(labels, F.col("rep") == F.col("node"), "left").select(
             F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.coalesce("component", "rep").alias("component")
@@ -381,5 +383,5 @@ def _links(sets: DataFrame, first: DataFrame, upper: int, lower: int, group_byte
     return (
         units.withColumn("task", F.pmod(F.xxhash64("unit", F.lit(7)), F.lit(tasks)))
         .groupBy("task")
-        .applyInArrow(join, "a bigint, b bigint")
+        .applyInArrow(lean_table(join), "a bigint, b bigint")
     )

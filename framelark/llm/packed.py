@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from framelark.llm.lean import at_task_end
+
 #: Odd multiplier of the rolling hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
@@ -38,6 +40,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _POWERS: dict[int, np.ndarray] = {}
+at_task_end(_POWERS.clear)
 
 
 def powers(n: int, base: int = BASE) -> np.ndarray:

@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from framelark.functions.storage import write_through
+from framelark.llm.lean import at_task_end, lean_group, lean_map
 from framelark.llm.packed import ragged, slices
 from framelark.llm.word_split import WordCoder, ids_list, read_vocabulary
 
 _CODERS: dict[str, WordCoder] = {}
+at_task_end(_CODERS.clear)
 
 
 def library_coder(path: str) -> WordCoder:
@@ -142,7 +144,7 @@ def tokenised_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, tok
         F.col(id_col).cast("bigint").alias("_id"),
         F.col(text_col).cast("string").alias("_text"),
     )
-    return slim.mapInArrow(run, PIECE + (", ids array<int>" if with_ids else ""))
+    return slim.mapInArrow(lean_map(run), PIECE + (", ids array<int>" if with_ids else ""))
 
 
 def pack_documents(
@@ -180,7 +182,7 @@ def pack_documents(
             "offset", pa.array(offset)
         )
 
-    packed = slim.groupBy("_group").applyInArrow(pack, PIECE + ", sequence_id bigint, offset bigint")
+    packed = slim.groupBy("_group").applyInArrow(lean_group(pack), PIECE + ", sequence_id bigint, offset bigint")
     if with_ids:
         packed = packed.join(pieces.select("_row", "piece", "ids"), ["_row", "piece"])
     columns = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else [])]

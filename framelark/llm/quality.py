@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from framelark.functions.storage import write_through
+from framelark.llm.lean import lean_map
 from framelark.llm.ngram_join import _SPACE
 from framelark.llm.packed import pieces, prefix_hash, range_hash, text_bytes
 
@@ -148,7 +149,7 @@ def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFram
 
     text = F.col(text_col).cast("string")
     slim = docs.select(F.col(id_col).cast("bigint").alias("_id"), text.alias("_text"), text_hash(text).alias("text_hash"))
-    return slim.mapInArrow(run, "_id bigint, text_hash bigint, stats array<double>")
+    return slim.mapInArrow(lean_map(run), "_id bigint, text_hash bigint, stats array<double>")
 
 
 def fold_is_held_out(id_column: Column) -> Column:
@@ -197,7 +198,7 @@ def fit_quality(train: DataFrame, width: int = 256, ridge: float = 1e-2, bins: i
         total = np.sum([np.frombuffer(x) for x in table.column("line").to_pylist()], axis=0)
         return pa.table({"i": [key[0].as_py()], "line": pa.array([total.tobytes()], pa.binary())})
 
-    lines = train.select("stats", F.col("y").cast("double")).mapInArrow(equations, "i bigint, salt bigint, line binary")
+    lines = train.select("stats", F.col("y").cast("double")).mapInArrow(lean_map(equations), "i bigint, salt bigint, line binary")
     sums = lines.groupBy("i", "salt").applyInArrow(add, "i bigint, line binary")
     sums = sums.groupBy("i").applyInArrow(add, "i bigint, line binary").collect()
     matrix = np.zeros((side, side + 1))
@@ -219,7 +220,7 @@ def fit_quality(train: DataFrame, width: int = 256, ridge: float = 1e-2, bins: i
 
     counts = (
         train.select("stats", F.col("y").cast("double"))
-        .mapInArrow(binned, "b bigint, c double, s double, r double")
+        .mapInArrow(lean_map(binned), "b bigint, c double, s double, r double")
         .groupBy("b")
         .agg(F.sum("c"), F.sum("s"), F.sum("r"))
         .orderBy("b")
@@ -266,6 +267,6 @@ def classify_quality(
             names = ["_id", "score", "predicted", "text_hash"]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), predicted, batch.column(1)], names=names)
 
-    return stats.mapInArrow(run, "_id bigint, score double, predicted int, text_hash bigint").select(
+    return stats.mapInArrow(lean_map(run), "_id bigint, score double, predicted int, text_hash bigint").select(
         F.col("_id").alias(id_col), fold_is_held_out(F.col("_id")).alias("held_out"), "score", "predicted", "text_hash"
     )

@@ -15,6 +15,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
+from framelark.llm.lean import lean_table
+
 RUNS = "bucket bigint, block bigint, data binary"
 BITS = "block bigint, bucket bigint, data binary"
 
@@ -116,7 +118,7 @@ def _judge(table: pa.Table) -> pa.Table:
 
 
 def judge(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("bucket").applyInArrow(_judge, BITS)
+    return runs.groupBy("bucket").applyInArrow(lean_table(_judge), BITS)
 
 
 def codes_of(keys: np.ndarray, buckets: int, answers: pa.Table) -> np.ndarray:

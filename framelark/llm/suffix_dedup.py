@@ -22,6 +22,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from framelark.llm.lean import lean_cogroup, lean_group
 
 from framelark.llm.packed import BASE_INV, mix, pieces, powers, prefix_hash, ragged, text_bytes
 from framelark.llm.sieve import (
@@ -471,13 +472,13 @@ def suffix_dedup(
         )
 
     at_home = base.groupBy("_block")
-    runs = at_home.applyInArrow(grams, RUNS)
+    runs = at_home.applyInArrow(lean_group(grams), RUNS)
     bits = judge(runs)
-    sorted_runs = at_home.cogroup(bits.groupBy("block")).applyInArrow(sort_runs, "to bigint, " + RUNS)
+    sorted_runs = at_home.cogroup(bits.groupBy("block")).applyInArrow(lean_cogroup(sort_runs), "to bigint, " + RUNS)
     # Runs go to their bucket, places back to their block: one exchange, so blocks are sorted once.
-    notes = sorted_runs.groupBy("to").applyInArrow(merge, RUNS)
+    notes = sorted_runs.groupBy("to").applyInArrow(lean_group(merge), RUNS)
     done = at_home.cogroup(notes.groupBy("block")).applyInArrow(
-        cut,
+        lean_cogroup(cut),
         "_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
         f"kept {'string' if as_text else 'binary'}, carried {carry_type}",
     )

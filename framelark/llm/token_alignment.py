@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from framelark.functions.storage import write_through
+from framelark.llm.lean import at_task_end, lean_map
 from framelark.llm.packed import ragged, slices, text_bytes
 from framelark.llm.word_split import WordCoder, read_vocabulary
 
 _LOADED: dict[tuple[str, str], "TokenizerPair"] = {}
+at_task_end(_LOADED.clear)
 _SHIFT = np.int64(32)
 
 
@@ -68,6 +70,8 @@ class TokenizerPair:
             _table(strings),
             _table([b"" if self.pieces.is_control(i) else _piece_bytes(self.pieces, i) for i in range(size)]),
         ]
+        #: How ids are stored: two bytes where the vocabulary allows.
+        self.kinds = [np.dtype("<u2" if len(length) <= 1 << 16 else "<u4") for _, length, _ in self.bytes]
 
     def encode_a(self, column) -> tuple[np.ndarray, np.ndarray]:
         ids, off = self.coder.encode(column)
@@ -154,15 +158,15 @@ def _lists(values: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
-def _blobs(ids: np.ndarray, off: np.ndarray) -> pa.Array:
-    """One binary value of little-endian 32-bit ids per text."""
-    data = pa.py_buffer(np.ascontiguousarray(ids.astype("<u4")))
-    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((off * 4).astype(np.int32)), data])
+def _blobs(ids: np.ndarray, off: np.ndarray, kind: np.dtype) -> pa.Array:
+    """One binary value per text: its ids, ``kind.itemsize`` bytes each."""
+    data = pa.py_buffer(ids.astype(kind))
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((off * kind.itemsize).astype(np.int32)), data])
 
 
-def _ids(column) -> tuple[np.ndarray, np.ndarray]:
+def _ids(column, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     raw, off = text_bytes(column)
-    return np.frombuffer(raw.tobytes(), "<u4").astype(np.int64), off // 4
+    return np.frombuffer(raw.tobytes(), kind).astype(np.int64), off // kind.itemsize
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -192,7 +196,7 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
             columns = [batch.column(0), *[_lists(*f) for f in found], _lists(a_in, off), _lists(b_in, off)]
             yield pa.RecordBatch.from_arrays(columns, names=["_id", "a_ids", "b_ids", "a_in", "b_in"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, ALIGNED).withColumnRenamed("_id", id_col)
+    return _texts(docs, id_col, text_col).mapInArrow(lean_map(run), ALIGNED).withColumnRenamed("_id", id_col)
 
 
 def encode_both(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,14 +206,14 @@ def encode_both(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id
         pair = tokenizer_pair(path_a, path_b)
         for batch in (part for whole in batches for part in slices(whole, 1)):
             found = encode_batch(pair, batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[_blobs(*f) for f in found]], names=["_id", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[_blobs(*f, k) for f, k in zip(found, pair.kinds)]], names=["_id", "a", "b"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, CODED)
+    return _texts(docs, id_col, text_col).mapInArrow(lean_map(run), CODED)
 
 
 def _tokens_of(batch, pair: TokenizerPair, first: int) -> tuple[Tokens, Tokens]:
     """Both token rows of a batch of :func:`encode_both`, at their places in the joined bytes."""
-    return tuple(pair.placed(side, *_ids(batch.column(first + side))) for side in (0, 1))
+    return tuple(pair.placed(side, *_ids(batch.column(first + side), pair.kinds[side])) for side in (0, 1))
 
 
 def linked_pairs(a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +243,7 @@ def link_counts(coded: DataFrame, path_a: str, path_b: str) -> DataFrame:
             [pa.array(keys >> _SHIFT), pa.array(keys & np.int64(0xFFFFFFFF)), pa.array(counts)], names=["a", "b", "n"]
         )
 
-    pairs = coded.select("a", "b").mapInArrow(run, "a bigint, b bigint, n bigint")
+    pairs = coded.select("a", "b").mapInArrow(lean_map(run), "a bigint, b bigint, n bigint")
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
@@ -314,4 +318,4 @@ def alignment_report(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns), pa.array(digest, pa.string())], names=names)
 
     schema = "_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
-    return coded.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    return coded.mapInArrow(lean_map(run), schema).withColumnRenamed("_id", id_col)

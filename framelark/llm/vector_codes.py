@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from framelark.functions.storage import write_through
+from framelark.llm.lean import lean_map
 
 #: Components of this size still give exact squared distances in 64 bits for vectors of up to 2,000 numbers.
 LARGEST = 1 << 25
@@ -158,7 +159,7 @@ def fit_codebooks(whole: DataFrame, parts: int = 16, entries: int = 64, rounds:
             )
 
         schema = ", ".join(f"{c} bigint" for c in ["slot", "n", *columns])
-        totals = whole.select("_v").mapInArrow(add, schema).groupBy("slot").agg(*[F.sum(c).alias(c) for c in ["n", *columns]])
+        totals = whole.select("_v").mapInArrow(lean_map(add), schema).groupBy("slot").agg(*[F.sum(c).alias(c) for c in ["n", *columns]])
         books = found.books.reshape(parts * k, width).copy()
         for slot, n, *sums in totals.collect():  # at most parts x entries rows
             books[slot] = [s // n for s in sums]
@@ -185,7 +186,7 @@ def encode_vectors(whole: DataFrame, found: Codebooks) -> DataFrame:
                 names=["_id", "_label", "code", "error"],
             )
 
-    return whole.mapInArrow(run, f"_id {fields['_id']}, _label {fields['_label']}, code string, error bigint")
+    return whole.mapInArrow(lean_map(run), f"_id {fields['_id']}, _label {fields['_label']}, code string, error bigint")
 
 
 def compress_vectors(
