@@ -457,6 +457,9 @@ CAT_ROWS = {
 }
 
 
+CAT_ROWS_NO_TRAIN = {k: v for k, v in CAT_ROWS.items() if k != "tl"}
+
+
 @query("F17_score_by_category", with_views([*V, "fx_videos"], CAT_ROWS, "SELECT * FROM mm JOIN bl USING (category) LEFT JOIN tl USING (category)", recursive=True))
 def _(s, sf):
     out = evaluation.score_by_category(fx.predictions(s, sf), fx.references(s, sf), fx.videos(s, sf))
@@ -465,6 +468,50 @@ def _(s, sf):
     )
 
 
+# Two epochs of predictions for the same ids: the first assistant turn of each video, and the last of those with even numbers.
+EVEN = "CAST(replace(video_id,'video','') AS BIGINT) % 2 = 0"
+LAST = "(SELECT video_id, arg_max(caption, turn) AS caption FROM fx_turns WHERE role='assistant' GROUP BY 1)"
+EPOCHS = {
+    "hp": f"""SELECT concat(video_id,'#1') AS video_id, 1 AS category, {TOKE} AS t FROM fx_pred WHERE video_id IN (SELECT video_id FROM fx_refs)
+              UNION ALL SELECT concat(video_id,'#2'), 2, {TOKE} FROM {LAST} WHERE {EVEN} AND video_id IN (SELECT video_id FROM fx_refs)""",
+    "rf": f"""SELECT concat(video_id,'#1') AS video_id, 1 AS category, cap_id, {TOKE} AS t FROM fx_refs WHERE video_id IN (SELECT video_id FROM fx_pred)
+              UNION ALL SELECT concat(video_id,'#2'), 2, cap_id, {TOKE} FROM fx_refs WHERE {EVEN} AND video_id IN (SELECT video_id FROM fx_pred)""",
+}
+
+
+def epochs(s, sf) -> tuple[DataFrame, DataFrame]:
+    even = F.replace(F.col(KEY), F.lit("video"), F.lit("")).cast("bigint") % 2 == 0
+    one, two = F.lit(1).alias("epoch"), F.lit(2).alias("epoch")
+    last = fx.turns(s, sf).filter("role = 'assistant'").groupBy(KEY).agg(F.max_by("caption", "turn").alias("caption"))
+    pred = fx.predictions(s, sf).select(KEY, "caption", one).unionByName(last.filter(even).select(KEY, "caption", two))
+    refs = fx.references(s, sf).select(KEY, "cap_id", "caption")
+    return m.scored_pairs(pred, refs.select("*", one).unionByName(refs.filter(even).select("*", two)), ["epoch"])
+
+
+@query("F5_bleu_two_epochs", with_views(V, {**COMP, **EPOCHS}, bleu_sql("epoch, ", f"(SELECT category AS epoch, {SUMS} FROM bc GROUP BY category)")))
+def _(s, sf):
+    return m.bleu_corpus(*epochs(s, sf), ["epoch"]).select("epoch", *r6(*BLEU))
+
+
+@query("F9_cider_two_epochs", with_views(V, {**cider_ctes("category"), **EPOCHS}, "SELECT category AS epoch, round(avg(cider),6) AS cider FROM cd JOIN hp USING (video_id) GROUP BY 1"))
+def _(s, sf):
+    return m.cider_corpus(*epochs(s, sf), ["epoch"]).select("epoch", *r6("cider"))
+
+
+@query("F14_score_two_epochs", with_views(V, {**CAT_ROWS_NO_TRAIN, **EPOCHS}, "SELECT category AS epoch, * EXCLUDE (category) FROM mm JOIN bl USING (category)", recursive=True))
+def _(s, sf):
+    out = evaluation.score_captions(*epochs(s, sf), ["epoch"])
+    return out.select("epoch", "num_videos", *r6("meteor", "rouge_l", "cider", *BLEU))
+
+
+@query("F14_per_video_two_epochs", with_views(V, {**BY_CAT, "bl": bleu_sql("video_id, ", "bc"), **EPOCHS}, """SELECT split_part(video_id,'#',1) AS video_id, category AS epoch, round(cider,6) AS cider,
+    bleu_1, bleu_2, bleu_3, bleu_4, round(meteor,6) AS meteor, round(rouge_l,6) AS rouge_l
+    FROM cd JOIN hp USING (video_id) JOIN bl USING (video_id) JOIN mv USING (video_id) JOIN rv USING (video_id)""", recursive=True))
+def _(s, sf):
+    out = evaluation.score_per_video(*epochs(s, sf), ["epoch"])
+    return out.select(KEY, "epoch", *r6("cider", *BLEU, "meteor", "rouge_l"))
+
+
 @query("F18_rank_categories", with_views(V, {**cider_ctes("category"), "cc": "SELECT category, round(avg(cider),6) AS cider FROM cd JOIN hp USING (video_id) GROUP BY 1",
     "rk": "SELECT *, row_number() OVER (ORDER BY cider DESC, category) AS a, row_number() OVER (ORDER BY cider, category DESC) AS b FROM cc"},
     "SELECT category, cider, 'top' AS side, CAST(a AS INT) AS place FROM rk WHERE a<=5 UNION ALL SELECT category, cider, 'bottom', CAST(b AS INT) FROM rk WHERE b<=5"))

@@ -1,8 +1,9 @@
 """BLEU, CIDEr, METEOR and ROUGE-L as joins and grouped sums.
 
 ``pred`` holds one caption per ``video_id``; ``refs`` holds any number, told
-apart by ``cap_id``. ``by`` names extra columns of both tables (a category or a
-batch); document frequencies and totals are then taken inside each group.
+apart by ``cap_id``. ``by`` names extra columns of both tables (a category, a batch or an
+epoch): a video is then ``(*by, video_id)``, so ids may come again in other groups, and
+document frequencies and totals are taken inside each group. Rows with a null group are left out.
 """
 
 from __future__ import annotations
@@ -62,40 +63,52 @@ def ngram_counts(df: DataFrame, ids: list[str], n: int = MAX_N) -> DataFrame:
     )
 
 
-def scored_pairs(pred: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def video_keys(by: list[str] | None) -> list[str]:
+    """What tells one scored video from another."""
+    return [*(by or []), KEY]
+
+
+def scored_pairs(pred: DataFrame, refs: DataFrame, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Predictions that have references, and references that have a prediction."""
-    return pred.join(refs.select(KEY), KEY, "left_semi"), refs.join(pred.select(KEY), KEY, "left_semi")
+    ids = video_keys(by)
+    return pred.join(refs.select(*ids), ids, "left_semi"), refs.join(pred.select(*ids), ids, "left_semi")
 
 
-def ref_length(pred: DataFrame, refs: DataFrame, option: str = "closest") -> DataFrame:
+def ref_length(pred: DataFrame, refs: DataFrame, option: str = "closest", by: list[str] | None = None) -> DataFrame:
     """Prediction length and effective reference length; ties go to the shorter."""
-    p = _tokens(pred, [KEY]).select(KEY, F.size("tokens").alias("test_len"))
-    r = _tokens(refs, [KEY]).select(KEY, F.size("tokens").alias("len"))
+    ids = video_keys(by)
+    p = _tokens(pred, ids).select(*ids, F.size("tokens").alias("test_len"))
+    r = _tokens(refs, ids).select(*ids, F.size("tokens").alias("len"))
     length = {
         "closest": F.min(F.struct(F.abs(F.col("len") - F.col("test_len")).alias("d"), F.col("len"))).getField("len"),
         "shortest": F.min("len"),
         "average": F.avg("len"),
     }[option]
-    return p.join(r, KEY).groupBy(KEY, "test_len").agg(length.cast("double").alias("ref_len"))
+    return p.join(r, ids).groupBy(*ids, "test_len").agg(length.cast("double").alias("ref_len"))
 
 
 def bleu_components(
-    pred: DataFrame, refs: DataFrame, option: str = "closest", grams: tuple[DataFrame, DataFrame] | None = None
+    pred: DataFrame,
+    refs: DataFrame,
+    option: str = "closest",
+    grams: tuple[DataFrame, DataFrame] | None = None,
+    by: list[str] | None = None,
 ) -> DataFrame:
     """Per video: lengths, guesses and clipped matches for n = 1..4.
 
     ``grams``: stored :func:`ngram_counts` of both tables, where there are any.
     """
-    hyp, ref = grams or (ngram_counts(pred, [KEY]), ngram_counts(refs, [KEY, "cap_id"]))
-    best = ref.groupBy(KEY, "n", "gram").agg(F.max("cnt").alias("most"))
+    ids = video_keys(by)
+    hyp, ref = grams or (ngram_counts(pred, ids), ngram_counts(refs, [*ids, "cap_id"]))
+    best = ref.groupBy(*ids, "n", "gram").agg(F.max("cnt").alias("most"))
     hits = (
-        hyp.join(best, [KEY, "n", "gram"])
-        .groupBy(KEY)
+        hyp.join(best, [*ids, "n", "gram"])
+        .groupBy(*ids)
         .agg(*[F.sum(F.when(F.col("n") == k, F.least("cnt", "most"))).alias(f"c{k}") for k in range(1, MAX_N + 1)])
     )
-    lengths = ref_length(pred, refs, option)
-    return lengths.join(hits, KEY, "left").select(
-        KEY,
+    lengths = ref_length(pred, refs, option, by)
+    return lengths.join(hits, ids, "left").select(
+        *ids,
         "test_len",
         "ref_len",
         *[F.greatest(F.lit(0), F.col("test_len") - (k - 1)).alias(f"guess_{k}") for k in range(1, MAX_N + 1)],
@@ -113,16 +126,16 @@ def _bleu(prefix: str = "") -> list[Column]:
     return out
 
 
-def bleu_per_video(pred: DataFrame, refs: DataFrame, option: str = "closest", grams=None) -> DataFrame:
-    return bleu_components(pred, refs, option, grams).select(KEY, *_bleu())
+def bleu_per_video(
+    pred: DataFrame, refs: DataFrame, option: str = "closest", grams=None, by: list[str] | None = None
+) -> DataFrame:
+    return bleu_components(pred, refs, option, grams, by).select(*video_keys(by), *_bleu())
 
 
 def bleu_corpus(pred: DataFrame, refs: DataFrame, by: list[str] | None = None, grams=None) -> DataFrame:
     """Totals of the components per group, then the same formula."""
     by = by or []
-    parts = bleu_components(pred, refs, grams=grams)
-    if by:
-        parts = parts.join(pred.select(KEY, *by), KEY)
+    parts = bleu_components(pred, refs, grams=grams, by=by)
     names = ["test_len", "ref_len"] + [f"{w}_{k}" for w in ("guess", "correct") for k in range(1, MAX_N + 1)]
     return parts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in names]).select(*by, *_bleu())
 
@@ -181,18 +194,19 @@ def cider_per_video(
     hyp = _weights(hyp_grams, df, by)
     ref = _weights(ref_grams, df, by)
 
-    hyp_norms = hyp.groupBy(KEY).agg(
+    ids = video_keys(by)
+    hyp_norms = hyp.groupBy(*ids).agg(
         *[F.sqrt(F.sum(F.when(F.col("n") == k, F.col("w") * F.col("w")).otherwise(0.0))).alias(f"h{k}") for k in range(1, MAX_N + 1)],
         F.sum(F.when(F.col("n") == 2, F.col("cnt")).otherwise(0)).alias("h_len"),
     )
-    wh = hyp.select(KEY, "n", "gram", F.col("w").alias("wh"))
-    met = ref.join(wh, [KEY, "n", "gram"], "left")
+    wh = hyp.select(*ids, "n", "gram", F.col("w").alias("wh"))
+    met = ref.join(wh, [*ids, "n", "gram"], "left")
 
     def part(k: int, value: Column) -> Column:
         return F.sum(F.when(F.col("n") == k, value).otherwise(0.0))
 
     clipped = F.least(F.coalesce("wh", F.lit(0.0)), F.col("w")) * F.col("w")
-    per_ref = met.groupBy(KEY, "cap_id").agg(
+    per_ref = met.groupBy(*ids, "cap_id").agg(
         *[part(k, clipped).alias(f"v{k}") for k in range(1, MAX_N + 1)],
         *[F.sqrt(part(k, F.col("w") * F.col("w"))).alias(f"r{k}") for k in range(1, MAX_N + 1)],
         F.sum(F.when(F.col("n") == 2, F.col("cnt")).otherwise(0)).alias("r_len"),
@@ -205,15 +219,15 @@ def cider_per_video(
         for k in range(1, MAX_N + 1)
     ]
     summed = (
-        per_ref.join(hyp_norms, KEY)
-        .select(KEY, (sum(cosine[1:], cosine[0]) / MAX_N * penalty).alias("s"))
-        .groupBy(KEY)
+        per_ref.join(hyp_norms, ids)
+        .select(*ids, (sum(cosine[1:], cosine[0]) / MAX_N * penalty).alias("s"))
+        .groupBy(*ids)
         .agg(F.sum("s").alias("s"))
     )
-    counts = refs.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_refs"))
+    counts = refs.groupBy(*ids).agg(F.count(F.lit(1)).alias("n_refs"))
     return (
-        pred.select(*by, KEY).join(counts, KEY).join(summed, KEY, "left")
-        .select(*by, KEY, (F.coalesce("s", F.lit(0.0)) / F.col("n_refs") * 10.0).alias("cider"))
+        pred.select(*ids).join(counts, ids).join(summed, ids, "left")
+        .select(*ids, (F.coalesce("s", F.lit(0.0)) / F.col("n_refs") * 10.0).alias("cider"))
     )
 
 
@@ -249,19 +263,20 @@ def lcs_length(a: str, b: str) -> Column:
     return lcs(F.col(a), F.col(b))
 
 
-def lcs_pairs(pred: DataFrame, refs: DataFrame) -> DataFrame:
-    hyp = _tokens(pred, [KEY]).withColumnRenamed("tokens", "hyp")
-    ref = _tokens(refs, [KEY, "cap_id"]).withColumnRenamed("tokens", "ref")
-    return ref.join(hyp, KEY).select(
-        KEY, "cap_id", F.size("hyp").alias("hyp_len"), F.size("ref").alias("ref_len"), lcs_length("hyp", "ref").alias("lcs")
+def lcs_pairs(pred: DataFrame, refs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    ids = video_keys(by)
+    hyp = _tokens(pred, ids).withColumnRenamed("tokens", "hyp")
+    ref = _tokens(refs, [*ids, "cap_id"]).withColumnRenamed("tokens", "ref")
+    return ref.join(hyp, ids).select(
+        *ids, "cap_id", F.size("hyp").alias("hyp_len"), F.size("ref").alias("ref_len"), lcs_length("hyp", "ref").alias("lcs")
     )
 
 
-def rouge_l(pred: DataFrame, refs: DataFrame) -> DataFrame:
+def rouge_l(pred: DataFrame, refs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Best F1 of the common subsequence over the references of each video."""
     p, r = F.try_divide("lcs", "hyp_len"), F.try_divide("lcs", "ref_len")
     f1 = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
-    return lcs_pairs(pred, refs).groupBy(KEY).agg(F.max(f1).alias("rouge_l"))
+    return lcs_pairs(pred, refs, by).groupBy(*video_keys(by)).agg(F.max(f1).alias("rouge_l"))
 
 
 def _occurrences(df: DataFrame, ids: list[str]) -> DataFrame:
@@ -271,38 +286,39 @@ def _occurrences(df: DataFrame, ids: list[str]) -> DataFrame:
     return items.withColumn("occ", F.row_number().over(w))
 
 
-def meteor_alignment(pred: DataFrame, refs: DataFrame) -> DataFrame:
+def meteor_alignment(pred: DataFrame, refs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Matches and chunks per reference: the k-th equal token meets the k-th.
 
     A match opens a chunk unless the match of the token before is next to it.
     """
-    hyp = _occurrences(pred, [KEY]).select(KEY, "token", "occ", F.col("pos").alias("h"))
-    ref = _occurrences(refs, [KEY, "cap_id"]).select(KEY, "cap_id", "token", "occ", F.col("pos").alias("r"))
-    pairs = ref.join(hyp, [KEY, "token", "occ"])
-    w = W.partitionBy(KEY, "cap_id").orderBy("h")
+    ids = video_keys(by)
+    hyp = _occurrences(pred, ids).select(*ids, "token", "occ", F.col("pos").alias("h"))
+    ref = _occurrences(refs, [*ids, "cap_id"]).select(*ids, "cap_id", "token", "occ", F.col("pos").alias("r"))
+    pairs = ref.join(hyp, [*ids, "token", "occ"])
+    w = W.partitionBy(*ids, "cap_id").orderBy("h")
     follows = (F.col("h") == F.lag("h").over(w) + 1) & (F.col("r") == F.lag("r").over(w) + 1)
     counted = (
         pairs.withColumn("opens", F.when(follows, 0).otherwise(1))
-        .groupBy(KEY, "cap_id")
+        .groupBy(*ids, "cap_id")
         .agg(F.count(F.lit(1)).alias("matches"), F.sum("opens").alias("chunks"))
     )
-    sizes = _tokens(refs, [KEY, "cap_id"]).select(KEY, "cap_id", F.size("tokens").alias("ref_len"))
-    hyp_len = _tokens(pred, [KEY]).select(KEY, F.size("tokens").alias("hyp_len"))
+    sizes = _tokens(refs, [*ids, "cap_id"]).select(*ids, "cap_id", F.size("tokens").alias("ref_len"))
+    hyp_len = _tokens(pred, ids).select(*ids, F.size("tokens").alias("hyp_len"))
     return (
-        sizes.join(hyp_len, KEY).join(counted, [KEY, "cap_id"], "left")
-        .select(KEY, "cap_id", "hyp_len", "ref_len",
+        sizes.join(hyp_len, ids).join(counted, [*ids, "cap_id"], "left")
+        .select(*ids, "cap_id", "hyp_len", "ref_len",
                 F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("chunks", F.lit(0)).alias("chunks"))
     )
 
 
-def meteor(pred: DataFrame, refs: DataFrame) -> DataFrame:
+def meteor(pred: DataFrame, refs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Best score over the references of each video; exact matches only."""
     p = F.col("matches") / F.greatest("hyp_len", F.lit(1))
     r = F.col("matches") / F.greatest("ref_len", F.lit(1))
     mean = 10 * p * r / F.greatest(r + 9 * p, F.lit(1e-8))
     penalty = 0.5 * F.pow(F.try_divide("chunks", "matches"), F.lit(3.0))
     score = F.when(F.col("matches") == 0, 0.0).otherwise((1.0 - penalty) * mean)
-    return meteor_alignment(pred, refs).groupBy(KEY).agg(F.max(score).alias("meteor"))
+    return meteor_alignment(pred, refs, by).groupBy(*video_keys(by)).agg(F.max(score).alias("meteor"))
 
 
 def missing_ground_truth(pred: DataFrame, refs: DataFrame, strict: bool = False, shown: int = 10) -> DataFrame:
@@ -326,8 +342,8 @@ def valid_ids(pred: DataFrame, refs: DataFrame, categories: DataFrame) -> DataFr
 def reward_advantage(sampled: DataFrame, greedy: DataFrame, refs: DataFrame, batch: str = "batch") -> DataFrame:
     """Sampled minus greedy CIDEr per video, with document frequencies per batch."""
     a = cider_per_video(sampled, refs, [batch]).withColumnRenamed("cider", "sampled_cider")
-    b = cider_per_video(greedy, refs, [batch]).select(KEY, F.col("cider").alias("greedy_cider"))
-    return a.join(b, KEY).withColumn("advantage", F.col("sampled_cider") - F.col("greedy_cider"))
+    b = cider_per_video(greedy, refs, [batch]).withColumnRenamed("cider", "greedy_cider")
+    return a.join(b, video_keys([batch])).withColumn("advantage", F.col("sampled_cider") - F.col("greedy_cider"))
 
 
 def reward_means(advantages: DataFrame, batch: str = "batch") -> DataFrame:

@@ -14,7 +14,7 @@ _MEANS = ["meteor", "rouge_l", "cider"]
 
 def _stored(pred: DataFrame, refs: DataFrame, by: list[str]):
     """Tokens of the scored captions, and their n-grams, stored once: many branches read each table."""
-    p, r = m.scored_pairs(pred.select(*by, KEY, "caption"), refs.select(*by, KEY, "cap_id", "caption"))
+    p, r = m.scored_pairs(pred.select(*by, KEY, "caption"), refs.select(*by, KEY, "cap_id", "caption"), by)
     p, r = m.with_group_size(m.with_tokens(p), m.with_tokens(r), by)
     p, r = write_through(p, "pred"), write_through(r, "refs")
     hyp, ref = m.stored_grams(p, r, by)
@@ -22,19 +22,20 @@ def _stored(pred: DataFrame, refs: DataFrame, by: list[str]):
 
 
 def score_per_video(pred: DataFrame, refs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """The seven metrics of every scored video, keyed by ``video_id``."""
-    p, r, grams = _stored(pred, refs, by or [])
+    """The seven metrics of every scored video, keyed by ``by`` and ``video_id``."""
+    by, ids = by or [], m.video_keys(by)
+    p, r, grams = _stored(pred, refs, by)
     return (
-        m.cider_per_video(p, r, by, grams=grams).join(m.bleu_per_video(p, r, grams=grams), KEY)
-        .join(m.meteor(p, r), KEY).join(m.rouge_l(p, r), KEY)
+        m.cider_per_video(p, r, by, grams=grams).join(m.bleu_per_video(p, r, grams=grams, by=by), ids)
+        .join(m.meteor(p, r, by), ids).join(m.rouge_l(p, r, by), ids)
     )
 
 
 def score_captions(pred: DataFrame, refs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Corpus metrics per group, with the number of videos."""
-    by = by or []
+    by, ids = by or [], m.video_keys(by)
     p, r, grams = _stored(pred, refs, by)
-    single = m.cider_per_video(p, r, by, grams=grams).join(m.meteor(p, r), KEY).join(m.rouge_l(p, r), KEY)
+    single = m.cider_per_video(p, r, by, grams=grams).join(m.meteor(p, r, by), ids).join(m.rouge_l(p, r, by), ids)
     means = single.groupBy(*by).agg(
         F.count(F.lit(1)).alias("num_videos"), *[F.avg(c).alias(c) for c in _MEANS]
     )
