@@ -549,7 +549,7 @@ def _(s, sf):
 
 
 def event_stream(s, sf) -> DataFrame:
-    return streams.read_stream(s, sf, "events.parquet", EVENT).select(
+    return streams.table_stream(s, f"{sf}/events.parquet", EVENT).select(
         F.concat(F.lit("video"), F.col("user_id").cast("string")).alias(KEY),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_type").alias("status"),
@@ -579,7 +579,7 @@ def _(s, sf):
     FROM (SELECT *, lag(e) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM (SELECT *, CAST(embedding AS DOUBLE[]) AS e FROM embeddings))""")
 def _(s, sf):
     schema = s.read.parquet(f"{sf}/embeddings.parquet").schema
-    feed = streams.read_stream(s, sf, "embeddings.parquet", schema).select(
+    feed = streams.table_stream(s, f"{sf}/embeddings.parquet", schema).select(
         F.concat(F.lit("video"), F.col("label").cast("string")).alias(KEY),
         F.col("vec_id").cast("int").alias("sample_index"),
         F.col("embedding").cast("array<double>").alias("vec"),

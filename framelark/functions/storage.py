@@ -41,6 +41,22 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def folder_of(spark: SparkSession, path: str) -> tuple[str, str | None]:
+    """``(path, None)`` of a folder, ``(its folder, its name)`` of a file, in any store that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        raise FileNotFoundError(path)
+    if fs.getFileStatus(where).isDirectory():
+        return path, None
+    return where.getParent().toString(), where.getName()
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{scratch_root(spark).rstrip('/')}/framelark-{name}-{uuid.uuid4().hex}"
     if _SCOPES.get():

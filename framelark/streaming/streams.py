@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from framelark.functions.partitioned import block_of, dense_index, with_neighbors
-from framelark.functions.storage import scratch_path
+from framelark.functions.storage import folder_of, make_folder, scratch_path
 from framelark.functions.vectors import as_double, dot
 
 
@@ -62,6 +62,7 @@ def run_to_table(stream: DataFrame | BatchStream, name: str, mode: str = "append
     else:
         query = writer.format("parquet").option("path", out).start()
     query.awaitTermination()
+    make_folder(spark, out)  # a stream without rows writes nothing
     if mode != "update":
         return spark.read.schema(stream.schema).parquet(out)
     changed = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(out)
@@ -80,6 +81,15 @@ def read_stream(
     return reader.parquet(folder)
 
 
+def table_stream(spark: SparkSession, path: str, schema: StructType, max_files: int | None = None) -> DataFrame:
+    """A Parquet table as a stream: the files of its folder, or the one file that it is.
+
+    A path that does not exist is an error; a folder that is still empty is a stream without rows yet.
+    """
+    folder, name = folder_of(spark, path)
+    return read_stream(spark, folder, name or "*.parquet", schema, max_files)
+
+
 HISTORY_PARTS = 256
 
 
@@ -120,6 +130,7 @@ def stream_pending(
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    make_folder(spark, failed_path)  # so that the log of a stream without rows can be read
 
 
 def stream_manifest(stream: DataFrame, time: str = "ts", late: str = "1 hour", width: str = "1 hour") -> DataFrame:

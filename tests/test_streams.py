@@ -4,9 +4,13 @@ import datetime as dt
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from checks import store_queries  # noqa: F401
+from checks.registry import QUERIES
 from framelark.streaming import streams
+from tests.conftest import SF
 
 SCHEMA = "video_id string, ts timestamp, status string"
 
@@ -117,3 +121,25 @@ def test_frame_change_of_a_shuffled_video_in_small_arrow_batches(spark, tmp_path
         assert len(got) == 1000 and all(abs(got[i] - change(i, vecs)) < 1e-9 for i in late)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_before)
+
+
+@pytest.mark.parametrize("name", ["T1_stream_pending", "T2_stream_manifest", "T3_stream_frame_change"])
+def test_a_table_may_be_a_folder(spark, tmp_path, name):
+    """Equal rows from a file and from the same table as a folder of several files."""
+    for table in ("events", "embeddings"):
+        spark.read.parquet(f"{SF}/{table}.parquet").repartition(5).write.parquet(str(tmp_path / f"{table}.parquet"))
+    one, many = QUERIES[name](spark, SF), QUERIES[name](spark, str(tmp_path))
+    assert one.count() > 0
+    assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
+
+
+@pytest.mark.parametrize("name", ["T1_stream_pending", "T2_stream_manifest", "T3_stream_frame_change"])
+def test_a_folder_without_rows(spark, tmp_path, name):
+    for table in ("events", "embeddings"):
+        spark.read.parquet(f"{SF}/{table}.parquet").limit(0).write.parquet(str(tmp_path / f"{table}.parquet"))
+    assert QUERIES[name](spark, str(tmp_path)).collect() == []
+
+
+def test_a_missing_table_is_an_error(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        streams.table_stream(spark, str(tmp_path / "none.parquet"), spark.range(1).schema)
