@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from framelark.functions.storage import write_through
 from framelark.llm.graph import connected_components
+from framelark.llm.lean import lean_map, lean_table
 from framelark.llm.packed import mix
 
 
@@ -123,9 +124,9 @@ def lattice_near_dedup(
     )
     base = base.select("_id", "_label", F.when(usable, v).alias("_v"))
     live = base.filter("_v IS NOT NULL")
-    classes = write_through(
-        live.groupBy("_label", "_v").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("size")), "vectors"
-    )
+    # A class is a label and a vector; ``rep`` is its own number, as an id may come with several vectors.
+    classes = live.groupBy("_label", "_v").agg(F.min("_id").alias("low"), F.count(F.lit(1)).alias("size"))
+    classes = write_through(classes.withColumn("rep", F.monotonically_increasing_id()), "vectors")
 
     def cells(batches):
         for batch in batches:
@@ -147,7 +148,7 @@ def lattice_near_dedup(
                     names=["label", "cell", "home", "rep"],
                 )
 
-    keys = classes.mapInArrow(cells, "label string, cell bigint, home boolean, rep bigint")
+    keys = classes.mapInArrow(lean_map(cells), "label string, cell bigint, home boolean, rep bigint")
     keys = write_through(keys.select(F.xxhash64("label", "cell").alias("cell"), F.col("cell").alias("key"), "home", "rep"), "cells")
     shared = keys.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("some"))
     shared = shared.filter("n > 1 AND some").select("cell", F.ceil(F.col("n") / unit_rows).alias("parts"))
@@ -171,20 +172,25 @@ def lattice_near_dedup(
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
 
     found = joined.withColumn("task", F.pmod(F.xxhash64("unit", F.lit(3)), F.lit(tasks))).groupBy("task").applyInArrow(
-        compare, "a bigint, b bigint, n bigint"
+        lean_table(compare), "a bigint, b bigint, n bigint"
     )
     # Rows with b are links of the forest; rows without are counts of links.
     found = write_through(found, "found")
     counts = found.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
-    labels = connected_components(found.filter("b IS NOT NULL").select("a", "b"))
+    labels = write_through(connected_components(found.filter("b IS NOT NULL").select("a", "b")), "components")
+    # The smallest id of each component, copied to every salt: a component may hold a third of all classes.
+    names = labels.join(classes.select("rep", "low"), F.col("node") == F.col("rep")).groupBy("component").agg(F.min("low").alias("name"))
+    names = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    labels = labels.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(32)).cast("int")).join(names, ["component", "salt"])
+    labels = labels.select("node", "name")
     named = (
-        classes.select("rep", "size", F.col("_label").alias("l"), F.col("_v").alias("w"))
+        classes.select("rep", "low", "size", F.col("_label").alias("l"), F.col("_v").alias("w"))
         .join(counts, F.col("rep") == F.col("a"), "left")
         .join(labels, F.col("rep") == F.col("node"), "left")
         .select(
             "l", "w",
             (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
+            F.coalesce("name", "low").alias("component_id"),
         )
     )
     named = write_through(named, "named")

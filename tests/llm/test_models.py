@@ -129,3 +129,34 @@ def test_pipeline_keeps_odd_rows_defined(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and 0 < out.count() <= docs.count()
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_lattice_tells_vectors_of_one_id_apart(spark):
+    close = [[1.0, 0.01 * k, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0] for k in range(3)]
+    rows = [(1, close[0], 5), (1, close[1], 5), (2, close[2], 5), (9, [0.0, 1.0] + [0.0] * 6, 5), (1, [0.0, 0.0, 1.0] + [0.0] * 5, 5)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in lattice_near_dedup(frame).collect())
+    assert got == [(1, 0, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (9, 0, 9, True)]
+
+
+def test_lattice_recall_with_registered_parameters(spark, tmp_path):
+    """The given vectors, each with a copy at a cosine between 0.9 and 1."""
+    from framelark.llm.queries import QUERIES
+    from tests.conftest import SF
+
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").filter("label IS NOT NULL").limit(300).collect()
+    v = np.array([r.embedding for r in rows], float)
+    v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
+    rng = np.random.default_rng(3)
+    noise = rng.normal(size=v.shape)
+    noise /= np.sqrt((noise * noise).sum(axis=1, keepdims=True))
+    v = np.float32(np.r_[v, v + noise * rng.uniform(0, 0.48, (len(v), 1))])
+    label = np.array([r.label for r in rows] * 2)
+    data = [(i, x, int(k)) for i, (x, k) in enumerate(zip(v.tolist(), label))]
+    spark.createDataFrame(data, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    u = v.astype(float)
+    u /= np.sqrt((u * u).sum(axis=1, keepdims=True))
+    true = ((u @ u.T >= 0.93) & (label[:, None] == label[None])).sum(axis=1) - 1
+    found = {r.vec_id: r.n_links for r in QUERIES["op8_lattice_near_dedup"](spark, str(tmp_path)).collect()}
+    got = np.array([found[i] for i in range(len(v))])
+    assert (got <= true).all() and true.sum() > 200 and got.sum() >= 0.9 * true.sum()
