@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from framelark.functions.storage import write_through
+from framelark.llm.lean import lean_map
 
 
 def _ranked(groups: DataFrame, order: list[str]) -> DataFrame:
@@ -36,6 +37,13 @@ def _repeated(runs: DataFrame, order: list[str], name: str, carry: tuple[str, ..
     )
 
 
+def literal(separator: str) -> str:
+    """A regular expression for just this string."""
+    if not separator:
+        raise ValueError("the separator is empty")
+    return "".join(f"\\x{{{ord(c):x}}}" for c in separator)
+
+
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str, separator: str) -> DataFrame:
     """Places of the lines that occur twice or more, with their ``size`` in bytes."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -43,7 +51,7 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, separator: str)
         docs.select(
             F.col(id_col).cast("bigint").alias("doc"),
             F.xxhash64(text).alias("row"),
-            F.posexplode(F.split(text, separator, -1)).alias("at", "line"),
+            F.posexplode(F.split(text, literal(separator), -1)).alias("at", "line"),
         )
         .filter("doc IS NOT NULL")
         .select(
@@ -77,7 +85,7 @@ def short_copies(docs: DataFrame, id_col: str, text_col: str, separator: str, le
     short = (
         docs.select(
             F.col(id_col).cast("bigint").alias("doc"), F.xxhash64(text).alias("row"),
-            F.crc32(F.encode(text, "utf-8")).alias("r2"), F.size(F.split(text, separator, -1)).alias("lines"), (text == "").alias("empty"),
+            F.crc32(F.encode(text, "utf-8")).alias("r2"), F.size(F.split(text, literal(separator), -1)).alias("lines"), (text == "").alias("empty"),
         )
         .filter((F.col("lines") < length) & ~F.col("empty") & F.col("doc").isNotNull())
         .drop("empty")
@@ -105,7 +113,7 @@ def line_dedup(
     row: id, ``n_lines``, ``n_removed``, ``n_spans`` (maximal deleted runs), ``longest``
     (lines of the longest), ``kept_sha256`` and ``kept`` (the remaining lines, joined again).
 
-    * lines are compared by 96 bits of hash; ``separator`` is one character.
+    * lines are compared by 96 bits of hash; ``separator`` is any string but the empty one, taken literally.
     * null text counts as the empty text, which is one empty line; without ``long_bytes`` and
       ``whole_copies``, texts of fewer than ``min_lines`` lines keep everything.
     * rows with null id neither delete nor lose anything.
@@ -145,4 +153,4 @@ def line_dedup(
             columns = list(zip(*out)) if out else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    return rows.select("_id", "_text", "starts").mapInArrow(cut, RESULT).withColumnRenamed("_id", id_col)
+    return rows.select("_id", "_text", "starts").mapInArrow(lean_map(cut), RESULT).withColumnRenamed("_id", id_col)

@@ -141,6 +141,16 @@ def test_line_dedup_of_long_lines_and_whole_copies(spark, least):
         assert [kept[i] for i in (601, 602, 603, 604, 606, 608)] == ["other", "a1\na2", "short", "", "x2\nshort", "z"]
 
 
+@pytest.mark.parametrize("separator", ["|", ".", "\\n", "ab", "\\"])
+def test_line_separator_is_literal(spark, separator):
+    rows = [(1, "aa\nbb\ncc"), (2, "aa\nbb\ndd"), (3, "x|y.z\naa\nbb"), (4, "aa"), (5, "")]
+    other = [(i, t.replace("\n", separator)) for i, t in rows]
+    got = line_dedup(document_frame(spark, other), separator=separator).select("doc_id", "n_lines", "n_removed", "kept").collect()
+    if separator not in ("|", ".", "ab"):  # these stand inside the lines too
+        assert sorted((r.doc_id, r.n_lines, r.n_removed) for r in got) == [(1, 3, 0), (2, 3, 2), (3, 3, 2), (4, 1, 0), (5, 1, 0)]
+    assert {r.doc_id: r.kept for r in got}[2] == "dd"
+
+
 def test_query_of_lines_leaves_no_later_copy_of_a_passage(spark, tmp_path):
     from framelark.llm.queries import QUERIES
 
