@@ -9,10 +9,11 @@ from checks import fixtures as fx
 from checks.fixtures import with_views
 from checks.registry import query
 from checks.text_queries import CANON
+from framelark.functions.partitioned import block_of, dense_index
 from framelark.functions.storage import scratch_path
 from framelark.operators import captions, features, runs, splits
 from framelark.schemas import EVENT
-from framelark.sources import readers, sinks
+from framelark.sources import numpy_source, readers, sinks
 from framelark.streaming import streams
 
 KEY = "video_id"
@@ -458,21 +459,11 @@ def _(s, sf):
 @query("S6_parse_matrices", """SELECT concat('label',label) AS video_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id)-1 AS INT) AS pos, CAST(len(embedding) AS INT) AS dim,
     round(list_sum(CAST(embedding AS DOUBLE[])),6) AS vec_sum FROM embeddings""")
 def _(s, sf):
-    """One NumPy matrix per label, all its vectors as rows."""
-
-    def to_matrix(pdf):
-        import io
-
-        import numpy as np
-        import pandas as pd
-
-        buf = io.BytesIO()
-        pdf = pdf.sort_values("vec_id")
-        np.save(buf, np.stack(pdf["embedding"].to_list()).astype("float32"))
-        return pd.DataFrame({KEY: [f"label{pdf['label'].iloc[0]}"], "content": [buf.getvalue()]})
-
-    blobs = fx.table(s, sf, "embeddings").groupBy("label").applyInPandas(to_matrix, f"{KEY} string, content binary")
-    out = readers.parse_feature_blobs(blobs)
+    """Vectors of a label as one matrix, in files of blocks, written and read by the NumPy source."""
+    path = scratch_path(s, "matrices")
+    rows = fx.table(s, sf, "embeddings").select(F.concat(F.lit("label"), F.col("label").cast("string")).alias(KEY), "vec_id", F.col("embedding").alias("vec"))
+    numpy_source.write_matrices(dense_index(rows, [KEY], block_of("vec_id"), ["vec_id"], "pos"), path)
+    out = numpy_source.read_matrices(s, path)
     total = F.aggregate(F.col("vec").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
     return out.select(KEY, "pos", F.size("vec").alias("dim"), F.round(total, 6).alias("vec_sum"))
 
