@@ -11,7 +11,7 @@ from checks.registry import query
 from checks.text_queries import CANON
 from framelark.functions.partitioned import block_of, dense_index
 from framelark.functions.storage import scratch_path
-from framelark.operators import captions, features, runs, splits
+from framelark.operators import captions, features, runs, splits, temporal
 from framelark.schemas import EVENT
 from framelark.sources import numpy_source, readers, sinks
 from framelark.streaming import streams
@@ -577,3 +577,43 @@ def _(s, sf):
     )
     out = streams.run_to_table(streams.stream_frame_change(feed), "change")
     return out.select(KEY, "sample_index", *r6("change"))
+
+
+# --- joins on time -----------------------------------------------------------
+
+
+def timed(s, sf, kind: str, name: str) -> DataFrame:
+    """Events of one kind as ``video_id``, time in seconds and number; at one time of a video the largest number."""
+    seconds = F.col("ts").cast("timestamp").cast("double")
+    rows = fx.table(s, sf, "events").filter(F.col("event_type") == kind)
+    rows = rows.select(F.concat(F.lit("video"), F.col("user_id").cast("string")).alias(KEY), seconds.alias(f"{name}_sec"), F.col("event_id").alias(name))
+    return rows.groupBy(KEY, f"{name}_sec").agg(F.max(name).alias(name))
+
+
+TIMED = ", ".join(
+    f"{name} AS (SELECT concat('video',user_id) AS video_id, ts, max(event_id) AS {name} FROM events WHERE event_type='{kind}' GROUP BY 1, 2)"
+    for kind, name in (("click", "frame"), ("view", "scene"), ("purchase", "audio"))
+)
+
+
+@query("W7_frames_in_scenes", f"""WITH {TIMED} SELECT f.video_id, frame, scene FROM frame f LEFT JOIN scene s
+    ON f.video_id = s.video_id AND f.ts >= s.ts AND f.ts < s.ts + INTERVAL 6 HOUR""")
+def _(s, sf):
+    scenes = timed(s, sf, "view", "scene").withColumn("end_sec", F.col("scene_sec") + 6 * 3600)
+    out = temporal.interval_join(timed(s, sf, "click", "frame"), scenes, [KEY], "frame_sec", "scene_sec", "end_sec", 4 * 3600.0, "left")
+    return out.select(KEY, "frame", "scene")
+
+
+@query("E16_audio_before_frame", f"""WITH {TIMED} SELECT f.video_id, frame, audio FROM frame f ASOF LEFT JOIN audio a ON f.video_id = a.video_id AND f.ts >= a.ts""")
+def _(s, sf):
+    out = temporal.asof_join(timed(s, sf, "click", "frame"), timed(s, sf, "purchase", "audio"), [KEY], "frame_sec", "audio_sec", ["audio"], 86400.0)
+    return out.select(KEY, "frame", "audio")
+
+
+@query("E16_audio_nearest_frame", f"""WITH {TIMED}, near AS (SELECT frame, arg_min(audio, struct_pack(d := abs(epoch_us(f.ts) - epoch_us(a.ts)), t := a.ts)) AS audio
+    FROM frame f JOIN audio a ON f.video_id = a.video_id WHERE abs(epoch_us(f.ts) - epoch_us(a.ts)) <= 43200000000 GROUP BY 1)
+    SELECT video_id, frame, audio FROM frame LEFT JOIN near USING (frame)""")
+def _(s, sf):
+    frames, audio = timed(s, sf, "click", "frame"), timed(s, sf, "purchase", "audio")
+    out = temporal.asof_join(frames, audio, [KEY], "frame_sec", "audio_sec", ["audio"], 86400.0, "nearest", 43200.0)
+    return out.select(KEY, "frame", "audio")
