@@ -16,7 +16,14 @@ from framelark.llm.word_split import WordCoder, ids_list, read_vocabulary
 _SHIFT = 32
 _MASK = (1 << _SHIFT) - 1
 _LOADED: dict[str, "BytePairs"] = {}
-at_task_end(_LOADED.clear)
+
+
+@at_task_end
+def _shrink() -> None:
+    """Words are dear to encode here, so a worker keeps them for its next task while they are few."""
+    for pairs in _LOADED.values():
+        pairs.coder.shrink()
+
 
 
 class BytePairs:

@@ -83,6 +83,11 @@ class WordCoder:
         self.begin, self.length = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.store, self.used = np.zeros(1 << 16, np.uint32), 0
 
+    def shrink(self, most: int = 400_000) -> None:
+        """Start anew if more than ``most`` words are remembered (about 15 MB)."""
+        if len(self.hashes) > most:
+            self._forget()
+
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """Encode new words (sorted by hash) and remember them."""
         if len(self.hashes) > self.most:
