@@ -6,23 +6,22 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
-from framelark.functions.partitioned import block_of, dense_index, with_neighbors
-from framelark.functions.storage import folder_of, make_folder, scratch_path
-from framelark.functions.vectors import as_double, dot
+from framelark.functions.storage import folder_of, make_folder, scratch_path, scratch_scope, write_through
+from framelark.functions.vectors import dot
+from framelark.streaming.state import frames_before, give_out, nearest, on_disk_state, token_of
 
 
 @dataclass(frozen=True)
 class BatchStream:
     """A stream whose result is computed trigger by trigger with plain batch operations.
 
-    ``step(batch, number, kept)`` returns the rows of a trigger; ``kept`` is a folder for what
-    later triggers need.
+    ``step(batch, number)`` returns the rows of a trigger; what later triggers need is state of ``stream``.
     """
 
     stream: DataFrame
-    step: Callable[[DataFrame, int, str], DataFrame]
+    step: Callable[[DataFrame, int], DataFrame]
     schema: str
 
     def run(self, out: str, checkpoint: str) -> DataFrame:
@@ -35,12 +34,14 @@ class BatchStream:
         empty.write.mode("append").partitionBy("batch").parquet(out)
 
         def write(batch: DataFrame, number: int) -> None:
-            step(batch, number, f"{checkpoint}-kept").write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-        query = (
-            self.stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start()
-        )
+            with scratch_scope(spark):
+                step(batch, number).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+        with on_disk_state(spark):
+            query = (
+                self.stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True).start()
+            )
         query.awaitTermination()
         return spark.read.schema(empty.schema).parquet(out).drop("batch")
 
@@ -90,46 +91,54 @@ def table_stream(spark: SparkSession, path: str, schema: StructType, max_files:
     return read_stream(spark, folder, name or "*.parquet", schema, max_files)
 
 
-HISTORY_PARTS = 256
-
-
 def stream_pending(
     stream: DataFrame, process: Callable[[DataFrame], DataFrame], done_path: str, failed_path: str, checkpoint: str,
     key: str = "video_id",
 ) -> None:
     """Process every id until it has succeeded once; failures go to a log and may come again.
 
-    ``process`` maps a batch to the same ids with an ``error`` column. Ids that
-    succeeded in earlier batches are skipped by an anti-join, whenever they arrive: there
-    is no watermark, so nothing is late. The history is stored by parts of the id's hash,
-    and a batch reads only the parts of its own ids. A batch that runs again
-    after a crash overwrites its own folders, so it is not counted twice.
+    ``process`` maps a batch to the same ids with an ``error`` column. Which ids were given out is
+    keyed state (:func:`framelark.streaming.state.give_out`), whenever they arrive: there is no watermark, so
+    nothing is late, and a trigger touches only the state of its own ids. Failed tries are reported in a
+    folder next to the checkpoint, which is a second source of the stream. A call goes on until no try of
+    its own has failed unreported, so an id that failed and came again in one call is tried again in it.
+    Rows of a null id are one id. A batch that runs again after a crash overwrites its own folders, and a
+    report counts once, for the try that it names. Spark fixes the number of state partitions when the
+    checkpoint is new.
     """
     spark = stream.sparkSession
     kind = stream.schema[key].dataType.simpleString()
-    known = f"{key} {kind}, batch bigint, part int"
-    # An empty history from the start, so the first batch can read it.
-    spark.createDataFrame([], f"{key} {kind}, batch bigint, part int").write.mode("append").partitionBy("batch", "part").parquet(done_path)
-    part = F.pmod(F.xxhash64(key), F.lit(HISTORY_PARTS)).cast("int")
+    # An empty history from the start, so that it can be read.
+    spark.createDataFrame([], f"{key} {kind}, batch bigint").write.mode("append").partitionBy("batch").parquet(done_path)
+    reports, report = f"{checkpoint}-reports", "_token string, _try bigint"
+    make_folder(spark, reports)
+    failed = []
 
     def write(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        parts = [r[0] for r in batch.select(part.alias("part")).distinct().collect()]  # at most HISTORY_PARTS
-        history = session.read.schema(known).parquet(done_path).filter(F.col("part").isin(parts) & (F.col("batch") != number))
-        result = process(fresh.join(history.select(key), key, "left_anti"))
-        slot = f"{failed_path}-work/batch={number}"
-        result.write.mode("overwrite").parquet(slot)
-        stored = session.read.schema(result.schema).parquet(slot)
-        bad = stored.filter(F.col("error").isNotNull()).select(key, "error")
-        bad.write.mode("overwrite").json(f"{failed_path}/batch={number}")
-        good = stored.filter(F.col("error").isNull()).withColumn("part", part)
-        good.write.mode("overwrite").partitionBy("part").parquet(f"{done_path}/batch={number}")
-
-    query = (
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+        with scratch_scope(spark):
+            given = write_through(batch, "given")
+            if given.isEmpty():
+                return
+            slot = f"{failed_path}-work/batch={number}"
+            result = process(given.drop("_token", "_try"))
+            result.write.mode("overwrite").parquet(slot)
+            stored = spark.read.schema(result.schema).parquet(slot)
+            bad = stored.filter(F.col("error").isNotNull()).select(key, "error")
+            bad.write.mode("overwrite").json(f"{failed_path}/batch={number}")
+            stored.filter(F.col("error").isNull()).write.mode("overwrite").parquet(f"{done_path}/batch={number}")
+            tries = given.select("_token", "_try").join(bad.select(token_of(key).alias("_token")).distinct(), "_token")
+            if not bad.isEmpty():
+                tries.write.mode("append").parquet(reports)
+                failed.append(number)
+
+    while True:
+        failed.clear()
+        given = give_out(stream, spark.readStream.schema(report).parquet(reports), key)
+        with on_disk_state(spark):
+            query = given.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        if not failed:
+            break
     make_folder(spark, failed_path)  # so that the log of a stream without rows can be read
 
 
@@ -146,54 +155,20 @@ def stream_manifest(stream: DataFrame, time: str = "ts", late: str = "1 hour", w
 BAD_FRAME = "sample_index or vector missing, or vectors of different lengths"
 
 
-def frame_changes(batch: DataFrame, number: int, kept: str) -> DataFrame:
-    """``1 - cosine`` of each frame of a trigger to the newest frame before it, here or in earlier triggers.
-
-    Frames are stored per trigger and by parts of the id's hash. Positions of all frames known for
-    the parts of this trigger give the frame before, block by block; only the vectors of those frames
-    are joined. A row without index or vector, or with one of another length, is an error.
-    """
-    spark = batch.sparkSession
-    fields = batch.select("video_id", "sample_index", "vec").schema
-    stored = StructType(
-        [
-            StructField("key", StringType()), fields["video_id"], fields["sample_index"],
-            StructField("vecs", ArrayType(fields["vec"].dataType)), StructField("n", LongType()),
-            StructField("batch", LongType()), StructField("part", IntegerType()),
-        ]
-    )
-    # Null ids are one video, apart from the empty id.
-    key = F.coalesce(F.concat(F.lit("="), "video_id"), F.lit("")).alias("key")
-    fresh = (
-        batch.select(key, "video_id", "sample_index", "vec").groupBy("key", "video_id", "sample_index")
-        .agg(F.collect_list("vec").alias("vecs"), F.count(F.lit(1)).alias("n"))
-        .withColumn("part", F.pmod(F.xxhash64("key"), F.lit(HISTORY_PARTS)).cast("int"))
-    )
-    fresh.write.mode("overwrite").partitionBy("part").parquet(f"{kept}/batch={number}")
-    known = spark.read.schema(stored).parquet(kept).filter(F.col("batch") <= number)
-    parts = [r[0] for r in known.filter(F.col("batch") == number).select("part").distinct().collect()]  # at most HISTORY_PARTS
-    known = known.filter(F.col("part").isin(parts))
-    places = known.groupBy("key", "sample_index").agg(F.max("batch").alias("batch"))
-    places = dense_index(places, ["key"], block_of("sample_index"), ["sample_index"], "pos")
-    before = with_neighbors(places, ["key"], "pos", ["sample_index", "batch"], after=False).filter(F.col("batch") == number)
-    before = before.select("key", "sample_index", F.col("prev_sample_index").alias("at"), F.col("prev_batch").alias("in_batch"))
-    # A frame that came twice in a trigger counts with its largest vector.
-    earlier = known.select("key", F.col("sample_index").alias("at"), F.col("batch").alias("in_batch"), F.array_max("vecs").alias("prev"))
-    now = known.filter(F.col("batch") == number).join(before, ["key", "sample_index"], "left")
-    rows = now.join(earlier, ["key", "at", "in_batch"], "left").withColumn("bad", F.col("sample_index").isNull() | (F.size("vecs") != F.col("n")))
-    vecs = F.when(F.col("bad"), F.raise_error(F.lit(BAD_FRAME)).cast(stored["vecs"].dataType)).otherwise(F.col("vecs"))
-    rows = rows.select("video_id", "sample_index", "at", as_double(F.col("prev")).alias("prev"), F.explode(vecs).alias("vec"))
-    cur, prev = as_double(F.col("vec")), F.col("prev")
+def frame_changes(answers: DataFrame, number: int) -> DataFrame:
+    """``1 - cosine`` of each frame of a trigger to the newest frame before it, here or in earlier triggers."""
+    rows = nearest(write_through(answers, "answers"))
+    cur, prev = F.col("vec"), F.col("prev")
     norms = F.greatest(F.sqrt(dot(prev, prev)), F.lit(1e-8)) * F.greatest(F.sqrt(dot(cur, cur)), F.lit(1e-8))
     cosine = dot(prev, cur) / norms
     # greatest and least take NaN as the largest number.
     cosine = F.when(F.isnan(cosine), cosine).otherwise(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0)))
     change = (
-        F.when(F.col("at").isNull(), 0.0)
+        F.when(F.col("before").isNull(), 0.0)
         .when(F.size(prev) != F.size(cur), F.raise_error(F.lit(BAD_FRAME)).cast("double"))
         .otherwise(1.0 - cosine)
     )
-    return rows.select(F.col("video_id").cast("string"), F.col("sample_index").cast("int"), change.alias("change"))
+    return rows.select("video_id", F.col("at").cast("int").alias("sample_index"), change.alias("change"))
 
 
 def stream_frame_change(stream: DataFrame) -> BatchStream:
@@ -201,5 +176,19 @@ def stream_frame_change(stream: DataFrame) -> BatchStream:
 
     The first frame of a video gets 0. A frame that arrives after newer ones is compared with the
     newest frame before it that has come by then, however old; rows given out before are not changed.
+    Frames are keyed state (:func:`framelark.streaming.state.frames_before`): a trigger touches the groups of its own
+    frames and the entries before them, whatever has come before. A frame that comes twice in a trigger counts
+    with its largest vector as the frame before, one that comes again later with its newest. Null ids are one
+    video. A missing component counts as NaN. A row without index or vector, or with a vector of
+    another length than the frame before, is an error.
     """
-    return BatchStream(stream.select("video_id", "sample_index", "vec"), frame_changes, "video_id string, sample_index int, change double")
+    bad = F.col("sample_index").isNull() | F.col("vec").isNull()
+
+    def checked(column):
+        return F.when(bad, F.raise_error(F.lit(BAD_FRAME)).cast(column[1])).otherwise(F.col(column[0]).cast(column[1]))
+
+    frames = stream.select(
+        token_of("video_id").alias("token"), F.col("video_id").cast("string").alias("video_id"),
+        checked(("sample_index", "bigint")).alias("at"), checked(("vec", "array<double>")).alias("vec"),
+    )
+    return BatchStream(frames_before(frames), frame_changes, "video_id string, sample_index int, change double")

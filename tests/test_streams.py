@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from checks import store_queries  # noqa: F401
 from checks.registry import QUERIES
 from framelark.streaming import streams
+from framelark.streaming.state import on_disk_state
 from tests.conftest import SF
 
 SCHEMA = "video_id string, ts timestamp, status string"
@@ -143,3 +144,94 @@ def test_a_folder_without_rows(spark, tmp_path, name):
 def test_a_missing_table_is_an_error(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         streams.table_stream(spark, str(tmp_path / "none.parquet"), spark.range(1).schema)
+
+
+def few_state_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    return before
+
+
+FRAME = "video_id string, sample_index int, vec array<double>"
+
+
+def test_frame_change_across_far_places_and_restarts(spark, tmp_path):
+    """Indexes far apart and negative, repeated frames and null ids, in three calls, against brute force."""
+    feed, out, state = (str(tmp_path / n) for n in ("feed", "out", "state"))
+    rnd = random.Random(11)
+    places = [-(2**31), -5, 0, 3, 1023, 1024, 5000, 2**20 - 1, 2**20, 2**30 + 7, 2**31 - 1]
+    before = few_state_partitions(spark)
+    known, want = {}, {}
+    try:
+        for call in range(3):
+            rows = [(v, i, [rnd.random(), rnd.random()]) for v in ("a", "", None) for i in rnd.sample(places, 5)]
+            rows.append((*rows[0][:2], [2.0 + call, 0.5]))
+            spark.createDataFrame(rows, FRAME).repartition(3).write.mode("append").parquet(feed)
+            source = streams.read_stream(spark, feed, "*.parquet", spark.createDataFrame([], FRAME).schema)
+            got = streams.stream_frame_change(source).run(out, state).collect()
+            trigger = {}
+            for v, i, vec in rows:
+                trigger[v, i] = max(trigger.get((v, i), vec), vec)
+            known.update(trigger)
+            for v, i, vec in rows:
+                at = max((j for w, j in known if w == v and j < i), default=None)
+                change = 0.0
+                if at is not None:
+                    p = known[v, at]
+                    change = 1 - sum(x * y for x, y in zip(p, vec)) / math.hypot(*p) / math.hypot(*vec)
+                want.setdefault((str(v), i), []).append(round(change, 9))
+            have = {}
+            for r in got:
+                have.setdefault((str(r["video_id"]), r["sample_index"]), []).append(round(r["change"], 9) + 0.0)
+            assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in want.items()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_trigger_costs_the_same_however_long_the_history(spark, tmp_path):
+    """Same rows in, same state entries read and written, from the second trigger of a hot video on."""
+    feed = str(tmp_path / "feed")
+    for n in range(8):
+        rows = [("hot", 40 * n + i, [1.0, float(i)]) for i in range(40)]
+        spark.createDataFrame(rows, FRAME).coalesce(1).write.mode("append").parquet(feed)
+    source = streams.read_stream(spark, feed, "*.parquet", spark.createDataFrame([], FRAME).schema, max_files=1)
+    answers = streams.stream_frame_change(source).stream
+    before = few_state_partitions(spark)
+    try:
+        with on_disk_state(spark):
+            query = (
+                answers.writeStream.foreachBatch(lambda batch, n: batch.write.format("noop").mode("overwrite").save())
+                .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+            )
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    progress = [p for p in query.recentProgress if p["numInputRows"]]
+    assert [p["numInputRows"] for p in progress] == [40] * 8
+    work = [[p["stateOperators"][0]["customMetrics"][m] for m in ("rocksdbGetCount", "rocksdbPutCount")] for p in progress[1:]]
+    assert max(w[0] for w in work) <= 1.2 * min(w[0] for w in work) + 8
+    assert max(w[1] for w in work) <= 1.2 * min(w[1] for w in work) + 8
+
+
+def test_an_id_that_fails_and_comes_again_in_one_call(spark, tmp_path):
+    """Three triggers in one call: the id is given out, comes again while its try counts as open, and is tried again."""
+    feed, done, failed, state = (str(tmp_path / n) for n in ("feed", "done", "failed", "state"))
+    for day in (1, 2, 3):
+        given = [("v1", dt.datetime(2024, 1, day), "ok"), (None, dt.datetime(2024, 1, day), "ok")]
+        spark.createDataFrame(given, SCHEMA).coalesce(1).write.mode("append").parquet(feed)
+    calls = []
+
+    def process(batch):
+        ids = sorted(str(r[0]) for r in batch.select("video_id").collect())
+        calls.append(ids)
+        return batch.select("video_id", F.when(F.lit(len(calls) == 1), "broken").alias("error"))
+
+    before = few_state_partitions(spark)
+    try:
+        for _ in range(2):
+            source = streams.read_stream(spark, feed, "*.parquet", spark.createDataFrame([], SCHEMA).schema, max_files=1)
+            streams.stream_pending(source, process, done, failed, state)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert calls == [["None", "v1"], ["None", "v1"]]
+    assert sorted(str(r[0]) for r in spark.read.parquet(done).select("video_id").collect()) == ["None", "v1"]
