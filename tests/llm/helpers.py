@@ -110,41 +110,44 @@ def brute_jaccard(rows, words: int, upper: int, lower: int):
     return sorted(((i, len(s), None if i is None else find(i)) for i, s in zip(ids, sets)), key=repr)
 
 
+def _lengths(least: int, most: int) -> list[int]:
+    """The lengths that doubling passes: powers of two below ``least``, then ``least`` times them."""
+    out = [n for n in (1 << k for k in range(30)) if n < least]
+    return out + [n for n in (least << k for k in range(30)) if n <= most]
+
+
 def brute_lines(rows, least: int, long_bytes: int | None = None, whole_copies: bool = False):
+    split = {r: (t or "").split("\n") for r, (_, t) in enumerate(rows)}
+    places = sorted((i, j, r) for r, (i, _) in enumerate(rows) if i is not None for j in range(len(split[r])))
+    lengths = _lengths(least, max(map(len, split.values()), default=1))
     first: dict[tuple, tuple] = {}
-    first_line: dict[str, tuple] = {}
+    for i, j, r in places:
+        for n in {1, *lengths}:
+            if j + n <= len(split[r]):
+                first.setdefault(tuple(split[r][j : j + n]), (i, j, r))
     first_text: dict[str, int] = {}
-    split = [(t or "").split("\n") for _, t in rows]
-    for (i, _), lines in zip(rows, split):
-        if i is None:
-            continue
-        for j in range(len(lines) - least + 1):
-            w = tuple(lines[j : j + least])
-            first[w] = min(first.get(w, (i, j)), (i, j))
-        for j, line in enumerate(lines):
-            first_line[line] = min(first_line.get(line, (i, j)), (i, j))
-        text = "\n".join(lines)
-        first_text[text] = min(first_text.get(text, i), i)
+    for i, j, r in places:
+        first_text.setdefault("\n".join(split[r]), i)
+    runs: dict[int, set] = {r: set() for r in split}
+    for i, j, r in places:
+        lines = split[r]
+        later = [n for n in lengths if n >= least and j + n <= len(lines) and first[tuple(lines[j : j + n])][:2] < (i, j)]
+        if later:
+            _, at, other = first[tuple(lines[j : j + max(later)])]
+            n = max(later)
+            while j + n < len(lines) and at + n < len(split[other]) and lines[j + n] == split[other][at + n]:
+                n += 1
+            runs[r].add((j, j + n))
+        if long_bytes is not None and len(lines[j].encode()) >= long_bytes and first[(lines[j],)][:2] < (i, j):
+            runs[r].add((j, j + 1))
+        if whole_copies and rows[r][1] and len(lines) < least and first_text["\n".join(lines)] < i:
+            runs[r].add((0, len(lines)))
     out = []
-    for (i, t), lines in zip(rows, split):
-        gone = [False] * len(lines)
-        for j in range(len(lines) - least + 1):
-            if i is not None and first[tuple(lines[j : j + least])] < (i, j):
-                gone[j : j + least] = [True] * least
-        if i is not None and long_bytes is not None:
-            for j, line in enumerate(lines):
-                gone[j] |= len(line.encode()) >= long_bytes and first_line[line] < (i, j)
-        if i is not None and whole_copies and t and len(lines) < least and first_text[t] < i:
-            gone = [True] * len(lines)
-        spans, run = [], 0
-        for g in [*gone, False]:
-            if g:
-                run += 1
-            elif run:
-                spans.append(run)
-                run = 0
-        kept = "\n".join(x for x, g in zip(lines, gone) if not g) if spans else (t or "")
-        out.append((i, len(lines), sum(gone), len(spans), max(spans, default=0), hashlib.sha256(kept.encode()).hexdigest()))
+    for r, (i, t) in enumerate(rows):
+        spans = [b - a for a, b in runs[r] if not any(c <= a and b <= d and (a, b) != (c, d) for c, d in runs[r])]
+        gone = [any(a <= j < b for a, b in runs[r]) for j in range(len(split[r]))]
+        kept = "\n".join(x for x, g in zip(split[r], gone) if not g) if spans else (t or "")
+        out.append((i, len(gone), sum(gone), len(spans), max(spans, default=0), hashlib.sha256(kept.encode()).hexdigest()))
     return sorted(out, key=repr)
 
 

@@ -141,6 +141,20 @@ def test_line_dedup_of_long_lines_and_whole_copies(spark, least):
         assert [kept[i] for i in (601, 602, 603, 604, 606, 608)] == ["other", "a1\na2", "short", "", "x2\nshort", "z"]
 
 
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_line_runs_are_common_prefixes(spark, least):
+    """Runs of 3 to 21 lines inside other lines, two that meet, and lines that repeat themselves."""
+    rnd = random.Random(11)
+    runs = [[f"r{k}l{j}" for j in range(n)] for k, n in enumerate((3, 5, 8, 13, 21))]
+    rows = [(i, "\n".join(x for run in rnd.sample(runs, 3) for x in [f"u{i}{run[0]}", *run])) for i in range(12)]
+    rows += [(20, "p\nA\nB\nq"), (21, "s\nB\nC\nt"), (22, "x\nA\nB\nC\ny"), (23, "a\n" * 9), (24, "z\n" + "b\nc\n" * 7)]
+    rows += [(25, "b\nc\n" * 9 + "d"), (25, "a\n" * 12 + "d"), (None, "a\na\na")]
+    got = line_dedup(document_frame(spark, rows), min_lines=least)
+    assert collected(got.drop("kept")) == brute_lines(rows, least)
+    if least == 2:  # AB and BC are two runs: ABC stands nowhere else
+        assert [(r.n_removed, r.n_spans, r.longest) for r in got.collect() if r.doc_id == 22] == [(3, 2, 2)]
+
+
 @pytest.mark.parametrize("separator", ["|", ".", "\\n", "ab", "\\"])
 def test_line_separator_is_literal(spark, separator):
     rows = [(1, "aa\nbb\ncc"), (2, "aa\nbb\ndd"), (3, "x|y.z\naa\nbb"), (4, "aa"), (5, "")]
