@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import re
 import uuid
@@ -20,16 +22,21 @@ CRLF = b"\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MEMBER = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
+DIGESTS = ("md5", "sha1", "sha256", "sha512")
 WINDOW = 1 << 20
 MOST_HEADER = 1 << 20
 
 
 @dataclass
 class Record:
+    """``inner`` is the byte range inside its member, where that holds more than this record."""
+
     offset: int
     end: int
     headers: dict[str, str]
     block: bytes
+    unchecked: str | None = None
+    inner: tuple[int, int] | None = None
 
 
 @dataclass
@@ -39,6 +46,7 @@ class Gap:
     offset: int
     end: int
     reason: str
+    inner: tuple[int, int] | None = None
 
 
 class Damaged(Exception):
@@ -112,13 +120,31 @@ def _length(headers: dict[str, str]) -> int:
     return int(value)
 
 
-def _check_digests(headers: dict[str, str], block: bytes, resume: int) -> None:
+def _spelled(wanted: str, size: int) -> bytes | None:
+    """The bytes of a digest in hex or base32, told apart by their length."""
+    try:
+        if len(wanted) == 2 * size:
+            return bytes.fromhex(wanted)
+        return base64.b32decode(wanted.upper() + "=" * (-len(wanted) % 8))
+    except (ValueError, binascii.Error):
+        return None
+
+
+def _check_digests(headers: dict[str, str], block: bytes, resume: int | None) -> str | None:
+    """Raise where a digest differs; the fields whose method is unknown come back as text."""
+    unknown = []
     for name, data in (("warc-block-digest", block), ("warc-payload-digest", payload_of(headers, block))):
-        method, _, wanted = headers.get(name, "").partition(":")
+        method, colon, wanted = headers.get(name, "").partition(":")
+        method = method.strip().lower().replace("sha-", "sha")
         if name == "warc-payload-digest" and headers.get("warc-type") == "revisit":
             continue  # it describes the payload of the record referred to
-        if method.lower() == "sha256" and hashlib.sha256(data).hexdigest() != wanted.lower():
-            raise Damaged(f"{name} differs", resume)
+        if method in DIGESTS and colon:
+            found = hashlib.new(method, data, usedforsecurity=False).digest()
+            if _spelled(wanted.strip(), len(found)) != found:
+                raise Damaged(f"{name} differs", resume)
+        elif name in headers:
+            unknown.append(f"{name}: {method}")
+    return ", ".join(unknown) or None
 
 
 def payload_of(headers: dict[str, str], block: bytes) -> bytes:
@@ -128,7 +154,8 @@ def payload_of(headers: dict[str, str], block: bytes) -> bytes:
     return block
 
 
-def _member(source: Source, at: int) -> Record:
+def _member(source: Source, at: int) -> list[Record | Gap]:
+    """The record of a member, or, where it does not hold just one, all records inside and the gaps between."""
     unzip, parts, pos = zlib.decompressobj(31), [], at
     while not unzip.eof:
         chunk = source.read(pos, 1 << 13)
@@ -144,13 +171,17 @@ def _member(source: Source, at: int) -> Record:
     try:
         headers, begin = _headers(raw)
         size = _length(headers)
+        if raw[begin + size :] != CRLF + CRLF:
+            raise Damaged("content length differs from the member")
     except Damaged as e:
-        raise Damaged(e.reason, end) from e
-    if raw[begin + size :] != CRLF + CRLF:
-        raise Damaged("content length differs from the member", end)
+        found = list(_scan(Source(pa.BufferReader(raw)), VERSION, False))
+        if not any(isinstance(x, Record) for x in found):
+            raise Damaged(e.reason, end) from e
+        for x in found:
+            x.inner, x.offset, x.end = (x.offset, x.end), at, end
+        return found
     block = raw[begin : begin + size]
-    _check_digests(headers, block, end)
-    return Record(at, end, headers, block)
+    return [Record(at, end, headers, block, _check_digests(headers, block, end))]
 
 
 def _plain(source: Source, at: int) -> Record:
@@ -167,8 +198,7 @@ def _plain(source: Source, at: int) -> Record:
     follows = source.read(end, 64)
     block = source.read(at + begin, size)
     whole = not follows or bool(VERSION.match(follows)) or follows.startswith(MEMBER)
-    _check_digests(headers, block, end if whole else None)
-    return Record(at, end, headers, block)
+    return Record(at, end, headers, block, _check_digests(headers, block, end if whole else None))
 
 
 def salvage(file: pa.NativeFile) -> Iterator[Record | Gap]:
@@ -176,31 +206,37 @@ def salvage(file: pa.NativeFile) -> Iterator[Record | Gap]:
 
     A record counts when every check holds: it decompresses (with its CRC), has a
     version line, well-formed fields and a content length that fits, and its digests
-    agree. After a failed check the reader goes on at the next member or version line
+    agree (md5, sha1, sha256 and sha512, in hex or base32; other methods are named in
+    ``unchecked``). After a failed check the reader goes on at the next member or version line
     that starts a valid record; the bytes skipped are one gap. If only a digest
-    is wrong and the frame is whole, just that record is skipped.
+    is wrong and the frame is whole, just that record is skipped. A member that decompresses
+    but is not one record is searched for version lines in the same way: its records and
+    gaps carry the file range of the member and their own range inside it.
     """
-    source = Source(file)
+    yield from _scan(Source(file), _START, True)
+
+
+def _scan(source: Source, start: re.Pattern, members: bool) -> Iterator[Record | Gap]:
     at, lost, why = 0, None, ""
     while at < source.size:
         mark = source.read(at, 16)
         try:
-            if mark.startswith(MEMBER):
-                record = _member(source, at)
+            if members and mark.startswith(MEMBER):
+                found = _member(source, at)
             elif mark.startswith(b"WARC/"):
-                record = _plain(source, at)
+                found = [_plain(source, at)]
             else:
-                raise Damaged("neither member nor version line")
+                raise Damaged("neither member nor version line" if members else "no version line")
         except Damaged as e:
             if lost is None:
                 lost, why = at, e.reason
-            at = e.resume if e.resume is not None else source.find(_START, at + 1)
+            at = e.resume if e.resume is not None else source.find(start, at + 1)
             continue
         if lost is not None:
             yield Gap(lost, at, why)
             lost = None
-        yield record
-        at = record.end
+        yield from found
+        at = found[-1].end
     if lost is not None:
         yield Gap(lost, source.size, why)
 
@@ -257,7 +293,8 @@ def write_warc(
     null ids come after all others, and a group of null ids only is all responses; rows
     that repeat the smallest id are all responses. Every task writes files of its own
     under a new name, and only files of tasks that ended well are in the result, so
-    a lost executor leaves at most files that nobody lists. ``root`` is a folder that all
+    a lost executor leaves at most files that nobody lists. An empty table writes no file. Only
+    the three columns are read, so others may have any names. ``root`` is a folder that all
     executors reach; the session's checkpoint folder by default.
     """
     spark = pages.sparkSession
@@ -313,7 +350,8 @@ def _file_row(path: str, records: int, size: int) -> pa.RecordBatch:
 
 READ = (
     "path string, offset bigint, end bigint, gap_reason string, record_type string, page_id bigint, url string, "
-    "payload binary, payload_bytes bigint, payload_digest string, refers_to bigint"
+    "payload binary, payload_bytes bigint, payload_digest string, refers_to bigint, "
+    "inner_offset bigint, inner_end bigint, unchecked string"
 )
 
 
@@ -322,7 +360,10 @@ def read_warc(files: DataFrame, path_col: str = "path", with_payload: bool = Tru
 
     A file is read by one task in windows, never whole; files are dealt out evenly. For a
     revisit, digest and length are those of the full payload, from its fields. Plain and
-    compressed files, also mixed, are understood. Null paths are skipped.
+    compressed files, also mixed, are understood, and members of several records, whose
+    range inside the member is in ``inner_offset`` and ``inner_end``. Digests of unknown methods are
+    named in ``unchecked``. Null paths are skipped; an empty file or an empty table gives no
+    rows; of ``files`` only the path is read, so other columns may have any names.
     """
 
     def run(batches):
@@ -349,6 +390,7 @@ _SCHEMA = pa.schema(
         ("path", pa.string()), ("offset", pa.int64()), ("end", pa.int64()), ("gap_reason", pa.string()),
         ("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()),
         ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()),
+        ("inner_offset", pa.int64()), ("inner_end", pa.int64()), ("unchecked", pa.string()),
     ]
 )
 
@@ -360,7 +402,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _row(path: str, item: Record | Gap, with_payload: bool) -> tuple:
     if isinstance(item, Gap):
-        return (path, item.offset, item.end, item.reason, *[None] * 7)
+        return (path, item.offset, item.end, item.reason, *[None] * 7, *(item.inner or (None, None)), None)
     h = item.headers
     payload = payload_of(h, item.block)
     revisit = h.get("warc-type") == "revisit"
@@ -373,4 +415,5 @@ def _row(path: str, item: Record | Gap, with_payload: bool) -> tuple:
     return (
         path, item.offset, item.end, None, h.get("warc-type"), _id_of(h.get("warc-record-id")), h.get("warc-target-uri"),
         payload if with_payload and not revisit else None, size, digest, _id_of(h.get("warc-refers-to")),
+        *(item.inner or (None, None)), item.unchecked,
     )

@@ -62,6 +62,47 @@ def test_salvage(plain):
     assert scan(b"") == ([], []) and scan(b"no archive at all")[0] == []
 
 
+def foreign(i: int, digest: str, payload: bytes = b"hello world") -> bytes:
+    head = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Block-Digest: {digest}\r\n"
+    return head.encode() + b"Content-Length: %d\r\n\r\n" % len(payload) + payload + b"\r\n\r\n"
+
+
+def test_salvage_inside_members(spark, tmp_path):
+    parts = archive(9, plain=True)
+    whole = gzip.compress(b"".join(parts[:5])) + gzip.compress(parts[5])
+    assert scan(whole) == (list(range(6)), [])
+    hurt = bytearray(b"".join(parts[:5]))
+    hurt[len(parts[0]) + 400] ^= 1  # the block of record 1
+    broken = parts[2].replace(b"Content-Length: ", b"Content-Length: x", 1)
+    mixed = gzip.compress(bytes(hurt)) + gzip.compress(parts[6] + broken + b"junk" + parts[7]) + parts[8]
+    ids, gaps = scan(mixed)
+    assert ids == [0, 2, 3, 4, 6, 7, 8] and len(gaps) == 2 and all(g.inner for g in gaps)
+    assert scan(gzip.compress(b"no record at all")) == ([], [Gap(0, 36, "no version line")])
+    (tmp_path / "a.warc.gz").write_bytes(mixed)
+    got = read_warc(spark.createDataFrame([(str(tmp_path / "a.warc.gz"), 1), (None, 2)], "path string, offset int"))
+    rows = {r.page_id: r for r in got.filter("gap_reason IS NULL").collect()}
+    assert sorted(rows) == ids and rows[8].inner_offset is None and rows[0].inner_end == len(parts[0])
+    assert rows[7].inner_offset == len(parts[6]) + len(broken) + 4 and rows[7].offset == rows[6].offset
+
+
+def test_foreign_digests():
+    import base64
+    import hashlib
+
+    body = b"hello world"
+    sha1, md5 = hashlib.sha1(body).digest(), hashlib.md5(body).digest()
+    good = ["sha1:" + base64.b32encode(sha1).decode(), "sha1:" + sha1.hex().upper(), "md5:" + md5.hex(), "sha-256:" + hashlib.sha256(body).hexdigest(), "md5:" + base64.b32encode(md5).decode().rstrip("=")]
+    data = b"".join(foreign(i, d) for i, d in enumerate(good))
+    assert scan(data) == (list(range(5)), [])
+    for i in range(5):
+        at = data.index(b"hello", i * (len(data) // 5))
+        ids, gaps = scan(data[:at] + b"j" + data[at + 1 :])
+        assert len(ids) == 4 and [g.reason for g in gaps] == ["warc-block-digest differs"]
+    assert scan(foreign(1, "sha1:?")) [0] == [] and scan(foreign(1, "sha1:"))[0] == []
+    (odd,) = salvage(pa.PythonFile(io.BytesIO(foreign(1, "blake3:00")), mode="r"))
+    assert odd.unchecked == "warc-block-digest: blake3"
+
+
 def test_salvage_every_flipped_byte():
     parts = archive(5)
     data = b"".join(parts)
