@@ -24,6 +24,11 @@ _COMBINE = {
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
+def null_safe(left: list[str], right: list[str]) -> Column:
+    """Join condition under which nulls of a key are equal."""
+    return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)])
+
+
 def block_of(index: str | Column, rows: int = BLOCK_ROWS) -> Column:
     """Block number of a dense non-negative index."""
     col = F.col(index) if isinstance(index, str) else index
@@ -58,8 +63,7 @@ def prefix_aggregate(
     inside = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(
         W.unboundedPreceding, 0 if inclusive else -1
     )
-    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*keys, "_bucket"]]
-    joined = work.join(carried, reduce(and_, same))
+    joined = work.join(carried, null_safe([*keys, "_bucket"], [f"_of_{c}" for c in [*keys, "_bucket"]]))
     return joined.select(
         *df.columns,
         *[
@@ -89,7 +93,8 @@ def with_neighbors(
     """Add ``prev_<col>`` / ``next_<col>`` of the rows at ``index`` -1 / +1.
 
     ``index`` is dense per key. Rows on a block border are copied into the next
-    block, so each window partition holds at most ``rows + 2`` rows.
+    block, so each window partition holds at most ``rows + 2`` rows. Nulls of a key are one
+    key. Rows without an index stay and have no neighbours.
     """
     home = block_of(index, rows)
     pos = F.pmod(F.col(index), F.lit(rows))
@@ -102,13 +107,13 @@ def with_neighbors(
         raise ValueError("blocks need at least two rows")
     spread = df.select("*", home.alias("_home"), F.explode(copies).alias("_block"))
     w = W.partitionBy(*keys, "_block").orderBy(index)
-    extra = []
+    extra, placed = [], F.col(index).isNotNull()
     for c in cols:
         if before:
-            extra.append(F.lag(c).over(w).alias(f"prev_{c}"))
+            extra.append(F.when(placed, F.lag(c).over(w)).alias(f"prev_{c}"))
         if after:
-            extra.append(F.lead(c).over(w).alias(f"next_{c}"))
-    return spread.select("*", *extra).filter("_home = _block").drop("_home", "_block")
+            extra.append(F.when(placed, F.lead(c).over(w)).alias(f"next_{c}"))
+    return spread.select("*", *extra).filter("_home <=> _block").drop("_home", "_block")
 
 
 _FINE = 1 << 14
@@ -143,12 +148,15 @@ def exact_percentiles(
     Keys of up to ``group_rows`` rows use the built-in exact percentile, which keeps
     the values of a key in one buffer. Longer keys go through buckets instead,
     with equal results: nulls are left out (a key of nulls only gives null), NaN counts
-    as the largest value. Which keys are long is decided in the plan.
+    as the largest value. Rows whose key is null are one key. Which keys are long is
+    decided in the plan.
     """
+    marks = [f"_long_{c}" for c in keys]
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    long_keys = sizes.filter(F.col("_n") > group_rows).select(*keys)
-    short = _grouped_percentiles(df.join(long_keys, keys, "left_anti"), keys, wanted)
-    return short.unionByName(_bucket_percentiles(df.join(long_keys, keys, "left_semi"), keys, wanted))
+    long_keys = sizes.filter(F.col("_n") > group_rows).select(*[F.col(c).alias(m) for c, m in zip(keys, marks)])
+    same = null_safe(keys, marks)
+    short = _grouped_percentiles(df.join(long_keys, same, "left_anti"), keys, wanted)
+    return short.unionByName(_bucket_percentiles(df.join(long_keys, same, "left_semi"), keys, wanted))
 
 
 def _grouped_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
@@ -172,7 +180,9 @@ def _bucket_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[
     are ranked, after equal values have been merged.
     """
     columns = sorted({c for c, _ in wanted.values()})
-    slim = df.select(*keys, *[(F.col(c).cast("double") + 0.0).alias(c) for c in columns])  # no negative zero
+    # No negative zero; keys travel as one text, so that nulls join.
+    slim = df.select(F.to_json(F.struct(*keys)).alias("_key"), *keys, *[(F.col(c).cast("double") + 0.0).alias(c) for c in columns])
+    names, keys = keys, ["_key"]
     long = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in columns]))
     values = (
         slim.select(*keys, long.alias("m"))
@@ -227,7 +237,7 @@ def _bucket_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[
         return F.when((F.ceil(pos) == F.floor(pos)) | lo.eqNullSafe(hi), lo).otherwise(between).alias(out)
 
     found = hit.groupBy(*keys).agg(*picks).select(*keys, *[blend(out, p) for out, (_, p) in sorted(wanted.items())])
-    return slim.select(*keys).distinct().join(found, keys, "left")
+    return slim.select("_key", *names).distinct().join(found, "_key", "left").drop("_key")
 
 
 def _holding(counted: DataFrame, order, under: Column) -> DataFrame:

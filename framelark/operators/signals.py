@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-from framelark.functions.partitioned import GROUP_ROWS, exact_percentiles, with_neighbors
+from framelark.functions.partitioned import GROUP_ROWS, exact_percentiles, null_safe, with_neighbors
 from framelark.functions.storage import write_through
 from framelark.functions.vectors import correlation_distance, dot, fuse
 from framelark.operators.similarity import knn_rarity
@@ -13,6 +14,7 @@ from framelark.operators.similarity import knn_rarity
 KEY = "video_id"
 HIST_BINS = 512
 MAX_LOCAL_PROMPTS = 4096
+MAX_LOCAL_NUMBERS = 1 << 22
 PROMPT_BLOCK = 256
 
 # Weights of the importance score.
@@ -115,33 +117,37 @@ def boundary_strength(df: DataFrame) -> DataFrame:
 
 
 def prompt_alignment(frames: DataFrame, prompts: DataFrame, vec: str = "clip") -> DataFrame:
-    """Highest cosine of each frame to any prompt; 0 without prompts.
+    """Highest cosine of each frame to any prompt; 0 without prompts, null for a null vector.
 
-    A bank of up to ``MAX_LOCAL_PROMPTS`` rows (checked) travels with the task
-    as one matrix. A larger bank is cut into blocks and joined by block number.
-    Both sides must have unit length.
+    Null prompts are left out. A bank of up to ``MAX_LOCAL_PROMPTS`` rows and ``MAX_LOCAL_NUMBERS``
+    numbers (both checked) travels with the task as one matrix. A larger bank is cut into
+    blocks and joined by block number, with equal results, also on null keys and repeated
+    ones. Both sides must have unit length.
     """
-    head = prompts.select("embedding").limit(MAX_LOCAL_PROMPTS + 1).collect()
-    if len(head) > MAX_LOCAL_PROMPTS:
-        return _prompt_alignment_blocks(frames, prompts, vec)
-    if not head:
-        return frames.withColumn("prompt_raw", F.lit(0.0))
-    bank = [list(r[0]) for r in head]
+    bank = prompts.select("embedding").filter("embedding IS NOT NULL")
+    size = bank.limit(MAX_LOCAL_PROMPTS + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("embedding")), F.lit(0)).alias("numbers")
+    ).first()
+    if size.n > MAX_LOCAL_PROMPTS or size.numbers > MAX_LOCAL_NUMBERS:
+        return _prompt_alignment_blocks(frames, bank, vec)
+    if not size.n:
+        return frames.withColumn("prompt_raw", F.when(F.col(vec).isNotNull(), 0.0))
+    matrix = np.asarray([list(r[0]) for r in bank.collect()], dtype="float64").T
 
     @F.pandas_udf(DoubleType())
     def best_cosine(vecs):
-        import numpy as np
         import pandas as pd
 
-        if len(vecs) == 0:
-            return pd.Series([], dtype="float64")
-        matrix = np.asarray(bank, dtype="float64").T
-        return pd.Series((np.stack(vecs.to_list()) @ matrix).max(axis=1))
+        out, there = np.full(len(vecs), np.nan), vecs.notna().to_numpy()
+        if there.any():
+            out[there] = (np.stack(vecs[there].to_list()) @ matrix).max(axis=1)
+        return pd.Series(out).where(there, None)
 
     return frames.withColumn("prompt_raw", best_cosine(F.col(vec)))
 
 
 def _prompt_alignment_blocks(frames: DataFrame, prompts: DataFrame, vec: str) -> DataFrame:
+    """The same by an equi-join on block numbers. Equal vectors have equal scores, so the vector is the key."""
     hashed = prompts.select(F.xxhash64("embedding").alias("h"), "embedding")
     total = prompts.count()
     blocks = max(1, -(-total // PROMPT_BLOCK))
@@ -149,16 +155,15 @@ def _prompt_alignment_blocks(frames: DataFrame, prompts: DataFrame, vec: str) ->
         F.collect_list("embedding").alias("bank")
     )
     used = bank.select("pblock")
-    spread = frames.select(KEY, "sample_index", vec).withColumn(
-        "pblock", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    score = F.array_max(F.transform("bank", lambda p: dot(p, F.col(vec))))
+    known = frames.select(F.col(vec).alias("_vec")).filter("_vec IS NOT NULL").distinct()
+    spread = known.withColumn("pblock", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    score = F.array_max(F.transform("bank", lambda p: dot(p, F.col("_vec"))))
     best = (
         spread.join(used, "pblock", "left_semi").join(bank, "pblock")
-        .groupBy(KEY, "sample_index")
+        .groupBy("_vec")
         .agg(F.max(score).alias("prompt_raw"))
     )
-    return frames.join(best, [KEY, "sample_index"])
+    return frames.join(best, F.col(vec) == F.col("_vec"), "left").drop("_vec")
 
 
 def robust_minmax(
@@ -169,13 +174,18 @@ def robust_minmax(
     upper: float = 0.95,
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """Scale ``{source: output}`` columns on their 5th..95th percentile per key, clipped to [0, 1]."""
+    """Scale ``{source: output}`` columns on their 5th..95th percentile per key, clipped to [0, 1].
+
+    Every row stays; rows whose key is null are one key.
+    """
     keys = keys or [KEY]
     wanted = {}
     for src in columns:
         wanted[f"_lo_{src}"] = (src, lower)
         wanted[f"_hi_{src}"] = (src, upper)
-    scaled = df.join(exact_percentiles(df, keys, wanted, group_rows), keys)
+    found = exact_percentiles(df, keys, wanted, group_rows)
+    marks = [f"_of_{c}" for c in keys]
+    scaled = df.join(found.withColumnsRenamed(dict(zip(keys, marks))), null_safe(keys, marks))
 
     def scale(src: str):
         lo, span = F.col(f"_lo_{src}"), F.col(f"_hi_{src}") - F.col(f"_lo_{src}")

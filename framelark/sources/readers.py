@@ -41,14 +41,19 @@ def read_metadata(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 
 def read_captions(spark: SparkSession, path: str) -> DataFrame:
-    """Sentences of a caption map, or of metadata when the file has ``sentences``."""
+    """Sentences of a caption map, or of metadata when the file has ``sentences``.
+
+    An id that stands in several metadata files numbers its captions by line, then by file.
+    """
     text = spark.read.text(path, wholetext=True)
-    raw = text.select(F.get_json_object("value", "$.sentences").isNotNull().alias("full"), "value")
-    full = raw.filter("full").select(F.from_json("value", METADATA).alias("d"))
-    from_full = full.select(F.posexplode("d.sentences").alias("line", "s")).select(
-        "line", "s.video_id", "s.caption"
+    raw = text.select(
+        F.get_json_object("value", "$.sentences").isNotNull().alias("full"), "value", F.input_file_name().alias("file")
+    )
+    full = raw.filter("full").select("file", F.from_json("value", METADATA).alias("d"))
+    from_full = full.select("file", F.posexplode("d.sentences").alias("line", "s")).select(
+        "file", "line", "s.video_id", "s.caption"
     )
-    from_full = dense_index(from_full, ["video_id"], F.floor(F.col("line") / 65536), ["line"], "cap_id")
+    from_full = dense_index(from_full, ["video_id"], F.floor(F.col("line") / 65536), ["line", "file"], "cap_id")
     mapped = raw.filter("NOT full").select(F.explode(F.from_json("value", CAPTION_MAP)).alias("video_id", "caps"))
     from_map = mapped.select("video_id", F.posexplode("caps").alias("cap_id", "caption"))
     return from_map.select("video_id", F.col("cap_id").cast("bigint").alias("cap_id"), "caption").unionByName(

@@ -65,10 +65,15 @@ def write_split_captions(captions: DataFrame, path: str, fmt: str = "parquet", m
     captions.select("split", "video_id", "cap_id", "caption").write.mode(mode).partitionBy("split").format(fmt).save(path)
 
 
-def write_features(features: DataFrame, path: str, mode: str = "overwrite", files: int = 8) -> None:
-    """Store by family and split, in about ``files`` files each, by hash of the id."""
-    part = F.pmod(F.xxhash64("video_id"), F.lit(files))
-    features.repartition("family", "split", part).write.mode(mode).partitionBy("family", "split").parquet(path)
+def write_features(features: DataFrame, path: str, mode: str = "overwrite", most_records: int = 0) -> None:
+    """Store by family and split.
+
+    The rows are dealt by family and split, and adaptive execution cuts large parts and joins
+    small ones to its advisory size, so the number of files follows the bytes written.
+    ``most_records`` bounds the rows of a file (0: no bound).
+    """
+    dealt = features.hint("rebalance", "family", "split")
+    dealt.write.mode(mode).option("maxRecordsPerFile", most_records).partitionBy("family", "split").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

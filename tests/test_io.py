@@ -175,3 +175,14 @@ def test_scratch_scope_removes_its_tables(spark):
         folders = [p.removeprefix("file:") for p in made]
         assert len(folders) == 1 and os.path.isdir(folders[0])
     assert not os.path.exists(folders[0])
+
+
+def test_captions_of_one_id_in_two_files(spark, tmp_path):
+    for name, texts in (("b.json", ["x", "y"]), ("a.json", ["p", "q"])):
+        whole = {"videos": [], "sentences": [{"video_id": "v", "caption": t} for t in texts]}
+        (tmp_path / name).write_text(json.dumps(whole))
+    got = readers.read_captions(spark, str(tmp_path)).orderBy("cap_id").select("caption").collect()
+    assert [r[0] for r in got] == ["p", "x", "q", "y"]
+    frames = spark.range(1000).select(F.lit("dino").alias("family"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("split"), "id")
+    sinks.write_features(frames, str(tmp_path / "f"), most_records=100)
+    assert len(list((tmp_path / "f").rglob("*.parquet"))) == 10 and spark.read.parquet(str(tmp_path / "f")).count() == 1000

@@ -127,3 +127,20 @@ def test_null_keys_and_null_order_stay(spark):
     got = p.dense_index(df, ["k"], F.floor(F.col("o") / 2), ["o"], "n")
     plain = df.withColumn("n", F.row_number().over(W.partitionBy("k").orderBy("o")) - 1)
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, plain.collect())))
+
+
+def test_null_keys_of_percentiles_scaling_and_neighbors(spark):
+    from framelark.operators.signals import robust_minmax
+
+    rows = [(k, i, float((i * 7) % 5)) for k in ("a", None) for i in range(20)]
+    df = spark.createDataFrame(rows, "video_id string, i int, v double")
+    wanted = {"p": ("v", 0.3)}
+    for limit in (1, 10**6):
+        got = {r.video_id: r.p for r in p.exact_percentiles(df, ["video_id"], wanted, limit).collect()}
+        assert got == {"a": 1.0, None: 1.0}
+        scaled = robust_minmax(df, {"v": "w"}, group_rows=limit).collect()
+        assert sorted(r.w for r in scaled if r.video_id is None) == sorted(r.w for r in scaled if r.video_id == "a")
+        assert len(scaled) == 40 and {r.w for r in scaled} == {0.0, 0.25, 0.5, 0.75, 1.0}
+    odd = spark.createDataFrame([(None, 0, 1.0), (None, 1, 2.0), (None, None, 3.0), ("a", None, 4.0), ("a", None, 5.0)], "video_id string, i int, v double")
+    got = {r.v: (r.prev_v, r.next_v) for r in p.with_neighbors(odd, ["video_id"], "i", ["v"], rows=16).collect()}
+    assert got == {1.0: (None, 2.0), 2.0: (1.0, None), 3.0: (None, None), 4.0: (None, None), 5.0: (None, None)}

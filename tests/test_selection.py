@@ -162,3 +162,20 @@ def test_topk_reach_is_per_video(spark):
     df = spark.createDataFrame(rows, "video_id string, sample_index int, timestamp_sec double, histogram_diff_raw double, quality_raw double")
     got = selection.histogram_topk(df, 3, 2.0).groupBy("video_id").count().collect()
     assert {r[0]: r[1] for r in got} == {"dense": 3, "thin": 3}
+
+
+def test_prompt_alignment_of_odd_rows(spark, monkeypatch):
+    """Null vectors, null keys and repeated rows, equal on both paths."""
+    from framelark.operators import signals
+
+    rows = [("a", 0, [1.0, 0.0]), ("a", 0, [0.6, 0.8]), ("a", 1, None), (None, 2, [0.0, 1.0]), ("b", None, [0.0, 1.0])]
+    frames = spark.createDataFrame(rows, "video_id string, sample_index int, clip array<double>")
+    prompts = spark.createDataFrame([([0.0, 1.0],), (None,), ([0.8, 0.6],)], "embedding array<double>")
+
+    def run():
+        return sorted((r.video_id or "", r.sample_index or 0, r.prompt_raw and round(r.prompt_raw, 9)) for r in signals.prompt_alignment(frames, prompts).collect())
+
+    local = run()
+    assert local == [("", 2, 1.0), ("a", 0, 0.8), ("a", 0, 0.96), ("a", 1, None), ("b", 0, 1.0)]
+    monkeypatch.setattr(signals, "MAX_LOCAL_NUMBERS", 1)
+    assert run() == local
