@@ -286,19 +286,28 @@ def _apart(gap: float):
 
 
 def _covered(table: DataFrame, state: DataFrame, picks: DataFrame) -> DataFrame:
-    """``state`` after more picks: the highest similarity of each frame to any pick of its video."""
-    vectors = table.join(picks.select(KEY, "sample_index"), [KEY, "sample_index"]).groupBy(KEY).agg(F.collect_list("fused").alias("picked"))
+    """``state`` after more picks: the highest similarity of each frame to any pick of its video.
 
-    @F.pandas_udf(DoubleType())
-    def nearest(vecs, picked):
+    The picked vectors are sent once to every block of frames of their video.
+    """
+    vectors = picks.select(KEY, "sample_index").join(table.select(KEY, "sample_index", "fused"), [KEY, "sample_index"])
+    touched = table.join(picks.select(KEY).distinct(), KEY, "left_semi").select(KEY, "sample_index", "blk", "fused")
+    sent = vectors.select(KEY, "fused").join(table.select(KEY, "blk").distinct(), KEY)
+    sent = sent.select(*[F.col(c).alias(c) for c in sent.columns])  # columns of its own: both sides come from one table
+
+    def nearest(key, frames, picked):
         import numpy as np
         import pandas as pd
 
-        return pd.Series([float(np.clip(np.stack(p) @ v, 0.0, 1.0).max()) if p is not None else 0.0 for v, p in zip(vecs, picked)], dtype="float64")
+        if len(frames) == 0 or len(picked) == 0:
+            return pd.DataFrame({"video_id": [], "sample_index": [], "near": []})
+        x, new = np.stack(frames["fused"].to_list()), np.stack(picked["fused"].to_list()).T
+        near = np.clip(x @ new, 0.0, 1.0).max(axis=1)
+        return pd.DataFrame({"video_id": key[0], "sample_index": frames["sample_index"], "near": near})
 
-    seen = table.select(KEY, "sample_index", "fused").join(vectors, KEY, "left")
-    seen = seen.select(KEY, "sample_index", nearest("fused", "picked").alias("near"))
-    return state.join(seen, [KEY, "sample_index"]).select(KEY, "sample_index", F.greatest("cover", "near").alias("cover"))
+    seen = touched.groupBy(KEY, "blk").cogroup(sent.groupBy(KEY, "blk")).applyInPandas(nearest, f"{KEY} string, sample_index int, near double")
+    cover = F.greatest("cover", F.coalesce("near", F.lit(0.0))).alias("cover")
+    return state.join(seen, [KEY, "sample_index"], "left").select(KEY, "sample_index", cover)
 
 
 def _pool(plain: DataFrame, state: DataFrame, picks: DataFrame, wanting: DataFrame, weights: GreedyWeights) -> DataFrame:
