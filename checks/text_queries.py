@@ -565,6 +565,32 @@ def advantages(s, sf) -> DataFrame:
     return m.reward_advantage(last.withColumn("batch", batch), greedy.withColumn("batch", batch), refs.withColumn("batch", batch))
 
 
+# Category x parity of the id, each alone, and all: every video stands in four groups.
+CUBE_SETS = [["category", "even"], ["category"], ["even"], []]
+
+
+def cube_copies(table: str, columns: str) -> str:
+    base = f"(SELECT *, CAST({EVEN} AS INT) AS even FROM {table})"
+    keys = ["concat(category,'|',even)", "concat(category,'|')", "concat('|',even)", "'|'"]
+    return " UNION ALL ".join(f"SELECT concat(video_id,'#{i}') AS video_id, {key} AS category, {columns} FROM {base}" for i, key in enumerate(keys))
+
+
+CUBE = {
+    "hp0": TOK["hp"], "rf0": TOK["rf"], **CAT_ROWS_NO_TRAIN,
+    "hp": cube_copies("hp0", "t"), "rf": cube_copies("rf0", "cap_id, t"),
+    "cube": "SELECT nullif(split_part(category,'|',1),'') AS c, nullif(split_part(category,'|',2),'') AS e, * EXCLUDE (category) FROM mm JOIN bl USING (category)",
+}
+
+
+@query("F17_score_grouping_sets", with_views(V, CUBE, """SELECT CASE WHEN c IS NULL THEN 2 ELSE 0 END + CASE WHEN e IS NULL THEN 1 ELSE 0 END AS grouping_set,
+    CAST(c AS INT) AS category, CAST(e AS INT) AS even, * EXCLUDE (c, e) FROM cube""", recursive=True))
+def _(s, sf):
+    even = (F.replace(F.col(KEY), F.lit("video"), F.lit("")).cast("bigint") % 2 == 0).cast("int").alias("even")
+    p, r = fx.predictions(s, sf).select("*", even), fx.references(s, sf).select("*", even)
+    out = evaluation.score_grouping_sets(p, r, CUBE_SETS)
+    return out.select("grouping_set", F.col("category").cast("int").alias("category"), "even", "num_videos", *r6("meteor", "rouge_l", "cider", *BLEU))
+
+
 # --- the whole category evaluation -----------------------------------------
 
 VALID = {

@@ -116,6 +116,14 @@ def bleu_components(
     )
 
 
+BLEU_PARTS = ["test_len", "ref_len", *[f"{w}_{k}" for w in ("guess", "correct") for k in range(1, MAX_N + 1)]]
+
+
+def bleu_of_totals() -> list[Column]:
+    """BLEU 1 to 4 from summed :data:`BLEU_PARTS`."""
+    return _bleu()
+
+
 def _bleu(prefix: str = "") -> list[Column]:
     ratio = (F.col(f"{prefix}test_len") + 1e-15) / (F.col(f"{prefix}ref_len") + 1e-9)
     brevity = F.when(ratio < 1, F.exp(1 - 1 / ratio)).otherwise(1.0)
@@ -136,8 +144,7 @@ def bleu_corpus(pred: DataFrame, refs: DataFrame, by: list[str] | None = None, g
     """Totals of the components per group, then the same formula."""
     by = by or []
     parts = bleu_components(pred, refs, grams=grams, by=by)
-    names = ["test_len", "ref_len"] + [f"{w}_{k}" for w in ("guess", "correct") for k in range(1, MAX_N + 1)]
-    return parts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in names]).select(*by, *_bleu())
+    return parts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in BLEU_PARTS]).select(*by, *bleu_of_totals())
 
 
 def document_frequency(refs: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, functions as F
 
 from framelark.functions.storage import write_through
@@ -57,6 +60,50 @@ def score_by_category(pred: DataFrame, refs: DataFrame, train_videos: DataFrame
     return rows.join(train_length_by_category(train_videos), "category", "left")
 
 
+def score_grouping_sets(pred: DataFrame, refs: DataFrame, sets: list[list[str]]) -> DataFrame:
+    """Corpus metrics for several groupings at once: ``grouping_set``, its columns, ``num_videos`` and the metrics.
+
+    Both tables carry all grouping columns; a video is its id and their values, so one id may come
+    in several splits or epochs. A column that a set leaves out is null in its rows; a set leaves
+    out videos that are null in one of its columns. METEOR, ROUGE-L and the parts of BLEU are found once per
+    video and added up for every set. Only CIDEr depends on the set: its document frequencies
+    and N are taken inside each group, from n-grams that are counted once.
+    """
+    columns = list(dict.fromkeys(c for names in sets for c in names))
+    cell = F.to_json(F.struct(F.lit(0).alias("_"), *columns))
+    named = F.concat(cell, F.lit("#"), F.col(KEY)).alias(KEY)
+    p, r = m.scored_pairs(
+        pred.select(cell.alias("cell"), *columns, named, "caption"), refs.select(named, "cap_id", "caption")
+    )
+    p, r = write_through(m.with_tokens(p), "pred"), write_through(m.with_tokens(r), "refs")
+    grams = [write_through(m.ngram_counts(t, ids), "grams") for t, ids in ((p, [KEY]), (r, [KEY, "cap_id"]))]
+    parts = m.bleu_components(p, r, grams=tuple(grams)).join(m.meteor(p, r), KEY).join(m.rouge_l(p, r), KEY)
+
+    members = [
+        F.when(
+            reduce(and_, [F.col(c).isNotNull() for c in names], F.lit(True)),
+            F.struct(
+                F.lit(i).alias("grouping_set"), F.to_json(F.struct(F.lit(i).alias("_"), *names)).alias("grp"),
+                *[(F.col(c) if c in names else F.lit(None).cast(pred.schema[c].dataType)).alias(c) for c in columns],
+            ),
+        )
+        for i, names in enumerate(sets)
+    ]
+    # One row per video and set, with the size of its group.
+    member = p.select(KEY, F.explode(F.array_compact(F.array(*members))).alias("g")).select(KEY, "g.*")
+    groups = write_through(member.groupBy("grp", "grouping_set", *columns).agg(F.count(F.lit(1)).alias("videos")), "groups")
+    member = write_through(member.select(KEY, "grp").join(groups.select("grp", "videos"), "grp"), "members")
+    cider = m.cider_per_video(
+        p.select(KEY).join(member, KEY), r.select(KEY, "cap_id").join(member, KEY), ["grp"], grams=tuple(g.join(member, KEY) for g in grams)
+    )
+    totals = (
+        parts.join(member.select(KEY, "grp"), KEY).join(cider, ["grp", KEY]).groupBy("grp")
+        .agg(F.count(F.lit(1)).alias("num_videos"), *[F.avg(c).alias(c) for c in _MEANS], *[F.sum(c).alias(c) for c in m.BLEU_PARTS])
+        .select("grp", "num_videos", *_MEANS, *m.bleu_of_totals())
+    )
+    return groups.drop("videos").join(totals, "grp").drop("grp")
+
+
 def category_report(pred: DataFrame, refs: DataFrame, videos: DataFrame, order: str = "id") -> DataFrame:
     """The whole category evaluation: one row per category and one for all, ``category`` null.
 
@@ -65,6 +112,5 @@ def category_report(pred: DataFrame, refs: DataFrame, videos: DataFrame, order:
     """
     valid = write_through(m.valid_ids(pred, refs, category_map(videos, order)).distinct(), "valid")
     p, r = pred.select(KEY, "caption").join(valid, KEY), refs.select(KEY, "cap_id", "caption").join(valid, KEY)
-    rows = score_by_category(p, r, videos)
-    overall = score_captions(p, r).withColumn("category", F.lit(None).cast("int"))
-    return rows.unionByName(overall, allowMissingColumns=True)
+    rows = score_grouping_sets(p, r, [["category"], []]).drop("grouping_set")
+    return rows.join(train_length_by_category(videos), "category", "left")

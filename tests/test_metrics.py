@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from framelark.operators import caption_metrics as m
 from framelark.plans.evaluation import score_captions, score_per_video
@@ -114,3 +115,32 @@ def test_strict_ground_truth(sample):
     pred, refs = sample
     with pytest.raises(ValueError, match="1 predictions"):
         m.missing_ground_truth(pred, refs.filter("video_id = '81922'"), strict=True)
+
+
+def test_grouping_sets_equal_one_evaluation_per_group(spark):
+    """Ids that come again in other groups, and a null group that counts only where its column does not."""
+    from framelark.plans.evaluation import score_captions, score_grouping_sets
+
+    words = "a man is riding the big red horse on a beach".split()
+    pred, refs = [], []
+    for i in range(24):
+        cat, part = (None if i % 7 == 3 else i % 3), ("x", "y")[i % 2]
+        video = f"v{i % 10}"  # 10 to 19 and 20 to 23 repeat the ids, some of them in the same category
+        part = f"{part}{i // 10}"
+        pred.append((video, cat, part, " ".join(words[i % 4 : i % 4 + 3 + i % 5])))
+        refs += [(video, cat, part, c, " ".join(words[(i + c) % 5 : (i + c) % 5 + 6])) for c in range(3)]
+    pred = spark.createDataFrame(pred, "video_id string, cat int, part string, caption string")
+    refs = spark.createDataFrame(refs, "video_id string, cat int, part string, cap_id int, caption string")
+    sets = [["cat", "part"], ["cat"], ["part"], []]
+    names = ["num_videos", "bleu_1", "bleu_4", "meteor", "rouge_l", "cider"]
+    got = {(r.grouping_set, r.cat, r.part): [r[n] for n in names] for r in score_grouping_sets(pred, refs, sets).collect()}
+    unique = F.concat("video_id", F.lit("/"), F.coalesce(F.col("cat").cast("string"), F.lit("-")), F.col("part")).alias("video_id")
+    p, r = pred.select(unique, "cat", "part", "caption"), refs.select(unique, "cat", "part", "cap_id", "caption")
+    want = {}
+    for i, by in enumerate(sets):
+        for row in score_captions(p.dropna(subset=by) if by else p, r.dropna(subset=by) if by else r, by).collect():
+            d = row.asDict()
+            want[i, d.get("cat"), d.get("part")] = [d[n] for n in names]
+    assert got.keys() == want.keys() and got[3, None, None][0] == 24
+    for k in want:
+        assert got[k] == pytest.approx(want[k]), k
