@@ -391,6 +391,18 @@ def _(s, sf):
     return sentences
 
 
+@query("S1_large_metadata_videos", with_views(["fx_videos"], {}, "SELECT video_id, id, split, category, start_time, end_time FROM fx_videos"))
+def _(s, sf):
+    videos, _ = readers.read_large_metadata(s, _metadata_files(s, sf))
+    return videos
+
+
+@query("S1_large_metadata_sentences", with_views(["fx_sentences", "fx_videos"], {}, "SELECT * FROM fx_sentences"))
+def _(s, sf):
+    _, sentences = readers.read_large_metadata(s, _metadata_files(s, sf))
+    return sentences
+
+
 @query("S2_read_captions", with_views(["fx_sentences"], {}, "SELECT video_id, CAST(cap_id AS BIGINT) AS cap_id, caption FROM fx_sentences"))
 def _(s, sf):
     """Half of the folder holds caption maps, the other half metadata."""

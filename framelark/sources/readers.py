@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framelark.functions.partitioned import dense_index
+from framelark.functions.storage import write_through
 from framelark.operators.features import index_files
 from framelark.schemas import CAPTION_MAP, METADATA, PREDICTION_MAP
+from framelark.sources.json_arrays import read_json_arrays
 
 # The default prompt bank.
 DEFAULT_PROMPTS = [
@@ -40,6 +42,21 @@ def read_metadata(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return videos, sentences.select("video_id", F.col("cap_id").cast("int").alias("cap_id"), "caption")
 
 
+def read_large_metadata(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The same tables as :func:`read_metadata`, from objects of any size: each is split over many tasks."""
+    elements = write_through(read_json_arrays(spark, path), "elements")
+    inner = {f.name: f.dataType.elementType for f in METADATA.fields}
+
+    def rows(name: str) -> DataFrame:
+        parsed = elements.filter(F.col("array") == name).withColumn("e", F.from_json("element", inner[name]))
+        return parsed.select("file", "line", "e.*")
+
+    videos = rows("videos").drop("file", "line").withColumnsRenamed({"start time": "start_time", "end time": "end_time"})
+    sentences = rows("sentences").select("file", "line", "video_id", "caption")
+    sentences = dense_index(sentences, ["video_id"], F.floor(F.col("line") / 65536), ["line", "file"], "cap_id")
+    return videos, sentences.select("video_id", F.col("cap_id").cast("int").alias("cap_id"), "caption")
+
+
 def read_captions(spark: SparkSession, path: str) -> DataFrame:
     """Sentences of a caption map, or of metadata when the file has ``sentences``.
 

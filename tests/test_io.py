@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from framelark.functions.text import strip_ptb_punct, tokenize_eval, tokenize_vocab
 from framelark.operators import captions, features, scenes, selection, splits
 from framelark.sources import readers, sinks
+from framelark.sources.json_arrays import read_json_arrays
 
 
 def test_metadata_and_caption_map(spark, tmp_path):
@@ -186,3 +187,29 @@ def test_captions_of_one_id_in_two_files(spark, tmp_path):
     frames = spark.range(1000).select(F.lit("dino").alias("family"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("split"), "id")
     sinks.write_features(frames, str(tmp_path / "f"), most_records=100)
     assert len(list((tmp_path / "f").rglob("*.parquet"))) == 10 and spark.read.parquet(str(tmp_path / "f")).count() == 1000
+
+
+def test_json_arrays_split_anywhere(spark, tmp_path):
+    """Braces, quotes and escapes at every border, nested objects, objects beside the arrays, against the plain parser."""
+    odd = ['}', '{"', '\\', '\\"', 'a}, {"b": [', '"}', 'é\u2028}', '', 'x\\\\', ']} "sentences": [', '\n}\t{']
+    docs = []
+    for d in range(3):
+        sents = [{"video_id": f"v{i}", "caption": odd[(i + d) % len(odd)] * (i % 3 + 1), "more": [{"k": {"z": "}"}}] * (i % 2)} for i in range(150)]
+        vids = [{"video_id": f"v{i}", "id": i, "odd}": {}} for i in range(20)]
+        doc = {"info": {"year": 1, "x": {"y": "{"}}, "n": "a {b", "years": [1, 2], "videos": vids, "none": [], "sentences": sents, "end": {"a": 1}}
+        docs.append({k: doc[k] for k in (doc if d else ("videos", "n", "sentences", "info"))})
+        (tmp_path / f"d{d}.json").write_text(json.dumps(doc if d else docs[0], indent=d or None, ensure_ascii=d < 2) + "\n" * d)
+    (tmp_path / "empty.json").write_text("")
+    (tmp_path / "none.json").write_text('{"videos": [], "sentences": []}')
+    want = sorted((f"d{d}.json", n, i, json.dumps(e, sort_keys=True)) for d, doc in enumerate(docs) for n in ("videos", "sentences") for i, e in enumerate(doc[n]))
+    for size in ("128m", "700b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = read_json_arrays(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert sorted((r.file.rpartition("/")[2], r.array, r.line, json.dumps(json.loads(r.element), sort_keys=True)) for r in got) == want
+    plain = readers.read_metadata(spark, str(tmp_path / "d1.json"))
+    large = readers.read_large_metadata(spark, str(tmp_path / "d1.json"))
+    for a, b in zip(plain, large):
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.select(*a.columns).collect()))
