@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from framelark.functions.storage import write_through
 from framelark.operators import caption_metrics as m
@@ -73,35 +73,44 @@ def score_grouping_sets(pred: DataFrame, refs: DataFrame, sets: list[list[str]])
     cell = F.to_json(F.struct(F.lit(0).alias("_"), *columns))
     named = F.concat(cell, F.lit("#"), F.col(KEY)).alias(KEY)
     p, r = m.scored_pairs(
-        pred.select(cell.alias("cell"), *columns, named, "caption"), refs.select(named, "cap_id", "caption")
+        pred.select(cell.alias("cell"), *columns, named, "caption"), refs.select(cell.alias("cell"), named, "cap_id", "caption")
     )
     p, r = write_through(m.with_tokens(p), "pred"), write_through(m.with_tokens(r), "refs")
-    grams = [write_through(m.ngram_counts(t, ids), "grams") for t, ids in ((p, [KEY]), (r, [KEY, "cap_id"]))]
-    parts = m.bleu_components(p, r, grams=tuple(grams)).join(m.meteor(p, r), KEY).join(m.rouge_l(p, r), KEY)
-
-    members = [
+    hyp = write_through(m.ngram_counts(p, [KEY, "cell"]), "pred-grams")
+    ref = write_through(m.ngram_counts(r, [KEY, "cell", "cap_id"]), "ref-grams")
+
+    # A cell holds the videos with equal values in all columns; each set puts it into one group, or none.
+    cells = p.groupBy("cell", *columns).agg(F.count(F.lit(1)).alias("videos"))
+    for i, names in enumerate(sets):
+        known = reduce(and_, [F.col(c).isNotNull() for c in names], F.lit(True))
+        cells = cells.withColumn(f"grp_{i}", F.when(known, F.to_json(F.struct(F.lit(i).alias("_"), *names))))
+    for i in range(len(sets)):
+        cells = cells.withColumn(f"size_{i}", F.sum("videos").over(W.partitionBy(f"grp_{i}")))
+    cells = write_through(cells, "cells")
+    counts = p.select(KEY).join(r.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_refs")), KEY)
+    cider = m.cider_over_sets(hyp, ref, counts, cells, len(sets))
+    parts = m.bleu_components(p, r, grams=(hyp, ref)).join(m.meteor(p, r), KEY).join(m.rouge_l(p, r), KEY)
+    single = parts.join(cider, KEY).join(p.select(KEY, "cell"), KEY)
+    # First one row per cell, then those of each group.
+    sums = single.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("num_videos"), *[F.sum(c).alias(c) for c in ("meteor", "rouge_l", *m.BLEU_PARTS)],
+        *[F.sum(f"cider_{i}").alias(f"cider_{i}") for i in range(len(sets))],
+    )
+    member = [
         F.when(
-            reduce(and_, [F.col(c).isNotNull() for c in names], F.lit(True)),
+            F.col(f"grp_{i}").isNotNull(),
             F.struct(
-                F.lit(i).alias("grouping_set"), F.to_json(F.struct(F.lit(i).alias("_"), *names)).alias("grp"),
+                F.lit(i).alias("grouping_set"), F.col(f"grp_{i}").alias("grp"), F.col(f"cider_{i}").alias("cider"),
                 *[(F.col(c) if c in names else F.lit(None).cast(pred.schema[c].dataType)).alias(c) for c in columns],
             ),
         )
         for i, names in enumerate(sets)
     ]
-    # One row per video and set, with the size of its group.
-    member = p.select(KEY, F.explode(F.array_compact(F.array(*members))).alias("g")).select(KEY, "g.*")
-    groups = write_through(member.groupBy("grp", "grouping_set", *columns).agg(F.count(F.lit(1)).alias("videos")), "groups")
-    member = write_through(member.select(KEY, "grp").join(groups.select("grp", "videos"), "grp"), "members")
-    cider = m.cider_per_video(
-        p.select(KEY).join(member, KEY), r.select(KEY, "cap_id").join(member, KEY), ["grp"], grams=tuple(g.join(member, KEY) for g in grams)
-    )
-    totals = (
-        parts.join(member.select(KEY, "grp"), KEY).join(cider, ["grp", KEY]).groupBy("grp")
-        .agg(F.count(F.lit(1)).alias("num_videos"), *[F.avg(c).alias(c) for c in _MEANS], *[F.sum(c).alias(c) for c in m.BLEU_PARTS])
-        .select("grp", "num_videos", *_MEANS, *m.bleu_of_totals())
-    )
-    return groups.drop("videos").join(totals, "grp").drop("grp")
+    added = ["num_videos", "meteor", "rouge_l", *m.BLEU_PARTS]
+    rows = sums.join(cells, "cell").select(*added, F.explode(F.array_compact(F.array(*member))).alias("g")).select(*added, "g.*")
+    totals = rows.groupBy("grouping_set", "grp", *columns).agg(*[F.sum(c).alias(c) for c in (*added, "cider")])
+    means = [(F.col(c) / F.col("num_videos")).alias(c) for c in _MEANS]
+    return totals.select("grouping_set", *columns, "num_videos", *means, *m.bleu_of_totals())
 
 
 def category_report(pred: DataFrame, refs: DataFrame, videos: DataFrame, order: str = "id") -> DataFrame:
