@@ -145,8 +145,7 @@ def exact_percentiles(
 ) -> DataFrame:
     """Linear-interpolated percentiles per key: ``{out: (column, p in 0..1)}``.
 
-    Keys of up to ``group_rows`` rows use the built-in exact percentile, which keeps
-    the values of a key in one buffer. Longer keys go through buckets instead,
+    Keys of up to ``group_rows`` rows are sorted in one array each. Longer keys go through buckets instead,
     with equal results: nulls are left out (a key of nulls only gives null), NaN counts
     as the largest value. Rows whose key is null are one key. Which keys are long is
     decided in the plan.
@@ -159,18 +158,29 @@ def exact_percentiles(
     return short.unionByName(_bucket_percentiles(df.join(long_keys, same, "left_semi"), keys, wanted))
 
 
+def _lerp(lo: Column, hi: Column, pos: Column) -> Column:
+    """Between two neighbours in rank, as SQL's ``quantile_cont`` rounds it: one fused multiply-add.
+
+    Neighbours may be one rounding step apart, and the result is compared with them, so the last bit counts.
+    """
+    part = pos - F.floor(pos)
+    fused = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), lo, F.lit(1.0) - part, hi * part).cast("double")
+    return F.when((part == 0) | lo.eqNullSafe(hi), lo).otherwise(fused)
+
+
 def _grouped_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
-    points: dict[str, list[float]] = {}
-    for column, p in wanted.values():
-        if p not in points.setdefault(column, []):
-            points[column].append(p)
+    columns = sorted({c for c, _ in wanted.values()})
     found = df.groupBy(*keys).agg(
-        *[F.percentile(F.col(c).cast("double") + 0.0, ps).alias(f"_p_{c}") for c, ps in points.items()]
-    )
-    return found.select(
-        *keys, *[F.col(f"_p_{c}")[points[c].index(p)].alias(out) for out, (c, p) in sorted(wanted.items())]
+        *[F.sort_array(F.collect_list(F.col(c).cast("double") + 0.0)).alias(f"_p_{c}") for c in columns]
     )
 
+    def pick(column: str, p: float):
+        values = F.col(f"_p_{column}")
+        pos = F.lit(float(p)) * (F.size(values) - 1)
+        return F.when(F.size(values) > 0, _lerp(F.get(values, F.floor(pos).cast("int")), F.get(values, F.ceil(pos).cast("int")), pos))
+
+    return found.select(*keys, *[pick(c, p).alias(out) for out, (c, p) in sorted(wanted.items())])
+
 
 def _bucket_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
     """The same for long keys, with no buffer that grows with the key.
@@ -232,9 +242,7 @@ def _bucket_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[
 
     def blend(out: str, p: float):
         pos = F.lit(float(p)) * (F.col(f"_n_{out}") - 1)
-        lo, hi = F.col(f"_lo_{out}"), F.col(f"_hi_{out}")
-        between = (F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi
-        return F.when((F.ceil(pos) == F.floor(pos)) | lo.eqNullSafe(hi), lo).otherwise(between).alias(out)
+        return _lerp(F.col(f"_lo_{out}"), F.col(f"_hi_{out}"), pos).alias(out)
 
     found = hit.groupBy(*keys).agg(*picks).select(*keys, *[blend(out, p) for out, (_, p) in sorted(wanted.items())])
     return slim.select("_key", *names).distinct().join(found, "_key", "left").drop("_key")

@@ -144,3 +144,13 @@ def test_null_keys_of_percentiles_scaling_and_neighbors(spark):
     odd = spark.createDataFrame([(None, 0, 1.0), (None, 1, 2.0), (None, None, 3.0), ("a", None, 4.0), ("a", None, 5.0)], "video_id string, i int, v double")
     got = {r.v: (r.prev_v, r.next_v) for r in p.with_neighbors(odd, ["video_id"], "i", ["v"], rows=16).collect()}
     assert got == {1.0: (None, 2.0), 2.0: (1.0, None), 3.0: (None, None), 4.0: (None, None), 5.0: (None, None)}
+
+
+@pytest.mark.parametrize("group_rows", [1, 10_000])
+def test_percentiles_round_like_sql(spark, con, group_rows):
+    # Neighbours in rank a few rounding steps apart: the last bit decides who reaches the threshold.
+    lo, hi = 0.8900000000000001, 0.8900000000000006
+    values = [0.5] * 80 + [lo, hi] + [0.95] * 6
+    df = spark.createDataFrame([("a", v) for v in values], "video_id string, v double")
+    got = p.exact_percentiles(df, ["video_id"], {"t": ("v", 0.92)}, group_rows).first()["t"]
+    assert got == con.execute("SELECT quantile_cont(unnest, 0.92e0) FROM unnest(?::DOUBLE[])", [values]).fetchone()[0] == lo
