@@ -300,7 +300,7 @@ def _covered(table: DataFrame, state: DataFrame, picks: DataFrame) -> DataFrame:
         import pandas as pd
 
         if len(frames) == 0 or len(picked) == 0:
-            return pd.DataFrame({"video_id": [], "sample_index": [], "near": []})
+            return pd.DataFrame()  # typed by the schema; empty lists would be numbers
         x, new = np.stack(frames["fused"].to_list()), np.stack(picked["fused"].to_list()).T
         near = np.clip(x @ new, 0.0, 1.0).max(axis=1)
         return pd.DataFrame({"video_id": key[0], "sample_index": frames["sample_index"], "near": near})
@@ -353,13 +353,15 @@ def _exact_gains(table: DataFrame, state: DataFrame, top: DataFrame, weights: Gr
         import pandas as pd
 
         if len(frames) == 0 or len(cand) == 0:
-            return pd.DataFrame({"video_id": [], "sample_index": [], "part": []})
+            return pd.DataFrame()  # typed by the schema; empty lists would be numbers
         x, new = np.stack(frames["fused"].to_list()), np.stack(cand["fused"].to_list()).T
         cover = frames["cover"].to_numpy()[:, None]
         sums = (np.maximum(cover, np.clip(x @ new, 0.0, 1.0)) - cover).sum(axis=0)
         return pd.DataFrame({"video_id": key[0], "sample_index": cand["sample_index"], "part": sums})
 
-    whole = table.select(KEY, "sample_index", "blk", "fused").join(state, [KEY, "sample_index"])
+    # Videos that have all their frames send no candidates.
+    touched = table.join(top.select(KEY).distinct(), KEY, "left_semi")
+    whole = touched.select(KEY, "sample_index", "blk", "fused").join(state, [KEY, "sample_index"])
     parts = whole.groupBy(KEY, "blk").cogroup(sent.groupBy(KEY, "blk")).applyInPandas(partial, f"{KEY} string, sample_index int, part double")
     sums = parts.groupBy(KEY, "sample_index").agg(F.sum("part").alias("extra"))
     gain = F.col("fixed") + weights.coverage * F.col("extra") / F.col("n")

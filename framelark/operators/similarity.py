@@ -58,7 +58,7 @@ def similarity_tiles(
         left = pdf[pdf["home"] == lo].sort_values(index)
         right = left if same else pdf[pdf["home"] == hi].sort_values(index)
         if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
+            return pd.DataFrame()  # typed by the schema; empty lists would be numbers
         sims = np.clip(np.stack(left["vec"].to_list()) @ np.stack(right["vec"].to_list()).T, -1.0, 1.0)
 
         def side(part, m, own):

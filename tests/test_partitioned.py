@@ -154,3 +154,11 @@ def test_percentiles_round_like_sql(spark, con, group_rows):
     df = spark.createDataFrame([("a", v) for v in values], "video_id string, v double")
     got = p.exact_percentiles(df, ["video_id"], {"t": ("v", 0.92)}, group_rows).first()["t"]
     assert got == con.execute("SELECT quantile_cont(unnest, 0.92e0) FROM unnest(?::DOUBLE[])", [values]).fetchone()[0] == lo
+
+
+def test_tiles_without_rows(spark):
+    # Blocks 1 and 2 of the index hold no row.
+    df = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("a", 30, [0.6, 0.8])], "video_id string, sample_index int, fused array<double>")
+    tiles = similarity.similarity_tiles(df, ["video_id"], "sample_index", "fused", rows=10)
+    got = tiles.groupBy("sample_index").agg(F.sum("sim_sum").alias("s")).collect()
+    assert {r["sample_index"]: r["s"] for r in got} == pytest.approx({0: 0.6, 30: 0.6})

@@ -179,3 +179,23 @@ def test_prompt_alignment_of_odd_rows(spark, monkeypatch):
     assert local == [("", 2, 1.0), ("a", 0, 0.8), ("a", 0, 0.96), ("a", 1, None), ("b", 0, 1.0)]
     monkeypatch.setattr(signals, "MAX_LOCAL_NUMBERS", 1)
     assert run() == local
+
+
+def test_greedy_rounds_of_some_videos(spark):
+    # Seeds fill the budget of "full" at once, so only "open" has candidates in the rounds.
+    rng = np.random.default_rng(5)
+    data, truth, weights = [], {}, selection.GreedyWeights()
+    for key, scenes, budget in (("full", 10, 3), ("open", 2, 5)):
+        x = rng.normal(size=(30, 8)) + 0.5
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        ts, scene, imp = np.arange(30) * 2.0, np.arange(30) * scenes // 30, rng.random(30)
+        truth[key] = slow_greedy(ts, scene, imp, x, budget, weights)
+        data += [(key, i, float(ts[i]), int(scene[i]), float(imp[i]), x[i].tolist(), budget) for i in range(30)]
+    schema = "video_id string, sample_index int, timestamp_sec double, scene_id int, local_importance double, fused array<double>, raw_budget int"
+    df = spark.createDataFrame(data, schema)
+    got = selection.greedy_select(df.drop("raw_budget"), df.select("video_id", "raw_budget").distinct(), weights, group_rows=20)
+    mine = {key: {} for key in truth}
+    for r in got.collect():
+        assert r["error"] is None
+        mine[r["video_id"]][r["sample_index"]] = r["selection_gain"]
+    assert mine == {key: pytest.approx(want) for key, want in truth.items()}
