@@ -103,14 +103,32 @@ def video_header(df: DataFrame, sample_fps: float) -> DataFrame:
 def sample_frames(frames: DataFrame, header: DataFrame, max_samples: int | None = None) -> DataFrame:
     """Every ``stride``-th frame with its sample number and time.
 
-    Sample numbers count the frames kept, so they have no holes where frames are absent.
+    Sample numbers count the frames kept, so they have no holes where frames are absent. A frame that is
+    listed twice is one sample. The frames kept travel as masks of 64 bits, so no
+    frame is sorted; columns beside the frame number come back by a join.
     """
-    kept = frames.join(header.select(KEY, "stride", "fps"), KEY).filter(F.col("frame_index") % F.col("stride") == 0)
-    out = dense_index(kept, [KEY], F.floor(F.col("frame_index") / ID_BLOCK), ["frame_index"], "sample_index")
-    out = out.withColumn("sample_index", F.col("sample_index").cast("int")).withColumn(
-        "timestamp_sec", F.col("frame_index") / F.col("fps")
+    # One row of the header per video, held in memory: a sort-merge join would sort all frames.
+    known = header.select(KEY, "stride", "fps").hint("shuffle_hash")
+    rows = frames.select(KEY, "frame_index").join(known, KEY).filter(F.col("frame_index") % F.col("stride") == 0)
+    masks = rows.select(KEY, "stride", "fps", F.expr("frame_index div stride").alias("place")).groupBy(
+        KEY, "stride", "fps", F.shiftright("place", 6).alias("word")
+    ).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 AS INT))")).alias("mask"))
+    # The window sees one row per 64 frames kept, already in place.
+    earlier = W.partitionBy(KEY).orderBy("word").rowsBetween(W.unboundedPreceding, -1)
+    numbered = masks.withColumn("before", F.coalesce(F.sum(F.bit_count("mask")).over(earlier), F.lit(0)))
+    bit = F.explode(F.sequence(F.lit(0), F.lit(63)))
+    out = (
+        numbered.select("*", bit.alias("bit"))
+        .filter("shiftright(mask, bit) & 1 = 1")
+        .withColumn("sample_index", (F.col("before") + F.expr("bit_count(mask & ~shiftleft(-1L, bit))")).cast("int"))
+        .withColumn("frame_index", ((F.col("word") * 64 + F.col("bit")) * F.col("stride")).cast(frames.schema["frame_index"].dataType))
+        .withColumn("timestamp_sec", F.col("frame_index") / F.col("fps"))
     )
-    return out if max_samples is None else out.filter(F.col("sample_index") < max_samples)
+    if max_samples is not None:
+        out = out.filter(F.col("sample_index") < max_samples)
+    if len(frames.columns) > 2:
+        out = frames.join(out, [KEY, "frame_index"])
+    return out.select(*frames.columns, "stride", "fps", "sample_index", "timestamp_sec")
 
 
 def evenly_spaced(count: Column, target: int) -> Column:

@@ -166,6 +166,23 @@ def test_samples_are_dense_and_the_last_row_of_an_id_wins(spark):
     assert splits.category_map(videos, "line").first()["category"] == 5
 
 
+def test_samples_carry_columns_and_sort_no_frames(spark):
+    from framelark.operators import splits
+
+    gone = {3 * i for i in range(0, 1000, 7)}
+    frames = spark.range(0, 3000).filter(~F.col("id").isin(gone)).select(
+        F.lit("v").alias("video_id"), F.col("id").cast("int").alias("frame_index"), (F.col("id") * 2).alias("extra")
+    )
+    header = spark.createDataFrame([("v", 3, 10.0)], "video_id string, stride int, fps double")
+    want = [(i, i * 2, n, i / 10.0) for n, i in enumerate(i for i in range(0, 3000, 3) if i not in gone)]
+    out = splits.sample_frames(frames, header).select("frame_index", "extra", "sample_index", "timestamp_sec")
+    assert sorted(tuple(r) for r in out.collect()) == want
+    slim = splits.sample_frames(frames.drop("extra"), header, max_samples=200)
+    assert sorted(r["sample_index"] for r in slim.collect()) == list(range(200))
+    plan = slim._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+
+
 def test_scratch_scope_removes_its_tables(spark):
     import os
 
