@@ -24,9 +24,19 @@ def r6(*cols: str):
     return [F.round(c, 6).alias(c) for c in cols]
 
 
+#: Longest vector of :func:`ramp`, and the period of its items.
+RAMP_MAX, RAMP_PERIOD = 1280, 101
+
+
 def ramp(width, seed) -> F.Column:
-    """A vector whose items depend on a seed and on their position."""
-    return F.transform(F.sequence(F.lit(1), width), lambda i: F.pmod(i * 7 + seed, F.lit(101)) / 101.0)
+    """A vector of up to ``RAMP_MAX`` items that depend on a seed and on their position.
+
+    Item ``i`` is ``(7 i + seed) mod 101 / 101``. As 7 * 29 = 1 mod 101, a seed only moves the start by ``29 seed``
+    items, so every vector is one cut out of a constant array; no item is computed for its row.
+    """
+    run = ",".join(repr(j * 7 % RAMP_PERIOD / RAMP_PERIOD) for j in range(1, RAMP_MAX + RAMP_PERIOD + 1))
+    start = F.pmod(F.lit(29) * F.pmod(seed.cast("bigint"), F.lit(RAMP_PERIOD)), F.lit(RAMP_PERIOD)) + 1
+    return F.slice(F.split(F.lit(run), ",").cast("array<double>"), start.cast("int"), width)
 
 
 SQL_RAMP = "list_transform(range(1,{w}+1), lambda i: ((i*7+{s}) % 101)/101e0)"
