@@ -57,20 +57,22 @@ def prefix_aggregate(
     )
     earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     carried = totals.select(
-        *[F.col(c).alias(f"_of_{c}") for c in [*keys, "_bucket"]],
+        *keys, "_bucket", F.row_number().over(W.partitionBy(*keys).orderBy("_bucket")).alias("_nth"),
         *[_AGG[fn](f"_t_{name}").over(earlier).alias(f"_before_{name}") for name, (fn, _) in outputs.items()],
-    )
-    inside = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(
+    ).filter("_nth > 1").drop("_nth").withColumn("_head", F.lit(True))
+    # What lies before a bucket enters it as its first row; a join would deal the rows out once more.
+    inside = W.partitionBy(*keys, "_bucket").orderBy(F.desc("_head"), *order).rowsBetween(
         W.unboundedPreceding, 0 if inclusive else -1
     )
-    joined = work.join(carried, null_safe([*keys, "_bucket"], [f"_of_{c}" for c in [*keys, "_bucket"]]))
-    return joined.select(
-        *df.columns,
+    both = work.withColumn("_head", F.lit(False)).unionByName(carried, allowMissingColumns=True)
+    done = both.select(
+        *df.columns, "_head",
         *[
-            _COMBINE[fn](F.col(f"_before_{name}"), _AGG[fn](f"_in_{name}").over(inside)).alias(name)
+            _COMBINE[fn](F.first(f"_before_{name}").over(inside), _AGG[fn](f"_in_{name}").over(inside)).alias(f"_out_{name}")
             for name, (fn, _) in outputs.items()
         ],
-    )
+    )
+    return done.filter("NOT _head").select(*df.columns, *[F.col(f"_out_{name}").alias(name) for name in outputs])
 
 
 def dense_index(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framelark.functions.partitioned import dense_index
-from framelark.functions.storage import write_through
 from framelark.operators.features import index_files
 from framelark.schemas import CAPTION_MAP, METADATA, PREDICTION_MAP
 from framelark.sources.json_arrays import read_json_arrays
@@ -27,34 +26,59 @@ DEFAULT_PROMPTS = [
 ]
 
 
-def read_metadata(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+#: Metadata files beyond this size are split over tasks.
+WHOLE_BYTES = 64 << 20
+
+
+def read_metadata(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) -> tuple[DataFrame, DataFrame]:
     """``videos`` and ``sentences`` tables of metadata JSON files.
 
-    A metadata file is one JSON object, so it is parsed whole by one task; many
-    files are read in parallel. Store the tables as Parquet for later jobs.
+    A metadata file is one JSON object. Files of up to ``whole_bytes`` are parsed whole, many in
+    parallel; larger ones are split over many tasks. Store the tables as Parquet for later jobs.
     """
-    doc = spark.read.schema(METADATA).option("multiLine", True).json(path)
+    files = spark.read.format("binaryFile").load(path).select("path", (F.col("length") > whole_bytes).alias("big"))
+    names = {big: [r["path"] for r in files.filter(F.col("big") == big).collect()] for big in (True, False)}
+    if names[True]:
+        videos, lines = _large_tables(spark, names[True])
+        if names[False]:
+            more_videos, more_lines = _whole_tables(spark.read.schema(METADATA).option("multiLine", True).json(names[False]))
+            videos, lines = videos.unionByName(more_videos), lines.unionByName(more_lines)
+        return videos, _numbered(lines)
+    videos, lines = _whole_tables(spark.read.schema(METADATA).option("multiLine", True).json(path))
+    return videos, _numbered(lines)
+
+
+def _whole_tables(doc: DataFrame) -> tuple[DataFrame, DataFrame]:
     videos = doc.select(F.inline("videos"))
-    videos = videos.withColumnsRenamed({"start time": "start_time", "end time": "end_time"})
-    lines = doc.select(F.input_file_name().alias("file"), F.posexplode("sentences").alias("line", "s"))
-    sentences = lines.select("file", "line", "s.video_id", "s.caption")
-    sentences = dense_index(sentences, ["video_id"], F.floor(F.col("line") / 65536), ["line", "file"], "cap_id")
-    return videos, sentences.select("video_id", F.col("cap_id").cast("int").alias("cap_id"), "caption")
+    lines = doc.select(F.col("_metadata.file_path").alias("file"), F.posexplode("sentences").alias("line", "s"))
+    return _renamed(videos), lines.select("file", F.col("line").cast("bigint").alias("line"), "s.video_id", "s.caption")
+
+
+def _renamed(videos: DataFrame) -> DataFrame:
+    return videos.withColumnsRenamed({"start time": "start_time", "end time": "end_time"})
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Captions numbered within their video by line, then by file."""
+    out = dense_index(lines, ["video_id"], F.floor(F.col("line") / 65536), ["line", "file"], "cap_id")
+    return out.select("video_id", F.col("cap_id").cast("int").alias("cap_id"), "caption")
 
 
 def read_large_metadata(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The same tables as :func:`read_metadata`, from objects of any size: each is split over many tasks."""
-    elements = write_through(read_json_arrays(spark, path), "elements")
+    videos, lines = _large_tables(spark, path)
+    return videos, _numbered(lines)
+
+
+def _large_tables(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    elements = read_json_arrays(spark, path)
     inner = {f.name: f.dataType.elementType for f in METADATA.fields}
 
     def rows(name: str) -> DataFrame:
         parsed = elements.filter(F.col("array") == name).withColumn("e", F.from_json("element", inner[name]))
         return parsed.select("file", "line", "e.*")
 
-    videos = rows("videos").drop("file", "line").withColumnsRenamed({"start time": "start_time", "end time": "end_time"})
-    sentences = rows("sentences").select("file", "line", "video_id", "caption")
-    sentences = dense_index(sentences, ["video_id"], F.floor(F.col("line") / 65536), ["line", "file"], "cap_id")
-    return videos, sentences.select("video_id", F.col("cap_id").cast("int").alias("cap_id"), "caption")
+    return _renamed(rows("videos").drop("file", "line")), rows("sentences").select("file", "line", "video_id", "caption")
 
 
 def read_captions(spark: SparkSession, path: str) -> DataFrame:
