@@ -69,5 +69,5 @@ def write_through(df: DataFrame, name: str, cluster_by: list[str] | None = None)
     spark = df.sparkSession
     path = scratch_path(spark, name)
     out = df.repartition(*cluster_by) if cluster_by else df
-    out.write.parquet(path)
+    out.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

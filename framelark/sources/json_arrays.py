@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from framelark.functions.partitioned import BLOCK_ROWS, dense_index, prefix_aggregate
+from framelark.functions.partitioned import BLOCK_ROWS, prefix_aggregate
 from framelark.functions.storage import write_through
 
 ORDER = ["blk", "at"]
@@ -27,7 +27,7 @@ def _net_depth(bare: Column) -> Column:
     return count("{[") - count("]")
 
 
-def _pieces(spark: SparkSession, path: str) -> DataFrame:
+def _pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The text between closing braces, with its quotes, and its depth if it starts outside or inside a string.
 
     Spark splits a file of any size at such a separator as it does at line ends. A brace
@@ -43,10 +43,10 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_json_arrays(spark: SparkSession, path: str) -> DataFrame:
+def read_json_arrays(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(file, array, line, element)`` of ``{"name": [{...}, ...], ...}`` files: each array's objects, as text.
 
-    ``line`` counts from 0 within an array of a file. Whether a piece starts inside a string
+    ``line`` counts from 0 within an array of a file. The names of a file's arrays are sent to all tasks. Whether a piece starts inside a string
     is the parity of the quotes before it, and how deep it starts the sum of the brackets before it: running
     sums over blocks of pieces (one row per block crosses its border), so no task reads a file whole.
     A piece that ends an object at depth 3 ends an element; elements with nested objects, or
@@ -67,9 +67,12 @@ def read_json_arrays(spark: SparkSession, path: str) -> DataFrame:
     depth = write_through(depth.select(*_PIECE, "depth", last.cast("int").alias("last")), "depths")
     # Pieces of an element share its number; the ends before a piece are counted.
     number = prefix_aggregate(depth, ["file"], _bucket(), ORDER, {"number": ("sum", F.col("last"))}, inclusive=False)
+    number = number.withColumn("pieces", F.count(F.lit(1)).over(W.partitionBy("file", "number")))
     whole = stored.select(*_PIECE, "value").join(number, _PIECE)
     piece = F.struct(*ORDER, "depth", "last", "value")
-    packed = whole.groupBy("file", "number").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    # Most elements are one piece and stay where they are.
+    packed = whole.filter("pieces > 1").groupBy("file", "number").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    packed = packed.unionByName(whole.filter("pieces = 1").select("file", "number", F.array(piece).alias("p")))
     # What lies before the piece in which the element starts is an object beside the arrays.
     first = F.array_max(F.transform(F.col("p"), lambda x, i: F.when(x["depth"] <= 2, i)))
     packed = packed.filter(F.element_at("p", -1)["last"] == 1).withColumn("p", F.slice("p", first + 1, F.size("p")))
@@ -83,8 +86,10 @@ def read_json_arrays(spark: SparkSession, path: str) -> DataFrame:
         F.expr("substring(text, length(lead) + 1)").alias("element"),
     )
     cut = write_through(cut, "elements")
-    newest = F.when(F.col("opens").isNotNull(), F.struct("number", "opens"))
-    block = F.floor(F.col("number") / BLOCK_ROWS)
-    named = prefix_aggregate(cut.select("file", "number", "opens"), ["file"], block, ["number"], {"newest": ("max", newest)})
-    named = dense_index(named.select("file", "number", F.col("newest.opens").alias("array")), ["file", "array"], block, ["number"], "line")
-    return named.join(cut.select("file", "number", "element"), ["file", "number"]).select("file", "array", "line", "element")
+    # The arrays of a file by their first element; between two of them all numbers are elements of one array.
+    firsts = cut.filter("opens IS NOT NULL").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("number", "opens"))).alias("firsts"))
+    named = cut.drop("opens").join(F.broadcast(firsts), "file")
+    newest = F.element_at(F.filter("firsts", lambda x: x["number"] <= F.col("number")), -1)
+    return named.withColumn("of", newest).select(
+        "file", F.col("of.opens").alias("array"), (F.col("number") - F.col("of.number")).alias("line"), "element"
+    )

@@ -1,10 +1,14 @@
 """What a query's work grows with: plans and results of the forms that keep large tables small."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from checks import store_queries as sq
 from checks.registry import QUERIES
+from framelark.functions.partitioned import dense_index
+from framelark.sources import json_arrays, readers
 from tests.conftest import SF
 
 
@@ -21,3 +25,35 @@ def test_ramp_items(spark):
     rows = spark.range(0, 300).select("id", F.when(F.col("id") % 2 == 0, 1280).otherwise(7).alias("w"))
     for seed, vec in rows.select("id", sq.ramp(F.col("w"), F.col("id") * 31).alias("vec")).collect():
         assert vec == [(i * 7 + seed * 31) % 101 / 101.0 for i in range(1, (1280 if seed % 2 == 0 else 7) + 1)]
+
+
+def test_running_sums_deal_rows_out_once(spark):
+    df = spark.range(0, 500).select(F.expr("CASE WHEN id % 3 > 0 THEN id % 3 END").alias("k"), "id", F.lit("text").alias("t"))
+    out = dense_index(df, ["k"], F.floor(F.col("id") / 16), ["id"], "pos", start=1)
+    assert "Join" not in optimized(out)
+    assert all(r["pos"] == r["id"] // 3 + 1 for r in out.collect())
+
+
+def test_files_beyond_a_size_are_split(spark, tmp_path):
+    want, folder = [], tmp_path / "m"
+    folder.mkdir()
+    for k, n in enumerate((3, 400)):
+        sentences = [{"video_id": f"video{i % 5}", "caption": f"{k} {i} a brace }} and {{ a quote \""} for i in range(n)]
+        videos = [{"video_id": f"video{k}", "id": k, "split": "train", "category": 1, "start time": 0.5, "end time": 1.5}]
+        (folder / f"f{k}.json").write_text(json.dumps({"videos": videos, "sentences": sentences}))
+        want += [(i, s["video_id"], s["caption"]) for i, s in enumerate(sentences)]
+    whole = readers.read_metadata(spark, str(folder))
+    split = readers.read_metadata(spark, str(folder), whole_bytes=2000)
+    assert "binaryFile" not in optimized(whole[1]) and "elements" in split[1].inputFiles()[0] + split[1].inputFiles()[-1]
+    for a, b in zip(whole, split):
+        assert a.columns == b.columns and sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    assert sorted(r["caption"] for r in split[1].collect()) == sorted(c for _, _, c in want)
+
+
+def test_one_piece_elements_are_not_grouped(spark, tmp_path):
+    """The text of an element that no brace cuts takes part in one join and in no sort or window."""
+    (tmp_path / "m.json").write_text(json.dumps({"sentences": [{"video_id": "video1", "caption": str(i)} for i in range(9)]}))
+    elements = json_arrays.read_json_arrays(spark, str(tmp_path / "m.json"))
+    plan = optimized(elements)
+    assert "Window" not in plan and "Aggregate" in plan
+    assert [(r["array"], r["line"]) for r in elements.orderBy("line").collect()] == [("sentences", i) for i in range(9)]
