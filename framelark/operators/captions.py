@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from framelark.functions import chunks
 from framelark.functions.partitioned import dense_index
 from framelark.functions.text import tokenize_vocab, video_number
 from framelark.operators.splits import ID_BLOCK, canonical_splits, split_names
@@ -87,31 +88,21 @@ def build_vocab(sentences: DataFrame, min_freq: int = 2) -> DataFrame:
 
 def encode_captions(sentences: DataFrame, vocab: DataFrame) -> DataFrame:
     """``<sos>`` + word ids (unknown words 3) + ``<eos>``."""
-    ids = _words(sentences).join(vocab.select("word", "idx"), "word", "left")
-    body = (
-        ids.groupBy(KEY, "cap_id")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("idx", F.lit(SPECIALS["<unk>"])).alias("idx")))).alias("b"))
-        .select(KEY, "cap_id", F.transform("b", lambda s: s["idx"]).alias("b"))
-    )
-    none = F.array().cast("array<int>")
-    whole = F.concat(F.array(F.lit(SPECIALS["<sos>"])), F.coalesce("b", none), F.array(F.lit(SPECIALS["<eos>"])))
-    return sentences.select(KEY, "cap_id").join(body, [KEY, "cap_id"], "left").select(KEY, "cap_id", whole.alias("ids"))
+    words = sentences.select(KEY, "cap_id", tokenize_vocab(F.col("caption")).alias("word"))
+    packed = chunks.pack(words, "word", "words")
+    body = chunks.unpack(chunks.look_up(packed, vocab, "word", "idx", SPECIALS["<unk>"]), "b")
+    whole = F.concat(F.array(F.lit(SPECIALS["<sos>"])), "b", F.array(F.lit(SPECIALS["<eos>"])))
+    return body.select(KEY, "cap_id", whole.alias("ids"))
 
 
 def decode_ids(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
     """Words up to ``<eos>``, without padding and ``<sos>``; unknown ids become ``<unk>``."""
     stop = F.array_position("ids", SPECIALS["<eos>"])
     body = F.when(stop > 0, F.slice("ids", F.lit(1), (stop - 1).cast("int"))).otherwise(F.col("ids"))
-    items = encoded.select(KEY, "cap_id", F.posexplode(body).alias("pos", "idx")).filter(
-        ~F.col("idx").isin(SPECIALS["<pad>"], SPECIALS["<sos>"])
-    )
-    words = items.join(vocab.select("word", "idx"), "idx", "left").groupBy(KEY, "cap_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("word", F.lit("<unk>")).alias("word")))).alias("w")
-    )
-    text = F.array_join(F.transform("w", lambda s: s["word"]), " ")
-    return encoded.select(KEY, "cap_id").join(words, [KEY, "cap_id"], "left").select(
-        KEY, "cap_id", F.coalesce(text, F.lit("")).alias("text")
-    )
+    shown = F.filter(body, lambda x: ~x.isin(SPECIALS["<pad>"], SPECIALS["<sos>"]))
+    packed = chunks.pack(encoded.select(KEY, "cap_id", shown.alias("idx")), "idx", "ids")
+    words = chunks.unpack(chunks.look_up(packed, vocab, "idx", "word", "<unk>"), "w")
+    return words.select(KEY, "cap_id", F.array_join("w", " ").alias("text"))
 
 
 def pad_batch(df: DataFrame, batch: str = "batch", ids: str = "ids", pad: int = 0) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from checks import store_queries as sq
 from checks.registry import QUERIES
+from framelark.functions import chunks
 from framelark.functions.partitioned import dense_index
+from framelark.operators import captions
 from framelark.sources import json_arrays, readers
 from tests.conftest import SF
 
@@ -57,3 +59,19 @@ def test_one_piece_elements_are_not_grouped(spark, tmp_path):
     plan = optimized(elements)
     assert "Window" not in plan and "Aggregate" in plan
     assert [(r["array"], r["line"]) for r in elements.orderBy("line").collect()] == [("sentences", i) for i in range(9)]
+
+
+def test_only_distinct_words_of_a_chunk_are_dealt_out(spark):
+    rows = [(f"video{i}", i % 3, " ".join(f"w{(i * j) % 7}" for j in range(i % 5))) for i in range(40)] + [("video99", 0, None)]
+    df = spark.createDataFrame(rows, "video_id string, cap_id int, caption string")
+    lists = df.select("video_id", "cap_id", F.split("caption", " ").alias("word")).coalesce(1)
+    vocab = spark.createDataFrame([(f"w{k}", k + 4) for k in range(0, 7, 2)], "word string, idx int")
+    for size in (1, 10, 1000):
+        packed = chunks.pack(lists, "word", "t", size)
+        assert packed.count() > 1 or size == 1000
+        assert all(len(set(r["dictionary"])) == len(r["dictionary"]) for r in packed.collect())
+        out = chunks.unpack(chunks.look_up(packed, vocab, "word", "idx", 3), "ids")
+        want = {v: [int(w[1:]) + 4 if w and int(w[1:]) % 2 == 0 else 3 for w in t.split(" ")] if t is not None else [] for v, _, t in rows}
+        assert {r["video_id"]: r["ids"] for r in out.collect()} == want
+    enc = captions.encode_captions(df, vocab)
+    assert "dictionary" in optimized(enc) and "explode(word" not in optimized(enc)
