@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from checks import fixtures as fx
 from checks.fixtures import with_views
 from checks.registry import query
+from framelark.functions.storage import write_through
 from framelark.functions.text import strip_ptb_punct, tokenize_eval, tokenize_vocab
 from framelark.operators import caption_metrics as m, captions, features, splits
 from framelark.plans import evaluation
@@ -197,7 +198,9 @@ def _(s, sf):
     """SELECT tk.video_id, tk.cap_id, coalesce(text,'') AS text FROM tk LEFT JOIN (SELECT video_id, cap_id, string_agg(word,' ' ORDER BY pos) AS text
        FROM dw GROUP BY 1,2) d ON tk.video_id=d.video_id AND tk.cap_id=d.cap_id"""))
 def _(s, sf):
-    return captions.decode_ids(encoded(s, sf), captions.build_vocab(fx.sentences(s, sf)))
+    sent = fx.sentences(s, sf)
+    vocab = write_through(captions.build_vocab(sent), "vocab")
+    return captions.decode_ids(captions.encode_captions(sent, vocab), vocab)
 
 
 @query("C12_pad_batch", with_views(["fx_sentences"], {**VOCAB, "mx": "SELECT *, max(len(ids)) OVER (PARTITION BY video_id) AS m FROM enc"},

@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 
 from framelark.functions.storage import write_through
 
-CHUNK_ITEMS = 1 << 19
+CHUNK_ITEMS = 1 << 20
 
 
 def pack(df: DataFrame, items: str, name: str, chunk_items: int = CHUNK_ITEMS) -> DataFrame:

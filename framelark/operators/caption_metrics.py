@@ -9,8 +9,9 @@ document frequencies and totals are taken inside each group. Rows with a null gr
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from framelark.functions.storage import write_through
 from framelark.functions.text import eval_tokens
 
 KEY = "video_id"
@@ -186,56 +187,191 @@ def stored_grams(pred: DataFrame, refs: DataFrame, by: list[str]) -> tuple[DataF
     return ngram_counts(pred, [*by, KEY, "videos"]), ngram_counts(refs, [*by, KEY, "cap_id", "videos"])
 
 
+#: Tokens of a chunk of captions whose n-grams are weighted together.
+CHUNK_TOKENS = 1 << 17
+
+
+def _distinct_grams(n: int = MAX_N) -> Column:
+    """The distinct 1..n-grams of the array ``tokens``, as ``(n, gram)``."""
+    def of_size(k: int) -> Column:
+        starts = F.expr(f"sequence(0, size(tokens) - {k})")
+        gram = lambda i: F.concat_ws(" ", *[F.get(F.col("tokens"), i + j) for j in range(k)])
+        spans = F.transform(starts, lambda i: F.struct(F.lit(k).alias("n"), gram(i).alias("gram")))
+        return F.when(F.size("tokens") >= k, spans).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
+
+    return F.array_distinct(F.flatten(F.array(*[of_size(k) for k in range(1, n + 1)])))
+
+
+def shared_frequency(refs: DataFrame, by: list[str]) -> DataFrame:
+    """``by, n, gram, df`` of the n-grams that the references of two videos or more hold; any other counts as 1."""
+    tokens = _tokens(refs, [*by, KEY])
+    per_video = tokens.select(*by, KEY, F.explode(_distinct_grams()).alias("g")).select(*by, KEY, "g.n", "g.gram").distinct()
+    return per_video.groupBy(*by, "n", "gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+
+
+def _gram_numbering():
+    """A function for the tasks; nested, so that it travels with them."""
+    def gram_arrays(tokens, ends, n: int):
+        """Of each n: ``(row, gram number)`` of all n-grams of a chunk, and the tokens of each distinct gram."""
+        import numpy as np
+
+        rows = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        left = ends[1:][rows] - np.arange(len(tokens))  # tokens from here to the end of the row
+        at, number, out = np.arange(len(tokens)), tokens.astype(np.int64), []
+        for k in range(1, n + 1):
+            if k > 1:
+                at = at[left[at] >= k]
+                # A gram is its first k-1 tokens, by number, and the token behind them.
+                pair = prefix[at] * (int(tokens.max(initial=0)) + 1) + tokens[at + k - 1]
+                first, number = np.unique(pair, return_index=True, return_inverse=True)[1:]
+            else:
+                first, number = np.unique(number, return_index=True, return_inverse=True)[1:]
+            prefix = np.zeros(len(tokens), np.int64)
+            prefix[at] = number
+            out.append((rows[at], number, at[first]))
+        return out
+
+    return gram_arrays
+
+
+def _pair_chunks(pairs: DataFrame, ids: list[str], by: list[str]) -> DataFrame:
+    """Stored chunks of ``(prediction, reference)`` pairs: their ids, sizes, and all tokens as numbers into one dictionary.
+
+    The chunk of a group keeps to it, so that its n-grams meet one table of frequencies.
+    """
+    fields = [pairs.schema[c] for c in [*ids, "cap_id", "videos"]]
+    row = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in fields)
+    group = "".join(f"{c} {pairs.schema[c].dataType.simpleString()}, " for c in by)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            groups = np.zeros(len(table), np.int64)
+            for c in by:
+                codes = table.column(c).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                groups = np.unique(groups * (int(codes.max(initial=0)) + 1) + codes, return_inverse=True)[1]
+            order = np.argsort(groups, kind="stable")
+            table, groups = table.take(pa.array(order)).combine_chunks(), groups[order]
+            both = [table.column(c).combine_chunks() for c in ("hyp", "ref")]
+            sizes = [pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in both]
+            total = np.concatenate([[0], np.cumsum(sizes[0] + sizes[1])])
+            start = 0
+            while start < len(table):
+                stop = max(start + 1, int(np.searchsorted(total, total[start] + CHUNK_TOKENS, "right")) - 1)
+                stop = min(stop, int(np.searchsorted(groups, groups[start], "right")))
+                flat = pa.concat_arrays([x.slice(start, stop - start).flatten() for x in both]).dictionary_encode()
+                keys = pa.StructArray.from_arrays([table.column(f.name).combine_chunks().slice(start, stop - start) for f in fields], names=[f.name for f in fields])
+                lengths = pa.array(np.concatenate([s[start:stop] for s in sizes]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [*[table.column(c).combine_chunks().slice(start, 1) for c in by], pa.array([number], pa.int64()), one(keys), one(lengths), one(flat.indices.cast(pa.int32())), one(flat.dictionary)],
+                    names=[*by, "chunk", "rows", "sizes", "items", "dictionary"],
+                )
+                number, start = number + 1, stop
+
+    schema = f"{group}chunk bigint, rows array<struct<{row}>>, sizes array<int>, items array<int>, dictionary array<string>"
+    return write_through(pairs.select(*ids, "cap_id", "videos", "hyp", "ref").mapInArrow(run, schema), "pairs")
+
+
+def _asked_grams(packed: DataFrame, by: list[str]) -> DataFrame:
+    """``by, chunk, n, place, gram``: the distinct n-grams of each chunk by their number in it."""
+    group = "".join(f"{c} {packed.schema[c].dataType.simpleString()}, " for c in by)
+    gram_arrays = _gram_numbering()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                at = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
+                tokens, words = at["items"][r].values.to_numpy(), at["dictionary"][r].values
+                ends = np.concatenate([[0], np.cumsum(at["sizes"][r].values.to_numpy(), dtype=np.int64)])
+                for k, (_, _, first) in enumerate(gram_arrays(tokens, ends, MAX_N), 1):
+                    parts = [words.take(pa.array(tokens[first + j])) for j in range(k)]
+                    gram = pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
+                    fixed = [pa.repeat(at[c][r], len(first)) for c in [*by, "chunk"]]
+                    yield pa.RecordBatch.from_arrays(
+                        [*fixed, pa.array(np.full(len(first), k, np.int32)), pa.array(np.arange(len(first)), pa.int32()), gram],
+                        names=[*by, "chunk", "n", "place", "gram"],
+                    )
+
+    return packed.select(*by, "chunk", "sizes", "items", "dictionary").mapInArrow(run, f"{group}chunk bigint, n int, place int, gram string")
+
+
+def _pair_scores(met: DataFrame, fields: list, sigma: float) -> DataFrame:
+    """Per pair ``s``: the mean clipped cosine of 1..n-grams times the length penalty."""
+    names = [f.name for f in fields]
+    gram_arrays = _gram_numbering()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            at = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
+            for r in range(batch.num_rows):
+                keys, tokens = at["rows"][r].values, at["items"][r].values.to_numpy()
+                m = len(keys)
+                ends = np.concatenate([[0], np.cumsum(at["sizes"][r].values.to_numpy(), dtype=np.int64)])
+                big = keys.field(names.index("videos")).to_numpy().astype(float)
+                known = at["f"][r].values
+                known = [x.to_numpy(zero_copy_only=False) for x in known.flatten()] if known is not None else [np.zeros(0, int)] * 3
+                cosine = np.zeros(m)
+                for k, (rows, number, first) in enumerate(gram_arrays(tokens, ends, MAX_N), 1):
+                    idf = np.zeros(len(first))
+                    mine = known[0] == k
+                    idf[known[1][mine]] = np.log(known[2][mine].astype(float))
+                    # Counts of each gram in each row: rows below m are predictions, row m + i is the reference of i.
+                    wide = max(1, len(first))
+                    cell, count = np.unique(rows * wide + number, return_counts=True)
+                    row, gram = cell // wide, cell % wide
+                    w = count * (np.log(big[row % m]) - idf[gram])
+                    norm = np.sqrt(np.bincount(row, w * w, 2 * m))
+                    ref = np.searchsorted(row, m)
+                    spot = np.searchsorted(cell[:ref], cell[ref:] - m * wide)
+                    spot[spot == ref] = 0
+                    same = cell[spot] == cell[ref:] - m * wide if ref else np.zeros(len(cell), bool)
+                    other = np.where(same, w[spot], 0.0) if ref else np.zeros(len(cell) - ref)
+                    v = np.bincount(row[ref:] - m, np.minimum(other, w[ref:]) * w[ref:], m)
+                    both = norm[:m] * norm[m:]
+                    cosine += np.where(both != 0, v / np.where(both != 0, both, 1.0), v)
+                bigrams = np.maximum(0, np.diff(ends) - 1).astype(float)
+                delta = bigrams[:m] - bigrams[m:]
+                s = cosine / MAX_N * np.exp(-(delta * delta) / (2 * sigma * sigma))
+                yield pa.RecordBatch.from_arrays([*keys.flatten(), pa.array(s)], names=[*names, "s"])
+
+    return met.select("rows", "sizes", "items", "f").mapInArrow(run, StructType([*fields, StructField("s", DoubleType())]))
+
+
 def cider_per_video(
-    pred: DataFrame, refs: DataFrame, by: list[str] | None = None, sigma: float = 6.0, grams=None
+    pred: DataFrame, refs: DataFrame, by: list[str] | None = None, sigma: float = 6.0, df: DataFrame | None = None
 ) -> DataFrame:
     """CIDEr of each video: clipped cosine with a length penalty, mean over references, times 10.
 
-    Every n-gram of a reference meets its weight in the prediction by one join;
-    the norm, the clipped product and the length come out of the same sums.
+    Each reference meets its prediction as tokens. A chunk of such pairs asks once for the frequency of each of
+    its n-grams, and only n-grams of two videos or more come back; the weights, norms and
+    products are taken inside the chunk. ``df``: stored :func:`shared_frequency`, where there is one.
     """
-    by = by or []
+    by, ids = by or [], video_keys(by)
     pred, refs = with_group_size(pred, refs, by)
-    hyp_grams, ref_grams = grams or stored_grams(pred, refs, by)
-    df = _doc_freq(ref_grams, by)
-    hyp = _weights(hyp_grams, df, by)
-    ref = _weights(ref_grams, df, by)
-
-    ids = video_keys(by)
-    hyp_norms = hyp.groupBy(*ids).agg(
-        *[F.sqrt(F.sum(F.when(F.col("n") == k, F.col("w") * F.col("w")).otherwise(0.0))).alias(f"h{k}") for k in range(1, MAX_N + 1)],
-        F.sum(F.when(F.col("n") == 2, F.col("cnt")).otherwise(0)).alias("h_len"),
-    )
-    wh = hyp.select(*ids, "n", "gram", F.col("w").alias("wh"))
-    met = ref.join(wh, [*ids, "n", "gram"], "left")
-
-    def part(k: int, value: Column) -> Column:
-        return F.sum(F.when(F.col("n") == k, value).otherwise(0.0))
-
-    clipped = F.least(F.coalesce("wh", F.lit(0.0)), F.col("w")) * F.col("w")
-    per_ref = met.groupBy(*ids, "cap_id").agg(
-        *[part(k, clipped).alias(f"v{k}") for k in range(1, MAX_N + 1)],
-        *[F.sqrt(part(k, F.col("w") * F.col("w"))).alias(f"r{k}") for k in range(1, MAX_N + 1)],
-        F.sum(F.when(F.col("n") == 2, F.col("cnt")).otherwise(0)).alias("r_len"),
-    )
-    delta = (F.col("h_len") - F.col("r_len")).cast("double")
-    penalty = F.exp(-(delta * delta) / (2 * sigma * sigma))
-    cosine = [
-        F.when((F.col(f"h{k}") != 0) & (F.col(f"r{k}") != 0), F.try_divide(F.col(f"v{k}"), F.col(f"h{k}") * F.col(f"r{k}")))
-        .otherwise(F.col(f"v{k}"))
-        for k in range(1, MAX_N + 1)
-    ]
-    summed = (
-        per_ref.join(hyp_norms, ids)
-        .select(*ids, (sum(cosine[1:], cosine[0]) / MAX_N * penalty).alias("s"))
-        .groupBy(*ids)
-        .agg(F.sum("s").alias("s"))
-    )
-    counts = refs.groupBy(*ids).agg(F.count(F.lit(1)).alias("n_refs"))
-    return (
-        pred.select(*ids).join(counts, ids).join(summed, ids, "left")
-        .select(*ids, (F.coalesce("s", F.lit(0.0)) / F.col("n_refs") * 10.0).alias("cider"))
-    )
+    hyp = _tokens(pred, [*ids, "videos"]).withColumnRenamed("tokens", "hyp")
+    ref = _tokens(refs, [*ids, "cap_id"]).withColumnRenamed("tokens", "ref")
+    packed = _pair_chunks(ref.join(hyp, ids), ids, by)
+    df = shared_frequency(refs, by) if df is None else df
+    hits = _asked_grams(packed, by).join(df, [*by, "n", "gram"]).groupBy("chunk")
+    hits = hits.agg(F.collect_list(F.struct("n", "place", "df")).alias("f"))
+    met = packed.drop("dictionary", *by).join(hits, "chunk", "left")
+    fields = packed.schema["rows"].dataType.elementType.fields
+    # Every reference is one pair, so their mean is that of the pairs.
+    return _pair_scores(met, fields, sigma).groupBy(*ids).agg((F.sum("s") / F.count(F.lit(1)) * 10.0).alias("cider"))
 
 
 def cider_over_sets(hyp: DataFrame, ref: DataFrame, counts: DataFrame, cells: DataFrame, sets: int, sigma: float = 6.0) -> DataFrame:
@@ -405,8 +541,9 @@ def valid_ids(pred: DataFrame, refs: DataFrame, categories: DataFrame) -> DataFr
 
 def reward_advantage(sampled: DataFrame, greedy: DataFrame, refs: DataFrame, batch: str = "batch") -> DataFrame:
     """Sampled minus greedy CIDEr per video, with document frequencies per batch."""
-    a = cider_per_video(sampled, refs, [batch]).withColumnRenamed("cider", "sampled_cider")
-    b = cider_per_video(greedy, refs, [batch]).withColumnRenamed("cider", "greedy_cider")
+    df = write_through(shared_frequency(refs, [batch]), "df")
+    a = cider_per_video(sampled, refs, [batch], df=df).withColumnRenamed("cider", "sampled_cider")
+    b = cider_per_video(greedy, refs, [batch], df=df).withColumnRenamed("cider", "greedy_cider")
     return a.join(b, video_keys([batch])).withColumn("advantage", F.col("sampled_cider") - F.col("greedy_cider"))
 
 

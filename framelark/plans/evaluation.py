@@ -29,7 +29,7 @@ def score_per_video(pred: DataFrame, refs: DataFrame, by: list[str] | None = Non
     by, ids = by or [], m.video_keys(by)
     p, r, grams = _stored(pred, refs, by)
     return (
-        m.cider_per_video(p, r, by, grams=grams).join(m.bleu_per_video(p, r, grams=grams, by=by), ids)
+        m.cider_per_video(p, r, by).join(m.bleu_per_video(p, r, grams=grams, by=by), ids)
         .join(m.meteor(p, r, by), ids).join(m.rouge_l(p, r, by), ids)
     )
 
@@ -38,7 +38,7 @@ def score_captions(pred: DataFrame, refs: DataFrame, by: list[str] | None = None
     """Corpus metrics per group, with the number of videos."""
     by, ids = by or [], m.video_keys(by)
     p, r, grams = _stored(pred, refs, by)
-    single = m.cider_per_video(p, r, by, grams=grams).join(m.meteor(p, r, by), ids).join(m.rouge_l(p, r, by), ids)
+    single = m.cider_per_video(p, r, by).join(m.meteor(p, r, by), ids).join(m.rouge_l(p, r, by), ids)
     means = single.groupBy(*by).agg(
         F.count(F.lit(1)).alias("num_videos"), *[F.avg(c).alias(c) for c in _MEANS]
     )

@@ -1,6 +1,8 @@
 """What a query's work grows with: plans and results of the forms that keep large tables small."""
 
 import json
+import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from checks import store_queries as sq
 from checks.registry import QUERIES
 from framelark.functions import chunks
 from framelark.functions.partitioned import dense_index
-from framelark.operators import captions
+from framelark.operators import caption_metrics as m, captions
 from framelark.sources import json_arrays, readers
 from tests.conftest import SF
 
@@ -75,3 +77,37 @@ def test_only_distinct_words_of_a_chunk_are_dealt_out(spark):
         assert {r["video_id"]: r["ids"] for r in out.collect()} == want
     enc = captions.encode_captions(df, vocab)
     assert "dictionary" in optimized(enc) and "explode(word" not in optimized(enc)
+
+
+@pytest.mark.parametrize("by", [None, ["grp"]])
+def test_cider_asks_once_per_chunk_and_only_shared_grams_come_back(spark, monkeypatch, by):
+    words = "a b c d e".split()
+    pred = [(f"v{i}", i % 2, " ".join(words[(i * j) % 5] for j in range(i % 9))) for i in range(30)]
+    refs = [(f"v{i}", i % 2, c, " ".join(words[(i + c * j) % 5] for j in range((i + c) % 8))) for i in range(30) for c in range(i % 3)]
+    p = spark.createDataFrame(pred, "video_id string, grp int, caption string")
+    r = spark.createDataFrame(refs, "video_id string, grp int, cap_id int, caption string")
+    p, r = m.scored_pairs(p, r, by)
+    grams = lambda t: Counter((n, tuple(t[i : i + n])) for n in range(1, 5) for i in range(len(t) - n + 1))
+    for size in (1, 40, 1 << 17):
+        monkeypatch.setattr(m, "CHUNK_TOKENS", size)
+        got = {x["video_id"]: x["cider"] for x in m.cider_per_video(p, r, by).collect()}
+        want = {}
+        for g in (0, 1) if by else (None,):
+            mine = {v: t.split() for v, k, t in pred if g in (None, k) and any(v == x[0] for x in refs)}
+            held = {v: [t.split() for x, _, _, t in refs if x == v] for v in mine}
+            df = Counter(gram for v in mine for gram in set().union(*[grams(t) for t in held[v]]))
+            weight = lambda t: {x: c * (math.log(len(mine)) - math.log(max(1, df[x]))) for x, c in grams(t).items()}
+            for v, t in mine.items():
+                h, total = weight(t), 0.0
+                for ref in held[v]:
+                    w, s = weight(ref), 0.0
+                    for n in range(1, 5):
+                        dot = sum(min(h.get(x, 0.0), y) * y for x, y in w.items() if x[0] == n)
+                        size2 = [math.sqrt(sum(y * y for x, y in z.items() if x[0] == n)) for z in (h, w)]
+                        s += dot / (size2[0] * size2[1]) if size2[0] and size2[1] else dot
+                    gap = max(0, len(t) - 1) - max(0, len(ref) - 1)
+                    total += s / 4 * math.exp(-(gap**2) / 72)
+                want[v] = 10 * total / len(held[v])
+        assert got == pytest.approx(want)
+    shared = m.shared_frequency(r, by or []).collect()
+    assert shared and all(x["df"] > 1 for x in shared)
