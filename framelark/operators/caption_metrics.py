@@ -16,6 +16,8 @@ from framelark.functions.text import eval_tokens
 
 KEY = "video_id"
 MAX_N = 4
+#: Tokens of a chunk of captions whose n-grams are numbered together.
+CHUNK_TOKENS = 1 << 17
 
 
 def with_tokens(df: DataFrame) -> DataFrame:
@@ -100,13 +102,13 @@ def bleu_components(
     ``grams``: stored :func:`ngram_counts` of both tables, where there are any.
     """
     ids = video_keys(by)
-    hyp, ref = grams or (ngram_counts(pred, ids), ngram_counts(refs, [*ids, "cap_id"]))
-    best = ref.groupBy(*ids, "n", "gram").agg(F.max("cnt").alias("most"))
-    hits = (
-        hyp.join(best, [*ids, "n", "gram"])
-        .groupBy(*ids)
-        .agg(*[F.sum(F.when(F.col("n") == k, F.least("cnt", "most"))).alias(f"c{k}") for k in range(1, MAX_N + 1)])
-    )
+    if grams:
+        hyp, ref = grams
+        best = ref.groupBy(*ids, "n", "gram").agg(F.max("cnt").alias("most"))
+        met = hyp.join(best, [*ids, "n", "gram"]).select(*ids, "n", F.least("cnt", "most").alias("c"))
+    else:
+        met = _shared_counts(pred, refs, ids).groupBy(*ids, "n", "place").agg(F.max("c").alias("c"))
+    hits = met.groupBy(*ids).agg(*[F.sum(F.when(F.col("n") == k, F.col("c"))).alias(f"c{k}") for k in range(1, MAX_N + 1)])
     lengths = ref_length(pred, refs, option, by)
     return lengths.join(hits, ids, "left").select(
         *ids,
@@ -117,6 +119,50 @@ def bleu_components(
     )
 
 
+def _shared_counts(pred: DataFrame, refs: DataFrame, ids: list[str]) -> DataFrame:
+    """``ids, n, place, c`` per n-gram that a reference has in common with its prediction.
+
+    ``place`` is where the prediction has it first, ``c`` the smaller count. Captions meet as tokens,
+    and only n-grams in common leave a pair.
+    """
+    hyp = _tokens(pred, ids).withColumnRenamed("tokens", "hyp")
+    pairs = _tokens(refs, ids).withColumnRenamed("tokens", "ref").join(hyp, ids)
+    fields = [pairs.schema[c] for c in ids]
+    most, gram_arrays = CHUNK_TOKENS, _gram_numbering()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            both = [batch.column(batch.schema.get_field_index(c)) for c in ("hyp", "ref")]
+            sizes = [pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in both]
+            total = np.concatenate([[0], np.cumsum(sizes[0] + sizes[1])])
+            start = 0
+            while start < batch.num_rows:
+                stop = max(start + 1, int(np.searchsorted(total, total[start] + most, "right")) - 1)
+                m = stop - start
+                flat = pa.concat_arrays([x.slice(start, m).flatten() for x in both]).dictionary_encode()
+                ends = np.concatenate([[0], np.cumsum(np.concatenate([x[start:stop] for x in sizes]))])
+                for k, (rows, number, _, at) in enumerate(gram_arrays(flat.indices.to_numpy(zero_copy_only=False), ends, MAX_N), 1):
+                    wide = max(1, int(number.max(initial=0)) + 1)
+                    cell, first, count = np.unique(rows * wide + number, return_index=True, return_counts=True)
+                    mine = cell < m * wide  # the predictions; row m + i is the reference of i
+                    _, h, r = np.intersect1d(cell[mine], cell[~mine] - m * wide, assume_unique=True, return_indices=True)
+                    pair, least = cell[mine][h] // wide, np.minimum(count[mine][h], count[~mine][r])
+                    place = at[first[mine][h]] - ends[pair]
+                    keys = [batch.column(batch.schema.get_field_index(f.name)).take(pa.array(pair + start)) for f in fields]
+                    yield pa.RecordBatch.from_arrays(
+                        [*keys, pa.array(np.full(len(pair), k, np.int32)), pa.array(place, pa.int32()), pa.array(least, pa.int64())],
+                        names=[*[f.name for f in fields], "n", "place", "c"],
+                    )
+                start = stop
+
+    found = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in fields)
+    return pairs.select(*ids, "hyp", "ref").mapInArrow(run, f"{found}n int, place int, c bigint")
+
+
 BLEU_PARTS = ["test_len", "ref_len", *[f"{w}_{k}" for w in ("guess", "correct") for k in range(1, MAX_N + 1)]]
 
 
@@ -182,15 +228,6 @@ def cider_vectors(pred: DataFrame, refs: DataFrame, by: list[str] | None = None)
     )
 
 
-def stored_grams(pred: DataFrame, refs: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The n-grams that BLEU and CIDEr both read; the tables need ``videos``."""
-    return ngram_counts(pred, [*by, KEY, "videos"]), ngram_counts(refs, [*by, KEY, "cap_id", "videos"])
-
-
-#: Tokens of a chunk of captions whose n-grams are weighted together.
-CHUNK_TOKENS = 1 << 17
-
-
 def _distinct_grams(n: int = MAX_N) -> Column:
     """The distinct 1..n-grams of the array ``tokens``, as ``(n, gram)``."""
     def of_size(k: int) -> Column:
@@ -212,7 +249,7 @@ def shared_frequency(refs: DataFrame, by: list[str]) -> DataFrame:
 def _gram_numbering():
     """A function for the tasks; nested, so that it travels with them."""
     def gram_arrays(tokens, ends, n: int):
-        """Of each n: ``(row, gram number)`` of all n-grams of a chunk, and the tokens of each distinct gram."""
+        """Of each n: row and number of all n-grams of a chunk, the first place of each number, and the places of all."""
         import numpy as np
 
         rows = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
@@ -228,7 +265,7 @@ def _gram_numbering():
                 first, number = np.unique(number, return_index=True, return_inverse=True)[1:]
             prefix = np.zeros(len(tokens), np.int64)
             prefix[at] = number
-            out.append((rows[at], number, at[first]))
+            out.append((rows[at], number, at[first], at))
         return out
 
     return gram_arrays
@@ -294,7 +331,7 @@ def _asked_grams(packed: DataFrame, by: list[str]) -> DataFrame:
                 at = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
                 tokens, words = at["items"][r].values.to_numpy(), at["dictionary"][r].values
                 ends = np.concatenate([[0], np.cumsum(at["sizes"][r].values.to_numpy(), dtype=np.int64)])
-                for k, (_, _, first) in enumerate(gram_arrays(tokens, ends, MAX_N), 1):
+                for k, (_, _, first, _) in enumerate(gram_arrays(tokens, ends, MAX_N), 1):
                     parts = [words.take(pa.array(tokens[first + j])) for j in range(k)]
                     gram = pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
                     fixed = [pa.repeat(at[c][r], len(first)) for c in [*by, "chunk"]]
@@ -325,7 +362,7 @@ def _pair_scores(met: DataFrame, fields: list, sigma: float) -> DataFrame:
                 known = at["f"][r].values
                 known = [x.to_numpy(zero_copy_only=False) for x in known.flatten()] if known is not None else [np.zeros(0, int)] * 3
                 cosine = np.zeros(m)
-                for k, (rows, number, first) in enumerate(gram_arrays(tokens, ends, MAX_N), 1):
+                for k, (rows, number, first, _) in enumerate(gram_arrays(tokens, ends, MAX_N), 1):
                     idf = np.zeros(len(first))
                     mine = known[0] == k
                     idf[known[1][mine]] = np.log(known[2][mine].astype(float))

@@ -15,21 +15,19 @@ KEY = "video_id"
 _MEANS = ["meteor", "rouge_l", "cider"]
 
 
-def _stored(pred: DataFrame, refs: DataFrame, by: list[str]):
-    """Tokens of the scored captions, and their n-grams, stored once: many branches read each table."""
+def _stored(pred: DataFrame, refs: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Tokens of the scored captions, stored once: many branches read each table."""
     p, r = m.scored_pairs(pred.select(*by, KEY, "caption"), refs.select(*by, KEY, "cap_id", "caption"), by)
     p, r = m.with_group_size(m.with_tokens(p), m.with_tokens(r), by)
-    p, r = write_through(p, "pred"), write_through(r, "refs")
-    hyp, ref = m.stored_grams(p, r, by)
-    return p, r, (write_through(hyp, "pred-grams"), write_through(ref, "ref-grams"))
+    return write_through(p, "pred"), write_through(r, "refs")
 
 
 def score_per_video(pred: DataFrame, refs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The seven metrics of every scored video, keyed by ``by`` and ``video_id``."""
     by, ids = by or [], m.video_keys(by)
-    p, r, grams = _stored(pred, refs, by)
+    p, r = _stored(pred, refs, by)
     return (
-        m.cider_per_video(p, r, by).join(m.bleu_per_video(p, r, grams=grams, by=by), ids)
+        m.cider_per_video(p, r, by).join(m.bleu_per_video(p, r, by=by), ids)
         .join(m.meteor(p, r, by), ids).join(m.rouge_l(p, r, by), ids)
     )
 
@@ -37,12 +35,12 @@ def score_per_video(pred: DataFrame, refs: DataFrame, by: list[str] | None = Non
 def score_captions(pred: DataFrame, refs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Corpus metrics per group, with the number of videos."""
     by, ids = by or [], m.video_keys(by)
-    p, r, grams = _stored(pred, refs, by)
+    p, r = _stored(pred, refs, by)
     single = m.cider_per_video(p, r, by).join(m.meteor(p, r, by), ids).join(m.rouge_l(p, r, by), ids)
     means = single.groupBy(*by).agg(
         F.count(F.lit(1)).alias("num_videos"), *[F.avg(c).alias(c) for c in _MEANS]
     )
-    bleu = m.bleu_corpus(p, r, by, grams)
+    bleu = m.bleu_corpus(p, r, by)
     if by:
         return means.join(bleu, by)
     # One row on either side.
@@ -89,7 +87,7 @@ def score_grouping_sets(pred: DataFrame, refs: DataFrame, sets: list[list[str]])
     cells = write_through(cells, "cells")
     counts = p.select(KEY).join(r.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_refs")), KEY)
     cider = m.cider_over_sets(hyp, ref, counts, cells, len(sets))
-    parts = m.bleu_components(p, r, grams=(hyp, ref)).join(m.meteor(p, r), KEY).join(m.rouge_l(p, r), KEY)
+    parts = m.bleu_components(p, r).join(m.meteor(p, r), KEY).join(m.rouge_l(p, r), KEY)
     single = parts.join(cider, KEY).join(p.select(KEY, "cell"), KEY)
     # First one row per cell, then those of each group.
     sums = single.groupBy("cell").agg(

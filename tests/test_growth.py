@@ -111,3 +111,15 @@ def test_cider_asks_once_per_chunk_and_only_shared_grams_come_back(spark, monkey
         assert got == pytest.approx(want)
     shared = m.shared_frequency(r, by or []).collect()
     assert shared and all(x["df"] > 1 for x in shared)
+
+
+def test_bleu_of_pairs_equals_that_of_ngram_tables(spark, monkeypatch):
+    monkeypatch.setattr(m, "CHUNK_TOKENS", 30)
+    words = "a b c".split()
+    p = spark.createDataFrame([(f"v{i}", " ".join(words[(i * j) % 3] for j in range(i % 9))) for i in range(20)], "video_id string, caption string")
+    refs = [(f"v{i}", c, " ".join(words[(i + c * j) % 3] for j in range((i + c) % 8))) for i in range(20) for c in range(i % 4)]
+    r = spark.createDataFrame(refs, "video_id string, cap_id int, caption string")
+    tables = m.ngram_counts(p, ["video_id"]), m.ngram_counts(r, ["video_id", "cap_id"])
+    short, long = m.bleu_components(p, r), m.bleu_components(p, r, grams=tables)
+    assert "gram" not in optimized(short)
+    assert sorted(map(tuple, short.collect())) == sorted(map(tuple, long.collect()))
