@@ -46,7 +46,7 @@ def pack(df: DataFrame, items: str, name: str, chunk_items: int = CHUNK_ITEMS) -
                 number, start = number + 1, stop
 
     schema = f"chunk bigint, rows array<{rows}>, sizes array<int>, items array<int>, dictionary array<{kind}>"
-    return write_through(df.mapInArrow(run, schema), name)
+    return write_through(df.mapInArrow(run, schema), name, compression="zstd")
 
 
 def look_up(packed: DataFrame, table: DataFrame, key: str, value: str, default) -> DataFrame:

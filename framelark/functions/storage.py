@@ -64,10 +64,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def write_through(df: DataFrame, name: str, cluster_by: list[str] | None = None) -> DataFrame:
+def write_through(df: DataFrame, name: str, cluster_by: list[str] | None = None, compression: str | None = None) -> DataFrame:
     """Compute once, store as Parquet in the shared folder, read back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     out = df.repartition(*cluster_by) if cluster_by else df
-    out.write.option("compression", "zstd").parquet(path)
+    out.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)

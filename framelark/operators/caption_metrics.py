@@ -313,7 +313,7 @@ def _pair_chunks(pairs: DataFrame, ids: list[str], by: list[str]) -> DataFrame:
                 number, start = number + 1, stop
 
     schema = f"{group}chunk bigint, rows array<struct<{row}>>, sizes array<int>, items array<int>, dictionary array<string>"
-    return write_through(pairs.select(*ids, "cap_id", "videos", "hyp", "ref").mapInArrow(run, schema), "pairs")
+    return write_through(pairs.select(*ids, "cap_id", "videos", "hyp", "ref").mapInArrow(run, schema), "pairs", compression="zstd")
 
 
 def _asked_grams(packed: DataFrame, by: list[str]) -> DataFrame:
@@ -578,7 +578,7 @@ def valid_ids(pred: DataFrame, refs: DataFrame, categories: DataFrame) -> DataFr
 
 def reward_advantage(sampled: DataFrame, greedy: DataFrame, refs: DataFrame, batch: str = "batch") -> DataFrame:
     """Sampled minus greedy CIDEr per video, with document frequencies per batch."""
-    df = write_through(shared_frequency(refs, [batch]), "df")
+    df = write_through(shared_frequency(refs, [batch]), "df", compression="zstd")
     a = cider_per_video(sampled, refs, [batch], df=df).withColumnRenamed("cider", "sampled_cider")
     b = cider_per_video(greedy, refs, [batch], df=df).withColumnRenamed("cider", "greedy_cider")
     return a.join(b, video_keys([batch])).withColumn("advantage", F.col("sampled_cider") - F.col("greedy_cider"))

@@ -19,7 +19,7 @@ def _stored(pred: DataFrame, refs: DataFrame, by: list[str]) -> tuple[DataFrame,
     """Tokens of the scored captions, stored once: many branches read each table."""
     p, r = m.scored_pairs(pred.select(*by, KEY, "caption"), refs.select(*by, KEY, "cap_id", "caption"), by)
     p, r = m.with_group_size(m.with_tokens(p), m.with_tokens(r), by)
-    return write_through(p, "pred"), write_through(r, "refs")
+    return write_through(p, "pred", compression="zstd"), write_through(r, "refs", compression="zstd")
 
 
 def score_per_video(pred: DataFrame, refs: DataFrame, by: list[str] | None = None) -> DataFrame:

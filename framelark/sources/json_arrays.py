@@ -54,17 +54,17 @@ def read_json_arrays(spark: SparkSession, path: str | list[str]) -> DataFrame:
     values and objects beside the arrays are passed over. A file holds one object; an array of
     one name should stand in it once. Broken files give elements that do not parse.
     """
-    stored = write_through(_pieces(spark, path), "pieces")
+    stored = write_through(_pieces(spark, path), "pieces", compression="zstd")
     slim = stored.drop("value")
     parity = prefix_aggregate(slim, ["file"], _bucket(), ORDER, {"before": ("sum", F.col("quotes"))}, inclusive=False)
     starts = F.col("before") % 2 == 1
     ends = (F.col("before") + F.col("quotes")) % 2 == 0  # the brace behind the piece stands outside strings
     moved = F.when(starts, F.col("inside")).otherwise(F.col("outside"))
     steps = parity.select(*_PIECE, moved.alias("opened"), ends.cast("int").alias("closes"))
-    steps = write_through(steps, "steps")
+    steps = write_through(steps, "steps", compression="zstd")
     depth = prefix_aggregate(steps, ["file"], _bucket(), ORDER, {"depth": ("sum", F.col("opened") - F.col("closes"))}, inclusive=False)
     last = (F.col("closes") == 1) & (F.col("depth") + F.col("opened") == 3)
-    depth = write_through(depth.select(*_PIECE, "depth", last.cast("int").alias("last")), "depths")
+    depth = write_through(depth.select(*_PIECE, "depth", last.cast("int").alias("last")), "depths", compression="zstd")
     # Pieces of an element share its number; the ends before a piece are counted.
     number = prefix_aggregate(depth, ["file"], _bucket(), ORDER, {"number": ("sum", F.col("last"))}, inclusive=False)
     number = number.withColumn("pieces", F.count(F.lit(1)).over(W.partitionBy("file", "number")))
@@ -85,7 +85,7 @@ def read_json_arrays(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "file", "number", F.when(F.col("lead").rlike(r"\[\s*$"), F.regexp_extract("lead", _KEY, 1)).alias("opens"),
         F.expr("substring(text, length(lead) + 1)").alias("element"),
     )
-    cut = write_through(cut, "elements")
+    cut = write_through(cut, "elements", compression="zstd")
     # The arrays of a file by their first element; between two of them all numbers are elements of one array.
     firsts = cut.filter("opens IS NOT NULL").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("number", "opens"))).alias("firsts"))
     named = cut.drop("opens").join(F.broadcast(firsts), "file")
