@@ -123,3 +123,26 @@ def test_bleu_of_pairs_equals_that_of_ngram_tables(spark, monkeypatch):
     short, long = m.bleu_components(p, r), m.bleu_components(p, r, grams=tables)
     assert "gram" not in optimized(short)
     assert sorted(map(tuple, short.collect())) == sorted(map(tuple, long.collect()))
+
+
+def test_cider_plans_start_from_stored_tokens(spark):
+    """The origin of the captions stands in no plan with the n-grams, and no n-gram is a row."""
+    p = spark.createDataFrame([(f"v{i}", i % 2, "a b c") for i in range(9)], "video_id string, grp int, caption string")
+    r = spark.createDataFrame([(f"v{i}", i % 2, c, "a b d") for i in range(9) for c in range(2)], "video_id string, grp int, cap_id int, caption string")
+    plan = optimized(m.cider_corpus(*m.scored_pairs(p, r, ["grp"]), ["grp"]))
+    assert "LogicalRDD" not in plan and "explode" not in plan and "gram#" not in plan
+
+
+def test_a_video_in_several_chunks_counts_once(spark, monkeypatch):
+    words = "a b c d e f g".split()
+    refs = [("hot", c, " ".join(words[(c * j) % 7] for j in range(1 + c % 6))) for c in range(40)] + [(f"v{i}", 0, f"a b {words[i]}") for i in range(6)]
+    pred = [("hot", "a b c d")] + [(f"v{i}", "a b c") for i in range(6)]
+    p = spark.createDataFrame(pred, "video_id string, caption string")
+    r = spark.createDataFrame(refs, "video_id string, cap_id int, caption string")
+    found = []
+    for size in (5, 1 << 19):
+        monkeypatch.setattr(m, "CHUNK_TOKENS", size)
+        found.append({x["video_id"]: x["cider"] for x in m.cider_per_video(p, r).collect()})
+    assert found[0] == pytest.approx(found[1])
+    # "a" and "b" stand in all seven videos, so one-word weights of v1 are nought but for the last word.
+    assert found[0]["v0"] != found[0]["v2"] and found[0]["v2"] > 0
