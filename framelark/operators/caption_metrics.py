@@ -657,63 +657,6 @@ def cider_per_video(pred: DataFrame, refs: DataFrame, by: list[str] | None = Non
     return cider_of_pairs(pack_pairs(pairs, ids), ids, sigma=sigma).withColumnRenamed("cider_0", "cider")
 
 
-def cider_over_sets(hyp: DataFrame, ref: DataFrame, counts: DataFrame, cells: DataFrame, sets: int, sigma: float = 6.0) -> DataFrame:
-    """CIDEr of each video under several groupings at once: ``video_id, cider_0, cider_1, ...``.
-
-    ``hyp`` and ``ref``: n-grams with their ``cell``; ``counts``: references per video as ``n_refs``; ``cells``: per cell its
-    group ``grp_i`` in each set (null: in none) and the videos ``size_i`` of that group. An
-    n-gram stays one row: its frequencies in all sets are columns, summed over the cells of each group.
-    """
-    held = ref.select("cell", KEY, "n", "gram").distinct().select("cell", "n", "gram", F.lit(1).alias("c"))
-    # What only predictions of a cell hold may stand in references of another cell of its group.
-    asked = hyp.select("cell", "n", "gram", F.lit(0).alias("c"))
-    per_cell = held.unionByName(asked).groupBy("cell", "n", "gram").agg(F.sum("c").alias("c"))
-    # Dealt once; all windows keep to that.
-    df = per_cell.join(cells.select("cell", *[f"grp_{i}" for i in range(sets)]), "cell").repartition("n", "gram").select(
-        "cell", "n", "gram", *[F.sum("c").over(W.partitionBy("n", "gram", f"grp_{i}")).alias(f"df_{i}") for i in range(sets)]
-    )
-    sizes = cells.select("cell", *[f"size_{i}" for i in range(sets)])
-
-    def weighted(grams: DataFrame, prefix: str) -> DataFrame:
-        keep = [c for c in grams.columns if c != "cell"]
-        idf = [
-            F.log(F.col(f"size_{i}").cast("double")) - F.log(F.greatest(F.lit(1.0), F.coalesce(f"df_{i}", F.lit(1)).cast("double")))
-            for i in range(sets)
-        ]
-        met = grams.join(df, ["cell", "n", "gram"], "left").join(sizes, "cell")
-        return met.select(*keep, *[(F.col("cnt") * x).alias(f"{prefix}_{i}") for i, x in enumerate(idf)])
-
-    def part(k: int, value: Column) -> Column:
-        return F.sum(F.when(F.col("n") == k, value).otherwise(0.0))
-
-    each = [(i, k) for i in range(sets) for k in range(1, MAX_N + 1)]
-    bigrams = F.sum(F.when(F.col("n") == 2, F.col("cnt")).otherwise(0))
-    h = weighted(hyp, "wh")
-    norms = h.groupBy(KEY).agg(*[F.sqrt(part(k, F.col(f"wh_{i}") * F.col(f"wh_{i}"))).alias(f"h{i}_{k}") for i, k in each], bigrams.alias("h_len"))
-    met = weighted(ref, "w").join(h.drop("cnt"), [KEY, "n", "gram"], "left")
-    clipped = [F.least(F.coalesce(f"wh_{i}", F.lit(0.0)), F.col(f"w_{i}")) * F.col(f"w_{i}") for i in range(sets)]
-    per_ref = met.groupBy(KEY, "cap_id").agg(
-        *[part(k, clipped[i]).alias(f"v{i}_{k}") for i, k in each],
-        *[F.sqrt(part(k, F.col(f"w_{i}") * F.col(f"w_{i}"))).alias(f"r{i}_{k}") for i, k in each],
-        bigrams.alias("r_len"),
-    )
-    delta = (F.col("h_len") - F.col("r_len")).cast("double")
-    penalty = F.exp(-(delta * delta) / (2 * sigma * sigma))
-
-    def score(i: int) -> Column:
-        cosine = [
-            F.when((F.col(f"h{i}_{k}") != 0) & (F.col(f"r{i}_{k}") != 0), F.try_divide(F.col(f"v{i}_{k}"), F.col(f"h{i}_{k}") * F.col(f"r{i}_{k}")))
-            .otherwise(F.col(f"v{i}_{k}"))
-            for k in range(1, MAX_N + 1)
-        ]
-        return F.sum(sum(cosine[1:], cosine[0]) / MAX_N * penalty).alias(f"s_{i}")
-
-    summed = per_ref.join(norms, KEY).groupBy(KEY).agg(*[score(i) for i in range(sets)])
-    return counts.join(summed, KEY, "left").select(
-        KEY, *[(F.coalesce(f"s_{i}", F.lit(0.0)) / F.col("n_refs") * 10.0).alias(f"cider_{i}") for i in range(sets)]
-    )
-
-
 def cider_corpus(pred: DataFrame, refs: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or []
     return cider_per_video(pred, refs, by).groupBy(*by).agg(F.avg("cider").alias("cider"))

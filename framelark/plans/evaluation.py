@@ -65,7 +65,7 @@ def score_grouping_sets(pred: DataFrame, refs: DataFrame, sets: list[list[str]])
     in several splits or epochs. A column that a set leaves out is null in its rows; a set leaves
     out videos that are null in one of its columns. METEOR, ROUGE-L and the parts of BLEU are found once per
     video and added up for every set. Only CIDEr depends on the set: its document frequencies
-    and N are taken inside each group, from n-grams that are counted once.
+    and N are taken inside each group, for all sets at once.
     """
     columns = list(dict.fromkeys(c for names in sets for c in names))
     cell = F.to_json(F.struct(F.lit(0).alias("_"), *columns))
@@ -73,9 +73,7 @@ def score_grouping_sets(pred: DataFrame, refs: DataFrame, sets: list[list[str]])
     p, r = m.scored_pairs(
         pred.select(cell.alias("cell"), *columns, named, "caption"), refs.select(cell.alias("cell"), named, "cap_id", "caption")
     )
-    p, r = write_through(m.with_tokens(p), "pred"), write_through(m.with_tokens(r), "refs")
-    hyp = write_through(m.ngram_counts(p, [KEY, "cell"]), "pred-grams")
-    ref = write_through(m.ngram_counts(r, [KEY, "cell", "cap_id"]), "ref-grams")
+    p, r = [write_through(m.with_tokens(x), name, compression="zstd") for x, name in ((p, "pred"), (r, "refs"))]
 
     # A cell holds the videos with equal values in all columns; each set puts it into one group, or none.
     cells = p.groupBy("cell", *columns).agg(F.count(F.lit(1)).alias("videos"))
@@ -85,9 +83,15 @@ def score_grouping_sets(pred: DataFrame, refs: DataFrame, sets: list[list[str]])
     for i in range(len(sets)):
         cells = cells.withColumn(f"size_{i}", F.sum("videos").over(W.partitionBy(f"grp_{i}")))
     cells = write_through(cells, "cells")
-    counts = p.select(KEY).join(r.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_refs")), KEY)
-    cider = m.cider_over_sets(hyp, ref, counts, cells, len(sets))
-    parts = m.bleu_components(p, r).join(m.meteor(p, r), KEY).join(m.rouge_l(p, r), KEY)
+    # Captions meet once; all metrics start from the stored pairs.
+    numbers = [F.when(F.col(f"grp_{i}").isNotNull(), F.xxhash64(f"grp_{i}")).alias(f"number_{i}") for i in range(len(sets))]
+    sizes = [f"size_{i}" for i in range(len(sets))]
+    spoken = p.select(KEY, "cell", "tokens").join(cells.select("cell", *numbers, *sizes), "cell").drop("cell")
+    grp, videos = F.array(*[f"number_{i}" for i in range(len(sets))]), F.array(*sizes)
+    packed = m.pack_pairs(m.token_pairs(spoken, r.select(KEY, "cap_id", "tokens"), [KEY], grp, videos), [KEY])
+    pairs = m.packed_pairs(packed)
+    cider = m.cider_of_pairs(packed, [KEY], len(sets))
+    parts = m.bleu_components(p, r, pairs=pairs).join(m.meteor(p, r, pairs=pairs), KEY).join(m.rouge_l(p, r, pairs=pairs), KEY)
     single = parts.join(cider, KEY).join(p.select(KEY, "cell"), KEY)
     # First one row per cell, then those of each group.
     sums = single.groupBy("cell").agg(

@@ -146,3 +146,22 @@ def test_a_video_in_several_chunks_counts_once(spark, monkeypatch):
     assert found[0] == pytest.approx(found[1])
     # "a" and "b" stand in all seven videos, so one-word weights of v1 are nought but for the last word.
     assert found[0]["v0"] != found[0]["v2"] and found[0]["v2"] > 0
+
+
+def test_grouping_sets_start_from_stored_pairs(spark, monkeypatch):
+    """No n-gram and no position of a token is a row; chunks of any size give the same."""
+    from framelark.plans.evaluation import score_grouping_sets
+
+    words = "a b c d e".split()
+    pred = [(f"v{i}", i % 3, " ".join(words[(i * j) % 5] for j in range(2 + i % 5))) for i in range(12)]
+    refs = [(f"v{i}", i % 3, c, " ".join(words[(i + c * j) % 5] for j in range(1 + (i + c) % 6))) for i in range(12) for c in range(2)]
+    p = spark.createDataFrame(pred, "video_id string, cat int, caption string")
+    r = spark.createDataFrame(refs, "video_id string, cat int, cap_id int, caption string")
+    found = []
+    for size in (9, 1 << 19):
+        monkeypatch.setattr(m, "CHUNK_TOKENS", size)
+        out = score_grouping_sets(p, r, [["cat"], []])
+        plan = optimized(out)
+        assert "gram#" not in plan and "explode(tokens" not in plan
+        found.append({(x["grouping_set"], x["cat"]): (x["cider"], x["meteor"], x["bleu_2"], x["rouge_l"]) for x in out.collect()})
+    assert len(found[0]) == 4 and all(found[0][k] == pytest.approx(found[1][k]) for k in found[0])
