@@ -10,6 +10,8 @@ from framelark.functions.text import tokenize_vocab, video_number
 from framelark.operators.splits import ID_BLOCK, canonical_splits, split_names
 
 KEY = "video_id"
+#: Bytes of text whose words are counted together.
+FIRST_SEEN_BYTES = 1 << 23
 # Special tokens and their ids.
 SPECIALS = {"<pad>": 0, "<sos>": 1, "<eos>": 2, "<unk>": 3}
 
@@ -67,15 +69,63 @@ def word_counts(sentences: DataFrame) -> DataFrame:
     return _words(sentences).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 
+def _first_seen(sentences: DataFrame) -> DataFrame:
+    """``word, freq, num, cap_id, pos``: the words of some captions together, with their number and first place. A null key comes first."""
+    text = F.array_join(tokenize_vocab(F.col("caption")), " ")
+    rows = sentences.select(video_number(F.col(KEY)).alias("num"), "cap_id", text.alias("text"))
+    keys, most, tidy = rows.schema.fields[:2], FIRST_SEEN_BYTES, chunks.tidying()
+
+    def count(batch):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at = pa.Table.from_batches([batch])
+        at = at.filter(pc.greater(pc.fill_null(pc.binary_length(at.column("text")), 0), 0)).combine_chunks()
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(at.column("text")).to_numpy(), dtype=np.int64)])
+        start = 0
+        while start < len(at):
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, "right")) - 1)
+            part = at.slice(start, stop - start)
+            part = part.take(pc.sort_indices(part, sort_keys=[("num", "ascending"), ("cap_id", "ascending")], null_placement="at_start"))
+            lists = pc.split_pattern(part.column("text").combine_chunks(), " ")
+            lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+            coded, sizes = lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            heads = np.cumsum(sizes) - sizes
+            new = np.zeros(len(part), bool)
+            new[:1] = True
+            for c in ("num", "cap_id"):
+                x = pc.fill_null(part.column(c).combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+                new[1:] |= x[1:] != x[:-1]
+            along = np.arange(len(codes))
+            if not new.all():  # captions under one key stand side by side
+                along = np.lexsort((along - np.repeat(heads, sizes), np.repeat(np.cumsum(new), sizes)))
+            _, first, freq = np.unique(codes[along], return_index=True, return_counts=True)
+            first = along[first]
+            row = np.searchsorted(heads, first, "right") - 1
+            own = part.select([f.name for f in keys]).take(pa.array(row)).combine_chunks()
+            columns = [coded.dictionary, pa.array(freq, pa.int64()), *[own.column(f.name).combine_chunks() for f in keys], pa.array(first - heads[row], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "freq", "num", "cap_id", "pos"])
+            start = stop
+
+    def run(batches):
+        for batch in batches:
+            yield from count(batch)
+            batch = None
+            tidy()
+
+    return rows.mapInArrow(run, f"word string, freq bigint, num bigint, cap_id {keys[1].dataType.simpleString()}, pos int")
+
+
 def build_vocab(sentences: DataFrame, min_freq: int = 2) -> DataFrame:
     """Words of at least ``min_freq``, numbered from 4 by first appearance, plus specials."""
-    seen = _words(sentences).withColumn("at", F.struct(video_number(F.col(KEY)).alias("num"), "cap_id", "pos"))
     words = (
-        seen.groupBy("word")
-        .agg(F.count(F.lit(1)).alias("freq"), F.min("at").alias("at"))
+        _first_seen(sentences).groupBy("word")
+        .agg(F.sum("freq").alias("freq"), F.min(F.struct("num", "cap_id", "pos")).alias("at"))
         .filter(F.col("freq") >= min_freq)
         .select("word", "freq", "at.num", "at.cap_id", "at.pos")
-    )
+    )
     ranked = dense_index(
         words, [], F.floor(F.col("num") / 1024), ["num", "cap_id", "pos"], "idx", start=len(SPECIALS)
     )

@@ -165,3 +165,34 @@ def test_grouping_sets_start_from_stored_pairs(spark, monkeypatch):
         assert "gram#" not in plan and "explode(tokens" not in plan
         found.append({(x["grouping_set"], x["cat"]): (x["cider"], x["meteor"], x["bleu_2"], x["rouge_l"]) for x in out.collect()})
     assert len(found[0]) == 4 and all(found[0][k] == pytest.approx(found[1][k]) for k in found[0])
+
+
+def test_vocabulary_counts_words_of_many_captions_at_once(spark, monkeypatch):
+    """No word of a caption is a row; frequencies and first places are those of the rows, also under null and repeated keys."""
+    rows = [(f"video{(i * 7) % 20}", i % 2, " ".join(f"w{(i * j) % 11}" for j in range(i % 6))) for i in range(60)]
+    rows += [("video3", 0, "w1 new w2"), ("video3", 0, "new w9"), (None, 1, "w5 lost"), ("video4", None, "lost w3"), ("video5", 1, None)]
+    df = spark.createDataFrame(rows, "video_id string, cap_id int, caption string").coalesce(1)
+    assert "explode(filter" not in optimized(captions.build_vocab(df))
+    least = lambda x: tuple((v is not None, v) for v in x)
+    want = {}
+    for video, cap, text in rows:
+        for pos, word in enumerate((text or "").split()):
+            at = (int(video[5:]) if video else None, cap, pos)
+            n, first = want.get(word, (0, at))
+            want[word] = (n + 1, min(first, at, key=least))
+    for size in (1, 20, 1 << 23):
+        monkeypatch.setattr(captions, "FIRST_SEEN_BYTES", size)
+        got = captions._first_seen(df).groupBy("word").agg(F.sum("freq").alias("n"), F.min(F.struct("num", "cap_id", "pos")).alias("at"))
+        assert {x["word"]: (x["n"], tuple(x["at"])) for x in got.collect()} == want
+
+
+def test_places_of_a_chunk_are_compressed(spark):
+    lists = spark.createDataFrame([("v", ["a", "b", "a"]), ("w", []), ("x", None), ("y", [""])], "video_id string, word array<string>").coalesce(1)
+    packed = chunks.pack(lists, "word", "t")
+    assert dict(packed.dtypes)["items"] == "binary"
+    vocab = spark.createDataFrame([("a", 4), ("", 5)], "word string, idx int")
+    out = chunks.unpack(chunks.look_up(packed, vocab, "word", "idx", 3), "ids")
+    assert {x["video_id"]: x["ids"] for x in out.collect()} == {"v": [4, 3, 4], "w": [], "x": [], "y": [5]}
+    zero = spark.createDataFrame([("v", ["a\0b"])], "video_id string, word array<string>")
+    with pytest.raises(Exception, match="zero character"):
+        chunks.pack(zero, "word", "t")
